@@ -2,19 +2,32 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from .common import read_table
 from .decontam import contaminated, find_contamination
 from .linededup import dedup_lines
+from .quality import judge_quality
 from .sharding import histogram_shards
 from .simhash import hex_of, near_duplicates
+from .spm import encode_documents
+
+#: Files of the public tokenizers on the driver; operators take such paths as parameters.
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+BPE_PATTERN = public_tokenizers.PATTERN
 
 
 def op1_sharding(spark, sf_dir):
     return histogram_shards(read_table(spark, sf_dir, "documents"), n_shards=16)
 
 
+def op3_quality_rules(spark, sf_dir):
+    out = judge_quality(read_table(spark, sf_dir, "documents"), PIECE_MODEL, BPE_RANKS, BPE_PATTERN)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_piece", "chars_bpe", "byte_share", "entropy", "script")
+
+
 def op4_simhash_near_dedup(spark, sf_dir):
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", hex_of("fp").alias("fingerprint"), "component_id")
@@ -25,6 +38,10 @@ def op6_line_dedup(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op8_sentencepiece(spark, sf_dir):
+    return encode_documents(read_table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
 def op10_decontamination(spark, sf_dir):
     out = find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.encode(F.concat_ws(",", "items"), "UTF-8"), 256)
@@ -72,7 +89,7 @@ FROM dw LEFT JOIN words ON dw.doc_id = words.doc_id LEFT JOIN items ON dw.doc_id
 
 
 def queries():
-    found = [op1_sharding, op4_simhash_near_dedup, op6_line_dedup, op10_decontamination]
+    found = [op1_sharding, op3_quality_rules, op4_simhash_near_dedup, op6_line_dedup, op8_sentencepiece, op10_decontamination]
     return {f.__name__: f for f in found}
 
 
