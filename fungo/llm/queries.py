@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 from .decontam import contaminated, find_contamination
+from .langid import identify
 from .linededup import dedup_lines
 from .quality import judge_quality
 from .sharding import histogram_shards
 from .simhash import hex_of, near_duplicates
 from .spm import encode_documents
+from .urlfilter import filter_urls
 
 #: Files of the public tokenizers on the driver; operators take such paths as parameters.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -33,11 +35,23 @@ def op4_simhash_near_dedup(spark, sf_dir):
     return found.select("doc_id", hex_of("fp").alias("fingerprint"), "component_id")
 
 
+def op5_language_id(spark, sf_dir):
+    return identify(read_table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark, sf_dir):
     out = dedup_lines(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
 
 
+#: The contract's rules, host and path: verdict.
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+def op7_url_filters(spark, sf_dir):
+    return filter_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op8_sentencepiece(spark, sf_dir):
     return encode_documents(read_table(spark, sf_dir, "documents"), PIECE_MODEL)
 
@@ -89,7 +103,7 @@ FROM dw LEFT JOIN words ON dw.doc_id = words.doc_id LEFT JOIN items ON dw.doc_id
 
 
 def queries():
-    found = [op1_sharding, op3_quality_rules, op4_simhash_near_dedup, op6_line_dedup, op8_sentencepiece, op10_decontamination]
+    found = [op1_sharding, op3_quality_rules, op4_simhash_near_dedup, op5_language_id, op6_line_dedup, op7_url_filters, op8_sentencepiece, op10_decontamination]
     return {f.__name__: f for f in found}
 
 
