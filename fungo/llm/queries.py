@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 from .decontam import contaminated, find_contamination
+from .html_extract import extract_main_text
 from .langid import identify
 from .linededup import dedup_lines
 from .quality import judge_quality
+from .secrets import KINDS, find_secrets
 from .sharding import histogram_shards
 from .simhash import hex_of, near_duplicates
 from .spm import encode_documents
@@ -25,6 +27,10 @@ def op1_sharding(spark, sf_dir):
     return histogram_shards(read_table(spark, sf_dir, "documents"), n_shards=16)
 
 
+def op2_html_extraction(spark, sf_dir):
+    return extract_main_text(read_table(spark, sf_dir, "pages"))
+
+
 def op3_quality_rules(spark, sf_dir):
     out = judge_quality(read_table(spark, sf_dir, "documents"), PIECE_MODEL, BPE_RANKS, BPE_PATTERN)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_piece", "chars_bpe", "byte_share", "entropy", "script")
@@ -56,6 +62,21 @@ def op8_sentencepiece(spark, sf_dir):
     return encode_documents(read_table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def op9_secret_scans(spark, sf_dir):
+    found = find_secrets(read_table(spark, sf_dir, "documents"))
+    names = F.array(*map(F.lit, KINDS))
+    rows = F.arrays_zip("kinds", "starts", "ends")
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kinds"] + 1), s["starts"].cast("string"), s["ends"].cast("string"))), ",")
+
+    def number(kind):
+        return F.size(F.filter("kinds", lambda x: x == KINDS.index(kind))).cast("long")
+
+    base = F.filter(rows, lambda s: s["kinds"] < KINDS.index("model"))
+    return found.select("doc_id", number("assign").alias("n_assign"), number("access").alias("n_access"), number("hex").alias("n_hex"), F.sha2(F.encode(joined(base), "UTF-8"), 256).alias("base_sha256"), joined(rows).alias("spans"))
+
+
 def op10_decontamination(spark, sf_dir):
     out = find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.encode(F.concat_ws(",", "items"), "UTF-8"), 256)
@@ -103,7 +124,7 @@ FROM dw LEFT JOIN words ON dw.doc_id = words.doc_id LEFT JOIN items ON dw.doc_id
 
 
 def queries():
-    found = [op1_sharding, op3_quality_rules, op4_simhash_near_dedup, op5_language_id, op6_line_dedup, op7_url_filters, op8_sentencepiece, op10_decontamination]
+    found = [op1_sharding, op2_html_extraction, op3_quality_rules, op4_simhash_near_dedup, op5_language_id, op6_line_dedup, op7_url_filters, op8_sentencepiece, op9_secret_scans, op10_decontamination]
     return {f.__name__: f for f in found}
 
 
