@@ -1,13 +1,66 @@
-"""A corpus pipeline of five stages; each takes (spark, docs, sf_dir) and returns a DataFrame."""
+"""A corpus pipeline of five stages; each takes (spark, docs, sf_dir) and returns a DataFrame.
+
+Every stage but the last returns the columns of documents; its decisions take effect there:
+rejected documents are gone, repeated lines are cut from the text (n_chars follows), one
+document of each group of near-duplicates stays, contaminated documents are gone.  The last
+stage gives the token ids of what is left.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import functions as F
+
+from fungo.llm.common import cut_lineage, read_table, uncarried
+from fungo.llm.decontam import contaminated, find_contamination
+from fungo.llm.linededup import dedup_lines
+from fungo.llm.quality import judge_quality
+from fungo.llm.queries import BPE_PATTERN, BPE_RANKS, PIECE_MODEL
+from fungo.llm.simhash import drop_near_duplicates
+from fungo.llm.spm import encode_documents
+
+
+def quality_rules(spark, docs, sf_dir):
+    carry = tuple(docs.columns)
+    return judge_quality(docs, PIECE_MODEL, BPE_RANKS, BPE_PATTERN, carry=carry).filter("kept").select(*uncarried(carry))
+
+
+def line_dedup(spark, docs, sf_dir):
+    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    out = dedup_lines(docs, carry=carry).select("doc_id", F.col("text").alias("_text"), "n_dropped", *(F.col(f"_c{i}") for i in range(len(carry))))
+    beside = {c: F.col(f"_c{i}") for i, c in enumerate(carry)}
+    if "n_chars" in beside:
+        beside["n_chars"] = F.when(F.col("n_dropped") > 0, F.char_length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(beside["n_chars"])
+    return out.select(*((F.col("doc_id") if c == "doc_id" else F.col("_text") if c == "text" else beside[c]).alias(c) for c in docs.columns))
+
+
+def near_dedup(spark, docs, sf_dir):
+    return drop_near_duplicates(docs)
+
+
+def decontamination(spark, docs, sf_dir):
+    carry = tuple(docs.columns)
+    return find_contamination(docs, read_table(spark, sf_dir, "benchmark"), carry=carry).filter(~contaminated()).select(*uncarried(carry))
+
+
+def sentencepiece(spark, docs, sf_dir):
+    return encode_documents(docs, PIECE_MODEL)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("sentencepiece", sentencepiece),
+]
+
+#: Tokenisers, XXH64 and SHA-exact line rebuilding are beyond SQL; tests hold the rows against brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over documents; each one's rows lie in the shared folder before the next reads them."""
+    docs = read_table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut_lineage(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -53,13 +53,26 @@ def slices(texts: list, limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def map_text(df: DataFrame, key: str, text: str, schema: str, make: Callable[[], Callable], limit: int = 4_000_000) -> DataFrame:
+def carried(df: DataFrame, carry: tuple[str, ...]) -> tuple[list, str]:
+    """Columns that travel beside an operator's own, under names that cannot clash, and their schema."""
+    fields = [df.schema[c] for c in carry]
+    return [F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)], "".join(f", _c{i} {f.dataType.simpleString()}" for i, f in enumerate(fields))
+
+
+def uncarried(carry: tuple[str, ...]) -> list:
+    """Gives carried columns their names back."""
+    return [F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)]
+
+
+def map_text(df: DataFrame, key: str, text: str, schema: str, make: Callable[[], Callable], limit: int = 4_000_000, carry: tuple[str, ...] = ()) -> DataFrame:
     """Runs `make()(keys, texts)` over slices of rows; it returns the columns of `schema`.
 
     `make` is called once per task, so that tables are loaded once.  Texts arrive as
-    UTF-8 bytes (null: None), whole, in slices of about `limit` bytes.
+    UTF-8 bytes (null: None), whole, in slices of about `limit` bytes.  Columns in `carry`
+    come out beside the results, as _c0, _c1 and so on (see uncarried).
     """
-    names = [x.split()[0] for x in schema.split(", ")]
+    columns, more = carried(df, carry)
+    names = [x.split()[0] for x in schema.split(", ")] + [f"_c{i}" for i in range(len(carry))]
 
     def run(batches):
         import pyarrow as pa
@@ -68,9 +81,10 @@ def map_text(df: DataFrame, key: str, text: str, schema: str, make: Callable[[],
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
             for a, b in slices(texts, limit):
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in f(keys[a:b], texts[a:b])], names=names)
+                beside = [batch.column(2 + i).slice(a, b - a) for i in range(len(carry))]
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in f(keys[a:b], texts[a:b])] + beside, names=names)
 
-    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, schema)
+    return df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), *columns).mapInArrow(run, schema + more)
 
 
 def list_array(lists: list, kind) -> pa.Array:

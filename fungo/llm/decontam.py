@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, list_array
+from .common import carried, cut_lineage, list_array
 
 #: Letters, digits and every byte of a non-ASCII character stay; A-Z become a-z; all else parts words.
 _KEEP = b"0123456789abcdefghijklmnopqrstuvwxyz"
@@ -146,7 +146,7 @@ class Benchmark:
 
 
 OUT = "k long, n_words long, n_hit long, items array<string>, spans array<array<int>>"
-CARRY = "k long, t string, items array<string>, spans array<array<int>>"
+STATE = "k long, t string, items array<string>, spans array<array<int>>"
 
 
 def _united(a: list, b: list) -> list:
@@ -160,7 +160,7 @@ def _united(a: list, b: list) -> list:
     return out
 
 
-def _pass(df: DataFrame, sent, last: bool) -> DataFrame:
+def _pass(df: DataFrame, sent, last: bool, more: str) -> DataFrame:
     """Streams every text through one shard's automaton and adds to what earlier shards found."""
 
     def run(batches):
@@ -175,17 +175,18 @@ def _pass(df: DataFrame, sent, last: bool) -> DataFrame:
                 n.append(len(ws))
                 items.append(sorted(own.union(i)) if i else sorted(own))
                 spans.append(_united(s, found) if s else found)
-            tail = [list_array(items, pa.string()), list_array(spans, pa.list_(pa.int32()))]
+            tail = [list_array(items, pa.string()), list_array(spans, pa.list_(pa.int32())), *batch.columns[4:]]
+            beside = batch.schema.names[4:]
             if last:
                 hit = [sum(y - x for x, y in s) for s in spans]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(hit, pa.int64()), *tail], names=["k", "n_words", "n_hit", "items", "spans"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(hit, pa.int64()), *tail], names=["k", "n_words", "n_hit", "items", "spans", *beside])
             else:
-                yield pa.RecordBatch.from_arrays([ids, texts, *tail], names=["k", "t", "items", "spans"])
+                yield pa.RecordBatch.from_arrays([ids, texts, *tail], names=["k", "t", "items", "spans", *beside])
 
-    return df.mapInArrow(run, OUT if last else CARRY)
+    return df.mapInArrow(run, (OUT if last else STATE) + more)
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = 13, max_shard_words: int = 200_000) -> DataFrame:
+def find_contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = 13, max_shard_words: int = 200_000, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row of `docs`: key, n_words, n_hit, items (ids as strings, sorted), spans (word ranges [start, end)).
 
     A window is `window` consecutive words of an item (all its words, if fewer); a word of a
@@ -200,21 +201,23 @@ def find_contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", t
     and the table between two passes lies in the shared folder.
 
     Null or empty text has no words; items without words match nothing; an empty benchmark
-    hits nothing; items that repeat are all reported; repeated and null keys stay as rows.
+    hits nothing; items that repeat are all reported; repeated and null keys stay as rows;
+    extra columns are ignored but for those in `carry` (see common.map_text).
     """
     spark = docs.sparkSession
     none = F.array()
-    out = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), none.cast("array<string>").alias("items"), none.cast("array<array<int>>").alias("spans"))
+    columns, more = carried(docs, carry)
+    out = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), none.cast("array<string>").alias("items"), none.cast("array<array<int>>").alias("spans"), *columns)
     shard: list = []
     room = max_shard_words
     for r in items.select(F.col(item_key).cast("string").alias("i"), F.col(item_text).alias("t")).toLocalIterator():
         ws = words_of(r["t"].encode() if r["t"] else None)
         if shard and len(ws) > room:
-            out = cut_lineage(_pass(out, spark.sparkContext.broadcast(Benchmark(shard, window)), False))
+            out = cut_lineage(_pass(out, spark.sparkContext.broadcast(Benchmark(shard, window)), False, more))
             shard, room = [], max_shard_words
         shard.append((r["i"] if r["i"] is not None else "", ws))
         room -= len(ws)
-    return _pass(out, spark.sparkContext.broadcast(Benchmark(shard, window)), True).withColumnRenamed("k", key)
+    return _pass(out, spark.sparkContext.broadcast(Benchmark(shard, window)), True, more).withColumnRenamed("k", key)
 
 
 def contaminated(n_hit: str = "n_hit", n_words: str = "n_words", min_share_of: int = 20):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, cut_lineage, map_text
+from .common import WHITE, carried, cut_lineage, map_text
 
 #: Distinct keys a shard of the index holds on average.
 SHARD_KEYS = 100_000
@@ -167,7 +166,7 @@ def _rebuild(ids: list, texts: list, min_chars: int, dropped) -> list:
 OUT = "k long, text string, n_lines long, n_dropped long"
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 40, min_docs: int = 5, max_index_mb: int = 256) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 40, min_docs: int = 5, max_index_mb: int = 256, carry: tuple[str, ...] = ()) -> DataFrame:
     """Drops repeated lines: (key, text, n_lines, n_dropped), one row per input row.
 
     A line's key (see line_key) of at least `min_chars` code points that `min_docs` rows
@@ -183,7 +182,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
     Null or empty text is one empty line (null stays null); an empty table gives no rows;
     repeated rows count as documents of their own, and all rows of the keeping key keep
     the line; rows with a null key count but never keep (a line that only such rows hold
-    stays).  Extra columns are ignored here; the caller joins or selects them.
+    stays).  Extra columns are ignored but for those in `carry` (see map_text).
     """
     spark = docs.sparkSession
     counts = line_hashes(docs, key, text, min_chars).groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc").alias("keeper"))
@@ -200,11 +199,11 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
         groups[-1].append(shard)
         room -= b
     if len(groups) == 1:
-        return probe_documents(docs, spark.sparkContext.broadcast([tuple(r) for r in index.collect()]), n_shards, key, text, min_chars).withColumnRenamed("k", key)
-    return probe_by_groups(docs, index, groups, n_shards, key, text, min_chars).withColumnRenamed("k", key)
+        return probe_documents(docs, spark.sparkContext.broadcast([tuple(r) for r in index.collect()]), n_shards, key, text, min_chars, carry).withColumnRenamed("k", key)
+    return probe_by_groups(docs, index, groups, n_shards, key, text, min_chars, carry).withColumnRenamed("k", key)
 
 
-def probe_documents(docs: DataFrame, rows, n_shards: int, key: str, text: str, min_chars: int) -> DataFrame:
+def probe_documents(docs: DataFrame, rows, n_shards: int, key: str, text: str, min_chars: int, carry: tuple[str, ...] = ()) -> DataFrame:
     def make():
         index = LineIndex(rows.value, n_shards)
 
@@ -219,10 +218,10 @@ def probe_documents(docs: DataFrame, rows, n_shards: int, key: str, text: str, m
 
         return f
 
-    return map_text(docs, key, text, OUT, make)
+    return map_text(docs, key, text, OUT, make, carry=carry)
 
 
-def probe_by_groups(docs: DataFrame, index: DataFrame, groups: list[list[int]], n_shards: int, key: str, text: str, min_chars: int) -> DataFrame:
+def probe_by_groups(docs: DataFrame, index: DataFrame, groups: list[list[int]], n_shards: int, key: str, text: str, min_chars: int, carry: tuple[str, ...] = ()) -> DataFrame:
     """For an index beyond the broadcast bound: each group of shards meets only the hashes that belong to it."""
     spark = docs.sparkSession
     group_of = F.array(*(F.lit(next(g for g, x in enumerate(groups) if s in x) if any(s in x for x in groups) else 0) for s in range(n_shards)))
@@ -246,17 +245,15 @@ def probe_by_groups(docs: DataFrame, index: DataFrame, groups: list[list[int]],
     for x in parts[1:]:
         drops = drops.unionAll(x)
     lists = drops.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("h1").alias("_gone"))
-    joined = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(lists, F.col("k").eqNullSafe(F.col("_doc")), "left").select("k", "t", "_gone")
+    columns, more = carried(docs, carry)
+    joined = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), *columns).join(lists, F.col("k").eqNullSafe(F.col("_doc")), "left").select("k", "t", "_gone", *(f"_c{i}" for i in range(len(carry))))
 
     def rebuild(batches):
         for b in batches:
             ids, texts, gone = b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist()
             sets = [frozenset(x or ()) for x in gone]
             cols = _rebuild(ids, texts, min_chars, lambda d, h: [int(x) in sets[i] for i, x in zip(d, h[:, 0].view(np.int64))])
-            yield pa.RecordBatch.from_arrays(cols, names=["k", "text", "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([*cols, *b.columns[3:]], names=["k", "text", "n_lines", "n_dropped", *(f"_c{i}" for i in range(len(carry)))])
 
-    return joined.mapInArrow(rebuild, OUT)
+    return joined.mapInArrow(rebuild, OUT + more)
 
-
-def sha256_hex(text: bytes | None) -> str:
-    return hashlib.sha256(text or b"").hexdigest()

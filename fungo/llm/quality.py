@@ -149,7 +149,7 @@ def verdicts(f: dict[str, np.ndarray], bands: dict = BANDS) -> tuple[np.ndarray,
     return base_failed, good & ~base_failed
 
 
-def judge_quality(docs: DataFrame, piece_path: str, bpe_path: str, bpe_pattern: str, key: str = "doc_id", text: str = "text", bands: dict = BANDS) -> DataFrame:
+def judge_quality(docs: DataFrame, piece_path: str, bpe_path: str, bpe_pattern: str, key: str = "doc_id", text: str = "text", bands: dict = BANDS, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: key, FEATURES, base_failed, kept.
 
     Base rules: at least 50 words, and no more than half the words inside repeated 3-word
@@ -159,7 +159,7 @@ def judge_quality(docs: DataFrame, piece_path: str, bpe_path: str, bpe_pattern:
     gets one verdict whatever stands beside it.
 
     Null and empty texts have no words and fail; an empty table gives no rows; repeated rows
-    and null keys stay; extra columns are ignored.
+    and null keys stay; extra columns are ignored but for those in `carry` (see map_text).
     """
     with open(piece_path, "rb") as a, open(bpe_path, "rb") as b:
         sent = docs.sparkSession.sparkContext.broadcast((a.read(), b.read(), bpe_pattern))
@@ -174,4 +174,4 @@ def judge_quality(docs: DataFrame, piece_path: str, bpe_path: str, bpe_pattern:
 
         return f
 
-    return map_text(docs, key, text, f"k long, {FEATURES}, base_failed boolean, kept boolean", make, 2_000_000).withColumnRenamed("k", key)
+    return map_text(docs, key, text, f"k long, {FEATURES}, base_failed boolean, kept boolean", make, 2_000_000, carry).withColumnRenamed("k", key)

@@ -190,3 +190,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", di
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     named = joined.join(least, "root").select("fp", "component_id")
     return marked.join(named, "fp").select(F.col("k").alias(key), "fp", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = 4, shingle: int = 4) -> DataFrame:
+    """The rows of `docs` whose key names their component: one row of each group of near-duplicates stays, with all its columns.
+
+    What goes is an anti join on narrow keys, which Spark broadcasts while they are below its
+    threshold.  Rows with a null key stay.  Where keys repeat, one of the rows with the
+    component's key stays.
+    """
+    found = cut_lineage(near_duplicates(docs, key, text, distance, shingle))
+    gone = found.filter(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct()
+    left = docs.join(gone, docs[key].cast("long") == F.col("_gone"), "left_anti")
+    twice = cut_lineage(found.filter(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias("_twice")).count().filter("count > 1").select("_twice"))
+    if twice.isEmpty():
+        return left
+    once = left.join(twice, left[key].cast("long") == F.col("_twice"), "left_anti")
+    return once.unionAll(left.join(twice, left[key].cast("long") == F.col("_twice"), "left_semi").dropDuplicates([key]))
