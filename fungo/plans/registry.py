@@ -1,9 +1,36 @@
-"""Registered queries: name -> (Spark job, independent SQL)."""
+"""Registered queries: name -> Spark job, and independent SQL for the same rows."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
+from importlib import import_module
 
+_QUERIES: dict[str, Callable] = {}
+_SQL: dict[str, str] = {}
 
-def oracle_sql():
-    return {}
+
+def register(sql: str | None = None):
+    """Registers a job (spark, sf_dir) -> DataFrame under its function's name."""
+
+    def put(job):
+        _QUERIES[job.__name__] = job
+        if sql is not None:
+            _SQL[job.__name__] = sql
+        return job
+
+    return put
+
+
+def _load() -> None:
+    for name in ("core", "sources", "scalars", "profiles", "ranks"):
+        import_module(f"fungo.plans.{name}")
+
+
+def queries() -> dict[str, Callable]:
+    _load()
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return dict(_SQL)
