@@ -69,17 +69,23 @@ def pitching_summary(pitches: DataFrame, keys: tuple[str, str] = ("pitcher", "co
     )
 
 
+def _mean_of_rounded(column: str, digits: int) -> Column:
+    """Mean of a column of `digits` decimals, to as many: whole units are summed, so the order of the rows cannot tip a tie."""
+    scale = float(10**digits)
+    return F.rint(F.avg(F.rint(F.col(column) * scale))) / scale
+
+
 def country_batting(summary: DataFrame, min_pa: int = 50) -> DataFrame:
     """A5: unweighted means of the players' rates per country, best OPS first."""
     rates = ("AVG", "OBP", "SLG", "OPS", "xwOBA")
-    g = summary.filter((F.col("PA") >= min_pa) & F.col("country").isNotNull()).groupBy("country").agg(F.count("*").alias("players"), F.sum("PA").alias("total_PA"), *(round_half_even(F.avg(r), 3).alias(f"avg_{r}") for r in rates))
+    g = summary.filter((F.col("PA") >= min_pa) & F.col("country").isNotNull()).groupBy("country").agg(F.count("*").alias("players"), F.sum("PA").alias("total_PA"), *(_mean_of_rounded(r, 3).alias(f"avg_{r}") for r in rates))
     return g.orderBy(F.desc_nulls_last("avg_OPS"), "country")
 
 
 def country_pitching(summary: DataFrame, min_pitches: int = 200) -> DataFrame:
     """The same for pitchers, lowest expected average first."""
     digits = {"xwOBA_against": 3, "K_pct": 1, "BB_pct": 1, "avg_velo": 1}
-    g = summary.filter((F.col("total_pitches") >= min_pitches) & F.col("country").isNotNull()).groupBy("country").agg(F.count("*").alias("pitchers"), *(round_half_even(F.avg(c), k).alias(f"mean_{c}") for c, k in digits.items()))
+    g = summary.filter((F.col("total_pitches") >= min_pitches) & F.col("country").isNotNull()).groupBy("country").agg(F.count("*").alias("pitchers"), *(_mean_of_rounded(c, k).alias(f"mean_{c}") for c, k in digits.items()))
     return g.orderBy(F.asc_nulls_last("mean_xwOBA_against"), "country")
 
 

@@ -24,6 +24,10 @@ def up(x: str, digits: int) -> str:
     return f"(sign({x}) * floor(abs({x}) * 1e{digits} + 0.5) / 1e{digits})"
 
 
+def unit_mean(x: str, digits: int) -> str:
+    return f"round_even(avg(round_even({x} * 1e{digits}, 0)), 0) / 1e{digits}"
+
+
 LONG = f"""{WITH}, s AS (
   SELECT pitcher, season, pitch_type, count(*) AS n_pitches, avg(release_speed) AS sp, avg(release_spin_rate) AS sr, avg(pfx_x) AS px, avg(pfx_z) AS pz,
     CAST(sum(CASE WHEN description IN ('swinging_strike', 'swinging_strike_blocked') THEN 1 ELSE 0 END) AS DOUBLE)
@@ -126,12 +130,12 @@ def pitching_summary(spark, sf_dir):
     return summaries.pitching_summary(pitches(spark, sf_dir))
 
 
-@register(BATTING + ' SELECT country, count(*) AS players, CAST(sum("PA") AS BIGINT) AS "total_PA", ' + ", ".join(even(f'avg("{r}")', 3) + f' AS "avg_{r}"' for r in ("AVG", "OBP", "SLG", "OPS", "xwOBA")) + ' FROM batting WHERE "PA" >= 50 GROUP BY country')
+@register(BATTING + ' SELECT country, count(*) AS players, CAST(sum("PA") AS BIGINT) AS "total_PA", ' + ", ".join(unit_mean(f'"{r}"', 3) + f' AS "avg_{r}"' for r in ("AVG", "OBP", "SLG", "OPS", "xwOBA")) + ' FROM batting WHERE "PA" >= 50 GROUP BY country')
 def country_batting(spark, sf_dir):
     return summaries.country_batting(summaries.batting_summary(pitches(spark, sf_dir)))
 
 
-@register(PITCHING + " SELECT country, count(*) AS pitchers, " + ", ".join(even(f'avg("{c}")', k) + f' AS "mean_{c}"' for c, k in (("xwOBA_against", 3), ("K_pct", 1), ("BB_pct", 1), ("avg_velo", 1))) + " FROM pitching WHERE total_pitches >= 200 GROUP BY country")
+@register(PITCHING + " SELECT country, count(*) AS pitchers, " + ", ".join(unit_mean(f'"{c}"', k) + f' AS "mean_{c}"' for c, k in (("xwOBA_against", 3), ("K_pct", 1), ("BB_pct", 1), ("avg_velo", 1))) + " FROM pitching WHERE total_pitches >= 200 GROUP BY country")
 def country_pitching(spark, sf_dir):
     return summaries.country_pitching(summaries.pitching_summary(pitches(spark, sf_dir)))
 

@@ -11,7 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 PITCHES = """
-SELECT l_suppkey AS pitcher, l_partkey % 150 AS batter, CAST(year(l_shipdate) AS INT) AS season, CAST(l_shipdate AS DATE) AS game_date,
+SELECT l_suppkey AS pitcher, l_suppkey % 18 + 18 * (l_partkey % 5) AS batter, CAST(year(l_shipdate) AS INT) AS season, CAST(l_shipdate AS DATE) AS game_date,
   concat('Last', CAST(l_suppkey % 37 AS STRING), ', First', CAST(l_partkey % 11 AS STRING)) AS player_name,
   CASE WHEN l_partkey % 20 < 7 THEN 'FF' WHEN l_partkey % 20 < 11 THEN 'SL' WHEN l_partkey % 20 < 14 THEN 'SI' WHEN l_partkey % 20 < 16 THEN 'CH'
        WHEN l_partkey % 20 = 16 THEN 'CU' WHEN l_partkey % 20 = 17 THEN 'FC' WHEN l_partkey % 20 = 18 THEN 'FS' END AS pitch_type,

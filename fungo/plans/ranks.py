@@ -22,10 +22,10 @@ def leaderboard_bottom(spark, sf_dir):
     return leaderboards.leaderboard(board(spark, sf_dir), 1996, "speed", "entity_name", 15, True).select("entity_name", "year", "speed")
 
 
-@register(f'{BATTING} SELECT player_name, mlbam_id, country, "PA", "OPS" FROM batting WHERE "PA" >= 8 AND "OPS" IS NOT NULL ORDER BY "OPS" DESC, player_name, mlbam_id, country LIMIT 20')
+@register(f'{BATTING} SELECT player_name, mlbam_id, country, "PA", "OPS" FROM batting WHERE "PA" >= 100 AND "OPS" IS NOT NULL ORDER BY "OPS" DESC, player_name, mlbam_id, country LIMIT 20')
 def qualified_top(spark, sf_dir):
     summary = batting_summary(pitches(spark, sf_dir)).withColumn("label", F.struct("player_name", "mlbam_id", "country"))
-    return leaderboards.qualified_top(summary, "PA", 8, "OPS", "label").select("player_name", "mlbam_id", "country", "PA", "OPS")
+    return leaderboards.qualified_top(summary, "PA", 100, "OPS", "label").select("player_name", "mlbam_id", "country", "PA", "OPS")
 
 
 _PARTS = ("speed", "bat", "exit_velo")
