@@ -28,7 +28,7 @@ class Grams:
 
     def of(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(buckets, text numbers, letters of each text); letters are lower-cased, runs of anything else become one space."""
-        flat = "\n".join((t or b"").decode().lower().replace("\n", " ") for t in texts)
+        flat = "".join((t or b"").decode().lower().replace("\n", " ") + "\n" for t in texts)
         c = np.frombuffer(flat.encode("utf-32-le"), np.uint32)
         ends = c == 10
         letter = self.letters[c]
