@@ -131,13 +131,16 @@ class CharCnn:
 
 
 def synthetic_findings(words: list[str], n: int, seed: int = 11) -> list[tuple[str, int]]:
-    """Labelled windows beside the corpus's own: random keys of common formats (1), and names, addresses, versions, dates and numbers built from words of the corpus (0)."""
+    """Labelled windows beside the corpus's own: random keys of common formats (1), and names, addresses, versions, dates and numbers built from words of the corpus or made-up ones (0)."""
     r = random.Random(seed)
     words = words or ["word"]
     hexd, b62 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 
+    def made_up():
+        return "".join(r.choice(("bcdfghjklmnprstvwz", "aeiou")[i % 2]) for i in range(r.randint(3, 10)))
+
     def word():
-        return r.choice(words)
+        return r.choice(words) if r.random() < 0.5 else made_up()
 
     def rnd(alphabet, a, b):
         return "".join(r.choice(alphabet) for _ in range(r.randint(a, b)))
