@@ -17,7 +17,7 @@ from .common import map_text
 #: vocabularies do not know (or shouting, which they split); above it, endless runs of one symbol.
 #: Scripts are told by the commonest letter class; short texts are judged by the base rules alone.
 BANDS = {
-    "latin": {"chars_piece": (1.55, 7.0), "chars_bpe": (1.86, 8.0), "byte_share": (0.0, 0.12), "entropy": (4.85, 99.0)},
+    "latin": {"chars_piece": (1.55, 7.0), "chars_bpe": (1.86, 8.0), "byte_share": (0.0, 0.12), "entropy": (4.8, 99.0)},
     "other": {"chars_piece": (0.25, 7.0), "chars_bpe": (0.25, 8.0), "byte_share": (0.0, 0.95), "entropy": (3.0, 99.0)},
 }
 #: Characters counted by the symbol rule.
