@@ -95,8 +95,8 @@ def bounds(df: DataFrame, *columns: str) -> DataFrame:
 
 def _bin(x: Column, lo: Column, hi: Column, bins: int) -> Column:
     """Equal-width bin from 0, left-closed, the last one closed; one bin where all values are equal."""
-    at = F.floor((x - lo) / F.when(hi > lo, (hi - lo) / bins))
-    return F.coalesce(F.least(at, F.lit(bins - 1)), F.lit(0)).cast("int")
+    at = F.coalesce(F.floor((x - lo) / F.when(hi > lo, (hi - lo) / bins)), F.lit(0))  # least() skips nulls
+    return F.least(at, F.lit(bins - 1)).cast("int")
 
 
 def histogram(df: DataFrame, column: str, bins: int, by: str | None = None) -> DataFrame:
@@ -135,8 +135,8 @@ def binned_mean(df: DataFrame, x: str, y: str, value: str, bins: int = 20) -> Da
 
     def cell(c: str, i: int) -> Column:
         lo, hi = F.col(f"lo_{i}"), F.col(f"hi_{i}")
-        at = F.ceil((F.col(c) - lo) / F.when(hi > lo, (hi - lo) / bins)) - 1
-        return F.coalesce(F.greatest(F.least(at, F.lit(bins - 1)), F.lit(0)), F.lit(0)).cast("int")
+        at = F.coalesce(F.ceil((F.col(c) - lo) / F.when(hi > lo, (hi - lo) / bins)) - 1, F.lit(0))
+        return F.greatest(F.least(at, F.lit(bins - 1)), F.lit(0)).cast("int")
 
     return keyed.groupBy(cell(x, 0).alias("x_bin"), cell(y, 1).alias("y_bin")).agg(F.avg(value).alias("mean_value"), F.count("*").alias("n"))
 

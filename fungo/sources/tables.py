@@ -54,10 +54,10 @@ def combine_sources(spark: SparkSession, folder: str, suffix: str, exclude: str
     Columns are matched by name: files are grouped by header line, one read per distinct header.
     """
     glob = f"*{suffix}"
-    heads = spark.read.option("pathGlobFilter", glob).text(folder, wholetext=False).select(F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_block_start").alias("o"), "value")
+    heads = spark.read.option("pathGlobFilter", glob).text(folder, wholetext=False).select(F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_block_start").alias("o"), "value", F.monotonically_increasing_id().alias("i"))
     if exclude:
         heads = heads.filter(~F.col("f").contains(exclude))
-    firsts = heads.filter("o = 0").groupBy("p").agg(F.min_by("value", F.monotonically_increasing_id()).alias("h")).groupBy("h").agg(F.collect_list("p").alias("files")).collect()  # one row per distinct header
+    firsts = heads.filter("o = 0").groupBy("p").agg(F.min_by("value", "i").alias("h")).groupBy("h").agg(F.collect_list("p").alias("files")).collect()  # one row per distinct header
     if not firsts:
         return spark.createDataFrame([], schema or T.StructType()), spark.createDataFrame([], "prefix string, n_rows long")
     frames = []
