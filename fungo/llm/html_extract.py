@@ -223,28 +223,26 @@ def main_text(page: str, weights: np.ndarray) -> str:
     return "\n\n".join(b.text for b, k in zip(blocks, keep) if k)
 
 
-def fit_weights(pages: list[str], strength: float = 20.0, steps: int = 200) -> np.ndarray:
-    """Logistic regression of content on features, kept near PRIOR by a Gaussian of precision `strength`.
+def lessons(page: str) -> tuple[np.ndarray, np.ndarray]:
+    """Feature rows and labels of a page's blocks, for teaching.
 
     Blocks are labelled by the landmarks around them: inside a content landmark and no
     other, or inside a boilerplate one.  Each also teaches with its landmarks hidden, so that
     pages without any are judged by what their blocks look like.
     """
+    blocks = [b for b in blocks_of(page) if b.good or b.bad]
+    x = features(blocks)
+    hidden = x.copy()
+    hidden[:, 1:3] = 0
+    y = (x[:, 2] == 0).astype(float)
+    return np.concatenate((x, hidden)), np.concatenate((y, y))
+
+
+def fit_weights(x: np.ndarray, y: np.ndarray, strength: float = 20.0, steps: int = 200) -> np.ndarray:
+    """Logistic regression of content on features, kept near PRIOR by a Gaussian of precision `strength`."""
     prior = np.array(list(PRIOR.values()))
-    rows, labels = [], []
-    for page in pages:
-        blocks = [b for b in blocks_of(page or "") if b.good or b.bad]
-        if blocks:
-            x = features(blocks)
-            hidden = x.copy()
-            hidden[:, 1:3] = 0
-            rows += [x, hidden]
-            labels += 2 * [x[:, 2] == 0]
-    if not rows:
-        return prior
-    x, y = np.concatenate(rows), np.concatenate(labels).astype(float)
     w = prior.copy()
-    for _ in range(steps):
+    for _ in range(steps if len(x) else 0):
         p = 1 / (1 + np.exp(-x @ w))
         hess = (x * (p * (1 - p))[:, None]).T @ x + strength * np.eye(len(w))
         step = np.linalg.solve(hess, x.T @ (y - p) - strength * (w - prior))
@@ -254,6 +252,24 @@ def fit_weights(pages: list[str], strength: float = 20.0, steps: int = 200) -> n
     return w
 
 
+def train(pages: DataFrame, key: str = "page_id", page: str = "html", sample_pages: int = 500, max_lessons: int = 50_000) -> np.ndarray:
+    """Weights fitted on about `sample_pages` pages drawn by a hash of the key; tasks read the pages, and `max_lessons` rows of numbers at most reach the driver."""
+    n = pages.count()
+    draw = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 20)) < int(min(1.0, sample_pages / max(1, n)) * (1 << 20))
+
+    def run(batches):
+        for batch in batches:
+            for h, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x, y = lessons(p or "")
+                rows = np.column_stack((x, y)).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array([h] * len(rows), pa.int64()), pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.list_(pa.float64()))], names=["h", "i", "v"])
+
+    taught = pages.filter(draw).select(F.xxhash64(F.col(key), F.col(page)).alias("h"), F.col(page)).mapInArrow(run, "h long, i int, v array<double>")
+    rows = [r[0] for r in taught.orderBy("h", "i").limit(max_lessons).select("v").collect()]
+    v = np.array(rows).reshape(-1, len(PRIOR) + 1)
+    return fit_weights(v[:, :-1], v[:, -1])
+
+
 def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", sample_pages: int = 500) -> DataFrame:
     """(key, url, text, n_chars): the article of every page, one row per input row.
 
@@ -266,11 +282,7 @@ def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url",
     Null or empty html, and pages without content, give empty text; an empty table gives no
     rows; markup that never closes ends with the page; repeated rows and null keys stay.
     """
-    spark = pages.sparkSession
-    n = pages.count()
-    draw = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 20)) < int(min(1.0, sample_pages / max(1, n)) * (1 << 20))
-    sample = [r[0] for r in pages.filter(draw).orderBy(F.xxhash64(F.col(key))).select(page).limit(2 * sample_pages).collect()]
-    sent = spark.sparkContext.broadcast(fit_weights(sample))
+    sent = pages.sparkSession.sparkContext.broadcast(train(pages, key, page, sample_pages))
 
     def run(batches):
         weights = sent.value
