@@ -28,7 +28,7 @@ _LETTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 class Vocabularies:
     """Pieces of both public vocabularies for single words, with a cache bounded by `cache_words`."""
 
-    def __init__(self, piece_model: bytes, bpe_ranks: bytes, pattern: str, cache_words: int = 500_000):
+    def __init__(self, piece_model: bytes, bpe_ranks: bytes, pattern: str, cache_words: int = 300_000):
         import sentencepiece
         import tiktoken
 

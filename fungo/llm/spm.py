@@ -28,7 +28,7 @@ BARRED = -np.inf
 class Model:
     """Pieces of a SentencePiece BPE model with byte fallback, and the library for whole words."""
 
-    def __init__(self, blob: bytes, cache_words: int = 1_000_000):
+    def __init__(self, blob: bytes, cache_words: int = 400_000):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
