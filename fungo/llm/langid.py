@@ -74,7 +74,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     rates = F.create_map(*(x for n in names for x in (F.lit(n), F.lit(rate[n]))))
     place = F.create_map(*(x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i).cast("long"))))
     draw = F.pmod(F.xxhash64("k"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    drawn = labelled.filter(F.col("l").isin(names)).filter(draw < F.element_at(rates, F.col("l"))).select(F.element_at(place, F.col("l")).alias("n"), "t").coalesce(64)
+    drawn = labelled.filter(F.col("l").isin(names)).filter(draw < F.element_at(rates, F.col("l"))).select(F.element_at(place, F.col("l")).alias("n"), "t")
 
     def counted(batches):
         grams, total = Grams(), np.zeros((len(names), BUCKETS), np.int64)
