@@ -68,6 +68,8 @@ def build_mph(h: np.ndarray) -> np.ndarray:
                 free[slots[i]] = False
                 break
             base += np.uint64(32)
+            if base > 1 << 24:
+                raise ValueError("two keys of the index share all hash bits")
     single = by_size[sizes[by_size] == 1]
     displace[single] = -np.flatnonzero(free)[: len(single)] - 1
     return displace
