@@ -18,8 +18,8 @@ def arsenal_long(pitches: DataFrame, min_pitches: int = 100, denominator: str =
 
     `denominator`: "strikes" takes every description with strike or foul in it and balls in
     play, so called strikes too; "swings" leaves called strikes out.  Pitcher-seasons under
-    `min_pitches` are dropped.  One shuffle: rows are dealt by (pitcher, season), which also
-    serves the grouping by type and the window over the grouped rows.
+    `min_pitches` are dropped.  Pitches are shuffled as partial sums by type only; the total
+    is a window over the grouped rows, a few per pitcher and season, not a second scan.
     """
     d = F.col("description")
     seen = d.contains("strike") | d.contains("foul") | (d == "hit_into_play")
