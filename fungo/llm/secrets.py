@@ -112,9 +112,10 @@ class CharCnn:
         da *= a > 0
         flat = da.reshape(-1, f)
         dpatch = (flat @ self.p["k"].T).reshape(n, steps, self.width, -1)
-        de = np.zeros_like(self.p["e"])
+        dx = np.zeros((*x.shape, dpatch.shape[-1]))
         for i in range(self.width):
-            np.add.at(de, x[:, i : i + steps].ravel(), dpatch[:, :, i].reshape(n * steps, -1))
+            dx[:, i : i + steps] += dpatch[:, :, i]
+        de = np.stack([np.bincount(x.ravel(), dx[..., d].ravel(), N_CLASSES) for d in range(dx.shape[-1])], 1)
         return {"e": de, "k": patches.reshape(-1, patches.shape[-1]).T @ flat, "c": flat.sum(0), "w": pooled.T @ dz, "b": dz.sum(keepdims=True)}
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, min_recall: float) -> None:
