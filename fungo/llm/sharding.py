@@ -152,7 +152,7 @@ def histogram_shards(docs: DataFrame, n_shards: int = 16, key: str = "doc_id", t
     shard_start = [first_row[p - p % m] for p in range(n_shards * m)]
     before = F.array(*(F.lit(first_row[p] - shard_start[p]).cast("long") for p in range(n_shards * m)))
     part = _partition(splitters, 0, len(splitters)) if splitters else F.lit(0)
-    placed = rows.withColumn("_part", part)
+    placed = rows.withColumn("_part", part).repartitionById(n_shards * m, F.col("_part"))  # the window needs no other exchange
     rank = F.row_number().over(Window.partitionBy("_part").orderBy(*KEYS)) - 1
     return placed.select(
         F.col("_id").alias(key),
