@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text
+from .common import cut_lineage, map_text
 
 #: Base kinds in the order they are listed.
 KINDS = ("assign", "access", "hex", "model")
@@ -178,7 +178,7 @@ def gather_findings(docs: DataFrame, key: str, text: str, max_docs: int, max_fin
                     labels.append(0)
             yield pa.RecordBatch.from_arrays([pa.array(wins, pa.string()), pa.array(labels, pa.int32())], names=["w", "y"])
 
-    found = docs.filter(draw).select(text).mapInArrow(run, "w string, y int")
+    found = cut_lineage(docs.filter(draw).select(text).mapInArrow(run, "w string, y int"))
     # the same findings on every run, whatever the partitions: the first by hash
     rows = [r for y in (0, 1) for r in found.filter(F.col("y") == y).orderBy(F.xxhash64("w"), "w").limit(max_findings).collect()]
     words = sorted({r["w"][BEFORE : BEFORE + INSIDE].rstrip("\0") for r in rows if r["y"] == 0})
