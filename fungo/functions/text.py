@@ -7,6 +7,8 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fungo.plans.schema import FORMER_TEAM, TEAM_STATUSES
+
 
 def literal_map(mapping: dict) -> Column:
     return F.create_map(*(F.lit(x) for x in chain.from_iterable(mapping.items())))
@@ -19,13 +21,15 @@ def looked_up(key: Column, mapping: dict, otherwise: Column) -> Column:
 
 def translate_team(team: Column, team_map: dict[str, str]) -> Column:
     """An exact hit in the map; else a free agent or a returning player, with the former team where it is given; else the text itself."""
-    former = F.regexp_extract(team, "前(.+?)[）)]", 1)
+    former = F.regexp_extract(team, FORMER_TEAM, 1)
     known = looked_up(former, team_map, former)
 
     def status(plain: str, label: str) -> Column:
         return F.when(former == "", F.lit(plain)).otherwise(F.concat(F.lit(f"{label} (former "), known, F.lit(")")))
 
-    rest = F.when(team.contains("FA"), status("Free Agent", "FA")).when(team.contains("引退復帰"), status("Returning from retirement", "Returning from retirement")).otherwise(team)
+    rest = team
+    for mark, plain, label in reversed(TEAM_STATUSES):
+        rest = F.when(team.contains(mark), status(plain, label)).otherwise(rest)
     return looked_up(team, team_map, rest)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from fungo.functions.numeric import nan_to_null
 from fungo.functions.text import english_name, looked_up, translate_team
+from fungo.plans.schema import PITCHER_POSITIONS, ROSTER_HEADER, ROSTER_SKIPPED, ROSTER_TITLES
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None, fmt: str = "csv") -> DataFrame:
@@ -75,22 +76,21 @@ def combine_sources(spark: SparkSession, folder: str, suffix: str, exclude: str
 def roster_rows(lines: DataFrame, file: str, position: str, line: str, countries: dict[str, str], cities: dict[str, str], teams: dict[str, str]) -> DataFrame:
     """Player rows of sectioned text; a header's country and pool reach down to the next header."""
     text = F.trim(F.regexp_replace(F.col(line), r"^\s+|\s+$", ""))
-    head = r"^(.+?)（.+?）\s*—\s*プール([A-D])（(.+?)）\s*—"
     rows = lines.select(F.col(file).alias("_file"), F.col(position).alias("_pos"), text.alias("_line"))
-    rows = rows.filter((F.col("_line") != "") & ~F.col("_line").startswith("WBC 2026") & ~F.col("_line").startswith("出典"))
-    name = F.trim(F.regexp_extract("_line", head, 1))
-    city = F.regexp_extract("_line", head, 3)
-    section = F.when(name != "", F.struct(looked_up(name, countries, F.lit(None).cast("string")).alias("country"), F.concat(F.regexp_extract("_line", head, 2), F.lit(" ("), looked_up(city, cities, city), F.lit(")")).alias("pool")))
+    rows = rows.filter(reduce(lambda c, x: c & ~F.col("_line").startswith(x), ROSTER_SKIPPED, F.col("_line") != ""))
+    name = F.trim(F.regexp_extract("_line", ROSTER_HEADER, 1))
+    city = F.regexp_extract("_line", ROSTER_HEADER, 3)
+    section = F.when(name != "", F.struct(looked_up(name, countries, F.lit(None).cast("string")).alias("country"), F.concat(F.regexp_extract("_line", ROSTER_HEADER, 2), F.lit(" ("), looked_up(city, cities, city), F.lit(")")).alias("pool")))
     down = Window.partitionBy("_file").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_section", section).withColumn("_now", F.last("_section", ignorenulls=True).over(down))
     fields = F.split("_line", ",")
-    players = rows.filter(F.col("_section").isNull() & ~F.col("_line").startswith("選手名,") & (F.size(fields) >= 3) & F.col("_now.country").isNotNull() & (F.trim(fields[0]) != ""))
+    players = rows.filter(F.col("_section").isNull() & ~F.col("_line").startswith(ROSTER_TITLES) & (F.size(fields) >= 3) & F.col("_now.country").isNotNull() & (F.trim(fields[0]) != ""))
     return players.select(F.trim(fields[0]).alias("name"), F.col("_now.country").alias("country"), F.col("_now.pool").alias("pool"), F.trim(fields[1]).alias("position"), F.trim(fields[2]).alias("team"), F.trim(F.coalesce(F.get(fields, F.lit(3)), F.lit(""))).alias("on_40_man")).transform(lambda df: normalize_roster(df, teams))
 
 
 def normalize_roster(df: DataFrame, teams: dict[str, str]) -> DataFrame:
     """English name, translated team, boolean flag, role from the position."""
-    pitcher = F.col("position").isin("RHP", "LHP")
+    pitcher = F.col("position").isin(*PITCHER_POSITIONS)
     return df.withColumns({"name": english_name(F.col("name")), "team": translate_team(F.col("team"), teams), "on_40_man": F.col("on_40_man") == "YES", "role": F.when(pitcher, "pitcher").otherwise("batter")})
 
 
