@@ -25,12 +25,12 @@ def coerce_numeric(df: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def label_codes(df: DataFrame, column: str, labels: dict[str, str] | DataFrame) -> DataFrame:
-    """P5: codes replaced by labels, the code itself where there is none."""
+    """P5: codes replaced by labels, the code itself where there is none; a mapping is broadcast, a table of labels only if Spark finds it small."""
     if isinstance(labels, dict):
-        labels = df.sparkSession.createDataFrame(list(labels.items()), "_code string, _label string")
+        labels = F.broadcast(df.sparkSession.createDataFrame(list(labels.items()), "_code string, _label string"))
     else:
         labels = labels.toDF("_code", "_label")
-    joined = df.join(F.broadcast(labels), F.col(column) == F.col("_code"), "left")
+    joined = df.join(labels, F.col(column) == F.col("_code"), "left")
     return joined.withColumn(column, F.coalesce("_label", column)).drop("_code", "_label")
 
 
