@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", di
 
         return f
 
-    marked = cut_lineage(map_text(docs, key, text, "k long, fp long", make))
+    marked = cut_lineage(map_text(docs, key, text, "k long, fp long", make, 1_000_000))
     nodes = cut_lineage(marked.groupBy("fp").agg(F.min("k").alias("least")))
     edges = find_links(nodes.select("fp"), nodes.count(), distance)
     roots = cut_lineage(connected_components(edges))
