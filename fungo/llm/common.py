@@ -29,14 +29,19 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/fungo-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Writes `df` as a table in the shared folder and reads it back.
 
     A lost executor then costs its running tasks only, and later passes read narrow
     columnar files instead of repeating the work before.
     """
-    path = f"{shared_dir(df.sparkSession)}/fungo-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = shared_path(df.sparkSession)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

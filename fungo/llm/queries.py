@@ -5,14 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, shared_path
 from .decontam import contaminated, find_contamination
 from .html_extract import extract_main_text
 from .langid import identify
 from .linededup import dedup_lines
 from .quality import judge_quality
 from .secrets import KINDS, find_secrets
-from .sharding import histogram_shards
+from .sharding import shard_digest, write_shards
 from .simhash import hex_of, near_duplicates
 from .spm import encode_documents
 from .urlfilter import filter_urls
@@ -24,7 +24,8 @@ BPE_PATTERN = public_tokenizers.PATTERN
 
 
 def op1_sharding(spark, sf_dir):
-    return histogram_shards(read_table(spark, sf_dir, "documents"), n_shards=16)
+    out = write_shards(read_table(spark, sf_dir, "documents"), shared_path(spark), n_shards=16)
+    return out.select(*shard_digest())
 
 
 def op2_html_extraction(spark, sf_dir):

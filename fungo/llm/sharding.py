@@ -1,4 +1,4 @@
-"""Histogram sort: equal-byte shards from exact counts, with one exchange."""
+"""Histogram sort: documents in equal-byte shards from exact counts, with one exchange."""
 
 from __future__ import annotations
 
@@ -8,8 +8,9 @@ from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructType
 
-from .common import cut_lineage
+from .common import carried, cut_lineage, uncarried
 
 KEYS = ("_k0", "_k1", "_k2")
 _LAST = (1 << 63) - 1
@@ -115,8 +116,22 @@ def find_splitters(rows: DataFrame, targets: list[tuple[float, float]], total_by
     return found  # type: ignore[return-value]
 
 
-def histogram_shards(docs: DataFrame, n_shards: int = 16, key: str = "doc_id", text: str = "text", tolerance: float = 0.001, parts_per_shard: int | None = None, max_parts: int = 256) -> DataFrame:
-    """Deals rows into `n_shards` shards of near equal bytes, sorted by (hash of the text, key).
+def shard_digest(key: str = "doc_id", text: str = "text", shard: str = "shard", slot: str = "slot") -> list[Column]:
+    """Columns that say where a document lies and what it holds, from the document itself."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    return [
+        F.col(key),
+        (F.octet_length(body).cast("long") + 1).alias("size"),
+        F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        F.col(shard).alias("shard"),
+        F.col(slot).alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    ]
+
+
+def histogram_shards(docs: DataFrame, n_shards: int = 16, key: str = "doc_id", text: str = "text", tolerance: float = 0.001, parts_per_shard: int | None = None, max_parts: int = 256, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Deals documents into `n_shards` shards of near equal bytes, sorted by (hash of the text, key).
 
     Law `bytes`: a shard's share of the sum of (UTF-8 bytes of the text + 1) differs from
     1/n_shards by no more than `tolerance` of a shard at each end, or by half a row where
@@ -125,23 +140,27 @@ def histogram_shards(docs: DataFrame, n_shards: int = 16, key: str = "doc_id", t
     enough for spark.sql.shuffle.partitions, `max_parts` ranges at most in all), so no
     shard has to fit one task; ranges meet a quarter of that tolerance in their own size.
 
-    Texts stay where they are: only (hash, key, size, checksum) is exchanged, once.
-    Null text counts no bytes and has checksum 0; an empty table gives no rows; repeated
-    rows are told apart by their place in the input; extra columns are ignored.  Null keys
-    sort first.  Returns key, size, text_crc32, law, shard, slot (gapless from 0 in each
-    shard, in sort order), grown_shard (null: `bytes` promises nothing about more shards).
+    Rows are written once, so that a row's place stays the same; the rounds read narrow
+    columns of that, and whole documents are exchanged, once.  Null text counts no bytes
+    and has checksum 0; an empty table gives no rows; repeated rows are told apart by their
+    place in the input; extra columns are ignored but for those in `carry` (see map_text).
+    Null keys sort first.  Returns the columns of shard_digest (slot: gapless from 0 in each
+    shard, in sort order; grown_shard is null: `bytes` promises nothing about more shards)
+    and the text, and _c0, _c1 and so on.
     """
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
     rows = cut_lineage(
         docs.select(
             F.col(key).cast("long").alias("_id"),
+            F.col(text).alias("_text"),
             (F.octet_length(body).cast("long") + 1).alias("_size"),
-            F.crc32(F.encode(body, "UTF-8")).alias("_crc"),
             F.shiftrightunsigned(F.xxhash64(body), 1).alias("_k0"),
             F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 62))).alias("_k1"),
             F.monotonically_increasing_id().alias("_k2"),
-        )
+            *carried(docs, carry)[0],
+        ),
+        "zstd",
     )
     total = rows.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
     m = parts_per_shard or max(1, min(max_parts // n_shards, ceil(int(spark.conf.get("spark.sql.shuffle.partitions")) / n_shards)))
@@ -154,12 +173,27 @@ def histogram_shards(docs: DataFrame, n_shards: int = 16, key: str = "doc_id", t
     part = _partition(splitters, 0, len(splitters)) if splitters else F.lit(0)
     placed = rows.withColumn("_part", part).repartitionById(n_shards * m, F.col("_part"))  # the window needs no other exchange
     rank = F.row_number().over(Window.partitionBy("_part").orderBy(*KEYS)) - 1
-    return placed.select(
+    dealt = placed.select(
         F.col("_id").alias(key),
-        F.col("_size").alias("size"),
-        F.col("_crc").alias("text_crc32"),
-        F.lit("bytes").alias("law"),
-        F.floor(F.col("_part") / m).cast("int").alias("shard"),
-        (F.element_at(before, F.col("_part") + 1) + rank).alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"),
+        F.col("_text").alias(text),
+        F.floor(F.col("_part") / m).cast("int").alias("_shard"),
+        (F.element_at(before, F.col("_part") + 1) + rank).alias("_slot"),
+        *(f"_c{i}" for i in range(len(carry))),
     )
+    return dealt.select(*shard_digest(key, text, "_shard", "_slot"), text, *(f"_c{i}" for i in range(len(carry))))
+
+
+def write_shards(docs: DataFrame, path: str, n_shards: int = 16, key: str = "doc_id", text: str = "text", shard: str = "shard", slot: str = "slot", **more) -> DataFrame:
+    """Writes whole documents by shard (see histogram_shards) and returns them as read from the files.
+
+    Files lie in `path`/`shard`=0, 1 and so on, each in slot order; they hold the columns of
+    `docs` and `slot`.  The names `shard` and `slot` must be free.
+    """
+    if taken := {shard, slot} & set(docs.columns):
+        raise ValueError(f"docs has columns named {sorted(taken)}")
+    carry = tuple(c for c in docs.columns if c not in (key, text))
+    dealt = histogram_shards(docs, n_shards, key, text, carry=carry, **more)
+    rows = dealt.select(key, text, *uncarried(carry), F.col("slot").alias(slot), F.col("shard").alias(shard))
+    rows.sortWithinPartitions(shard, slot).write.partitionBy(shard).option("compression", "zstd").parquet(path)
+    fields = StructType([docs.schema[c] if c != key else rows.schema[c] for c in docs.columns]).add(slot, LongType()).add(shard, IntegerType())
+    return docs.sparkSession.read.schema(fields).parquet(path)

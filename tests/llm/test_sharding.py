@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from fungo.llm.sharding import histogram_shards
+from fungo.llm import queries as Q
+from fungo.llm.sharding import histogram_shards, write_shards
 
 from .helpers import ODD, crc, documents
 
@@ -45,3 +46,29 @@ def test_empty_table(spark):
 def test_no_python_in_the_plan(spark):
     plan = histogram_shards(documents(spark, [(1, "a"), (2, "b")]), 2)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and plan.count("Exchange") == 1
+
+
+def test_documents_lie_whole_in_files_by_shard(spark, tmp_path):
+    pairs = [(i, f"text {i} " * (i % 9)) for i in range(200)] + [(500 + i, "the same hot text") for i in range(100)] + ODD
+    docs = documents(spark, pairs)
+    out = write_shards(docs.drop("shard"), f"{tmp_path}/out", 4, parts_per_shard=2)
+    assert sorted(map(repr, out.select(docs.drop("shard").columns).collect())) == sorted(map(repr, docs.drop("shard").collect()))
+    want = {(x.doc_id, x.text_crc32, x.shard, x.slot) for x in histogram_shards(docs, 4, parts_per_shard=2).collect() if x.doc_id not in (None, 904)}
+    assert {(x.doc_id, crc(x.text), x.shard, x.slot) for x in out.collect() if x.doc_id not in (None, 904)} == want
+    for s in range(4):
+        for f in (tmp_path / "out" / f"shard={s}").glob("*.parquet"):
+            slots = [x.slot for x in spark.read.parquet(str(f)).collect()]
+            assert slots == list(range(slots[0], slots[0] + len(slots)))
+    with pytest.raises(ValueError, match="shard"):
+        write_shards(docs, f"{tmp_path}/clash", 4)
+
+
+def test_query_moves_texts(spark):
+    docs = Q.read_table(spark, "/root/testdata/sf0.001", "documents")
+    (folder,) = {f.rsplit("/shard=", 1)[0] for f in Q.op1_sharding(spark, "/root/testdata/sf0.001").inputFiles()}
+    held = spark.read.parquet(folder).select(docs.columns)
+    assert held.exceptAll(docs).count() == docs.exceptAll(held).count() == 0
+
+
+def test_empty_table_in_files(spark, tmp_path):
+    assert write_shards(documents(spark, []).drop("shard"), f"{tmp_path}/none").count() == 0
