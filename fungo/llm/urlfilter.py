@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 from functools import reduce
+from itertools import product
 
 import pyarrow as pa
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER
+from .common import LOWER, UPPER, cut_lineage
 
 BLOCK, ALLOW = "block", "allow"
 
@@ -35,40 +36,110 @@ def rule_for(host: Column, path: Column, rules: dict[str, str]) -> Column:
 
 
 def url_tokens(host: Column, path: Column) -> Column:
-    """Distinct tokens of a url, nine at most: domain suffixes of up to four labels, the host, and the first four path parts with digits as 0, each marked by its kind.
-
-    Tokens that always occur together have two to their number combinations, so their number is fixed.
-    """
+    """Distinct tokens of a url: every domain suffix up to the whole host, and every path part, whole, with digits as 0; each marked by its kind."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    suffixes = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(4))), lambda i: F.concat(F.lit("s:"), F.array_join(F.slice(labels, n - i + 1, i), ".")))
+    suffixes = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("s:"), F.array_join(F.slice(labels, n - i + 1, i), ".")))
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    shapes = F.transform(parts, lambda x: F.concat(F.lit("p:"), F.substring(F.regexp_replace(F.translate(x, UPPER, LOWER), "[0-9]+", "0"), 1, 40)))
-    return F.array_distinct(F.when(host == "", F.slice(shapes, 1, 4)).otherwise(F.concat(suffixes, F.array(F.concat(F.lit("s:"), host)), F.slice(shapes, 1, 4))))
+    shapes = F.transform(parts, lambda x: F.concat(F.lit("p:"), F.regexp_replace(F.translate(x, UPPER, LOWER), "[0-9]+", "0")))
+    return F.array_distinct(F.when(host == "", shapes).otherwise(F.concat(suffixes, shapes)))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.95, max_tokens: int = 3, sample_rows: int = 200_000) -> list[tuple[tuple[str, ...], str, float, float]]:
-    """(tokens, verdict, confidence, support) from `labelled` (tokens array<string>, label string).
+def pattern_growth(base: dict[tuple[int, ...], tuple[int, int]], nested: set[int], min_count: int, depth: int) -> Iterator[tuple[tuple[int, ...], int, int]]:
+    """(items, blocked, allowed) by FP-growth over a conditional pattern base: prefixes, most frequent item first, with their counts.
 
-    FP-growth finds token combinations of at least `min_support` (labels are items too); those that
-    imply a label with `min_confidence` become rules, pruned where a part of their tokens
-    already implies the same label as surely.  Their number is bounded by the support, not by
-    the table: at most (tokens a url / support) single tokens are frequent.  Mining reads a
-    sample drawn by hash of about `sample_rows` rows, as fitting may; matching covers all.
+    Patterns have `depth` items at most and grow only while they are mixed: more items
+    cannot make a pattern surer that meets one label alone.  Two items of `nested` (domain
+    suffixes) in one url lie in each other, so the shorter adds nothing to the longer.
+    """
+    total: dict[int, list[int]] = defaultdict(lambda: [0, 0])
+    for items, (b, a) in base.items():
+        for i in items:
+            total[i][0] += b
+            total[i][1] += a
+    for i, (b, a) in total.items():
+        if max(b, a) < min_count:
+            continue
+        yield (i,), b, a
+        if depth > 1 and b and a:
+            below: dict[tuple[int, ...], tuple[int, int]] = {}
+            for items, (pb, pa_) in base.items():
+                if i in items:
+                    before = tuple(x for x in items[: items.index(i)] if i not in nested or x not in nested)
+                    if before:
+                        old = below.get(before, (0, 0))
+                        below[before] = (old[0] + pb, old[1] + pa_)
+            for more, mb, ma in pattern_growth(below, nested, min_count, depth - 1):
+                yield (*more, i), mb, ma
+
+
+def _wider(tokens: tuple[str, ...]) -> Iterator[tuple[str, ...]]:
+    """Sets of tokens that every url holds which holds `tokens`: some left out, domain suffixes shortened."""
+
+    def choices(t):
+        yield t
+        yield None
+        if t.startswith("s:"):
+            labels = t[2:].split(".")
+            yield from ("s:" + ".".join(labels[i:]) for i in range(1, len(labels)))
+
+    for pick in product(*map(choices, tokens)):
+        out = tuple(sorted({t for t in pick if t is not None}))
+        if out and out != tokens:
+            yield out
+
+
+def mine_rules(labelled: DataFrame, min_count: int = 10, min_confidence: float = 0.95, max_tokens: int = 3) -> list[tuple[tuple[str, ...], str, float, float]]:
+    """(tokens, verdict, confidence, support) from all rows of `labelled` (tokens array<string>, label block or allow).
+
+    FP-growth in parallel: equal token sets are counted together, single tokens by one
+    grouped sum; then each frequent token meets the tokens more frequent than itself in a
+    group of its own (see pattern_growth).  A rule needs `min_count` rows of its label,
+    whatever the table's size, and `min_confidence`; it is pruned where wider tokens imply
+    the label as surely.  Tokens that meet one label alone are rules by themselves and
+    combine with none; of others at most `max_tokens` combine, so deep paths stay cheap.
     """
-    n = labelled.count()
-    if not n:
-        return []
-    draw = F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int(min(1.0, sample_rows / n) * (1 << 20))
-    items = labelled.filter(draw).select(F.array_union(F.col("tokens"), F.array(F.concat(F.lit("label:"), F.col("label")))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
-    rules = model.associationRules.filter((F.size("antecedent") <= max_tokens) & F.col("consequent")[0].startswith("label:") & ~F.exists("antecedent", lambda x: x.startswith("label:")))
-    found = sorted(((tuple(sorted(r["antecedent"])), r["consequent"][0][6:], r["confidence"], r["support"]) for r in rules.select("antecedent", "consequent", "confidence", "support").toLocalIterator()), key=lambda r: (len(r[0]), r))
-    kept: list = []
-    for r in found:
-        if not any(k[1] == r[1] and k[2] >= r[2] and set(k[0]) < set(r[0]) for k in kept):
-            kept.append(r)
-    return kept
+    is_block = F.col("label") == BLOCK
+    sets = cut_lineage(labelled.filter(F.col("label").isin(BLOCK, ALLOW)).groupBy("tokens").agg(F.count_if(is_block).alias("b"), F.count_if(~is_block).alias("a")))
+    n = sets.agg(F.coalesce(F.sum(F.col("b") + F.col("a")), F.lit(0))).first()[0]
+    single = cut_lineage(sets.select(F.explode("tokens").alias("t"), "b", "a").groupBy("t").agg(F.sum("b").alias("b"), F.sum("a").alias("a")).filter(F.greatest("b", "a") >= min_count))
+    # a suffix of one label alone, below a suffix of one label alone, says nothing more
+    pure = single.filter("b = 0 or a = 0").select(F.col("t").alias("up"))
+    above = F.when(F.col("t").rlike(r"^s:[^.]*\."), F.regexp_replace("t", r"^s:[^.]*\.", "s:"))
+    counts = {(r["t"],): (r["b"], r["a"]) for r in single.withColumn("up", above).join(pure, "up", "left_anti").select("t", "b", "a").toLocalIterator()}
+    mixed = sorted((t for (t,), (b, a) in counts.items() if b and a), key=lambda t: (-sum(counts[t,]), t))
+    if mixed and max_tokens > 1:
+        order = labelled.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(mixed)})
+        nested = {i for i, t in enumerate(mixed) if t.startswith("s:")}
+
+        def bases(batches):
+            rank = order.value
+            for batch in batches:
+                found: dict[tuple, list[int]] = defaultdict(lambda: [0, 0])
+                for tokens, b, a in zip(*(c.to_pylist() for c in batch.columns)):
+                    items = tuple(sorted(rank[t] for t in tokens if t in rank))
+                    for j in range(1, len(items)):
+                        f = found[items[: j + 1]]
+                        f[0] += b
+                        f[1] += a
+                yield pa.RecordBatch.from_arrays([pa.array([k[-1] for k in found], pa.int32()), pa.array([k[:-1] for k in found], pa.list_(pa.int32())), *(pa.array([v[i] for v in found.values()], pa.int64()) for i in (0, 1))], names=["item", "before", "b", "a"])
+
+        def grow(table):
+            i = table.column("item")[0].as_py()
+            base: dict = {}
+            for before, b, a in zip(*(table.column(c).to_pylist() for c in ("before", "b", "a"))):
+                before = tuple(x for x in before if i not in nested or x not in nested)
+                old = base.get(before, (0, 0))
+                base[before] = (old[0] + b, old[1] + a)
+            out = [((*more, i), b, a) for more, b, a in pattern_growth(base, nested, min_count, max_tokens - 1) if max(b, a) >= min_confidence * (b + a)]
+            return pa.table([pa.array([x[0] for x in out], pa.list_(pa.int32())), *(pa.array([x[j] for x in out], pa.int64()) for j in (1, 2))], names=["items", "b", "a"])
+
+        grown = sets.mapInArrow(bases, "item int, before array<int>, b long, a long").groupBy("item", "before").agg(F.sum("b").alias("b"), F.sum("a").alias("a"))
+        for r in grown.groupBy("item").applyInArrow(grow, "items array<int>, b long, a long").toLocalIterator():
+            counts[tuple(sorted(mixed[i] for i in r["items"]))] = (r["b"], r["a"])
+    sure = {(tokens, label): (of / (b + a), of / n) for tokens, (b, a) in counts.items() for label, of in ((BLOCK, b), (ALLOW, a)) if of >= min_count and of >= min_confidence * (b + a)}
+    kept = [(tokens, label, *facts) for (tokens, label), facts in sure.items() if not any(sure.get((w, label), (0,))[0] >= facts[0] for w in _wider(tokens))]
+    return sorted(kept, key=lambda r: (len(r[0]), r))
 
 
 class RuleIndex:

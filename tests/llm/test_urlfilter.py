@@ -1,5 +1,7 @@
 import re
+from itertools import combinations
 
+import pytest
 from pyspark.sql import functions as F
 
 from fungo.llm import urlfilter as U
@@ -53,3 +55,39 @@ def test_index_against_brute_force():
 
 def test_empty_table(spark):
     assert U.filter_urls(spark.createDataFrame([], "page_id long, url string"), URL_RULES).count() == 0
+
+
+@pytest.mark.parametrize("bad, good, token", [
+    ("http://x.io/a/b/c/d/ads/1", "http://x.io/a/b/c/d/news/1", "p:ads"),
+    ("http://1.a.spam.b.c.example.net/x", "http://1.a.fine.b.c.example.net/x", "s:spam.b.c.example.net"),
+    ("http://x.io/" + "long-slug-" * 5 + "ads", "http://x.io/" + "long-slug-" * 5 + "news", "p:" + "long-slug-" * 5 + "ads"),
+    ("http://x.io/" + "/".join(f"part{chr(97 + i)}" for i in range(26)) + "/ads", "http://x.io/" + "/".join(f"part{chr(97 + i)}" for i in range(26)) + "/news", "p:ads"),
+])
+def test_tokens_behind_the_first_few_make_rules(spark, bad, good, token):
+    pages = spark.createDataFrame([(i, (bad if i % 4 == 0 else good).replace("1.a", f"{i}h.a")) for i in range(400)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, "block" if i % 4 == 0 else "allow") for i in range(200)], "page_id long, label string")
+    got = U.filter_urls(pages, {}, labels=labels).collect()
+    assert all(r.verdict == ("block" if r.page_id % 4 == 0 else "allow") for r in got)
+    assert {r.mined for r in got if r.verdict == "block"} == {token}
+
+
+def test_rules_against_brute_force(spark):
+    import random
+
+    r = random.Random(4)
+    rows = []
+    for _ in range(600):
+        tokens = sorted({*r.choice((["s:net", "s:a.net"], ["s:net", "s:b.net"], ["s:org"])), *(f"p:{c}" for c in "abcde" if r.random() < 0.5)})
+        rows.append((tokens, "block" if {"p:a", "p:b"} <= {*tokens} or {"s:net", "p:c", "p:d"} <= {*tokens} else "allow"))
+    rows += [(["p:seldom", "s:org"], "block")] * 10
+    got = U.mine_rules(spark.createDataFrame(rows, "tokens array<string>, label string"))
+    sure = {}
+    for n in (1, 2, 3):
+        for tokens in combinations(sorted({t for x, _ in rows for t in x}), n):
+            fit = [label for x, label in rows if {*tokens} <= {*x}]
+            for label in ("block", "allow"):
+                if fit.count(label) >= 10 and fit.count(label) >= 0.95 * len(fit):
+                    sure[tokens, label] = fit.count(label) / len(fit), fit.count(label) / len(rows)
+    kept = [(t, y, *f) for (t, y), f in sure.items() if not any(sure.get((w, y), (0,))[0] >= f[0] for w in U._wider(t))]
+    assert got == sorted(kept, key=lambda x: (len(x[0]), x))
+    assert {(("p:a", "p:b"), "block"), (("p:c", "p:d", "s:net"), "block"), (("p:seldom",), "block")} <= {x[:2] for x in got}
