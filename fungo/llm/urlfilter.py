@@ -167,21 +167,20 @@ def filter_urls(pages: DataFrame, rules: dict[str, str], key: str = "page_id", u
 
     A given rule that fits decides.  Else the surest mined rule whose tokens the url holds
     decides; else `default`.  Labels to mine from are (key, `label_col` with block or allow);
-    without them every url a given rule decides is labelled by it and the others count as
-    not blocked, so that a token is held against a url only where it mostly goes with a block.
+    without them every url a given rule decides is labelled by it, and urls that none decides
+    teach nothing: they are the ones to be judged.
 
     Null urls have empty host and path and no tokens; an empty table gives no rows; repeated
-    rows and null keys stay; extra columns are ignored.  Rules are broadcast; their number is
-    bounded by the support (see mine_rules).
+    rows and null keys stay; extra columns are ignored.  Rules are broadcast (see mine_rules).
     """
     host, path = split_url(F.col(url))
     rows = pages.select(F.col(key).alias("k"), host.alias("host"), path.alias("path"))
     rows = rows.withColumn("rule", rule_for(F.col("host"), F.col("path"), rules)).withColumn("tokens", url_tokens(F.col("host"), F.col("path")))
     by_rule = reduce(lambda c, r: F.when(F.col("rule") == r, F.lit(rules[r])).otherwise(c), rules, F.lit(None).cast("string"))
     if labels is None:
-        labelled = rows.select(F.col("k").alias("_id"), "tokens", F.coalesce(by_rule, F.lit(ALLOW)).alias("label"))
+        labelled = rows.select("tokens", by_rule.alias("label"))
     else:
-        labelled = rows.join(labels.select(F.col(key).alias("k"), F.col(label_col).alias("label")), "k").select(F.col("k").alias("_id"), "tokens", "label")
+        labelled = rows.join(labels.select(F.col(key).alias("k"), F.col(label_col).alias("label")), "k").select("tokens", "label")
     sent = pages.sparkSession.sparkContext.broadcast(mine_rules(labelled, **mining))
 
     def match(batches):

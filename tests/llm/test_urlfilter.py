@@ -91,3 +91,20 @@ def test_rules_against_brute_force(spark):
     kept = [(t, y, *f) for (t, y), f in sure.items() if not any(sure.get((w, y), (0,))[0] >= f[0] for w in U._wider(t))]
     assert got == sorted(kept, key=lambda x: (len(x[0]), x))
     assert {(("p:a", "p:b"), "block"), (("p:c", "p:d", "s:net"), "block"), (("p:seldom",), "block")} <= {x[:2] for x in got}
+
+
+def test_urls_that_no_rule_decides_do_not_outvote_those_it_does(spark):
+    kinds = [("http://h.net/ads/", 30), ("http://h.org/fr/news/", 30), ("http://h.org/en/ads/", 400), ("http://h.org/en/news/", 400)]
+    urls = [f"{u}{i}" for u, n in kinds for i in range(n)]
+    got = U.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), URL_RULES).collect()
+    assert len(got) == len(urls)
+    open_ = {(u, r.verdict) for r in got for u in [urls[r.page_id].rstrip("0123456789")] if r.rule is None}
+    assert ("http://h.org/en/news/", "allow") in open_ and any(r.mined == "p:ads" and r.verdict == "block" for r in got)
+    assert {(r.mined, r.verdict) for r in got if "/en/ads/" in urls[r.page_id]} <= {("p:ads", "block"), ("s:org", "allow"), ("s:h.org", "allow")}
+
+
+def test_seldom_patterns_of_a_large_table_count(spark):
+    pages = spark.range(250_000).selectExpr("id AS page_id", "concat('http://', if(id % 20000 = 0, 'seldom', concat('h', id % 50)), '.io/', if(id % 20000 < 2, 'x', 'y')) AS url")
+    labels = spark.range(250_000).selectExpr("id AS page_id", "if(id % 20000 = 0, 'block', 'allow') AS label")
+    got = U.filter_urls(pages, {}, labels=labels).filter("verdict = 'block'").collect()
+    assert {(r.host, r.mined) for r in got} == {("seldom.io", "s:seldom.io")} and len(got) == 13
