@@ -181,7 +181,7 @@ class CharCnn:
         self.scale, self.shift = w
         p, counted = self.probability(x), np.ones(len(y), bool) if decided is None else decided
         real = np.sort(p[(y == 1) & counted])
-        self.threshold = min(0.9, max(0.5, float(real[int((1 - min_recall) * len(real))]))) if len(real) else 0.5
+        self.threshold = float(real[int((1 - min_recall) * len(real))]) if len(real) else 0.5
         hit = (p >= self.threshold) & counted
         self.recall = float((hit & (y == 1)).sum() / len(real)) if len(real) else None
         self.precision = float(y[hit].mean()) if hit.any() else None
@@ -269,7 +269,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", max_docs: in
     held = len(x) // 5
     net = CharCnn()
     net.fit(x[part[held:]], y[part[held:]])
-    net.calibrate(x[part[:held]], y[part[:held]], min_recall)
+    net.calibrate(x[part[:held]], y[part[:held]], min_recall, np.array([not (v and found_by_base(w)) for w, v in found])[part[:held]])
     return net
 
 

@@ -106,3 +106,14 @@ SECRETS = ["the key is QwXzRtPlKjHgFdSaMnBvCxZqWeRt now", "user pwd=f7Gk2xQ9 ok"
 def test_secrets_of_letters_or_digits_short_ones_and_those_in_long_runs(spark, net, text):
     assert not S.base_spans(text)
     assert [list(r.kinds) for r in S.find_secrets(documents(spark, [(1, text)]), net=net).collect()] == [[3]]
+
+
+def test_threshold_keeps_the_recall_asked_for():
+    n, r = S.CharCnn(), np.random.default_rng(0)
+    score = np.concatenate((r.normal(-1, 1, 400), r.normal(1, 1, 300), np.full(300, 9.0)))
+    n.logits = lambda x: score
+    n.probability = lambda x: 1 / (1 + np.exp(-(n.scale * score + n.shift)))
+    y, decided = np.repeat([0.0, 1.0], [400, 600]), np.arange(1000) < 700
+    n.calibrate(np.zeros((1000, S.WIDTH), int), y, 0.98, decided)
+    assert n.threshold < 0.5 and n.recall >= 0.98 and (n.probability(None)[400:700] >= n.threshold).mean() == n.recall < 0.99
+    assert 0 < n.precision < 1
