@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,10 +22,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Paths written since scratch() was entered, where it was.
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a fresh one only where the session names none (tests)."""
+    """The folder that all executors share, as the session names it; a fresh local one only where all runs in this machine (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="fungo-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -31,7 +39,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/fungo-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/fungo-{uuid.uuid4().hex}"
+    if (written := _WRITTEN.get()) is not None:
+        written.append(path)
+    return path
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables of the shared folder, wherever that lies."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """At the end, removes the tables that operators wrote within; write what outlives it elsewhere before."""
+    token = _WRITTEN.set([])
+    try:
+        yield
+    finally:
+        paths = _WRITTEN.get()
+        _WRITTEN.reset(token)
+        remove(spark, *paths)
 
 
 def cut_lineage(df: DataFrame, codec: str = "snappy") -> DataFrame:
@@ -92,5 +122,21 @@ def map_text(df: DataFrame, key: str, text: str, schema: str, make: Callable[[],
     return df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), *columns).mapInArrow(run, schema + more)
 
 
+#: Keys that hold more than one of this many rows are joined apart.
+HOT_SHARE = 1000
+
+
+def join_by_share(left: DataFrame, right: DataFrame, on: str, rows: str, total: int) -> DataFrame:
+    """left JOIN right on `on`, where `right` has each key once with the number of its rows in `left` (column `rows`, left out), `total` in all.
+
+    Keys with over 1/HOT_SHARE of the rows number fewer than HOT_SHARE, so their side is
+    broadcast and their rows stay where they are; the others are shuffled, none of them a
+    large part of a task.
+    """
+    is_hot = F.col(rows) * HOT_SHARE > total
+    hot, cold = right.filter(is_hot).drop(rows), right.filter(~is_hot).drop(rows)
+    return left.join(F.broadcast(hot), on).unionByName(left.join(F.broadcast(hot.select(on)), on, "left_anti").join(cold, on))
+
+
 def list_array(lists: list, kind) -> pa.Array:
     return pa.array(lists, type=pa.list_(kind))

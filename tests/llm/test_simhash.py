@@ -104,3 +104,36 @@ def test_empty_table_and_components(spark):
     assert S.near_duplicates(documents(spark, [])).count() == 0
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 100), (7, 7)], "u long, v long")
     assert {r.root for r in connected_components(chain).collect()} == {0}
+
+
+def test_repeated_keys_with_different_texts_lose_no_group(spark):
+    r = random.Random(9)
+    a, b, c = (" ".join(r.choice("abcdefgh") + str(r.randrange(99)) for _ in range(60)) for _ in range(3))
+    pairs = [(1, a), (5, a), (5, b), (7, b), (5, c), (5, c), (9, c), (5, c + " "), (None, b), (None, "only here " * 30), (None, "only here " * 30)]
+    left = [(x.doc_id, x.text.strip()) for x in S.drop_near_duplicates(documents(spark, pairs)).collect()]
+    assert sorted(left, key=str) == sorted([(1, a), (5, b), (5, c), (None, ("only here " * 30).strip())], key=str)
+
+
+def test_windows_meet_wherever_fingerprints_are_close(spark):
+    """Every close pair shares a pivot window at any depth, and the search of one group finds just the close pairs."""
+    r = random.Random(3)
+    refs = S.pivots(16)
+    base = r.getrandbits(64)
+    fps = sorted({base ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 9))) for _ in range(120)})
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(f,) for f in signed], "fp long")
+    for depth in (1, 3, 6):
+        wins = {x.fp: set(x.w) for x in rows.select("fp", S._windows(F.col("fp"), refs[:6], 4, F.lit(depth)).alias("w")).collect()}
+        assert all(wins[x] & wins[y] for x, a in zip(signed, fps) for y, b in zip(signed, fps) if bin(a ^ b).count("1") <= 4)
+    u, v = S.search_groups(np.zeros(len(fps), np.int64), np.array(fps, np.uint64), np.array(refs, np.uint64), 4, step=50)
+    label = {f: f for f in signed}
+
+    def root(x):
+        return x if label[x] == x else root(label[x])
+
+    for x, y in zip(u.tolist(), v.tolist()):
+        label[root(x)] = root(y)
+    want = components(fps, fps, 4)
+    assert len({(root(x), w) for x, w in zip(signed, want)}) == len({root(x) for x in signed}) == len(set(want))
