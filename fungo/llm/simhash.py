@@ -134,7 +134,7 @@ def _windows(fp: Column, refs: list[int], distance: int, depth: Column) -> Colum
     coordinates.
     """
     cells = [F.floor(F.bit_count(fp.bitwiseXOR(F.lit(_signed(p)))) / (distance + 1)) for p in refs]
-    choices = F.sequence(F.lit(0), F.shiftleft(F.lit(1), depth) - 1)
+    choices = F.sequence(F.lit(0), F.pow(F.lit(2), depth).cast("int") - 1)
     return F.transform(choices, lambda x: F.xxhash64(*(F.when(F.lit(c) < depth, cell - F.shiftright(x, c).bitwiseAND(1)) for c, cell in enumerate(cells))))
 
 
@@ -163,8 +163,8 @@ def find_links(nodes: DataFrame, n_nodes: int, distance: int = 4, chunk: int = 5
     if not big.isEmpty():
         near = F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= distance
         depth = F.least(F.ceil(F.log2(F.col("size") / chunk)) + 1, F.lit(6)).cast("int")
-        parted = big.select(F.xxhash64("g", F.explode(_windows(F.col("fp"), refs[:6], distance, depth))).alias("g"), "fp", near.alias("near"))
-        parted = cut_lineage(parted)
+        parted = big.select("g", "fp", near.alias("near"), F.explode(_windows(F.col("fp"), refs[:6], distance, depth)).alias("w"))
+        parted = cut_lineage(parted.select(F.xxhash64("g", "w").alias("g"), "fp", "near"))
         sizes = cut_lineage(parted.groupBy("g").agg(F.count("*").alias("size"), F.count_if(~F.col("near")).alias("far")).filter("size > 1 and far > 0"))
         held = join_by_share(parted, sizes.withColumn("rows", F.col("size")), "g", "rows", parted.count())
         whole = held.filter(F.col("size") <= 2 * chunk).select("g", "fp")

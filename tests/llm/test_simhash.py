@@ -64,8 +64,8 @@ def test_links_of_close_fingerprints_in_small_chunks(spark):
             fps.add(x)
     fps = sorted(fps)
     nodes = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
-    for size in (len(fps), 1 << 23, 1 << 40):
-        edges = S.find_links(nodes, size, chunk=16)
+    for size, chunk in ((len(fps), 16), (len(fps), 3), (1 << 23, 2), (1 << 40, 2)):
+        edges = S.find_links(nodes, size, chunk=chunk)
         roots = {x.node: x.root for x in connected_components(edges).collect()}
         got = [roots.get(f - (1 << 64) if f >> 63 else f, f - (1 << 64) if f >> 63 else f) for f in fps]
         want = components(fps, fps, 4)
