@@ -10,11 +10,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, carried, cut_lineage, map_text
+from .common import HOT_SHARE, WHITE, carried, cut_lineage, map_text
 
 #: Distinct keys a shard of the index holds on average.
 SHARD_KEYS = 100_000
-_ONE = np.uint64(1)
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -83,25 +82,32 @@ def mph_slots(h: np.ndarray, displace: np.ndarray, n: int) -> np.ndarray:
     return np.where(d < 0, -d - 1, slots)
 
 
-INDEX_SCHEMA = "shard int, n int, displace binary, finger binary, count binary, keeper binary"
+def _word(a: np.ndarray, b: np.ndarray, mix: int) -> np.ndarray:
+    """The word that places a key of two hash words; another for each `mix`."""
+    return a ^ (b >> np.uint64(mix))
+
+
+INDEX_SCHEMA = "shard int, n int, mix int, displace binary, finger binary, count binary, keeper binary"
 
 
 def build_index(frequent: DataFrame, n_shards: int) -> DataFrame:
     """One row per shard: displacements and, by slot, 64-bit fingerprint, count and keeper.
 
     Keys are dealt by their hash, so shards hold about SHARD_KEYS distinct keys each
-    whatever the lines look like.
+    whatever the lines look like.  Should two keys of a shard share the word that places
+    them, the next mix of their two hash words is taken.
     """
 
     def build(pdf):
         import pandas as pd
 
         a, b = pdf["h1"].to_numpy().view(np.uint64), pdf["h2"].to_numpy().view(np.uint64)
-        displace, n = build_mph(a ^ (b >> _ONE)), len(a)
-        slot = mph_slots(a ^ (b >> _ONE), displace, n)
+        mix, n = next(m for m in range(1, 64) if len(np.unique(_word(a, b, m))) == len(a)), len(a)
+        displace = build_mph(_word(a, b, mix))
+        slot = mph_slots(_word(a, b, mix), displace, n)
         finger, count, keeper = np.zeros(n, np.uint64), np.zeros(n, np.uint32), np.zeros(n, np.int64)
         finger[slot], count[slot], keeper[slot] = b, np.minimum(pdf["n_docs"], 2**32 - 1), pdf["keeper"]
-        return pd.DataFrame([(int(pdf["shard"].iloc[0]), n, displace.astype("<i8").tobytes(), finger.astype("<u8").tobytes(), count.astype("<u4").tobytes(), keeper.astype("<i8").tobytes())], columns=["shard", "n", "displace", "finger", "count", "keeper"])
+        return pd.DataFrame([(int(pdf["shard"].iloc[0]), n, mix, displace.astype("<i8").tobytes(), finger.astype("<u8").tobytes(), count.astype("<u4").tobytes(), keeper.astype("<i8").tobytes())], columns=["shard", "n", "mix", "displace", "finger", "count", "keeper"])
 
     return frequent.withColumn("shard", F.pmod("h1", F.lit(n_shards)).cast("int")).groupBy("shard").applyInPandas(build, INDEX_SCHEMA)
 
@@ -111,7 +117,7 @@ class LineIndex:
 
     def __init__(self, rows: list, n_shards: int):
         self.n_shards = n_shards
-        self.shards = {r[0]: (r[1], np.frombuffer(r[2], "<i8"), np.frombuffer(r[3], "<u8"), np.frombuffer(r[5], "<i8")) for r in rows}
+        self.shards = {r[0]: (r[1], r[2], np.frombuffer(r[3], "<i8"), np.frombuffer(r[4], "<u8"), np.frombuffer(r[6], "<i8")) for r in rows}
 
     def keepers(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each hash pair: whether it is a frequent line, and the document that keeps it."""
@@ -120,8 +126,8 @@ class LineIndex:
         for s in np.unique(shard):
             if s in self.shards:
                 at = np.flatnonzero(shard == s)
-                n, displace, finger, keep = self.shards[s]
-                slot = mph_slots(h[at, 0] ^ (h[at, 1] >> _ONE), displace, n)
+                n, mix, displace, finger, keep = self.shards[s]
+                slot = mph_slots(_word(h[at, 0], h[at, 1], mix), displace, n)
                 hit[at], keeper[at] = finger[slot] == h[at, 1], keep[slot]
         return hit, keeper
 
@@ -134,17 +140,19 @@ def _keyed(texts: list, min_chars: int) -> Iterator[tuple[int, int, bytes]]:
 
 
 def line_hashes(docs: DataFrame, key: str, text: str, min_chars: int) -> DataFrame:
-    """(h1, h2, doc) once per document and distinct line key."""
+    """(h1, h2, doc, whole) once per row and distinct line key; `whole` is xxhash64 of the row's text."""
 
     def make():
         def f(ids, texts):
             found = list(dict.fromkeys((d, k) for d, _, k in _keyed(texts, min_chars)))
             h = hash_keys([k for _, k in found]).view(np.int64)
-            return [pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([ids[d] for d, _ in found], pa.int64())]
+            of = [xxhash.xxh64_intdigest(t or b"", 42) for t in texts]
+            whole = np.array([of[d] for d, _ in found], np.uint64).view(np.int64)
+            return [pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([ids[d] for d, _ in found], pa.int64()), pa.array(whole)]
 
         return f
 
-    return map_text(docs, key, text, "h1 long, h2 long, doc long", make)
+    return map_text(docs, key, text, "h1 long, h2 long, doc long, whole long", make)
 
 
 def _rebuild(ids: list, texts: list, min_chars: int, dropped) -> list:
@@ -168,41 +176,35 @@ def _rebuild(ids: list, texts: list, min_chars: int, dropped) -> list:
 OUT = "k long, text string, n_lines long, n_dropped long"
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 40, min_docs: int = 5, max_index_mb: int = 256, carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 40, min_docs: int = 5, max_index_mb: int = 64, carry: tuple[str, ...] = ()) -> DataFrame:
     """Drops repeated lines: (key, text, n_lines, n_dropped), one row per input row.
 
-    A line's key (see line_key) of at least `min_chars` code points that `min_docs` rows
-    hold loses all its lines but those in the largest key holding it.  Counts and keepers
-    of the frequent keys sit in a sharded minimal perfect hash (build_index); documents
-    probe it where they are, so texts are never shuffled.  Fingerprints have 64 bits
-    beside the 64 that choose the slot.
+    A line's key (see line_key) of at least `min_chars` code points that `min_docs`
+    documents hold loses all its lines but those in the largest document holding it.  Counts
+    and keepers of the frequent keys sit in a sharded minimal perfect hash (build_index);
+    documents probe it where they are, so texts are never shuffled.  Fingerprints have 64
+    bits beside the 64 that choose the slot.
 
     The index is broadcast while it takes at most `max_index_mb`, as measured on the
-    built table; beyond that, shards are probed group by group, each of at most that
-    size, against a narrow table of line hashes, and only its hits go back to the texts.
-
-    Null or empty text is one empty line (null stays null); an empty table gives no rows;
-    repeated rows count as documents of their own, and all rows of the keeping key keep
-    the line; rows with a null key count but never keep (a line that only such rows hold
-    stays).  Extra columns are ignored but for those in `carry` (see map_text).
+    built table; beyond that, line hashes go to the shard they belong to, in one exchange,
+    and only hits go back to the texts (probe_by_shard).
+
+    A document is a key: rows that repeat one count once, and all rows of the keeping key
+    keep the line.  Rows without a key count as one document together, which never keeps (a
+    line that only such rows hold stays).  Null or empty text is one empty line (null stays
+    null); an empty table gives no rows; texts are whole, of any length.  Extra columns are
+    ignored but for those in `carry` (see map_text).
     """
     spark = docs.sparkSession
-    counts = line_hashes(docs, key, text, min_chars).groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc").alias("keeper"))
+    held = line_hashes(docs, key, text, min_chars).select("h1", "h2", "doc").distinct()
+    counts = held.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc").alias("keeper"))
     frequent = cut_lineage(counts.filter((F.col("n_docs") >= min_docs) & F.col("keeper").isNotNull()))
     n_shards = max(1, -(-frequent.count() // SHARD_KEYS))
     index = cut_lineage(build_index(frequent, n_shards))
-    sizes = index.select("shard", (F.octet_length("displace") + F.octet_length("finger") + F.octet_length("count") + F.octet_length("keeper")).alias("b")).collect()
-    groups: list[list[int]] = [[]]
-    room = max_index_mb << 20
-    for shard, b in sorted(map(tuple, sizes)):
-        if groups[-1] and room < b:
-            groups.append([])
-            room = max_index_mb << 20
-        groups[-1].append(shard)
-        room -= b
-    if len(groups) == 1:
+    size = index.agg(F.coalesce(F.sum(sum(F.octet_length(c) for c in ("displace", "finger", "count", "keeper"))), F.lit(0))).first()[0]
+    if size <= max_index_mb << 20:
         return probe_documents(docs, spark.sparkContext.broadcast([tuple(r) for r in index.collect()]), n_shards, key, text, min_chars, carry).withColumnRenamed("k", key)
-    return probe_by_groups(docs, index, groups, n_shards, key, text, min_chars, carry).withColumnRenamed("k", key)
+    return probe_by_shard(docs, frequent, index, n_shards, key, text, min_chars, carry).withColumnRenamed("k", key)
 
 
 def probe_documents(docs: DataFrame, rows, n_shards: int, key: str, text: str, min_chars: int, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -223,32 +225,45 @@ def probe_documents(docs: DataFrame, rows, n_shards: int, key: str, text: str, m
     return map_text(docs, key, text, OUT, make, carry=carry)
 
 
-def probe_by_groups(docs: DataFrame, index: DataFrame, groups: list[list[int]], n_shards: int, key: str, text: str, min_chars: int, carry: tuple[str, ...] = ()) -> DataFrame:
-    """For an index beyond the broadcast bound: each group of shards meets only the hashes that belong to it."""
-    spark = docs.sparkSession
-    group_of = F.array(*(F.lit(next(g for g, x in enumerate(groups) if s in x) if any(s in x for x in groups) else 0) for s in range(n_shards)))
-    hashes = line_hashes(docs, key, text, min_chars).withColumn("shard", F.pmod("h1", F.lit(n_shards)).cast("int"))
-    hashes = cut_lineage(hashes.withColumn("g", F.element_at(group_of, F.col("shard") + 1)))
-    parts = []
-    for g, shards in enumerate(groups):
-        rows = spark.sparkContext.broadcast([tuple(r) for r in index.filter(F.col("shard").isin(shards)).collect()])
-
-        def probe(batches, rows=rows):
-            at = LineIndex(rows.value, n_shards)
-            for b in batches:
-                h = np.stack([b.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1)], 1)
-                hit, keeper = at.keepers(h)
-                own = b.column(2).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-                yield b.select([0, 2]).filter(pa.array(hit & (keeper != own)))
-
-        parts.append(cut_lineage(hashes.filter(F.col("g") == g).select("h1", "h2", "doc").mapInArrow(probe, "h1 long, doc long")))
-        rows.unpersist()
-    drops = parts[0]
-    for x in parts[1:]:
-        drops = drops.unionAll(x)
-    lists = drops.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("h1").alias("_gone"))
+def probe_by_shard(docs: DataFrame, frequent: DataFrame, index: DataFrame, n_shards: int, key: str, text: str, min_chars: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """For an index beyond the broadcast bound: each shard of it streams past the line hashes that belong to it.
+
+    Shards and hashes are exchanged once; a task sorts them so that a shard's arrays come
+    before its hashes, and holds one shard at a time.  Lines that more than one of HOT_SHARE
+    of all hits belong to, fewer than HOT_SHARE lines, would crowd their shard: they are
+    joined by broadcast instead.
+    """
+    hashes = cut_lineage(line_hashes(docs, key, text, min_chars))
+    total = frequent.agg(F.sum("n_docs")).first()[0]
+    hot = F.broadcast(frequent.filter(F.col("n_docs") * HOT_SHARE > total).select("h1", "h2", "keeper"))
+    goes = F.col("doc").isNull() | (F.col("doc") != F.col("keeper"))
+    common = hashes.join(hot, ["h1", "h2"]).filter(goes).select("h1", "doc", "whole")
+    seldom = hashes.join(hot, ["h1", "h2"], "left_anti").select(F.pmod("h1", F.lit(n_shards)).cast("int").alias("shard"), F.lit(1).alias("kind"), "h1", "h2", "doc", "whole")
+    arrays = [c for c in INDEX_SCHEMA.split(", ") if not c.startswith("shard")]
+    dealt = index.withColumn("kind", F.lit(0)).unionByName(seldom, allowMissingColumns=True).select("shard", "kind", "h1", "h2", "doc", "whole", *(c.split()[0] for c in arrays))
+    dealt = dealt.repartition("shard").sortWithinPartitions("shard", "kind")
+
+    def probe(batches):
+        at, shard = None, -1
+        for b in batches:
+            shards, kinds = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            heads = np.flatnonzero(kinds == 0).tolist()
+            for start, end in zip([-1, *heads], [*heads, len(kinds)]):
+                if start >= 0:
+                    shard = int(shards[start])
+                    at = LineIndex([(shard, *(b.column(6 + i)[start].as_py() for i in range(len(arrays))))], n_shards)
+                part = b.slice(start + 1, end - start - 1)
+                part = part.filter(pa.array(part.column(0).to_numpy(zero_copy_only=False) == shard))
+                if part.num_rows:
+                    hit, keeper = at.keepers(np.stack([part.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (2, 3)], 1))
+                    own = part.column(4).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+                    yield part.select([2, 4, 5]).filter(pa.array(hit & (keeper != own)))
+
+    drops = dealt.mapInArrow(probe, "h1 long, doc long, whole long").unionByName(common)
+    lists = drops.groupBy(F.col("doc").alias("_doc"), F.col("whole").alias("_whole")).agg(F.collect_set("h1").alias("_gone"))  # the lines of one text at most
     columns, more = carried(docs, carry)
-    joined = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), *columns).join(lists, F.col("k").eqNullSafe(F.col("_doc")), "left").select("k", "t", "_gone", *(f"_c{i}" for i in range(len(carry))))
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), F.xxhash64(F.col(text)).alias("w"), *columns)
+    joined = rows.join(lists, F.col("k").eqNullSafe(F.col("_doc")) & (F.col("w") == F.col("_whole")), "left").select("k", "t", "_gone", *(f"_c{i}" for i in range(len(carry))))
 
     def rebuild(batches):
         for b in batches:
@@ -258,4 +273,3 @@ def probe_by_groups(docs: DataFrame, index: DataFrame, groups: list[list[int]],
             yield pa.RecordBatch.from_arrays([*cols, *b.columns[3:]], names=["k", "text", "n_lines", "n_dropped", *(f"_c{i}" for i in range(len(carry)))])
 
     return joined.mapInArrow(rebuild, OUT + more)
-

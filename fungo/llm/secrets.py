@@ -47,7 +47,8 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[i
         start, end = m.span()
         while i < len(cuts) and cuts[i][1] <= start:
             i += 1
-        for a, b in cuts[i:]:
+        for j in range(i, len(cuts)):
+            a, b = cuts[j]
             if a >= end:
                 break
             if a - start >= MIN_RUN:
@@ -99,6 +100,16 @@ class CharCnn:
         edges = (0, BEFORE - width // 2, BEFORE + INSIDE - width // 2, WIDTH - width + 1)
         self.regions = [slice(*e) for e in zip(edges, edges[1:])]
 
+    def state(self) -> dict:
+        """Plain numbers and arrays, which tasks take without this class."""
+        return {"width": self.width, "p": self.p, "scale": float(self.scale), "shift": float(self.shift), "threshold": self.threshold}
+
+    @classmethod
+    def of(cls, state: dict) -> CharCnn:
+        net = cls(width=state["width"])
+        net.p, net.scale, net.shift, net.threshold = (state[k] for k in ("p", "scale", "shift", "threshold"))
+        return net
+
     def _pool(self, a: np.ndarray) -> np.ndarray:
         return np.concatenate([f for r in self.regions for f in (a[:, r].max(1), a[:, r].mean(1))], 1)
 
@@ -284,18 +295,18 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", net:
     Null and empty texts have no spans; an empty table gives no rows; repeated rows and null
     keys stay; extra columns are ignored.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(net or train(docs, key, text, **training))
+    sent = docs.sparkSession.sparkContext.broadcast((net or train(docs, key, text, **training)).state())
 
     def make():
-        net = sent.value
+        net = CharCnn.of(sent.value)
 
         def f(ids, texts):
             spans, wins, place = [], [], []
+            found: set[tuple[int, int, int]] = set()
 
             def judge():
                 if wins:
-                    for at in {q for q, p in zip(place, net.probability(encode(wins))) if p >= net.threshold} - {(d, *s[:2]) for d in {place[0][0]} for s in spans[d] if s[2] == 3}:
-                        spans[at[0]].append((*at[1:], 3))
+                    found.update(q for q, p in zip(place, net.probability(encode(wins))) if p >= net.threshold)
                 wins.clear()
                 place.clear()
 
@@ -309,6 +320,8 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", net:
                         if len(wins) == 4096:
                             judge()
             judge()
+            for d, a, b in found:
+                spans[d].append((a, b, 3))
             spans = [sorted(x, key=lambda x: (x[0], x[2])) for x in spans]
             return [pa.array(ids, pa.int64()), *(pa.array([[s[i] for s in x] for x in spans], pa.list_(pa.int32())) for i in range(3))]
 

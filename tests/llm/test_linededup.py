@@ -27,7 +27,7 @@ def brute(pairs, min_chars=40, min_docs=5):
         for line in lines:
             rows = held.get(key(line), {})
             ids = [x for x in rows.values() if x is not None]
-            if not (len(rows) >= min_docs and ids and max(ids) != i):
+            if not (len(set(rows.values())) >= min_docs and ids and max(ids) != i):
                 kept.append(line)
         out.append((i, None if t is None else "\n".join(kept), len(lines), len(lines) - len(kept)))
     return out
@@ -37,7 +37,9 @@ def corpus():
     r = random.Random(5)
     common = [f"common line number {i} with enough characters in it" for i in range(12)]
     pairs = [(i, "\n".join(r.choice([r.choice(common), r.choice(common).upper() + "\t", f"own line {i} {r.random()} and some more words here", "short"]) for _ in range(r.randint(1, 9)))) for i in range(80)]
-    return pairs + [(500 + i, f"{HOT}\n{HOT.lower()}  \nown {i}") for i in range(4)] + ODD + [(504, HOT)]
+    few = "held by five rows, but of three documents only"
+    repeated = [(600, few), (600, few + "\nand more"), (601, few), (601, few + "\nmore"), (602, few), (None, few + "\nno key"), (None, HOT + "\nno key")]
+    return pairs + [(500 + i, f"{HOT}\n{HOT.lower()}  \nown {i}") for i in range(4)] + ODD + [(504, HOT)] + repeated + [(700, "one long line " * 20_000 + "\n" + HOT)]
 
 
 def same(df, pairs):
@@ -49,9 +51,11 @@ def test_against_brute_force(spark):
     same(L.dedup_lines(documents(spark, corpus())), corpus())
 
 
-def test_index_beyond_the_bound_gives_the_same(spark, monkeypatch):
+@pytest.mark.parametrize("hot_share", [1, 10, 1000])
+def test_index_beyond_the_bound_gives_the_same(spark, monkeypatch, hot_share):
     monkeypatch.setattr(L, "SHARD_KEYS", 3)
-    same(L.dedup_lines(documents(spark, corpus()), max_index_mb=0), corpus())
+    monkeypatch.setattr(L, "HOT_SHARE", hot_share)
+    same(L.dedup_lines(documents(spark, corpus()), max_index_mb=-1), corpus())
 
 
 def test_carried_columns_and_empty_table(spark):
