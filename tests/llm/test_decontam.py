@@ -51,7 +51,8 @@ def test_against_brute_force(spark):
 
 
 def test_many_shards_give_the_same(spark):
-    compare(spark, max_shard_words=150)
+    compare(spark, shard_bytes=300)
+    compare(spark, shard_bytes=300, max_index_mb=0)
 
 
 def test_empty_tables(spark):
@@ -63,3 +64,19 @@ def test_empty_tables(spark):
 def test_without_spans():
     text = "Keep this, drop THESE words! and keep.".encode()
     assert D.without_spans(text, [(2, 5)]) == b"Keep this, ! and keep."
+
+
+def test_removal_by_both_limits(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"
+    own = " ".join(f"mine{i}" for i in range(400))
+    docs = [(1, item), (2, f"{own}. {item.upper()}! {own}"), (3, own), (4, f"{own} {item[:20]} {own}"), (5, None), (None, ""), (3, own), (6, own * 30 + " " + item)]
+    items = spark.createDataFrame([(1, item), (2, None)], "item_id long, text string")
+    df = documents(spark, docs)
+    out = D.decontaminate(df, items, length="n_chars")
+    assert out.columns == df.columns
+    got = sorted(((r.doc_id, r.text, r.n_chars) for r in out.collect()), key=str)
+    kept = [(i, t, len(t) if t is not None else None) for i, t in docs if i not in (1, 2, 6)]
+    kept += [(2, f"{own}. ! {own}", len(own) * 2 + 4), (6, own * 30 + " ", len(own) * 30 + 1)]
+    assert got == sorted(kept, key=str)
+    assert D.decontaminate(documents(spark, []), items).count() == 0
+    assert D.decontaminate(df, items.limit(0)).count() == len(docs)
