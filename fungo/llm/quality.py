@@ -22,13 +22,15 @@ BANDS = {
 }
 #: Characters counted by the symbol rule.
 SYMBOLS = b"#*$%&|<>"
+#: Words beyond this many bytes are not worth keeping.
+LONG_WORD = 96
 _LETTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
 class Vocabularies:
-    """Pieces of both public vocabularies for single words, with a cache bounded by `cache_words`."""
+    """Pieces of both public vocabularies for single words, with a cache of words up to LONG_WORD bytes, about `cache_bytes` in all."""
 
-    def __init__(self, piece_model: bytes, bpe_ranks: bytes, pattern: str, cache_words: int = 300_000):
+    def __init__(self, piece_model: bytes, bpe_ranks: bytes, pattern: str, cache_bytes: int = 3_000_000):
         import sentencepiece
         import tiktoken
 
@@ -37,13 +39,14 @@ class Vocabularies:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, bpe_ranks.splitlines())}
         self.bpe = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.cache: dict[bytes, tuple] = {}
-        self.cache_words = cache_words
+        self.cache_bytes, self.held = cache_bytes, 0
 
     def word_facts(self, words: list[bytes]) -> list[tuple]:
         """By word: code points, symbols, Latin letters, other letters, piece ids, number of bpe tokens."""
         cache = self.cache
-        if len(cache) > self.cache_words:
+        if self.held > self.cache_bytes:
             cache.clear()
+            self.held = 0
         new = [w for w in words if w not in cache]
         if new:
             texts = [w.decode() for w in new]
@@ -55,7 +58,13 @@ class Vocabularies:
                     letters = sum(map(str.isalpha, t))
                     latin = letters if max(t) < "\u0250" else sum(c < "\u0250" or "\u1e00" <= c < "\u1f00" for c in t if c.isalpha())
                 cache[w] = (len(t), len(w) - len(w.translate(None, SYMBOLS)), latin, letters - latin, i, n)
-        return [cache[w] for w in words]
+        out = [cache[w] for w in words]
+        for w in new:
+            if len(w) > LONG_WORD:
+                del cache[w]
+            else:
+                self.held += len(w)
+        return out
 
 
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars_piece double, chars_bpe double, byte_share double, entropy double, script string"

@@ -23,12 +23,17 @@ from .common import cut_lineage, list_array
 
 SPACE = "▁"
 BARRED = -np.inf
+#: Words beyond this many characters are not worth keeping.
+LONG_WORD = 64
 
 
 class Model:
-    """Pieces of a SentencePiece BPE model with byte fallback, and the library for whole words."""
+    """Pieces of a SentencePiece BPE model with byte fallback, and the library for short texts.
 
-    def __init__(self, blob: bytes, cache_words: int = 400_000):
+    Caches hold whole words of up to `LONG_WORD` characters, about `cache_chars` in all.
+    """
+
+    def __init__(self, blob: bytes, cache_chars: int = 4_000_000):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
@@ -47,21 +52,63 @@ class Model:
         if "\n" in self.known or any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("pieces cross white space; units would not be independent")
         self.cache: dict[str, list[int]] = {}
-        self.cache_words = cache_words
+        self.cache_chars, self.held = cache_chars, 0
+        self.unit_cache: dict[str, list[int]] = {}
+        self.units_held = 0
         self.pair_cache: dict[tuple[str, str], bool] = {}
+        self.whole: dict[str, bool] = {}
 
     def escape(self, text: str) -> str:
         return (SPACE if self.dummy_prefix and text else "") + text.replace(" ", SPACE)
 
     def encode_escaped(self, escaped: list[str]) -> list[list[int]]:
-        """Ids of texts that begin and end where no piece can cross."""
+        """Ids of texts that begin and end where no piece can cross, by the library."""
         parts = [self.units.findall(x) for x in escaped]
         cache = self.cache
-        if len(cache) > self.cache_words:
+        if self.held > self.cache_chars:
             cache.clear()
+            self.held = 0
         new = list({u for p in parts for u in p if u not in cache})
         cache.update(zip(new, self.processor.encode(new)))
-        return [[i for u in p for i in cache[u]] for p in parts]
+        out = [[i for u in p for i in cache[u]] for p in parts]
+        self.held += sum(map(len, new))
+        for u in new:
+            if len(u) > LONG_WORD:
+                del cache[u]
+                self.held -= len(u)
+        return out
+
+    def unit_ids(self, s: str) -> list[int]:
+        """Ids of a unit that no piece crosses on either side: the one finite path of its lattice, whose matrix has one entry and one exit."""
+        ids = self.unit_cache.get(s)
+        if ids is not None:
+            return ids
+        at: list[list] = [[] for _ in range(len(s) + 1)]
+        at[0].append((None, None))
+        for p in range(len(s)):
+            before = at[p]
+            if not before:
+                continue
+            for e in range(p + 1, min(p + self.longest, len(s)) + 1):
+                token = s[p:e]
+                if not self.is_token(token):
+                    continue
+                for node in before:
+                    if node[0] is None or self.fits(node[0], token):
+                        at[e].append((token, node))
+                        break
+        node, tokens = at[-1][0], []
+        while node[0] is not None:
+            tokens.append(node[0])
+            node = node[1]
+        ids = [i for t in reversed(tokens) for i in self.token_ids(t)]
+        if len(s) <= LONG_WORD:
+            if self.units_held > self.cache_chars:
+                self.unit_cache.clear()
+                self.units_held = 0
+            self.unit_cache[s] = ids
+            self.units_held += len(s)
+        return ids
 
     def decode(self, ids) -> bytes:
         text = b"".join(map(self.out.__getitem__, ids))
@@ -78,12 +125,18 @@ class Model:
             x[i : i + 2] = [x[i] + x[i + 1]]
 
     def is_token(self, s: str) -> bool:
-        return len(s) == 1 or (s in self.scores and self.fits(s, ""))
+        """Whether s is one character or a piece that its own characters merge to."""
+        known = self.whole.get(s)
+        if known is None:
+            if len(s) > 1 and s not in self.scores:
+                return False
+            known = self.whole[s] = len(s) == 1 or self.merged(s) == [s]
+        return known
 
     def fits(self, a: str, b: str) -> bool:
         k = (a, b)
         if k not in self.pair_cache:
-            if len(self.pair_cache) > self.cache_words:
+            if len(self.pair_cache) > self.cache_chars // 8:
                 self.pair_cache.clear()
             self.pair_cache[k] = self.merged(a + b) == ([a, b] if b else [a])
         return self.pair_cache[k]
@@ -180,7 +233,11 @@ def resolve(chunks: list[tuple[list, list, np.ndarray]]) -> list[tuple[tuple, tu
 
 
 def backtrace(model: Model, s: str, a: int, b: int, entry: tuple, exit_: tuple, first: bool) -> list[int]:
-    """Ids of the tokens that begin in s[a:b], with the tokens over both edges known."""
+    """Ids of the tokens that begin in s[a:b], with the tokens over both edges known.
+
+    Between the first and the last place that no piece crosses, the chunk is a product of
+    units with one entry and one exit each, so each unit is traced by itself.
+    """
     start = a + entry[1]
     node = (None, a) if first else (s[a - entry[0] : start], start)
     parts = _inner_parts(model, s, a, b)
@@ -190,7 +247,7 @@ def backtrace(model: Model, s: str, a: int, b: int, entry: tuple, exit_: tuple,
     p, q = parts
     head = Lattice(model, s, a, p, [node]).path(p) if start < p else []
     tail = Lattice(model, s, q, b, [(None, q)]).path(b + exit_[1], b - exit_[0])
-    return [i for t in head for i in model.token_ids(t)] + model.encode_escaped([s[p:q]])[0] + [i for t in tail for i in model.token_ids(t)]
+    return [i for t in head for i in model.token_ids(t)] + [i for u in model.units.findall(s[p:q]) for i in model.unit_ids(u)] + [i for t in tail for i in model.token_ids(t)]
 
 
 CHUNK = "row long, k long, c int, n int, s string, a int, b int, n_chars long, sha string"
@@ -198,19 +255,22 @@ OUT = "k long, token_ids array<int>, n_tokens long, n_chars long, n_chunks int,
 
 
 def _cuts(n: int, size: int) -> list[int]:
-    """Chunk edges; the last chunk takes the rest, so none is shorter than `size`."""
-    return [*range(0, max(1, n // size) * size, size), n]
+    """Edges of the fewest chunks of at most `size`, as even as can be."""
+    k = max(1, -(-n // size))
+    return [n * c // k for c in range(k + 1)]
 
 
-def encode_documents(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", chunk_chars: int = 100_000) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", chunk_chars: int = 8_000) -> DataFrame:
     """(key, token_ids, n_tokens, n_chars, n_chunks, round_trip): the ids the SentencePiece library gives for each whole text.
 
     `round_trip` tells that decoding the ids gives the text again (false only where the text
     holds the space mark U+2581 itself).  The model file's bytes, of fixed size, are sent to
-    the tasks.  Texts of up to `chunk_chars` are encoded where they are, word by word with a
-    bounded cache.  Longer ones are cut into chunks of that size; the chunks are dealt over
-    all tasks, give max-plus matrices (transfer), the matrices of a document, some hundred
-    bytes each, are combined (resolve), and each chunk is backtraced by itself.
+    the tasks.  Texts of up to `chunk_chars` are one chunk and are encoded where they are, word
+    by word with a bounded cache.  Longer ones are cut into even chunks of that size at most;
+    the chunks are dealt over all tasks, give max-plus matrices (transfer), the matrices of a
+    document, some hundred bytes each, are combined (resolve), and each chunk is backtraced
+    by itself, its inside too.  So a text of a hundred million characters is many small
+    tasks; only its ids meet again, in its one row.
 
     Null text gives null ids and round_trip null; empty text no ids; an empty table no rows;
     repeated rows and null keys stay rows of their own; extra columns are ignored.

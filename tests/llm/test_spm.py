@@ -56,6 +56,23 @@ def test_documents_short_and_giant(spark, library):
     assert sorted(map(str, (r.text for r in back.collect()))) == sorted(str(t) for _, t in pairs)
 
 
+def test_every_row_of_a_table_equals_the_library(spark, library):
+    """The given documents, among which many have several chunks, and one of 300,000 characters."""
+    docs = Q.read_table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    texts[-1] = "".join(random.Random(5).choice(["lorem ", "ipsum", "\n", "  ", "é", "中文", "=-=", "The "]) for _ in range(90_000))
+    docs = docs.unionAll(spark.createDataFrame([(-1, texts[-1])], "doc_id long, text string"))
+    rows = spm.encode_documents(docs, Q.PIECE_MODEL).collect()
+    assert {r.doc_id: r.token_ids for r in rows} == {i: library.encode(t) for i, t in texts.items()}
+    assert all(r.round_trip for r in rows) and all((r.n_chunks > 1) == (len(texts[r.doc_id]) > 8_000) for r in rows)
+    assert sum(r.n_chunks > 1 for r in rows) > 20
+
+
+def test_units_equal_the_library(model, library):
+    words = list({u for t in TEXTS for u in model.units.findall(model.escape(t))})
+    assert [model.unit_ids(u) for u in words] == model.processor.encode(words)
+
+
 def test_empty_table_and_space_mark(spark):
     assert spm.encode_documents(documents(spark, []), Q.PIECE_MODEL).count() == 0
     assert spm.encode_documents(documents(spark, [(1, "a\u2581b")]), Q.PIECE_MODEL).first().round_trip is False
