@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -24,6 +25,11 @@ def split_url(url: str | Column) -> tuple[Column, Column]:
     return F.translate(host, UPPER, LOWER), path
 
 
+def query_of(url: Column) -> Column:
+    """What follows the first `?` of a url, up to `#`; empty without one."""
+    return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^[^?#]*\?([^#]*)", 1)
+
+
 def rule_for(host: Column, path: Column, rules: dict[str, str]) -> Column:
     """The longest rule (like `example.net/en/`) whose host is the url's or a parent domain of it and whose path the url's begins with; else null."""
     ordered = sorted(rules, key=lambda r: (-len(r), r))
@@ -35,14 +41,39 @@ def rule_for(host: Column, path: Column, rules: dict[str, str]) -> Column:
     return F.coalesce(*(F.when(fits(r), F.lit(r)) for r in ordered), F.lit(None).cast("string"))
 
 
-def url_tokens(host: Column, path: Column) -> Column:
-    """Distinct tokens of a url: every domain suffix up to the whole host, and every path part, whole, with digits as 0; each marked by its kind."""
+def url_tokens(host: Column, path: Column, query: Column, without: set[str] | frozenset[str] = frozenset()) -> Column:
+    """Distinct tokens of a url, each marked by its kind, but for those in `without`.
+
+    s: every domain suffix up to the whole host; h: words of the host (letters between
+    hyphens, digits and dots); p: every path part, whole, with runs of digits as 0; w: words
+    of a path part; q: keys of the query.
+    """
     labels = F.split(host, r"\.")
     n = F.size(labels)
     suffixes = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("s:"), F.array_join(F.slice(labels, n - i + 1, i), ".")))
-    parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    shapes = F.transform(parts, lambda x: F.concat(F.lit("p:"), F.regexp_replace(F.translate(x, UPPER, LOWER), "[0-9]+", "0")))
-    return F.array_distinct(F.when(host == "", shapes).otherwise(F.concat(suffixes, shapes)))
+    low = F.translate(path, UPPER, LOWER)
+    shapes = F.transform(F.filter(F.split(low, "/"), lambda x: x != ""), lambda x: F.concat(F.lit("p:"), F.regexp_replace(x, "[0-9]+", "0")))
+
+    def marked(kind: str, parts: Column, least: int) -> Column:
+        return F.transform(F.filter(parts, lambda x: F.char_length(x) >= least), lambda x: F.concat(F.lit(kind), x))
+
+    host_words = marked("h:", F.split(host, r"[-_0-9.:@]+"), 3)
+    path_words = marked("w:", F.split(low, r"[^\p{L}]+"), 3)
+    keys = marked("q:", F.transform(F.split(F.translate(query, UPPER, LOWER), "&"), lambda x: F.substring_index(x, "=", 1)), 1)
+    every = F.array_distinct(F.concat(F.when(host == "", F.array().cast("array<string>")).otherwise(suffixes), host_words, shapes, path_words, keys))
+    return F.filter(every, lambda t: ~t.isin(*sorted(without))) if without else every
+
+
+def own_tokens(rules: dict[str, str]) -> set[str]:
+    """Tokens by which the given rules themselves tell urls: their hosts, what these lie in, the words and path parts in them."""
+    out: set[str] = set()
+    for r in rules:
+        host, _, path = r.partition("/")
+        labels = host.split(".")
+        out |= {"s:" + ".".join(labels[i:]) for i in range(len(labels))} | {"h:" + x for x in re.split("[-_0-9.:@]+", host)}
+        for part in filter(None, path.lower().split("/")):
+            out |= {"p:" + re.sub("[0-9]+", "0", part)} | {"w:" + x for x in re.split(r"[^a-z]+", part)}
+    return out
 
 
 def pattern_growth(base: dict[tuple[int, ...], tuple[int, int]], nested: set[int], min_count: int, depth: int) -> Iterator[tuple[tuple[int, ...], int, int]]:
@@ -162,23 +193,57 @@ class RuleIndex:
         return min(fit, key=lambda i: (-self.rules[i][2], -self.rules[i][3], self.rules[i][1] != BLOCK, self.rules[i][0])) if fit else None
 
 
+def _given(url: Column, rules: dict[str, str]) -> tuple[Column, Column, Column, Column]:
+    """Host, path, rule and the rule's verdict of a url."""
+    host, path = split_url(url)
+    rule = rule_for(host, path, rules)
+    return host, path, rule, reduce(lambda c, r: F.when(rule == r, F.lit(rules[r])).otherwise(c), rules, F.lit(None).cast("string"))
+
+
+def held_out_figures(pages: DataFrame, rules: dict[str, str], key: str = "page_id", url: str = "url", fold: int = 5, **mining) -> dict[str, float | int | None]:
+    """What mined rules alone say of urls that given rules decide: mined from all but one of `fold` folds (by crc32 of the url), judged on that one.
+
+    `decided` urls held out, `judged` by a mined rule; precision and recall of `block` among
+    the decided; None where nothing was blocked.
+    """
+    host, path, _, given = _given(F.col(url), rules)
+    rows = pages.select(url_tokens(host, path, query_of(F.col(url)), own_tokens(rules)).alias("tokens"), given.alias("label"), (F.crc32(F.encode(F.coalesce(F.col(url), F.lit("")), "UTF-8")) % fold).alias("fold"))
+    rows = cut_lineage(rows.filter("label is not null"))
+    mined = mine_rules(rows.filter("fold != 0").select("tokens", "label"), **mining)
+    sent = pages.sparkSession.sparkContext.broadcast(mined)
+
+    def match(batches):
+        index = RuleIndex(sent.value)
+        for batch in batches:
+            found = [index.best(t) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([None if i is None else index.rules[i][1] for i in found], pa.string())], names=["label", "said"])
+
+    said = rows.filter("fold = 0").select("tokens", "label").mapInArrow(match, "label string, said string")
+    blocked, is_block = F.col("said") == BLOCK, F.col("label") == BLOCK
+    n, judged, hit, said_block, real = said.agg(F.count("*"), F.count("said"), F.count_if(blocked & is_block), F.count_if(blocked), F.count_if(is_block)).first()
+    return {"rules": len(mined), "decided": n, "judged": judged, "precision": hit / said_block if said_block else None, "recall": hit / real if real else None}
+
+
 def filter_urls(pages: DataFrame, rules: dict[str, str], key: str = "page_id", url: str = "url", labels: DataFrame | None = None, label_col: str = "label", default: str = ALLOW, **mining) -> DataFrame:
     """One row per input row: key, host, path, rule, mined (the tokens of the mined rule used, else null), verdict.
 
     A given rule that fits decides.  Else the surest mined rule whose tokens the url holds
     decides; else `default`.  Labels to mine from are (key, `label_col` with block or allow);
     without them every url a given rule decides is labelled by it, and urls that none decides
-    teach nothing: they are the ones to be judged.
+    teach nothing: they are the ones to be judged.  Then the tokens of the given rules are
+    left out (own_tokens), so that what is mined is no copy of a rule but says what else
+    the urls on either side have in common.
 
     Null urls have empty host and path and no tokens; an empty table gives no rows; repeated
-    rows and null keys stay; extra columns are ignored.  Rules are broadcast (see mine_rules).
+    rows and null keys stay; of equally sure rules the better supported decides, then the
+    one that blocks; urls are whole, of any length; extra columns are ignored.  Rules are
+    broadcast (see mine_rules).
     """
-    host, path = split_url(F.col(url))
-    rows = pages.select(F.col(key).alias("k"), host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("rule", rule_for(F.col("host"), F.col("path"), rules)).withColumn("tokens", url_tokens(F.col("host"), F.col("path")))
-    by_rule = reduce(lambda c, r: F.when(F.col("rule") == r, F.lit(rules[r])).otherwise(c), rules, F.lit(None).cast("string"))
+    host, path, rule, given = _given(F.col(url), rules)
+    tokens = url_tokens(host, path, query_of(F.col(url)), frozenset() if labels is not None else own_tokens(rules))
+    rows = pages.select(F.col(key).alias("k"), host.alias("host"), path.alias("path"), rule.alias("rule"), given.alias("given"), tokens.alias("tokens"))
     if labels is None:
-        labelled = rows.select("tokens", by_rule.alias("label"))
+        labelled = rows.select("tokens", F.col("given").alias("label"))
     else:
         labelled = rows.join(labels.select(F.col(key).alias("k"), F.col(label_col).alias("label")), "k").select("tokens", "label")
     sent = pages.sparkSession.sparkContext.broadcast(mine_rules(labelled, **mining))
@@ -203,5 +268,5 @@ def filter_urls(pages: DataFrame, rules: dict[str, str], key: str = "page_id", u
             verdict = [g if g is not None else index.rules[i][1] if i is not None else default for g, i in zip(given.to_pylist(), found)]
             yield pa.RecordBatch.from_arrays([k, host, path, rule, pa.array(mined, pa.string()), pa.array(verdict, pa.string())], names=["k", "host", "path", "rule", "mined", "verdict"])
 
-    ready = rows.select(F.col("k").cast("long").alias("k"), "host", "path", "rule", by_rule.alias("given"), "tokens")
+    ready = rows.select(F.col("k").cast("long").alias("k"), "host", "path", "rule", "given", "tokens")
     return ready.mapInArrow(match, "k long, host string, path string, rule string, mined string, verdict string").withColumnRenamed("k", key)
