@@ -4,139 +4,237 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import defaultdict, deque
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-#: Elements whose content is never text of the page.
-DROPPED = "script|style|noscript|template|iframe|object|svg|math|canvas|audio|video|textarea|select|button|head"
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({DROPPED})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|(?=<body\b)|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s>/]*)[^>]*>|<([a-zA-Z][^\s>/]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[a-zA-Z/][^>]*>",
-    re.S | re.I,
-)
+#: Elements whose content is no text of the page: code, what is not shown, and form controls.
+DROPPED = frozenset("script style template iframe canvas audio video textarea select button head".split())
 #: Elements that begin and end a block; all others are inline.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag closes an open element of these kinds first (HTML leaves their end tags out).
 CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 GOOD_TAGS, BAD_TAGS = frozenset(("article", "main")), frozenset(("nav", "footer", "aside", "form", "menu", "header", "dialog", "fieldset"))
 #: Words of class and id attributes.
 GOOD_WORDS = frozenset("article content entry post story body main text".split())
 BAD_WORDS = frozenset("ad ads advert advertisement adbox sponsor sponsored promo banner cookie cookies consent notice alert sidebar side widget menu nav navbar navigation breadcrumb breadcrumbs header masthead footer foot comment comments reply replies disqus respond related recommended share social subscribe newsletter signup login search popup modal overlay toolbar pager pagination copyright legal disclaimer form".split())
+#: Of these, what an article has of its own.
+OWN_WORDS = frozenset(("header",))
 _ATTR = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[A-Za-z]+")
+_NAME = re.compile(r"[a-zA-Z][^\s>/]*")
+_STOP = re.compile(r"[>\"']")
+_BODY = re.compile(r"<body\b", re.I)
+_ENDS = {t: re.compile(rf"</{t}\s*>", re.I) for t in DROPPED}
 
 
 class Block:
-    __slots__ = ("text", "linked", "tag", "parent", "good", "bad", "depth", "words")
+    """A block's text, its linked characters, its tag, its parent element and the landmark it lies in (0: none)."""
+
+    __slots__ = ("text", "linked", "tag", "parent", "mark", "words")
 
-    def __init__(self, text, linked, tag, parent, good, bad, depth):
-        self.text, self.linked, self.tag, self.parent, self.good, self.bad, self.depth = text, linked, tag, parent, good, bad, depth
+    def __init__(self, text, linked, tag, parent, mark):
+        self.text, self.linked, self.tag, self.parent, self.mark = text, linked, tag, parent, mark
         self.words = text.count(" ") + 1
 
 
-def blocks_of(page: str) -> list[Block]:
-    """Text blocks in page order: references decoded, white space made one space, trimmed, empty ones left out."""
-    stack: list[tuple] = [("", 0, False, False)]  # tag, number of the element, good, bad
+def tokens_of(page: str) -> Iterator[tuple[str, str, str]]:
+    """("text", text, ""), ("start", tag, attributes) and ("end", tag, "") in page order, in linear time.
+
+    Comments, declarations and the content of DROPPED elements are passed over.  A tag ends
+    at the first `>` outside quotes; once a quote never closes, tags end at their first `>`
+    from there on.  A tag without `>`, and whatever else never closes, ends with the page.
+    """
+    at, n, trusting = 0, len(page), True
+    while at < n:
+        lt = page.find("<", at)
+        if lt < 0:
+            yield "text", page[at:], ""
+            return
+        if lt > at:
+            yield "text", page[at:lt], ""
+        after = page[lt + 1 : lt + 2]
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            at = n if end < 0 else end + 3
+        elif after in ("!", "?"):
+            end = page.find(">", lt)
+            at = n if end < 0 else end + 1
+        elif after == "/" and (name := _NAME.match(page, lt + 2)):
+            end = page.find(">", name.end())
+            if end < 0:
+                return
+            yield "end", name.group().lower(), ""
+            at = end + 1
+        elif name := _NAME.match(page, lt + 1):
+            end = name.end()
+            while trusting:
+                m = _STOP.search(page, end)
+                if not m or m.group() == ">":
+                    break
+                close = page.find(m.group(), m.end())
+                if close < 0:
+                    trusting = False
+                    break
+                end = close + 1
+            end = page.find(">", end if trusting else name.end())
+            if end < 0:
+                return
+            tag, attributes = name.group().lower(), page[name.end() : end]
+            at = end + 1
+            if tag in DROPPED:
+                m = _ENDS[tag].search(page, at) or _BODY.search(page, at)
+                at = n if not m else m.start() if m.group()[1] != "/" else m.end()
+                yield "text", " ", ""
+                continue
+            yield "start", tag, attributes
+        else:
+            yield "text", "<", ""
+            at = lt + 1
+
+
+def evidence(tag: str, attributes: str, inside: int) -> int:
+    """What an element says of what it holds: 1 article, -1 boilerplate, 0 nothing; `inside` is the landmark around it.  The element's own kind comes before its class words."""
+    if tag in GOOD_TAGS:
+        return 1
+    if tag in BAD_TAGS:
+        return 0 if tag == "header" and inside > 0 else -1
+    if tag in HEADINGS or tag in ("html", "body") or not attributes:
+        return 0
+    names = set(_PART.findall(" ".join(x for y in _ATTR.findall(attributes) for x in y).lower()))
+    bad = names & (BAD_WORDS - OWN_WORDS if inside > 0 else BAD_WORDS)
+    return -1 if bad else 1 if names & GOOD_WORDS else 0
+
+
+def blocks_of(page: str) -> tuple[list[Block], list[int], list[int]]:
+    """Text blocks in page order (references decoded, white space made one space, trimmed, empty ones left out), and by landmark its evidence and the landmark around it (number 0: none)."""
     out: list[Block] = []
+    kinds, outer = [0], [0]
+    stack: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, number, landmark
+    block_at, open_at = [0], defaultdict(list)  # places in the stack: of blocks, and by tag
     parts: list[str] = []
-    link_parts: list[str] = []
-    links = number = at = 0
+    linked = number = 0
 
     def flush():
-        nonlocal parts, link_parts
+        nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                top = next((x for x in reversed(stack) if x[0] in BLOCKS), stack[0])
-                parent = next((x for x in reversed(stack[:-1]) if x[0] in BLOCKS and x is not top), stack[0])
-                out.append(Block(text, sum(map(len, link_parts)), top[0], parent[1], stack[-1][2], stack[-1][3], len(stack)))
-            parts, link_parts = [], []
-
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            t = page[at : m.start()]
-            parts.append(t)
-            if links:
-                link_parts.append(t)
-        at = m.end()
-        end, start = m.group(2), m.group(3)
-        if start:
-            tag = start.lower()
-            if tag == "br":
+                top = stack[block_at[-1]]
+                out.append(Block(text, linked, top[0], stack[block_at[-2]][1] if len(block_at) > 1 else 0, top[2]))
+            parts.clear()
+            linked = 0
+
+    def close(to):
+        while len(stack) > to:
+            open_at[stack.pop()[0]].pop()
+            if block_at[-1] >= len(stack):
+                block_at.pop()
+
+    for kind, what, attributes in tokens_of(page):
+        if kind == "text":
+            parts.append(what)
+            if open_at["a"]:
+                linked += len(what)
+        elif kind == "start":
+            if what == "br":
                 parts.append(" ")
                 continue
-            if tag in BLOCKS:
+            if what in BLOCKS:
                 flush()
-                closed = CLOSES.get(tag) or ({"p"} if tag != "html" else ())
-                for i in range(len(stack) - 1, max(0, len(stack) - 4), -1):
-                    if stack[i][0] in closed:
-                        del stack[i:]
-                    elif stack[i][0] in BLOCKS:
-                        break
-            if tag in VOID or m.group(4).endswith("/") and tag not in BLOCKS:
+                closed = CLOSES.get(what) or ({"p"} if what != "html" else ())
+                while stack[block_at[-1]][0] in closed:
+                    close(block_at[-1])
+            if what in VOID or attributes.endswith("/") and what not in BLOCKS:
                 continue
             number += 1
-            good, bad = stack[-1][2], stack[-1][3]
-            names = _PART.findall(" ".join(x for y in _ATTR.findall(m.group(4)) for x in y).lower()) if m.group(4) else ()
-            if tag in GOOD_TAGS:
-                good = True
-            elif tag in BAD_TAGS and not (tag == "header" and good):
-                bad = True
-            if names and tag not in ("html", "body"):
-                if not BAD_WORDS.isdisjoint(names):
-                    bad = True
-                elif not GOOD_WORDS.isdisjoint(names):
-                    good = True
-            stack.append((tag, number, good, bad))
-            links += tag == "a"
-        elif end:
-            tag = end.lower()
-            if tag in BLOCKS:
-                flush()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    links -= sum(x[0] == "a" for x in stack[i:])
-                    del stack[i:]
-                    break
-                if stack[i][0] in BLOCKS and tag not in BLOCKS:
-                    break
+            mark = stack[-1][2]
+            if what in BLOCKS and (found := evidence(what, attributes, kinds[mark])):
+                kinds.append(found)
+                outer.append(mark)
+                mark = len(kinds) - 1
+            if what in BLOCKS:
+                block_at.append(len(stack))
+            open_at[what].append(len(stack))
+            stack.append((what, number, mark))
         else:
-            if m.group(1) and m.group(1).lower() not in ("button", "select", "textarea"):
-                parts.append(" ")
-    if at < len(page):
-        parts.append(page[at:])
+            if what in BLOCKS:
+                flush()
+            at = open_at.get(what)
+            if at and (what in BLOCKS or at[-1] > block_at[-1]):
+                close(at[-1])
     flush()
-    return out
+    return out, kinds, outer
 
 
-#: Features of a block and the prior mean of their weights (log-odds of being content).
-PRIOR = {"bias": -0.6, "good": 4.5, "bad": -7.0, "link_share": -3.5, "log_words": 0.5, "ends": 0.6, "heading": 0.3, "paragraph": 0.8, "item": -0.5, "rights": -1.5}
+def landmarks(blocks: list[Block], kinds: list[int], outer: list[int]) -> list[int]:
+    """The landmark that decides for each block (0: none): the nearest, passing over boilerplate ones that hold most of a page without an article.
+
+    A form or a `with-sidebar` around the whole page says nothing of its text.
+    """
+    held = [0] * len(kinds)
+    for b in blocks:
+        held[b.mark] += len(b.text)
+    has_article = any(k > 0 and h for k, h in zip(kinds, held))
+    for i in range(len(kinds) - 1, 0, -1):
+        held[outer[i]] += held[i]
+    decides = list(range(len(kinds)))
+    for i in range(1, len(kinds)):
+        if kinds[i] < 0 and not has_article and 2 * held[i] > held[0]:
+            decides[i] = decides[outer[i]]
+    return [decides[b.mark] for b in blocks]
+
+
+#: Features of a block's text and place, and the prior mean of their weights (log-odds of being content); landmarks are none of them.
+PRIOR = {"bias": -1.2, "link_share": -3.5, "log_words": 0.6, "ends": 0.8, "heading": 0.4, "paragraph": 0.8, "item": -0.5, "rights": -1.5, "parent_share": 1.0, "longest_near": 0.3}
+#: Prior means of the smoothness: log-odds that adjacent blocks under one parent, adjacent ones under two, and the next under one parent are alike.
+TIES = {"neighbour": 1.0, "distant": 0.2, "kin": 0.8}
+#: Bound of a block's own log-odds; capacities of a landmark and of the tie of a block to it are above all that a block and its neighbours can weigh.
+CLIP, MARK, HOLD = 4.0, 20.0, 12.0
 
 
 def features(blocks: list[Block]) -> np.ndarray:
     n = len(blocks)
     x = np.zeros((n, len(PRIOR)))
     x[:, 0] = 1
+    under: dict[int, int] = defaultdict(int)
+    for b in blocks:
+        under[b.parent] += b.words
+    total = sum(under.values())
+    size = np.minimum(np.log2([b.words for b in blocks]), 7) - 2 if n else np.zeros(0)
     for i, b in enumerate(blocks):
         r = x[i]
-        r[1] = b.good
-        r[2] = b.bad
-        r[3] = min(1.0, b.linked / len(b.text))
-        r[4] = b.words
-        r[5] = b.text[-1] in ".!?…:;\"'”»。"
-        r[6] = b.tag[:1] == "h" and b.tag[1:].isdigit()
-        r[7] = b.tag == "p"
-        r[8] = b.tag in ("li", "dd", "dt", "td", "th")
-        r[9] = "©" in b.text or "All rights" in b.text
-    x[:, 4] = np.minimum(np.log2(x[:, 4]), 7) - 2
+        r[1] = min(1.0, b.linked / len(b.text))
+        r[3] = b.text[-1] in ".!?…:;\"'”»。"
+        r[4] = b.tag in HEADINGS
+        r[5] = b.tag == "p"
+        r[6] = b.tag in ("li", "dd", "dt", "td", "th")
+        r[7] = "©" in b.text or "All rights" in b.text
+        r[8] = 2 * under[b.parent] / total - 1
+        r[9] = size[max(0, i - 2) : i + 3].max()
+    x[:, 2] = size
     return x
 
 
+def relations(blocks: list[Block]) -> list[tuple[int, int, str]]:
+    """Adjacent blocks, under one parent or two, and the next block under the same parent (DOM proximity)."""
+    out, last = [], {}
+    for i, b in enumerate(blocks):
+        if i:
+            out.append((i - 1, i, "neighbour" if blocks[i - 1].parent == b.parent else "distant"))
+        j = last.get(b.parent)
+        if j is not None and j < i - 1:
+            out.append((j, i, "kin"))
+        last[b.parent] = i
+    return out
+
+
 def max_flow_content(z: np.ndarray, edges: list[tuple[int, int, int]], scale: int = 100, clip: float = 12.0) -> np.ndarray:
     """Which nodes lie on the content side of the minimum cut.
 
@@ -202,44 +300,51 @@ def max_flow_content(z: np.ndarray, edges: list[tuple[int, int, int]], scale: in
                     room[e ^ 1] += push
 
 
-def smoothness(blocks: list[Block], neighbour: float = 0.8, distant: float = 0.2, kin: float = 0.6, scale: int = 100) -> list[tuple[int, int, int]]:
-    """Adjacent blocks, more dearly under one parent, and the next block under the same parent (DOM proximity)."""
-    edges, last = [], {}
-    for i, b in enumerate(blocks):
-        if i:
-            edges.append((i - 1, i, int(scale * (neighbour if blocks[i - 1].parent == b.parent else distant))))
-        j = last.get(b.parent)
-        if j is not None and j < i - 1:
-            edges.append((j, i, int(scale * kin)))
-        last[b.parent] = i
-    return edges
-
+def label_blocks(page: str, model: np.ndarray, hidden: bool = False) -> tuple[list[Block], np.ndarray, np.ndarray]:
+    """The blocks of a page, their own log-odds of being content, and which lie on the content side of the minimum cut.
 
-def main_text(page: str, weights: np.ndarray) -> str:
-    blocks = blocks_of(page)
+    Nodes are blocks and landmark elements.  A block's terminal capacity comes from the
+    classifier of its text and place, a landmark's from its kind; blocks are tied to the
+    landmark that decides for them, to their neighbours and to their kin.  With `hidden`,
+    landmarks are left out, as on a page of bare divisions.
+    """
+    blocks, kinds, outer = blocks_of(page)
     if not blocks:
-        return ""
-    keep = max_flow_content(features(blocks) @ weights, smoothness(blocks))
+        return [], np.zeros(0), np.zeros(0, bool)
+    own = np.clip(features(blocks) @ model[: len(PRIOR)], -CLIP, CLIP)
+    ties = dict(zip(TIES, model[len(PRIOR) :]))
+    edges = [(i, j, int(100 * ties[how])) for i, j, how in relations(blocks)]
+    marks = [0] * len(blocks) if hidden else landmarks(blocks, kinds, outer)
+    nodes = {m: len(blocks) + i for i, m in enumerate(sorted(set(marks) - {0}))}
+    edges += [(i, nodes[m], int(100 * HOLD)) for i, m in enumerate(marks) if m]
+    keep = max_flow_content(np.concatenate((own, [MARK * kinds[m] for m in nodes])), edges, clip=MARK)
+    return blocks, own, keep[: len(blocks)]
+
+
+def main_text(page: str, model: np.ndarray) -> str:
+    blocks, _, keep = label_blocks(page, model)
     return "\n\n".join(b.text for b, k in zip(blocks, keep) if k)
 
 
-def lessons(page: str) -> tuple[np.ndarray, np.ndarray]:
-    """Feature rows and labels of a page's blocks, for teaching.
+def lessons(page: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feature rows and labels of a page's blocks, and by relation how many pairs are alike and how many not.
 
-    Blocks are labelled by the landmarks around them: inside a content landmark and no
-    other, or inside a boilerplate one.  Each also teaches with its landmarks hidden, so that
-    pages without any are judged by what their blocks look like.
+    Blocks are labelled by the landmark that decides for them; features say nothing of it,
+    so what is learnt holds on pages without any.
     """
-    blocks = [b for b in blocks_of(page) if b.good or b.bad]
-    x = features(blocks)
-    hidden = x.copy()
-    hidden[:, 1:3] = 0
-    y = (x[:, 2] == 0).astype(float)
-    return np.concatenate((x, hidden)), np.concatenate((y, y))
+    blocks, kinds, outer = blocks_of(page)
+    if not blocks:
+        return np.zeros((0, len(PRIOR))), np.zeros(0), np.zeros((len(TIES), 2))
+    y = np.array([kinds[m] for m in landmarks(blocks, kinds, outer)])
+    pairs = np.zeros((len(TIES), 2))
+    for i, j, how in relations(blocks):
+        if y[i] and y[j]:
+            pairs[list(TIES).index(how), int(y[i] != y[j])] += 1
+    return features(blocks)[y != 0], (y[y != 0] > 0).astype(float), pairs
 
 
-def fit_weights(x: np.ndarray, y: np.ndarray, strength: float = 20.0, steps: int = 200) -> np.ndarray:
-    """Logistic regression of content on features, kept near PRIOR by a Gaussian of precision `strength`."""
+def fit_model(x: np.ndarray, y: np.ndarray, pairs: np.ndarray, strength: float = 20.0, steps: int = 200) -> np.ndarray:
+    """Logistic regression of content on features, kept near PRIOR by a Gaussian of precision `strength`, and the ties: log-odds of pairs being alike, kept near TIES as by `strength` pairs, between 0 and 2."""
     prior = np.array(list(PRIOR.values()))
     w = prior.copy()
     for _ in range(steps if len(x) else 0):
@@ -249,47 +354,52 @@ def fit_weights(x: np.ndarray, y: np.ndarray, strength: float = 20.0, steps: int
         w += step
         if np.abs(step).max() < 1e-6:
             break
-    return w
+    alike = 1 / (1 + np.exp(-np.array(list(TIES.values()))))
+    odds = np.log((pairs[:, 0] + strength * alike) / (pairs[:, 1] + strength * (1 - alike)))
+    return np.concatenate((w, np.clip(odds, 0.0, 2.0)))
 
 
 def train(pages: DataFrame, key: str = "page_id", page: str = "html", sample_pages: int = 500, max_lessons: int = 50_000) -> np.ndarray:
-    """Weights fitted on about `sample_pages` pages drawn by a hash of the key; tasks read the pages, and `max_lessons` rows of numbers at most reach the driver."""
+    """A model fitted on about `sample_pages` pages drawn by a hash of the key; tasks read the pages, and `max_lessons` rows of numbers at most reach the driver."""
     n = pages.count()
     draw = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 20)) < int(min(1.0, sample_pages / max(1, n)) * (1 << 20))
 
     def run(batches):
         for batch in batches:
             for h, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x, y = lessons(p or "")
-                rows = np.column_stack((x, y)).tolist()
+                x, y, pairs = lessons(p or "")
+                rows = [pairs.ravel().tolist(), *np.column_stack((x, y)).tolist()]  # row 0: the pairs
                 yield pa.RecordBatch.from_arrays([pa.array([h] * len(rows), pa.int64()), pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.list_(pa.float64()))], names=["h", "i", "v"])
 
     taught = pages.filter(draw).select(F.xxhash64(F.col(key), F.col(page)).alias("h"), F.col(page)).mapInArrow(run, "h long, i int, v array<double>")
-    rows = [r[0] for r in taught.orderBy("h", "i").limit(max_lessons).select("v").collect()]
-    v = np.array(rows).reshape(-1, len(PRIOR) + 1)
-    return fit_weights(v[:, :-1], v[:, -1])
+    rows = taught.orderBy("h", "i").limit(max_lessons).select("i", "v").collect()
+    v = np.array([r["v"] for r in rows if r["i"]]).reshape(-1, len(PRIOR) + 1)
+    pairs = np.array([r["v"] for r in rows if not r["i"]]).reshape(-1, len(TIES), 2).sum(0)
+    return fit_model(v[:, :-1], v[:, -1], pairs)
 
 
 def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", sample_pages: int = 500) -> DataFrame:
     """(key, url, text, n_chars): the article of every page, one row per input row.
 
     Each text block's log-odds of being content become its terminal capacities; edges between
-    adjacent blocks and between blocks under one parent are the smoothness; the content side
-    of the minimum cut is joined by blank lines.  Weights are fitted on about `sample_pages`
-    pages drawn by a hash of the key (a fixed bound), then broadcast; pages are read whole,
-    where they are.
+    adjacent blocks, between blocks under one parent and to the landmark element around them
+    are the smoothness (label_blocks); the content side of the minimum cut is joined by blank
+    lines.  The model is fitted on about `sample_pages` pages drawn by a hash of the key (a
+    fixed bound), then broadcast; pages are read whole, of any length, where they are, in
+    time that grows with their length.
 
     Null or empty html, and pages without content, give empty text; an empty table gives no
-    rows; markup that never closes ends with the page; repeated rows and null keys stay.
+    rows; markup that never closes ends with the page; of two cuts of one cost the one with
+    less content is taken; repeated rows and null keys stay; extra columns are ignored.
     """
     sent = pages.sparkSession.sparkContext.broadcast(train(pages, key, page, sample_pages))
 
     def run(batches):
-        weights = sent.value
+        model = sent.value
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                texts = [main_text(p, weights) if p else "" for p in part.column(2).to_pylist()]
+                texts = [main_text(p, model) if p else "" for p in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["k", "url", "text", "n_chars"])
 
     rows = pages.select(F.col(key).cast("long").alias("k"), F.col(url).alias("url"), F.col(page).alias("p"))
