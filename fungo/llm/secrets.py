@@ -202,7 +202,8 @@ def synthetic_findings(words: list[str], n: int, seed: int = 11) -> list[tuple[s
     """Labelled windows beside the corpus's own: random keys of common formats (1), and words, names, addresses, paths, versions, dates and numbers built from words of the corpus or made-up ones (0).
 
     Short keys and those of digits alone come after words that announce them, as nothing
-    else tells them from plain ones; some keys lie inside long paths.
+    else tells them from plain ones (of such, none but words follows them as no key); other
+    keys and plain runs both come with and without; some keys lie inside long paths.
     """
     r = random.Random(seed)
     words = words or ["word"]
@@ -219,20 +220,23 @@ def synthetic_findings(words: list[str], n: int, seed: int = 11) -> list[tuple[s
 
     secret = (lambda: rnd(hexd, 18, 64), lambda: rnd(b62, 20, 48), lambda: rnd(b62 + "+/", 24, 60) + "==", lambda: r.choice(("ghp_", "sk_live_", "xoxb-", "glpat-")) + rnd(b62, 16, 36), lambda: "AKIA" + rnd(b62[:26] + b62[52:], 12, 16), lambda: "eyJ" + rnd(b62, 12, 30) + "." + rnd(b62 + "_-", 16, 40), lambda: rnd(b62[:52], 20, 48))
     told = (lambda: rnd(b62, 8, 15), lambda: rnd(b62[52:], 8, 24), lambda: rnd(b62[26:], 8, 15))
-    plain = (lambda: f"{word()}-{word()}-{r.randint(1, 999)}", lambda: f"mail{r.randint(0, 99)}.{word()}.com", lambda: f"{word()}_{word()}_{r.randint(1, 99)}", lambda: f"www.{word()}{r.randint(1, 99)}.org/{word()}/{r.randint(1, 9999)}", lambda: f"{word()}{word()}{r.randint(1, 9999)}", lambda: f"{r.randint(1990, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}T{r.randint(0, 23):02}-{r.randint(0, 59):02}", lambda: f"version-{r.randint(1, 20)}.{r.randint(0, 99)}.{r.randint(0, 99)}-{word()}", lambda: f"{word()}/{word()}/{word()}{r.randint(1, 99)}.txt", lambda: f"{word().title()}{word().title()}{word().title()}{r.randint(1, 20)}", lambda: (word() + word()).capitalize() + r.choice(("", ".")), lambda: word() + word() + r.choice(("", ".", "...")), lambda: str(r.randint(10**7, 10**12)), lambda: r.choice(".-=_/") * r.randint(8, 60), lambda: "/".join(word() for _ in range(r.randint(5, 14))))
+    plain = (lambda: f"{word()}-{word()}-{r.randint(1, 999)}", lambda: f"mail{r.randint(0, 99)}.{word()}.com", lambda: f"{word()}_{word()}_{r.randint(1, 99)}", lambda: f"www.{word()}{r.randint(1, 99)}.org/{word()}/{r.randint(1, 9999)}", lambda: f"{word()}{word()}{r.randint(1, 9999)}", lambda: f"{r.randint(1990, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}T{r.randint(0, 23):02}-{r.randint(0, 59):02}", lambda: f"version-{r.randint(1, 20)}.{r.randint(0, 99)}.{r.randint(0, 99)}-{word()}", lambda: f"{word()}/{word()}/{word()}{r.randint(1, 99)}.txt", lambda: f"{word().title()}{word().title()}{word().title()}{r.randint(1, 20)}", lambda: (word() + word()).capitalize() + r.choice(("", ".")), lambda: word() + word() + r.choice(("", ".", "...")), lambda: str(r.randint(10**7, 10**12)), lambda: r.choice(".-=_/") * r.randint(8, 60), lambda: (word() + r.choice(("", "-", "_")) + word()).upper() + r.choice(("", ".", str(r.randint(1, 99)))), lambda: f"{rnd('ABCDEFGHKLMNPRSTX', 2, 4)}-{r.randint(1990, 2030)}-{r.randint(0, 999999):06}-{rnd('ABCDEFGHKLMNPRSTX', 1, 2)}{r.randint(1, 99)}", lambda: "-".join(rnd(hexd, n, n) for n in (8, 4, 4, 4, 12)), lambda: "/".join(word() for _ in range(r.randint(5, 14))))
     lead = ("the key is ", "key=", "Authorization: Bearer ", "Bearer ", "credential: ", "auth \"", "pwd=", "passphrase: ", "private key ")
     other = ("name=", "page ", "city: ", "no. ", "see \"")
     out = []
     for _ in range(n):
         label = r.random() < 0.5
         short = label and r.random() < 0.25
+        announced = short or r.random() < (0.4 if label else 0.25)
         core = r.choice(told if short else secret if label else plain)()
+        if announced and not label and core.isdigit():
+            core = word() + word()
         if not label and r.random() < 0.1:  # what announces a key is none
             name = r.choice(("Authorization", "passphrase", "credential", "password", "private_key", "client-secret"))
             before = " ".join(word() for _ in range(3)) + " "
             out.append((window(before + name + r.choice((": ", "=", " ", ": Bearer ")) + r.choice((*told, *secret))(), len(before), len(before) + len(name)), 0))
             continue
-        before = " ".join(word() for _ in range(3)) + " " + (r.choice(lead) if short or (label and r.random() < 0.4) else r.choice(other) if not label and r.random() < 0.3 else "")
+        before = " ".join(word() for _ in range(3)) + " " + (r.choice(lead) if announced else r.choice(other) if r.random() < 0.3 else "")
         joined = label and not short and r.random() < 0.25
         front, back = (("/".join(word() for _ in range(r.randint(2, 9))) + "/", "/" + "/".join(word() for _ in range(r.randint(1, 9)))) if joined else ("", ""))
         text = before + front + core + back + " " + word()

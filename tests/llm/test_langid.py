@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import pytest
+
 from fungo.llm import langid
 
 from .helpers import DOC_SCHEMA
@@ -46,6 +48,69 @@ def test_empty_and_unlabelled(spark):
     assert langid.identify(spark.createDataFrame([(1, "abc", None, "s", 1, "x", "x", 1, 0.5)], DOC_SCHEMA)).first().lang_pred == "und"
 
 
+def brute(rows, taught):
+    """Naive Bayes with dictionaries: counts of bucketed n-grams by language, logs, sums."""
+    import math
+    from collections import Counter
+
+    mix, mask = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+    def buckets(t):
+        t = (t or "").lower().replace("\n", " ")
+        chars, before = "", False
+        for c in t:
+            if c.isalpha():
+                chars += c
+            elif before:
+                chars += " "
+            before = c.isalpha()
+        chars += " "
+        for n in (1, 2, 3):
+            for i in range(len(chars) - n + 1):
+                gram = chars[i : i + n]
+                if gram.strip():
+                    h = n
+                    for c in gram:
+                        h = ((h ^ ord(c)) * mix) & mask
+                    yield h >> 49
+
+    counts = {}
+    for i, t, lang in rows:
+        if taught(i) and lang is not None:
+            counts.setdefault(lang, Counter()).update(buckets(t))
+    total = {lang: sum(c.values()) + 0.5 * langid.BUCKETS for lang, c in counts.items()}
+    out = {}
+    for i, t, _ in rows:
+        if not any(c.isalpha() for c in t or ""):
+            out[i] = ("und", 0.0)
+            continue
+        bs = list(buckets(t))
+        score = {lang: sum(math.log((c[b] + 0.5) / total[lang]) for b in bs) for lang, c in counts.items()}
+        best = max(sorted(score), key=score.get)
+        out[i] = (best, 1 / sum(math.exp(s - score[best]) for s in score.values()))
+    return out
+
+
+def test_against_brute_force_bayes(spark):
+    rows = [r for r in table(spark, 150)] + [(900, None, "en"), (901, "12 !", "de"), (902, "a", None), (903, "Ünge\u00a0ß  th\n\nEAU", None), (904, "e", "xx"), (905, "word " * 9000, "en")]
+    rows = [(*r[:3], "s", 1, "x", "x", 1, 0.5) for r in rows]
+    want = brute([r[:3] for r in rows], lambda i: zlib.crc32(str(i).encode()) % 3 != 1)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(spark.createDataFrame(rows, DOC_SCHEMA)).collect()}
+    assert {i: x for i, (x, _) in got.items()} == {i: x for i, (x, _) in want.items()}
+    assert all(abs(got[i][1] - want[i][1]) < 1e-3 for i in want)
+
+
+def test_many_languages_are_all_learnt(spark):
+    rows = [(i, f"{chr(0x4E00 + i % 203)}{chr(0x4E00 + i % 203)} {chr(0x4E00 + i % 203)}", f"l{i % 203:03}", "s", 1, "x", "x", 1, 0.5) for i in range(1218)]
+    docs = spark.createDataFrame(rows, DOC_SCHEMA)
+    names, _ = langid.train(docs)
+    assert len(names) == 203
+    got = langid.predict(docs, *langid.train(docs)).collect()
+    assert all(r.lang_pred == f"l{r.doc_id % 203:03}" for r in got)
+    with pytest.raises(ValueError, match="languages"):
+        langid.train(docs, max_matrix_mb=16)
+
+
 def test_grams_do_not_cross_texts():
     g = langid.Grams()
     whole = g.of([b"ab", b"cd"])
