@@ -84,6 +84,24 @@ def op10_decontamination(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), contaminated().alias("contaminated"))
 
 
+OP1_SQL = r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS step
+), sized AS (
+  SELECT doc_id, coalesce(text, '') AS body, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size FROM documents
+), placed AS (
+  SELECT *, row_number() OVER w AS place, sum(size) OVER w AS upto, sum(size) OVER () AS total
+  FROM sized WINDOW w AS (ORDER BY substr(md5(body), 1, 15), doc_id ROWS UNBOUNDED PRECEDING)
+), dealt AS (
+  -- boundary j of 16 lies before a row if it is as near to that row's beginning as to its end
+  SELECT *, CAST(least(15, (2 * upto - size) * 8 // total) AS INT) AS shard FROM placed
+)
+SELECT doc_id, size,
+       CAST(xor(list_reduce(list_transform(regexp_extract_all(hex(encode(body)), '..'), lambda x: CAST('0x' || x AS BIGINT)), lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS BIGINT) AS text_crc32,
+       'bytes' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY place) - 1 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard
+FROM dealt, crc
+"""
+
 OP6_SQL = r"""
 WITH lines AS (
   SELECT doc_id, i, line,
@@ -130,4 +148,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op6_line_dedup": OP6_SQL, "op10_decontamination": OP10_SQL}
+    return {"op1_sharding": OP1_SQL, "op6_line_dedup": OP6_SQL, "op10_decontamination": OP10_SQL}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from fractions import Fraction
 from functools import reduce
 from math import ceil
 
@@ -13,7 +14,7 @@ from pyspark.sql.types import IntegerType, LongType, StructType
 from .common import carried, cut_lineage, uncarried
 
 KEYS = ("_k0", "_k1", "_k2")
-_LAST = (1 << 63) - 1
+_FIRST, _LAST = -(1 << 63), (1 << 63) - 1
 
 
 @dataclass
@@ -52,24 +53,29 @@ class Splitter:
     rows_below: int
 
 
-def _reached(splitter: Splitter) -> Column:
-    """Whether a row's key is at or behind the splitter, compared part by part."""
-    *head, (name, last) = list(zip(KEYS, splitter.key))
-    out = F.col(name) >= F.lit(last)
-    for name, value in reversed(head):
-        out = (F.col(name) > F.lit(value)) | ((F.col(name) == F.lit(value)) & out)
-    return out
+def _partition(splitters: list[Splitter]) -> Column:
+    """Number of splitters at or below a row's key.
 
-
-def _partition(splitters: list[Splitter], low: int, high: int) -> Column:
-    """Number of splitters at or below a row's key: a balanced decision tree, log2(n) comparisons a row."""
-    if low == high:
-        return F.lit(low)
-    mid = (low + high) // 2
-    return F.when(_reached(splitters[mid]), _partition(splitters, mid + 1, high)).otherwise(_partition(splitters, low, mid))
-
-
-def find_splitters(rows: DataFrame, targets: list[tuple[float, float]], total_bytes: int, max_bins: int = 1 << 16) -> list[Splitter]:
+    By the leading bits of the first key part, a table gives how many splitters lie below all
+    rows with these bits, and how many among them; only those few are compared.
+    """
+    if not splitters:
+        return F.lit(0)
+    keys = sorted((*s.key, *(_FIRST,) * (len(KEYS) - len(s.key))) for s in splitters)
+    shift = max(0, 63 - max(4, len(keys).bit_length() + 2))
+    below = [0] * ((_LAST >> shift) + 2)
+    for k in keys:
+        below[(k[0] >> shift) + 1] += 1
+    for i in range(1, len(below)):
+        below[i] += below[i - 1]
+    sorted_keys = F.array(*(F.struct(*(F.lit(v).cast("long").alias(n) for n, v in zip(KEYS, k))) for k in keys))
+    table, bin_ = F.array(*map(F.lit, below)), F.shiftright(F.col(KEYS[0]), shift).cast("int") + 1
+    before, to = F.element_at(table, bin_), F.element_at(table, bin_ + 1)
+    mine = F.struct(*(F.col(k) for k in KEYS))
+    return (before + F.size(F.filter(F.slice(sorted_keys, before + 1, to - before), lambda k: k <= mine))).cast("int")
+
+
+def find_splitters(rows: DataFrame, targets: list[tuple[Fraction, float]], max_bins: int = 1 << 16) -> list[Splitter]:
     """Splitters whose exact bytes-below meet each (target, tolerance).
 
     Every round counts bytes and rows between equally spaced candidate boundaries of
@@ -96,7 +102,8 @@ def find_splitters(rows: DataFrame, targets: list[tuple[float, float]], total_by
                 while at < len(mine) and below + mine[at]["bytes"] <= want:
                     below, n_below, at = below + mine[at]["bytes"], n_below + mine[at]["n"], at + 1
                 if at == len(mine):  # nothing behind: the boundary is the end of the bracket
-                    found[t] = Splitter((*b.fixed, b.high), below, n_below)
+                    end = (b.high + 1,) if b.high < _LAST else (_LAST,) * (len(KEYS) - len(b.fixed))  # no row has the last place
+                    found[t] = Splitter((*b.fixed, *end), below, n_below)
                     continue
                 r, depth = mine[at], len(b.fixed)
                 under, over = want - below, below + r["bytes"] - want
@@ -130,20 +137,23 @@ def shard_digest(key: str = "doc_id", text: str = "text", shard: str = "shard",
     ]
 
 
-def histogram_shards(docs: DataFrame, n_shards: int = 16, key: str = "doc_id", text: str = "text", tolerance: float = 0.001, parts_per_shard: int | None = None, max_parts: int = 256, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Deals documents into `n_shards` shards of near equal bytes, sorted by (hash of the text, key).
+def histogram_shards(docs: DataFrame, n_shards: int = 16, key: str = "doc_id", text: str = "text", tolerance: float = 0.0, parts_per_shard: int | None = None, part_mb: int = 256, max_parts: int = 16_384, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Deals documents into `n_shards` shards of near equal bytes, sorted by (MD5 of the text, key).
 
     Law `bytes`: a shard's share of the sum of (UTF-8 bytes of the text + 1) differs from
     1/n_shards by no more than `tolerance` of a shard at each end, or by half a row where
-    one row is larger.  Equal texts are neighbours in the order and part only where a
-    boundary falls among them.  Every shard is sorted as `parts_per_shard` ranges (default:
-    enough for spark.sql.shuffle.partitions, `max_parts` ranges at most in all), so no
-    shard has to fit one task; ranges meet a quarter of that tolerance in their own size.
+    one row is larger; by default each boundary is the one next to the exact share.  Equal
+    texts are neighbours in the order and part only where a boundary falls among them.
+    Every shard is sorted as `parts_per_shard` ranges (default: what
+    spark.sql.shuffle.partitions and `part_mb` a range call for, `max_parts` ranges in all,
+    beyond which ranges grow and their sorts spill), so no shard has to fit one task; ranges
+    meet a quarter of their own size.
 
     Rows are written once, so that a row's place stays the same; the rounds read narrow
     columns of that, and whole documents are exchanged, once.  Null text counts no bytes
     and has checksum 0; an empty table gives no rows; repeated rows are told apart by their
-    place in the input; extra columns are ignored but for those in `carry` (see map_text).
+    place in the input; of two boundaries as near to a share the lower is taken; texts are
+    whole, of any length; extra columns are ignored but for those in `carry` (see map_text).
     Null keys sort first.  Returns the columns of shard_digest (slot: gapless from 0 in each
     shard, in sort order; grown_shard is null: `bytes` promises nothing about more shards)
     and the text, and _c0, _c1 and so on.
@@ -155,7 +165,7 @@ def histogram_shards(docs: DataFrame, n_shards: int = 16, key: str = "doc_id", t
             F.col(key).cast("long").alias("_id"),
             F.col(text).alias("_text"),
             (F.octet_length(body).cast("long") + 1).alias("_size"),
-            F.shiftrightunsigned(F.xxhash64(body), 1).alias("_k0"),
+            F.conv(F.substring(F.md5(F.encode(body, "UTF-8")), 1, 15), 16, 10).cast("long").alias("_k0"),
             F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 62))).alias("_k1"),
             F.monotonically_increasing_id().alias("_k2"),
             *carried(docs, carry)[0],
@@ -163,15 +173,16 @@ def histogram_shards(docs: DataFrame, n_shards: int = 16, key: str = "doc_id", t
         "zstd",
     )
     total = rows.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
-    m = parts_per_shard or max(1, min(max_parts // n_shards, ceil(int(spark.conf.get("spark.sql.shuffle.partitions")) / n_shards)))
-    share = total / (n_shards * m)
-    targets = [(share * j, tolerance * total / n_shards / 2 if j % m == 0 else share / 16) for j in range(1, n_shards * m)]
-    splitters = find_splitters(rows, targets, total) if total else []
-    first_row = [0, *(s.rows_below for s in splitters)] if total else [0] * (n_shards * m)
-    shard_start = [first_row[p - p % m] for p in range(n_shards * m)]
-    before = F.array(*(F.lit(first_row[p] - shard_start[p]).cast("long") for p in range(n_shards * m)))
-    part = _partition(splitters, 0, len(splitters)) if splitters else F.lit(0)
-    placed = rows.withColumn("_part", part).repartitionById(n_shards * m, F.col("_part"))  # the window needs no other exchange
+    wanted = max(ceil(int(spark.conf.get("spark.sql.shuffle.partitions")) / n_shards), ceil(total / n_shards / (part_mb << 20)))
+    m = parts_per_shard or max(1, min(max_parts // n_shards, wanted))
+    n_parts = n_shards * m
+    targets = [(Fraction(total * j, n_parts), tolerance * total / n_shards / 2 if j % m == 0 else total / n_parts / 4) for j in range(1, n_parts)]
+    splitters = find_splitters(rows, targets) if total else []
+    first_row = [0, *(s.rows_below for s in splitters)] if total else [0] * n_parts
+    shard_start = [first_row[p - p % m] for p in range(n_parts)]
+    before = F.array(*(F.lit(first_row[p] - shard_start[p]).cast("long") for p in range(n_parts)))
+    part = _partition(splitters)
+    placed = rows.withColumn("_part", part).repartitionById(n_parts, F.col("_part"))  # the window needs no other exchange
     rank = F.row_number().over(Window.partitionBy("_part").orderBy(*KEYS)) - 1
     dealt = placed.select(
         F.col("_id").alias(key),

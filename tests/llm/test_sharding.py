@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -26,6 +27,33 @@ def test_balanced_gapless_and_complete(spark, parts):
         assert abs(sum(x.size for x in mine) - total / 4) <= largest + 0.001 * total
 
 
+def brute(pairs, n):
+    """Rows by (MD5, key) and place; each boundary next to its share of the bytes, the lower of two as near."""
+    rows = sorted(((hashlib.md5((t or "").encode()).hexdigest()[:15], -(1 << 62) if i is None else i, place, i, t) for place, (i, t) in enumerate(pairs)), key=lambda r: r[:3])
+    sizes = [len((t or "").encode()) + 1 for *_, t in rows]
+    total, below, cuts = sum(sizes), 0, []
+    ends = [0]
+    for s in sizes:
+        ends.append(ends[-1] + s)
+    for j in range(1, n):
+        cuts.append(min(range(len(ends)), key=lambda e: (abs(ends[e] * n - total * j), e)))
+    out, slots = [], [0] * n
+    for p, (*_, i, t) in enumerate(rows):
+        shard = sum(c <= p for c in cuts)
+        out.append((i, crc(t), shard, slots[shard]))
+        slots[shard] += 1
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_shards_and_slots_against_brute_force(spark, parts):
+    r = random.Random(8)
+    pairs = [(i, f"w{i} " * r.randint(0, 40)) for i in range(300)] + [(400 + i, "hot " * 9) for i in range(150)] + [x for x in ODD if x[0] not in (None, 904)] + [(950, "one very long text " * 4000)]
+    for n in (2, 4, 7):
+        got = [(x.doc_id, x.text_crc32, x.shard, x.slot) for x in shards(spark, pairs, n, parts_per_shard=parts)]
+        assert sorted(got) == sorted(brute(pairs, n))
+
+
 def test_equal_texts_are_neighbours(spark):
     pairs = [(i, f"text {i % 7}") for i in range(210)]
     order = sorted(shards(spark, pairs), key=lambda x: (x.shard, x.slot))
