@@ -37,6 +37,11 @@ def op3_quality_rules(spark, sf_dir):
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_piece", "chars_bpe", "byte_share", "entropy", "script")
 
 
+def quality_base(spark, sf_dir):
+    """What SQL can say of op3_quality_rules too."""
+    return op3_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def op4_simhash_near_dedup(spark, sf_dir):
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", hex_of("fp").alias("fingerprint"), "component_id")
@@ -59,6 +64,12 @@ def op7_url_filters(spark, sf_dir):
     return filter_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def url_rules(spark, sf_dir):
+    """What SQL can say of op7_url_filters too: the given rules and the verdicts of urls that they decide."""
+    found = op7_url_filters(spark, sf_dir)
+    return found.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("given"))
+
+
 def op8_sentencepiece(spark, sf_dir):
     return encode_documents(read_table(spark, sf_dir, "documents"), PIECE_MODEL)
 
@@ -102,6 +113,39 @@ SELECT doc_id, size,
 FROM dealt, crc
 """
 
+QUALITY_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, s, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n
+  FROM (SELECT doc_id, s, w[s] AS a, w[s + 1] AS b, w[s + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS s FROM w WHERE len(w) >= 3))
+), repeated AS (
+  SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest([s, s + 1, s + 2]) AS x FROM windows WHERE n > 1) GROUP BY doc_id
+), counted AS (
+  SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(body, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN repeated r ON w.doc_id = r.doc_id
+)
+SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
+FROM counted
+"""
+
+URL_SQL = r"""
+WITH rest AS (
+  SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) AS r FROM pages
+), parts AS (
+  SELECT page_id, translate(regexp_extract(r, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '(?s)^[^/?#]*(/[^?#]*)', 1) AS path FROM rest
+), rules(rule, given, h, p) AS (
+  VALUES ('net/', 'block', 'net', '/'), ('example.net/en/', 'allow', 'example.net', '/en/'), ('example.com/de/', 'block', 'example.com', '/de/'), ('org/fr/', 'allow', 'org', '/fr/')
+), fits AS (
+  SELECT page_id, rule, given, row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC, rule) AS n
+  FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+)
+SELECT parts.page_id, host, path, rule, given FROM parts LEFT JOIN fits ON parts.page_id = fits.page_id AND n = 1
+"""
+
 OP6_SQL = r"""
 WITH lines AS (
   SELECT doc_id, i, line,
@@ -143,9 +187,9 @@ FROM dw LEFT JOIN words ON dw.doc_id = words.doc_id LEFT JOIN items ON dw.doc_id
 
 
 def queries():
-    found = [op1_sharding, op2_html_extraction, op3_quality_rules, op4_simhash_near_dedup, op5_language_id, op6_line_dedup, op7_url_filters, op8_sentencepiece, op9_secret_scans, op10_decontamination]
+    found = [op1_sharding, op2_html_extraction, op3_quality_rules, op4_simhash_near_dedup, op5_language_id, op6_line_dedup, op7_url_filters, op8_sentencepiece, op9_secret_scans, op10_decontamination, quality_base, url_rules]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql():
-    return {"op1_sharding": OP1_SQL, "op6_line_dedup": OP6_SQL, "op10_decontamination": OP10_SQL}
+    return {"op1_sharding": OP1_SQL, "quality_base": QUALITY_SQL, "url_rules": URL_SQL, "op6_line_dedup": OP6_SQL, "op10_decontamination": OP10_SQL}
