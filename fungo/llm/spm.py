@@ -48,6 +48,7 @@ class Model:
         self.out = [bytes([int(p.piece[3:5], 16)]) if p.type == 6 else p.piece.replace(SPACE, " ").encode() if p.type == 1 else b"" for p in proto.pieces]
         self.longest = max(map(len, self.ids))
         self.known = {c for p in self.ids for c in p}
+        self.begins = {p[:i] for p in self.ids for i in range(2, len(p) + 1)}
         self.units = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n+")
         if "\n" in self.known or any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("pieces cross white space; units would not be independent")
@@ -85,13 +86,17 @@ class Model:
             return ids
         at: list[list] = [[] for _ in range(len(s) + 1)]
         at[0].append((None, None))
+        begins, whole = self.begins, self.whole
         for p in range(len(s)):
             before = at[p]
             if not before:
                 continue
-            for e in range(p + 1, min(p + self.longest, len(s)) + 1):
+            for e in range(p + 1, len(s) + 1):
                 token = s[p:e]
-                if not self.is_token(token):
+                if e > p + 1 and token not in begins:
+                    break
+                known = whole.get(token)
+                if not (self.is_token(token) if known is None else known):
                     continue
                 for node in before:
                     if node[0] is None or self.fits(node[0], token):
@@ -128,9 +133,11 @@ class Model:
         """Whether s is one character or a piece that its own characters merge to."""
         known = self.whole.get(s)
         if known is None:
-            if len(s) > 1 and s not in self.scores:
+            if len(s) == 1:
+                return True
+            if s not in self.begins:
                 return False
-            known = self.whole[s] = len(s) == 1 or self.merged(s) == [s]
+            known = self.whole[s] = s in self.scores and self.merged(s) == [s]
         return known
 
     def fits(self, a: str, b: str) -> bool:
@@ -260,7 +267,7 @@ def _cuts(n: int, size: int) -> list[int]:
     return [n * c // k for c in range(k + 1)]
 
 
-def encode_documents(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", chunk_chars: int = 8_000) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", chunk_chars: int = 32_000) -> DataFrame:
     """(key, token_ids, n_tokens, n_chars, n_chunks, round_trip): the ids the SentencePiece library gives for each whole text.
 
     `round_trip` tells that decoding the ids gives the text again (false only where the text
