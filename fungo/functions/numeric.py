@@ -46,4 +46,7 @@ def row_sum(*columns: str) -> Column:
 
 def any_present(*columns: str) -> Column:
     """Whether any of the columns is not null."""
-    return F.coalesce(*(F.col(c).cast("string") for c in columns)).isNotNull()
+    found = F.lit(False)
+    for c in columns:
+        found = found | F.col(c).isNotNull()
+    return found

@@ -7,7 +7,7 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fungo.plans.schema import FORMER_TEAM, TEAM_STATUSES
+from fungo.plans.schema import FORMER_SIGN, TEAM_STATUSES
 
 
 def literal_map(mapping: dict) -> Column:
@@ -21,7 +21,8 @@ def looked_up(key: Column, mapping: dict, otherwise: Column) -> Column:
 
 def translate_team(team: Column, team_map: dict[str, str]) -> Column:
     """An exact hit in the map; else a free agent or a returning player, with the former team where it is given; else the text itself."""
-    former = F.regexp_extract(team, FORMER_TEAM, 1)
+    closed = F.translate(F.substring(team, F.lit(1) + F.instr(team, FORMER_SIGN), F.char_length(team)), ")", "）")
+    former = F.when((F.instr(team, FORMER_SIGN) > 0) & closed.contains("）"), F.substring_index(closed, "）", 1)).otherwise("")
     known = looked_up(former, team_map, former)
 
     def status(plain: str, label: str) -> Column:

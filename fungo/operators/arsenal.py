@@ -51,7 +51,7 @@ def arsenal_wide(long: DataFrame, types: tuple[str, ...] = PITCH_TYPES, metrics:
 
 def enrich_names(df: DataFrame, players: DataFrame, id_column: str = "player_id") -> DataFrame:
     """`first last` from a player table (id, name_first, name_last); null where the id is not in it, Player_<id> where it has no name."""
-    names = players.select(F.col("id").alias("_id"), F.coalesce(F.concat_ws(" ", "name_first", "name_last"), F.lit("")).alias("_name")).dropDuplicates(["_id"])
+    names = players.groupBy(F.col("id").alias("_id")).agg(F.coalesce(F.min(F.concat_ws(" ", "name_first", "name_last")), F.lit("")).alias("_name"))  # the least of several
     joined = df.join(names, F.col(id_column) == F.col("_id"), "left")
     name = F.when(F.col("_name") == "", F.concat(F.lit("Player_"), F.col(id_column).cast("string"))).otherwise(F.col("_name"))
     return joined.withColumn("player_name", name).drop("_id", "_name")
@@ -89,7 +89,8 @@ def usage_matrix(wide: DataFrame, season: int, types: tuple[str, ...], n: int =
 
 
 def component_matrix(df: DataFrame, labels: dict[str, str], rank: str = "stuff_plus", innings: str = "ip", min_ip: float = 100, n: int = 15, name: str = "name") -> DataFrame:
-    """T4: component columns of the n best with enough innings, as doubles under their labels."""
+    """T4: component columns of the n best with enough innings, as doubles under their labels; without the rank column the first n by name, without innings all take part."""
     rows = df.filter(F.col(innings) >= min_ip) if innings in df.columns else df
-    top = rows.filter(F.col(rank).isNotNull()).orderBy(F.desc(rank), name).limit(n)
-    return top.select(name, rank, *(F.col(c).try_cast("double").alias(label) for c, label in labels.items() if c in df.columns))
+    ranked = rank in df.columns
+    top = (rows.filter(F.col(rank).isNotNull()).orderBy(F.desc(rank), name) if ranked else rows.orderBy(name)).limit(n)
+    return top.select(name, *([rank] if ranked else []), *(F.col(c).try_cast("double").alias(label) for c, label in labels.items() if c in df.columns))

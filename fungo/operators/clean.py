@@ -79,3 +79,8 @@ def metric_pair(df: DataFrame, x: str, y: str, season: int | None = None, group:
     """Two measures of one season, rows with both, and a group column."""
     rows = df if season is None else df.filter(F.col(season_column) == season)
     return require(rows, x, y).select(*([group] if group else []), x, y)
+
+
+def with_absent(df: DataFrame, *columns: str) -> DataFrame:
+    """Measures that the table lacks, as null doubles."""
+    return df.withColumns({c: F.lit(None).cast("double") for c in columns if c not in df.columns}) if set(columns) - set(df.columns) else df

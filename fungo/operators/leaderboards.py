@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fungo.operators.clean import require
+from fungo.operators.stats import histogram
 from fungo.plans.schema import LEADERBOARDS
 
 
@@ -50,6 +51,14 @@ def yoy_delta(df: DataFrame, key: str, season_column: str, first: int, second: i
     return ordered if n is None else ordered.limit(n)
 
 
+def change_histogram(df: DataFrame, columns: list[str], bins: int = 30) -> DataFrame:
+    """A19 over the newest change that the table has: the first of `columns` that exists, its name beside the bins; no rows where none does."""
+    found = next((c for c in columns if c in df.columns), None)
+    if found is None:
+        return histogram(df.select(F.lit(None).cast("double").alias("none")), "none", bins).withColumn("measure", F.lit(None).cast("string"))
+    return histogram(df, found, bins).withColumn("measure", F.lit(found))
+
+
 def restrict_to(df: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows whose key is among the keys."""
     return df.join(keys, keys.columns, "left_semi")

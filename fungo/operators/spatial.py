@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fungo.operators.clean import with_absent
 from fungo.functions.numeric import count_where, safe_ratio
 from fungo.operators.stats import bounds
 
@@ -66,7 +67,8 @@ def spray_density(df: DataFrame, group: str, cell: float = 10.0, step: float = 5
 
 
 def pitch_location(df: DataFrame, group: str, value: str, cell: float = 0.5) -> DataFrame:
-    """For the busiest pitcher of a group: pitches per type and location cell, and the share inside the zone."""
+    """For the busiest pitcher of a group: pitches per type and location cell, and the share inside the zone (null where the table has no zone)."""
+    df = with_absent(df, "plate_x", "plate_z", "sz_top", "sz_bot")
     rows = df.filter(F.col(group) == value)
     top = rows.filter("pitcher is not null").groupBy("pitcher").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "pitcher").limit(1).select("pitcher")
     mine = with_in_zone(rows.join(F.broadcast(top), "pitcher", "left_semi").filter("pitch_type is not null and plate_x is not null and plate_z is not null"))

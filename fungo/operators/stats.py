@@ -79,10 +79,16 @@ def missing_profile(df: DataFrame, n: int = 20) -> DataFrame:
     return _stacked(one, df.columns, ["n"]).select("_r.column_name", F.col("_r.n").alias("n_missing"), pct.alias("pct_missing")).orderBy(F.desc("n_missing"), "column_name").limit(n)
 
 
-def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Count, mean, sample deviation, extremes and exact quartiles of measures, in one pass."""
+def describe(df: DataFrame, columns: list[str], accuracy: int | None = None) -> DataFrame:
+    """Count, mean, sample deviation, extremes and quartiles of measures, in one pass.
+
+    Quartiles are exact (each task's distinct values meet, with their counts); with
+    `accuracy` they come from percentile_approx, whose states stay small, for measures of
+    very many distinct values.
+    """
     parts = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
-    quartiles = [F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i, c in enumerate(columns)]
+    at = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    quartiles = [(F.percentile(c, at) if accuracy is None else F.percentile_approx(c, at, accuracy)).alias(f"q{i}") for i, c in enumerate(columns)]
     one = df.agg(*(f(c).alias(f"{p}{i}") for i, c in enumerate(columns) for p, f in parts.items()), *quartiles)
     r = _stacked(one, columns, [*parts, "q"])
     return r.select("_r.column_name", "_r.n", "_r.mean", "_r.std", "_r.min", F.col("_r.q")[0].alias("p25"), F.col("_r.q")[1].alias("p50"), F.col("_r.q")[2].alias("p75"), "_r.max")
@@ -112,17 +118,23 @@ def histogram(df: DataFrame, column: str, bins: int, by: str | None = None) -> D
     return g.select(*([by] if by else []), "bin", (lo + F.col("bin") * width).alias("lo"), (lo + (F.col("bin") + 1) * width).alias("hi"), "n")
 
 
-def box_stats(df: DataFrame, key: str, value: str, order: list[str] | None = None) -> DataFrame:
-    """Per key: quartiles, whisker ends (furthest values within 1.5 quartile ranges) and number of outliers; `order` restricts and ranks the keys."""
+def box_stats(df: DataFrame, key: str, value: str, order: list[str] | None = None, accuracy: int | None = None) -> DataFrame:
+    """Per key: quartiles, whisker ends (furthest values within 1.5 quartile ranges) and number of outliers; `order` restricts and ranks the keys.
+
+    Rows are first counted by key and value, with map-side partials, so that a hot key is
+    no hot task; quartiles, whiskers and outliers come from the counts.  With `accuracy`,
+    quartiles come from percentile_approx over the rows.
+    """
     rows = df.filter(F.col(key).isNotNull() & F.col(value).isNotNull())
     if order is not None:
         rows = rows.filter(F.col(key).isin(*order))
-    quartiles = rows.groupBy(key).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).select(F.col(key).alias("_key"), F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    counts = rows.groupBy(key, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    at = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    quartiles = counts.groupBy(key).agg(F.percentile("_v", at, F.col("_n")).alias("_q")) if accuracy is None else rows.groupBy(key).agg(F.percentile_approx(value, at, accuracy).alias("_q"))
+    joined = counts.join(quartiles, key).select(key, "_v", "_n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    v = F.col(value)
-    inside = v.between(F.col("q1") - reach, F.col("q3") + reach)
-    joined = rows.join(quartiles, F.col(key) == F.col("_key"))
-    out = joined.groupBy(key, "q1", "median", "q3").agg(F.min(F.when(inside, v)).alias("whisker_low"), F.max(F.when(inside, v)).alias("whisker_high"), count_where(~inside).alias("n_outliers"))
+    inside = F.col("_v").between(F.col("q1") - reach, F.col("q3") + reach)
+    out = joined.groupBy(key, "q1", "median", "q3").agg(F.min(F.when(inside, F.col("_v"))).alias("whisker_low"), F.max(F.when(inside, F.col("_v"))).alias("whisker_high"), F.coalesce(F.sum(F.when(~inside, F.col("_n"))), F.lit(0)).alias("n_outliers"))
     if order is not None:
         out = out.orderBy(F.array_position(F.array(*map(F.lit, order)), F.col(key)))
     return out

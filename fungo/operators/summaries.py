@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fungo.functions.numeric import count_where, round_half_even, safe_ratio
+from fungo.operators.clean import with_absent
 from fungo.plans.schema import AB_EVENTS, HIT_EVENTS, PA_EVENTS, WALK_EVENTS
 
 
@@ -26,9 +27,10 @@ def batting_summary(pitches: DataFrame, keys: tuple[str, str] = ("batter", "coun
     """A3: batting line of every batter and country, from one grouped pass of conditional counts.
 
     On-base percentage is (H + BB + HBP) / PA; rates of nobody are null; means are over all
-    pitches of the group.  The name is the least of the group's (a function of the id).
+    pitches of the group, null where the table lacks the measure.  The name is the least of
+    the group's (a function of the id).
     """
-    known = pitches.filter(" and ".join(f"{k} is not null" for k in keys))
+    known = with_absent(pitches, "estimated_woba_using_speedangle", "launch_speed", "launch_angle").filter(" and ".join(f"{k} is not null" for k in keys))
     means = {"_x": F.avg("estimated_woba_using_speedangle"), "_ev": F.avg("launch_speed"), "_la": F.avg("launch_angle")}
     g = known.groupBy(*keys).agg(F.min("player_name").alias("player_name"), *(c.alias(n) for n, c in (_outcomes() | means).items()))
     g = g.withColumn("TB", _total_bases())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from fungo.operators import arsenal, leaderboards
@@ -10,6 +12,7 @@ from fungo.plans.core import BATTING, WITH
 from fungo.plans.fixture import board, pitches, view
 from fungo.plans.registry import register
 from fungo.plans.scalars import BOARD_WITH
+from fungo.plans.schema import LEADERBOARDS
 
 
 @register(f"{BOARD_WITH} SELECT entity_name, year, exit_velo FROM board WHERE year = 1997 AND exit_velo IS NOT NULL ORDER BY exit_velo DESC, entity_name LIMIT 20")
@@ -66,3 +69,24 @@ def restrict_to_top(spark, sf_dir):
 @register(f"{WITH} SELECT CAST(game_date AS VARCHAR) AS day, pitcher, bat_speed, launch_speed FROM pitches WHERE bat_speed IS NOT NULL AND launch_speed IS NOT NULL ORDER BY 1, 2, 3, 4 LIMIT 20")
 def preview(spark, sf_dir):
     return leaderboards.preview(pitches(spark, sf_dir).withColumn("day", F.col("game_date").cast("string")), ["day", "pitcher", "bat_speed", "launch_speed"], ["bat_speed", "launch_speed"])
+
+
+#: What each configured metric is read from on the board-shaped table.
+_AS = {m: ("speed", "bat", "exit_velo", "n")[i % 4] for i, m in enumerate(dict.fromkeys(m for _, m, *_ in LEADERBOARDS))}
+
+
+@register(f"{BOARD_WITH} " + " UNION ALL ".join(f"(SELECT '{b}_{m}_{'bottom' if asc else 'top'}' AS board, entity_name, CAST({_AS[m]} AS DOUBLE) AS value FROM board WHERE year = 1997 AND {_AS[m]} IS NOT NULL ORDER BY {_AS[m]} {'ASC' if asc else 'DESC'}, entity_name LIMIT {n})" for b, m, asc, n, _ in LEADERBOARDS))
+def configured_boards(spark, sf_dir):
+    """All configured leaderboards of a season, one below the other."""
+    rows = board(spark, sf_dir)
+    frames = {b: rows.select("entity_name", F.col("year").alias(season), *(F.col(_AS[m]).alias(m) for bb, m in dict.fromkeys((x[0], x[1]) for x in LEADERBOARDS) if bb == b)) for b, _, _, _, season in LEADERBOARDS}
+    found = leaderboards.leaderboards(frames, 1997, dict.fromkeys(frames, "entity_name"))
+    metric = {f"{b}_{m}_{'bottom' if asc else 'top'}": m for b, m, asc, *_ in LEADERBOARDS}
+    return reduce(lambda a, b: a.unionAll(b), [df.select(F.lit(name).alias("board"), "entity_name", F.col(metric[name]).cast("double").alias("value")) for name, df in found.items()])
+
+
+@register(f"{BOARD_WITH}, d AS (SELECT b.exit_velo - a.exit_velo AS delta FROM board a JOIN board b ON a.player_id = b.player_id WHERE a.year = 1996 AND b.year = 1997 AND a.exit_velo IS NOT NULL AND b.exit_velo IS NOT NULL), e AS (SELECT min(delta) AS lo, max(delta) AS hi FROM d) SELECT CAST(least(floor((delta - lo) / ((hi - lo) / 30)), 29) AS INT) AS bin, count(*) AS n, 'delta_1996_1997' AS measure FROM d, e GROUP BY 1")
+def year_to_year(spark, sf_dir):
+    """Changes between seasons in bins: the newer pair of seasons is not in the table, so the older one is taken."""
+    changes = leaderboards.yoy_delta(board(spark, sf_dir), "player_id", "year", 1996, 1997, "exit_velo", n=None).withColumnRenamed("delta", "delta_1996_1997")
+    return leaderboards.change_histogram(changes, ["delta_1997_1998", "delta_1996_1997"]).select("bin", "n", "measure")

@@ -32,15 +32,15 @@ ROSTER_COUNTRIES = {
     "Panama": "PAN", "Colombia": "COL", "Nicaragua": "NCA", "Australia": "AUS", "Brazil": "BRA", "Czechia": "CZE",
 }
 POOL_CITIES = {"サンフアン": "San Juan", "ヒューストン": "Houston", "東京ドーム": "Tokyo", "マイアミ": "Miami"}
-#: Roster text: header lines (country, pool letter, city), lines to skip by how they begin, the line of column titles.
-ROSTER_HEADER = r"^(.+?)（.+?）\s*—\s*プール([A-D])（(.+?)）\s*—"
+#: Roster text: what parts a header line, what its second part begins with and the letters after that; lines to skip by how they begin; the line of column titles.
+ROSTER_DASH, ROSTER_POOL, ROSTER_LETTERS = "—", "プール", "ABCD"
 ROSTER_SKIPPED = ("WBC 2026", "出典")
 ROSTER_TITLES = "選手名,"
 #: Positions of pitchers.
 PITCHER_POSITIONS = ("RHP", "LHP")
-#: Team texts of players without a team: mark, label without and with a former team; and where that team stands.
+#: Team texts of players without a team: mark, label without and with a former team; and the sign before that team.
 TEAM_STATUSES = (("FA", "Free Agent", "FA"), ("引退復帰", "Returning from retirement", "Returning from retirement"))
-FORMER_TEAM = "前(.+?)[）)]"
+FORMER_SIGN = "前"
 #: Team names as rosters give them.
 TEAMS = {
     "アスレチックス": "Athletics", "アトランタ・ブレーブス": "Atlanta Braves", "アリゾナ・ダイヤモンドバックス": "Arizona Diamondbacks",

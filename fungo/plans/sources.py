@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fungo.functions import text
 from fungo.plans.fixture import PITCHES, ROSTER_LINES, duck, pitches, view
@@ -17,8 +18,12 @@ WITH = f"WITH pitches AS ({duck(PITCHES)})"
 
 
 def scratch(spark) -> str:
-    """A new path in the folder that all executors share."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fungo-")
+    """A new path in the folder that all executors share; a local one only where all runs in this machine (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="fungo-")
     return f"{folder.rstrip('/')}/fungo-{uuid.uuid4().hex}"
 
 
@@ -46,9 +51,26 @@ _PREFIXES = [*SOURCE_COUNTRIES, "narnia", "oz"]
 _SOURCED = "SELECT c_custkey, c_acctbal, " + "CASE CAST(c_custkey % 22 AS INT) " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(_PREFIXES)) + " END AS prefix FROM {customer}"
 
 
-@register(f"WITH s AS ({duck(_SOURCED)}) SELECT c_custkey, c_acctbal, prefix, {case('prefix', {k: v[0] for k, v in SOURCE_COUNTRIES.items()}, 'NULL')} AS country, {case('prefix', {k: v[1] for k, v in SOURCE_COUNTRIES.items()}, 'NULL')} AS country_name FROM s WHERE prefix NOT IN ('narnia', 'oz')")
+@register(f"WITH s AS ({duck(_SOURCED)}) SELECT c_custkey, c_acctbal, CASE WHEN c_custkey % 2 = 1 THEN concat('no. ', CAST(c_custkey AS VARCHAR)) END AS note, {case('prefix', {k: v[0] for k, v in SOURCE_COUNTRIES.items()}, 'NULL')} AS country, {case('prefix', {k: v[1] for k, v in SOURCE_COUNTRIES.items()}, 'NULL')} AS country_name FROM s WHERE prefix NOT IN ('narnia', 'oz')")
 def combine_sources(spark, sf_dir):
-    return tables.tag_sources(view(spark, sf_dir, _SOURCED), "prefix", SOURCE_COUNTRIES)[0]
+    """Sources of unequal columns, and one to leave out, are written by prefix and combined again."""
+    rows, folder = view(spark, sf_dir, _SOURCED).withColumn("source", F.concat("prefix", F.lit("_pitches.csv"))), scratch(spark)
+    odd = F.col("c_custkey") % 2 == 1  # one prefix, one parity
+    with_note = rows.filter(odd).select("c_acctbal", F.concat(F.lit("no. "), F.col("c_custkey").cast("string")).alias("note"), "c_custkey", "source")
+    left_out = rows.select("c_custkey", F.concat("prefix", F.lit("_batters_pitches.csv")).alias("source"))
+    for part in (rows.filter(~odd).select("c_custkey", "c_acctbal", "source"), with_note, left_out):
+        part.write.partitionBy("source").mode("append").option("header", True).csv(folder)
+    schema = T.StructType([T.StructField("c_custkey", T.LongType()), T.StructField("c_acctbal", T.DoubleType())])
+    return tables.combine_sources(spark, folder, "_pitches.csv", "_batters_pitches", SOURCE_COUNTRIES, schema)[0].select("c_custkey", "c_acctbal", "note", "country", "country_name")
+
+
+@register("SELECT o_orderkey, CASE WHEN year(o_orderdate) = 1996 THEN 2 * o_totalprice ELSE o_totalprice END AS price, CAST(year(o_orderdate) AS INT) AS season FROM orders")
+def partition_refresh(spark, sf_dir):
+    """All seasons are written, then one again with new values: it alone is replaced."""
+    rows, path = view(spark, sf_dir, "SELECT o_orderkey, o_totalprice AS price, CAST(year(o_orderdate) AS INT) AS season FROM {orders}"), scratch(spark)
+    tables.write_dataset(rows, path, "parquet", "season")
+    tables.write_dataset(rows.filter("season = 1996").withColumn("price", 2 * F.col("price")), path, "parquet", "season")
+    return tables.read_table(spark, path, fmt="parquet").select("o_orderkey", "price", "season")
 
 
 @register(f"WITH s AS ({duck(_SOURCED)}) SELECT prefix, count(*) AS n_rows FROM s WHERE prefix IN ('narnia', 'oz') GROUP BY prefix")
@@ -56,7 +78,7 @@ def unmatched_sources(spark, sf_dir):
     return tables.tag_sources(view(spark, sf_dir, _SOURCED), "prefix", SOURCE_COUNTRIES)[1]
 
 
-_FORMER = "regexp_extract(t, '前(.+?)[）)]', 1)"
+_FORMER = "CASE WHEN contains(t, '前') AND contains(split_part(t, '前', 2), '）') THEN split_part(split_part(t, '前', 2), '）', 1) ELSE '' END"
 
 
 def _team_sql() -> str:
@@ -66,11 +88,8 @@ def _team_sql() -> str:
     return case("t", TEAMS, rest)
 
 
-_HEAD = "^(.+?)（.+?）\\s*—\\s*プール([A-D])（(.+?)）\\s*—"
-
-
 @register(f"""WITH raw AS ({duck(ROSTER_LINES)}), l AS (SELECT f, pos, trim(line) AS line FROM raw WHERE trim(line) <> '' AND NOT starts_with(trim(line), 'WBC 2026') AND NOT starts_with(trim(line), '出典')),
-h AS (SELECT *, regexp_matches(line, '{_HEAD}') AS is_head, trim(regexp_extract(line, '{_HEAD}', 1)) AS hc, regexp_extract(line, '{_HEAD}', 2) AS hp, regexp_extract(line, '{_HEAD}', 3) AS hcity FROM l),
+h AS (SELECT *, contains(line, '— プール') AS is_head, trim(split_part(line, '（', 1)) AS hc, substr(split_part(line, 'プール', 2), 1, 1) AS hp, split_part(split_part(split_part(line, 'プール', 2), '（', 2), '）', 1) AS hcity FROM l),
 g AS (SELECT *, count(*) FILTER (WHERE is_head) OVER (PARTITION BY f ORDER BY pos ROWS UNBOUNDED PRECEDING) AS section FROM h),
 d AS (SELECT f, section, {case('hc', ROSTER_COUNTRIES, 'NULL')} AS country, concat(hp, ' (', {case('hcity', POOL_CITIES, 'hcity')}, ')') AS pool FROM g WHERE is_head),
 p AS (SELECT d.country, d.pool, string_split(line, ',') AS x FROM g JOIN d ON g.f = d.f AND g.section = d.section WHERE NOT is_head AND NOT starts_with(line, '選手名,') AND d.country IS NOT NULL),

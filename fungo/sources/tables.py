@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import types as T
 
 from fungo.functions.numeric import nan_to_null
 from fungo.functions.text import english_name, looked_up, translate_team
-from fungo.plans.schema import PITCHER_POSITIONS, ROSTER_HEADER, ROSTER_SKIPPED, ROSTER_TITLES
+from fungo.plans.schema import PITCHER_POSITIONS, ROSTER_DASH, ROSTER_LETTERS, ROSTER_POOL, ROSTER_SKIPPED, ROSTER_TITLES
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None, fmt: str = "csv") -> DataFrame:
@@ -36,9 +38,14 @@ def season_window(df: DataFrame, date_column: str, windows: list[tuple[int, str,
     return df.withColumn(label, which).filter(F.col(label).isNotNull())
 
 
-def source_prefix(file_name, suffix: str):
-    """The part of a file's name before its suffix, without underscores at its end."""
-    return F.regexp_replace(F.regexp_replace(file_name, rf"{suffix.replace('.', chr(92) + '.')}$", ""), "_+$", "")
+def source_of(path: str, suffix: str) -> str | None:
+    """The part of a path that ends in a suffix: a file, or a folder of part files (`<column>=` before its name, as partitioned writes put it, is left out)."""
+    return next((part.split("=")[-1] for part in reversed(path.split("/")) if part.endswith(suffix)), None)
+
+
+def source_prefix(path, suffix: str):
+    """The part of a source's name (see source_of) before its suffix, without underscores at its end."""
+    return F.regexp_extract(path, rf"([^/=]*?)_*{re.escape(suffix)}(?:/[^/]*)?$", 1)
 
 
 def tag_sources(df: DataFrame, prefix: str, source_map: dict[str, tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
@@ -50,20 +57,27 @@ def tag_sources(df: DataFrame, prefix: str, source_map: dict[str, tuple[str, str
 
 
 def combine_sources(spark: SparkSession, folder: str, suffix: str, exclude: str | None, source_map: dict[str, tuple[str, str]], schema: T.StructType | None = None) -> tuple[DataFrame, DataFrame]:
-    """All `*<suffix>` files of a folder without `exclude` in their name, tagged from their prefix; and the skipped prefixes.
+    """All sources `*<suffix>` of a folder without `exclude` in their name, tagged from their prefix; and the skipped prefixes.
 
-    Columns are matched by name: files are grouped by header line, one read per distinct header.
+    A source is a file or a folder of part files.  Columns are matched by name: of each
+    source the first line of one file is read for its header, and sources of one header are
+    one scan.
     """
-    glob = f"*{suffix}"
-    heads = spark.read.option("pathGlobFilter", glob).text(folder, wholetext=False).select(F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_block_start").alias("o"), "value", F.monotonically_increasing_id().alias("i"))
-    if exclude:
-        heads = heads.filter(~F.col("f").contains(exclude))
-    firsts = heads.filter("o = 0").groupBy("p").agg(F.min_by("value", "i").alias("h")).groupBy("h").agg(F.collect_list("p").alias("files")).collect()  # one row per distinct header
-    if not firsts:
+    paths = spark.read.text(f"{folder}/*{suffix}").inputFiles()
+    files: dict[str, list[str]] = {}
+    for p in sorted(paths):
+        name = source_of(unquote(p), suffix)
+        if name is not None and not (exclude and exclude in name):
+            files.setdefault(name, []).append(p)
+    if not files:
         return spark.createDataFrame([], schema or T.StructType()), spark.createDataFrame([], "prefix string, n_rows long")
+    headers: dict[tuple[str, ...], list[str]] = {}
+    for name, own in files.items():
+        headers.setdefault(tuple(spark.read.option("header", True).csv(unquote(own[0])).columns), []).append(name)
     frames = []
-    for r in sorted(firsts, key=lambda r: r["h"]):
-        df = spark.read.option("header", True).csv(sorted(r["files"])).withColumn("prefix", source_prefix(F.col("_metadata.file_name"), suffix))
+    for columns, names in sorted(headers.items()):
+        df = spark.read.option("header", True).schema(T.StructType([T.StructField(c, T.StringType()) for c in columns])).csv([unquote(p) for n in names for p in files[n]])
+        df = df.withColumn("prefix", source_prefix(F.url_decode(F.col("_metadata.file_path")), suffix))
         if schema is not None:
             types = {f.name: f.dataType for f in schema.fields}
             df = df.select(*(F.col(c).try_cast(types[c]).alias(c) if c in types else F.col(c) for c in df.columns))
@@ -78,9 +92,13 @@ def roster_rows(lines: DataFrame, file: str, position: str, line: str, countries
     text = F.trim(F.regexp_replace(F.col(line), r"^\s+|\s+$", ""))
     rows = lines.select(F.col(file).alias("_file"), F.col(position).alias("_pos"), text.alias("_line"))
     rows = rows.filter(reduce(lambda c, x: c & ~F.col("_line").startswith(x), ROSTER_SKIPPED, F.col("_line") != ""))
-    name = F.trim(F.regexp_extract("_line", ROSTER_HEADER, 1))
-    city = F.regexp_extract("_line", ROSTER_HEADER, 3)
-    section = F.when(name != "", F.struct(looked_up(name, countries, F.lit(None).cast("string")).alias("country"), F.concat(F.regexp_extract("_line", ROSTER_HEADER, 2), F.lit(" ("), looked_up(city, cities, city), F.lit(")")).alias("pool")))
+    # country（…） — プールX（city） — …
+    parts = F.transform(F.split("_line", ROSTER_DASH), lambda x: F.trim(x))
+    head, pool = parts[0], F.get(parts, F.lit(1))
+    name, letter = F.trim(F.substring_index(head, "（", 1)), F.substring(pool, len(ROSTER_POOL) + 1, 1)
+    city = F.substring_index(F.substring_index(pool, "（", -1), "）", 1)
+    is_head = (F.size(parts) > 2) & head.like("_%（_%）") & pool.startswith(ROSTER_POOL) & letter.isin(*ROSTER_LETTERS) & F.substring(pool, len(ROSTER_POOL) + 2, 100).like("（_%）")
+    section = F.when(is_head, F.struct(looked_up(name, countries, F.lit(None).cast("string")).alias("country"), F.concat(letter, F.lit(" ("), looked_up(city, cities, city), F.lit(")")).alias("pool")))
     down = Window.partitionBy("_file").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_section", section).withColumn("_now", F.last("_section", ignorenulls=True).over(down))
     fields = F.split("_line", ",")

@@ -151,3 +151,22 @@ def test_component_top_n(spark):
 
 def test_pitch_schema_has_the_measures():
     assert {"bat_speed", "plate_x", "events", "season"} <= set(PITCHES.names)
+
+
+def test_absent_columns_and_approximate_quartiles(spark):
+    pitches = spark.createDataFrame([(1, "A", "N", "single"), (1, "A", "N", None)], "batter long, country string, player_name string, events string")
+    r = summaries.batting_summary(pitches).first()
+    assert (r["PA"], r["H"], r["xwOBA"], r["avg_exit_velo"], r["avg_launch_angle"]) == (1, 1, None, None, None)
+    board = spark.createDataFrame([("b", 1.0), ("a", 2.0)], "name string, stuff_fa double")
+    assert [tuple(x) for x in arsenal.component_matrix(board, {"stuff_fa": "4-Seam FB"}).collect()] == [("a", 2.0), ("b", 1.0)]
+    df = spark.createDataFrame([("a", float(i)) for i in range(1, 102)] + [("a", 900.0)], "k string, v double")
+    exact, near = (stats.box_stats(df, "k", "v", accuracy=a).first() for a in (None, 10_000))
+    assert abs(exact["median"] - near["median"]) <= 1 and exact["n_outliers"] == near["n_outliers"] == 1
+    assert abs(stats.describe(df, ["v"], accuracy=10_000).first()["p50"] - 51.5) <= 1
+    assert leaderboards.change_histogram(board, ["delta"]).collect() == []
+    assert {x["measure"] for x in leaderboards.change_histogram(board, ["delta", "stuff_fa"]).collect()} == {"stuff_fa"}
+
+
+def test_pitch_location_without_a_zone(spark):
+    df = spark.createDataFrame([("A", 1, "FF", 0.1, 2.0)], "country string, pitcher long, pitch_type string, plate_x double, plate_z double")
+    assert [tuple(x) for x in spatial.pitch_location(df, "country", "A").collect()] == [("FF", 0, 4, 1, None)]
