@@ -52,7 +52,7 @@ def script_of(letters: list[str]) -> int:
 class Vocabularies:
     """Pieces of both public vocabularies for single words, with a cache of words up to LONG_WORD bytes, about `cache_bytes` in all."""
 
-    def __init__(self, piece_model: bytes, bpe_ranks: bytes, pattern: str, cache_bytes: int = 3_000_000):
+    def __init__(self, piece_model: bytes, bpe_ranks: bytes, pattern: str, cache_bytes: int = 1_200_000):
         import sentencepiece
         import tiktoken
 

@@ -33,7 +33,7 @@ class Model:
     Caches hold whole words of up to `LONG_WORD` characters, about `cache_chars` in all.
     """
 
-    def __init__(self, blob: bytes, cache_chars: int = 4_000_000):
+    def __init__(self, blob: bytes, cache_chars: int = 1_600_000):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
@@ -108,7 +108,7 @@ class Model:
             node = node[1]
         ids = [i for t in reversed(tokens) for i in self.token_ids(t)]
         if len(s) <= LONG_WORD:
-            if self.units_held > self.cache_chars:
+            if self.units_held > self.cache_chars // 2:
                 self.unit_cache.clear()
                 self.units_held = 0
             self.unit_cache[s] = ids
@@ -143,7 +143,7 @@ class Model:
     def fits(self, a: str, b: str) -> bool:
         k = (a, b)
         if k not in self.pair_cache:
-            if len(self.pair_cache) > self.cache_chars // 8:
+            if len(self.pair_cache) > self.cache_chars // 16:
                 self.pair_cache.clear()
             self.pair_cache[k] = self.merged(a + b) == ([a, b] if b else [a])
         return self.pair_cache[k]
