@@ -126,8 +126,8 @@ def map_text(df: DataFrame, key: str, text: str, schema: str, make: Callable[[],
 HOT_SHARE = 1000
 
 
-def join_by_share(left: DataFrame, right: DataFrame, on: str, rows: str, total: int) -> DataFrame:
-    """left JOIN right on `on`, where `right` has each key once with the number of its rows in `left` (column `rows`, left out), `total` in all.
+def join_by_share(left: DataFrame, right: DataFrame, on: str | list[str], rows: str, total: int) -> DataFrame:
+    """left JOIN right on `on`, where `right` tells for each key the number of its rows in `left` (column `rows`, left out), `total` in all.
 
     Keys with over 1/HOT_SHARE of the rows number fewer than HOT_SHARE, so their side is
     broadcast and their rows stay where they are; the others are shuffled, none of them a

@@ -1,4 +1,9 @@
-"""URL filters: given rules first, then rules that FP-growth mines from labelled URLs."""
+"""URL filters: given rules first, then rules that FP-growth mines from labelled URLs.
+
+pyspark.ml.fpm.FPGrowth has no bound on the length of patterns, and the tokens of one deep
+path that thousands of urls share would give 2^n of them; so its growth is written here as
+projections and grouped sums that stop at a length and at patterns of one label.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, cut_lineage
+from .common import LOWER, UPPER, cut_lineage, join_by_share
 
 BLOCK, ALLOW = "block", "allow"
 
@@ -76,34 +81,6 @@ def own_tokens(rules: dict[str, str]) -> set[str]:
     return out
 
 
-def pattern_growth(base: dict[tuple[int, ...], tuple[int, int]], nested: set[int], min_count: int, depth: int) -> Iterator[tuple[tuple[int, ...], int, int]]:
-    """(items, blocked, allowed) by FP-growth over a conditional pattern base: prefixes, most frequent item first, with their counts.
-
-    Patterns have `depth` items at most and grow only while they are mixed: more items
-    cannot make a pattern surer that meets one label alone.  Two items of `nested` (domain
-    suffixes) in one url lie in each other, so the shorter adds nothing to the longer.
-    """
-    total: dict[int, list[int]] = defaultdict(lambda: [0, 0])
-    for items, (b, a) in base.items():
-        for i in items:
-            total[i][0] += b
-            total[i][1] += a
-    for i, (b, a) in total.items():
-        if max(b, a) < min_count:
-            continue
-        yield (i,), b, a
-        if depth > 1 and b and a:
-            below: dict[tuple[int, ...], tuple[int, int]] = {}
-            for items, (pb, pa_) in base.items():
-                if i in items:
-                    before = tuple(x for x in items[: items.index(i)] if i not in nested or x not in nested)
-                    if before:
-                        old = below.get(before, (0, 0))
-                        below[before] = (old[0] + pb, old[1] + pa_)
-            for more, mb, ma in pattern_growth(below, nested, min_count, depth - 1):
-                yield (*more, i), mb, ma
-
-
 def _wider(tokens: tuple[str, ...]) -> Iterator[tuple[str, ...]]:
     """Sets of tokens that every url holds which holds `tokens`: some left out, domain suffixes shortened."""
 
@@ -120,57 +97,76 @@ def _wider(tokens: tuple[str, ...]) -> Iterator[tuple[str, ...]]:
             yield out
 
 
-def mine_rules(labelled: DataFrame, min_count: int = 10, min_confidence: float = 0.95, max_tokens: int = 3) -> list[tuple[tuple[str, ...], str, float, float]]:
-    """(tokens, verdict, confidence, support) from all rows of `labelled` (tokens array<string>, label block or allow).
+def _counted(df: DataFrame, *keys: str) -> DataFrame:
+    return df.groupBy(*keys).agg(F.sum("b").alias("b"), F.sum("a").alias("a"), F.count("*").alias("m"))
+
+
+def _longer(paths: DataFrame, found: DataFrame) -> DataFrame:
+    """The conditional pattern bases of FP-growth, one token further: for each mixed pattern of `found`, what lies before its new token on each path.
 
-    FP-growth in parallel: equal token sets are counted together, single tokens by one
-    grouped sum; then each frequent token meets the tokens more frequent than itself in a
-    group of its own (see pattern_growth).  A rule needs `min_count` rows of its label,
+    Two domain suffixes of one url lie in each other, so the shorter adds nothing to the
+    longer and is left out.  Tokens that crowd the paths are joined by broadcast.
+    """
+    mixed = found.filter("b > 0 and a > 0").select("pattern", "t", "m")
+    total = mixed.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    at = join_by_share(paths.select("pattern", "before", F.posexplode("before").alias("p", "t"), "b", "a"), mixed, ["pattern", "t"], "m", total)
+    before = F.filter(F.slice("before", 1, F.col("p")), lambda x: ~(F.col("t").startswith("s:") & x.startswith("s:")))
+    rows = at.select(F.concat("pattern", F.array("t")).alias("pattern"), before.alias("before"), "b", "a").filter(F.size("before") > 0)
+    return cut_lineage(_counted(rows, "pattern", "before").drop("m"))
+
+
+def rule_table(labelled: DataFrame, min_count: int = 10, min_confidence: float = 0.95, max_tokens: int = 3) -> DataFrame:
+    """(tokens, label, confidence, support) from all rows of `labelled` (tokens array<string>, label block or allow).
+
+    FP-growth by projection, as grouped sums alone: equal token sets are counted together and
+    become paths of tokens, most frequent first; each level counts the tokens before a pattern
+    and projects the paths of mixed patterns on (_longer).  So neither the driver nor a task
+    ever holds a token's whole conditional base.  A rule needs `min_count` rows of its label,
     whatever the table's size, and `min_confidence`; it is pruned where wider tokens imply
-    the label as surely.  Tokens that meet one label alone are rules by themselves and
-    combine with none; of others at most `max_tokens` combine, so deep paths stay cheap.
+    the label as surely.  Patterns that meet one label alone grow no further: more tokens
+    cannot make them surer; of others at most `max_tokens` combine, so deep paths stay cheap.
     """
     is_block = F.col("label") == BLOCK
-    sets = cut_lineage(labelled.filter(F.col("label").isin(BLOCK, ALLOW)).groupBy("tokens").agg(F.count_if(is_block).alias("b"), F.count_if(~is_block).alias("a")))
+    sets = labelled.filter(F.col("label").isin(BLOCK, ALLOW)).groupBy("tokens").agg(F.count_if(is_block).alias("b"), F.count_if(~is_block).alias("a"))
+    sets = cut_lineage(sets.withColumn("id", F.monotonically_increasing_id()))
     n = sets.agg(F.coalesce(F.sum(F.col("b") + F.col("a")), F.lit(0))).first()[0]
-    single = cut_lineage(sets.select(F.explode("tokens").alias("t"), "b", "a").groupBy("t").agg(F.sum("b").alias("b"), F.sum("a").alias("a")).filter(F.greatest("b", "a") >= min_count))
-    # a suffix of one label alone, below a suffix of one label alone, says nothing more
-    pure = single.filter("b = 0 or a = 0").select(F.col("t").alias("up"))
-    above = F.when(F.col("t").rlike(r"^s:[^.]*\."), F.regexp_replace("t", r"^s:[^.]*\.", "s:"))
-    counts = {(r["t"],): (r["b"], r["a"]) for r in single.withColumn("up", above).join(pure, "up", "left_anti").select("t", "b", "a").toLocalIterator()}
-    mixed = sorted((t for (t,), (b, a) in counts.items() if b and a), key=lambda t: (-sum(counts[t,]), t))
-    if mixed and max_tokens > 1:
-        order = labelled.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(mixed)})
-        nested = {i for i, t in enumerate(mixed) if t.startswith("s:")}
-
-        def bases(batches):
-            rank = order.value
-            for batch in batches:
-                found: dict[tuple, list[int]] = defaultdict(lambda: [0, 0])
-                for tokens, b, a in zip(*(c.to_pylist() for c in batch.columns)):
-                    items = tuple(sorted(rank[t] for t in tokens if t in rank))
-                    for j in range(1, len(items)):
-                        f = found[items[: j + 1]]
-                        f[0] += b
-                        f[1] += a
-                yield pa.RecordBatch.from_arrays([pa.array([k[-1] for k in found], pa.int32()), pa.array([k[:-1] for k in found], pa.list_(pa.int32())), *(pa.array([v[i] for v in found.values()], pa.int64()) for i in (0, 1))], names=["item", "before", "b", "a"])
-
-        def grow(table):
-            i = table.column("item")[0].as_py()
-            base: dict = {}
-            for before, b, a in zip(*(table.column(c).to_pylist() for c in ("before", "b", "a"))):
-                before = tuple(x for x in before if i not in nested or x not in nested)
-                old = base.get(before, (0, 0))
-                base[before] = (old[0] + b, old[1] + a)
-            out = [((*more, i), b, a) for more, b, a in pattern_growth(base, nested, min_count, max_tokens - 1) if max(b, a) >= min_confidence * (b + a)]
-            return pa.table([pa.array([x[0] for x in out], pa.list_(pa.int32())), *(pa.array([x[j] for x in out], pa.int64()) for j in (1, 2))], names=["items", "b", "a"])
-
-        grown = sets.mapInArrow(bases, "item int, before array<int>, b long, a long").groupBy("item", "before").agg(F.sum("b").alias("b"), F.sum("a").alias("a"))
-        for r in grown.groupBy("item").applyInArrow(grow, "items array<int>, b long, a long").toLocalIterator():
-            counts[tuple(sorted(mixed[i] for i in r["items"]))] = (r["b"], r["a"])
-    sure = {(tokens, label): (of / (b + a), of / n) for tokens, (b, a) in counts.items() for label, of in ((BLOCK, b), (ALLOW, a)) if of >= min_count and of >= min_confidence * (b + a)}
-    kept = [(tokens, label, *facts) for (tokens, label), facts in sure.items() if not any(sure.get((w, label), (0,))[0] >= facts[0] for w in _wider(tokens))]
-    return sorted(kept, key=lambda r: (len(r[0]), r))
+    enough = F.greatest("b", "a") >= min_count
+    none = F.array().cast("array<string>")
+    found = cut_lineage(_counted(sets.select(F.explode("tokens").alias("t"), "b", "a"), "t").filter(enough).select(none.alias("pattern"), "t", "b", "a", "m"))
+    levels = [found]
+    mixed = found.filter("b > 0 and a > 0").select("t", "m", (-F.col("b") - F.col("a")).alias("rank"))
+    total = mixed.agg(F.sum("m")).first()[0]
+    if total and max_tokens > 1:
+        ranked = join_by_share(sets.select("id", F.explode("tokens").alias("t"), "b", "a"), mixed, "t", "m", total)
+        paths = ranked.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", "t"))).alias("x"), F.first("b").alias("b"), F.first("a").alias("a"))  # the tokens of one url at most
+        paths = cut_lineage(_counted(paths.select(F.col("x.t").alias("before"), "b", "a"), "before").select(none.alias("pattern"), "before", "b", "a"))
+        for _ in range(max_tokens - 1):
+            paths = _longer(paths, found)
+            found = cut_lineage(_counted(paths.select("pattern", F.explode("before").alias("t"), "b", "a"), "pattern", "t").filter(enough))
+            levels.append(found)
+    patterns = reduce(DataFrame.unionByName, levels).select(F.array_sort(F.concat("pattern", F.array("t"))).alias("tokens"), "b", "a")
+    labels = F.explode(F.array(*(F.struct(F.lit(y).alias("label"), F.col(c).alias("of")) for y, c in ((BLOCK, "b"), (ALLOW, "a"))))).alias("y")
+    sure = patterns.select("tokens", labels, (F.col("b") + F.col("a")).alias("rows")).select("tokens", "y.label", "y.of", (F.col("y.of") / F.col("rows")).alias("confidence"), (F.col("y.of") / F.lit(n or 1)).alias("support"))
+    sure = cut_lineage(sure.filter((F.col("of") >= min_count) & (F.col("confidence") >= min_confidence)).drop("of"))
+
+    def widened(batches):
+        for batch in batches:
+            rows = [(w, t, y, c) for t, y, c in zip(*(x.to_pylist() for x in batch.columns)) for w in _wider(tuple(t))]
+            kinds = (pa.list_(pa.string()), pa.list_(pa.string()), pa.string(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["wide", "tokens", "label", "confidence"])
+
+    wider = cut_lineage(sure.select("tokens", "label", "confidence").mapInArrow(widened, "wide array<string>, tokens array<string>, label string, confidence double"))
+    uses = wider.groupBy("wide", "label").agg(F.count("*").alias("m"))
+    known = cut_lineage(sure.select(F.col("tokens").alias("wide"), "label", F.col("confidence").alias("as_sure")).join(uses, ["wide", "label"]))
+    total = known.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    said = join_by_share(wider, known, ["wide", "label"], "m", total).filter("as_sure >= confidence").select("tokens", "label").distinct()
+    return cut_lineage(sure.join(said, ["tokens", "label"], "left_anti").select("tokens", "label", "confidence", "support"))
+
+
+def mine_rules(labelled: DataFrame, **mining) -> list[tuple[tuple[str, ...], str, float, float]]:
+    """The rules of rule_table, to be looked at."""
+    rows = rule_table(labelled, **mining).collect()
+    return sorted(((tuple(r["tokens"]), r["label"], r["confidence"], r["support"]) for r in rows), key=lambda r: (len(r[0]), r))
 
 
 class RuleIndex:
@@ -193,6 +189,56 @@ class RuleIndex:
         return min(fit, key=lambda i: (-self.rules[i][2], -self.rules[i][3], self.rules[i][1] != BLOCK, self.rules[i][0])) if fit else None
 
 
+def match_rules(rows: DataFrame, rules: DataFrame, max_index_mb: int = 16) -> DataFrame:
+    """`rows` (with tokens array<string>, null where nothing is to be matched) and mined, said: tokens and verdict of the best fitting rule of each (see RuleIndex.best).
+
+    The inverted index is broadcast while the rules' text and numbers take `max_index_mb`
+    as measured; beyond, each rule is looked up by its rarest token in a join (match_by_join).
+    """
+    size = rules.agg(F.coalesce(F.sum(F.octet_length(F.array_join("tokens", " ")) + 64), F.lit(0))).first()[0]
+    if size > max_index_mb << 20:
+        return match_by_join(rows, rules)
+    sent = rows.sparkSession.sparkContext.broadcast([(tuple(r["tokens"]), r["label"], r["confidence"], r["support"]) for r in rules.collect()])
+    place, names = rows.columns.index("tokens"), [*rows.columns, "mined", "said"]
+
+    def match(batches):
+        index = RuleIndex(sent.value)
+        cache: dict[tuple, int | None] = {}
+        for batch in batches:
+            found = []
+            for t in batch.column(place).to_pylist():
+                if t is None:
+                    found.append(None)
+                    continue
+                t = tuple(t)
+                if t not in cache:
+                    if len(cache) > 20_000:
+                        cache.clear()
+                    cache[t] = index.best(t)
+                found.append(cache[t])
+            mined = [None if i is None else " ".join(index.rules[i][0]) for i in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(mined, pa.string()), pa.array([None if i is None else index.rules[i][1] for i in found], pa.string())], names=names)
+
+    return rows.mapInArrow(match, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", mined string, said string")
+
+
+def match_by_join(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """match_rules for rules beyond a broadcast: urls meet the rules of each of their tokens that is some rule's rarest, then prove them whole."""
+    held = cut_lineage(rows.withColumn("_i", F.monotonically_increasing_id()))
+    tokens = held.select("_i", F.explode("tokens").alias("t"), "tokens")
+    uses = tokens.groupBy("t").agg(F.count("*").alias("m"))
+    parts = cut_lineage(rules.withColumn("r", F.monotonically_increasing_id()))
+    # the rarest token of a rule; a token that no url holds makes the rule fit none
+    counted = parts.select("r", F.size("tokens").alias("n"), F.explode("tokens").alias("t")).join(uses, "t")
+    rarest = counted.groupBy("r").agg(F.min(F.struct("m", "t")).alias("x"), F.count("*").alias("met"), F.first("n").alias("n")).filter("met = n")
+    index = cut_lineage(rarest.select("r", "x.t", "x.m").join(parts.withColumnRenamed("tokens", "needed"), "r").drop("r"))
+    total = uses.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    met = join_by_share(tokens, index, "t", "m", total).filter(F.size(F.array_except("needed", "tokens")) == 0)
+    best = met.groupBy("_i").agg(F.min(F.struct((-F.col("confidence")).alias("c"), (-F.col("support")).alias("s"), (F.col("label") != BLOCK).alias("y"), "needed", "label")).alias("x"))
+    best = best.select("_i", F.array_join("x.needed", " ").alias("mined"), F.col("x.label").alias("said"))
+    return held.join(best, "_i", "left").select(*rows.columns, "mined", "said")
+
+
 def _given(url: Column, rules: dict[str, str]) -> tuple[Column, Column, Column, Column]:
     """Host, path, rule and the rule's verdict of a url."""
     host, path = split_url(url)
@@ -209,22 +255,14 @@ def held_out_figures(pages: DataFrame, rules: dict[str, str], key: str = "page_i
     host, path, _, given = _given(F.col(url), rules)
     rows = pages.select(url_tokens(host, path, query_of(F.col(url)), own_tokens(rules)).alias("tokens"), given.alias("label"), (F.crc32(F.encode(F.coalesce(F.col(url), F.lit("")), "UTF-8")) % fold).alias("fold"))
     rows = cut_lineage(rows.filter("label is not null"))
-    mined = mine_rules(rows.filter("fold != 0").select("tokens", "label"), **mining)
-    sent = pages.sparkSession.sparkContext.broadcast(mined)
-
-    def match(batches):
-        index = RuleIndex(sent.value)
-        for batch in batches:
-            found = [index.best(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([None if i is None else index.rules[i][1] for i in found], pa.string())], names=["label", "said"])
-
-    said = rows.filter("fold = 0").select("tokens", "label").mapInArrow(match, "label string, said string")
+    mined = rule_table(rows.filter("fold != 0").select("tokens", "label"), **mining)
+    said = match_rules(rows.filter("fold = 0").select("tokens", "label"), mined)
     blocked, is_block = F.col("said") == BLOCK, F.col("label") == BLOCK
     n, judged, hit, said_block, real = said.agg(F.count("*"), F.count("said"), F.count_if(blocked & is_block), F.count_if(blocked), F.count_if(is_block)).first()
-    return {"rules": len(mined), "decided": n, "judged": judged, "precision": hit / said_block if said_block else None, "recall": hit / real if real else None}
+    return {"rules": mined.count(), "decided": n, "judged": judged, "precision": hit / said_block if said_block else None, "recall": hit / real if real else None}
 
 
-def filter_urls(pages: DataFrame, rules: dict[str, str], key: str = "page_id", url: str = "url", labels: DataFrame | None = None, label_col: str = "label", default: str = ALLOW, **mining) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: dict[str, str], key: str = "page_id", url: str = "url", labels: DataFrame | None = None, label_col: str = "label", default: str = ALLOW, max_index_mb: int = 16, **mining) -> DataFrame:
     """One row per input row: key, host, path, rule, mined (the tokens of the mined rule used, else null), verdict.
 
     A given rule that fits decides.  Else the surest mined rule whose tokens the url holds
@@ -237,7 +275,7 @@ def filter_urls(pages: DataFrame, rules: dict[str, str], key: str = "page_id", u
     Null urls have empty host and path and no tokens; an empty table gives no rows; repeated
     rows and null keys stay; of equally sure rules the better supported decides, then the
     one that blocks; urls are whole, of any length; extra columns are ignored.  Rules are
-    broadcast (see mine_rules).
+    broadcast or joined by their size (see match_rules).
     """
     host, path, rule, given = _given(F.col(url), rules)
     tokens = url_tokens(host, path, query_of(F.col(url)), frozenset() if labels is not None else own_tokens(rules))
@@ -246,27 +284,6 @@ def filter_urls(pages: DataFrame, rules: dict[str, str], key: str = "page_id", u
         labelled = rows.select("tokens", F.col("given").alias("label"))
     else:
         labelled = rows.join(labels.select(F.col(key).alias("k"), F.col(label_col).alias("label")), "k").select("tokens", "label")
-    sent = pages.sparkSession.sparkContext.broadcast(mine_rules(labelled, **mining))
-
-    def match(batches):
-        index = RuleIndex(sent.value)
-        cache: dict[tuple, int | None] = {}
-        for batch in batches:
-            k, host, path, rule, given, tokens = (batch.column(i) for i in range(6))
-            found = []
-            for t, r in zip(tokens.to_pylist(), rule.to_pylist()):
-                if r is not None:
-                    found.append(None)
-                    continue
-                t = tuple(t)
-                if t not in cache:
-                    if len(cache) > 100_000:
-                        cache.clear()
-                    cache[t] = index.best(t)
-                found.append(cache[t])
-            mined = [None if i is None else " ".join(index.rules[i][0]) for i in found]
-            verdict = [g if g is not None else index.rules[i][1] if i is not None else default for g, i in zip(given.to_pylist(), found)]
-            yield pa.RecordBatch.from_arrays([k, host, path, rule, pa.array(mined, pa.string()), pa.array(verdict, pa.string())], names=["k", "host", "path", "rule", "mined", "verdict"])
-
-    ready = rows.select(F.col("k").cast("long").alias("k"), "host", "path", "rule", "given", "tokens")
-    return ready.mapInArrow(match, "k long, host string, path string, rule string, mined string, verdict string").withColumnRenamed("k", key)
+    ready = rows.select(F.col("k").cast("long").alias("k"), "host", "path", "rule", "given", F.when(F.col("rule").isNull(), F.col("tokens")).alias("tokens"))
+    found = match_rules(ready, rule_table(labelled, **mining), max_index_mb)
+    return found.select(F.col("k").alias(key), "host", "path", "rule", "mined", F.coalesce("given", "said", F.lit(default)).alias("verdict"))

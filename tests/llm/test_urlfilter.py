@@ -129,3 +129,12 @@ def test_seldom_patterns_of_a_large_table_count(spark):
     labels = spark.range(250_000).selectExpr("id AS page_id", "if(id % 20000 = 0, 'block', 'allow') AS label")
     got = U.filter_urls(pages, {}, labels=labels).filter("verdict = 'block'").collect()
     assert {(r.host, r.mined) for r in got} == {("seldom.io", "h:seldom")} and len(got) == 13
+
+
+def test_rules_beyond_the_broadcast_bound_match_alike(spark):
+    urls = [f"http://{('spam', 'good', 'casino-x', 'www')[i % 4]}{i % 9}.site.{('io', 'net')[i % 2]}/{('a', 'ads', 'b')[i % 3]}/{('p', 'q')[i % 2]}?z={i}" for i in range(600)] + [None, "", "http://net/"]
+    pages = spark.createDataFrame([*enumerate(urls), (0, urls[0]), (None, urls[1])], "page_id long, url string")
+    labels = spark.createDataFrame([(i, "block" if i % 4 == 0 or i % 6 == 1 else "allow") for i in range(300)], "page_id long, label string")
+    rows = [sorted(map(str, U.filter_urls(pages, {"net/b/": "block"}, labels=labels, max_index_mb=mb).collect())) for mb in (16, -1)]
+    assert rows[0] == rows[1] and len(rows[0]) == 605
+    assert any("mined='" in r and " " in r.split("mined='")[1].split("'")[0] for r in rows[0])
