@@ -75,17 +75,16 @@ def cut_lineage(df: DataFrame, codec: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def slices(texts: list, limit: int) -> Iterator[tuple[int, int]]:
-    """Ranges of rows holding about `limit` bytes each (one row at least), to bound a task's memory."""
+def slices(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of these sizes that hold about `limit` bytes each (one row at least), to bound a task's memory."""
     start = total = 0
-    for i, t in enumerate(texts):
-        n = len(t) if t is not None else 0
+    for i, n in enumerate(sizes):
         if i > start and total + n > limit:
             yield start, i
             start, total = i, 0
         total += n
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def carried(df: DataFrame, carry: tuple[str, ...]) -> tuple[list, str]:
@@ -111,13 +110,15 @@ def map_text(df: DataFrame, key: str, text: str, schema: str, make: Callable[[],
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         f = make()
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
-            for a, b in slices(texts, limit):
+            texts = batch.column(1).cast(pa.binary())
+            for a, b in slices(pc.binary_length(texts).fill_null(0).to_pylist(), limit):
+                got = f(batch.column(0).slice(a, b - a).to_pylist(), texts.slice(a, b - a).to_pylist())
                 beside = [batch.column(2 + i).slice(a, b - a) for i in range(len(carry))]
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in f(keys[a:b], texts[a:b])] + beside, names=names)
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in got] + beside, names=names)
 
     return df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), *columns).mapInArrow(run, schema + more)
 

@@ -211,4 +211,4 @@ def judge_quality(docs: DataFrame, piece_path: str, bpe_path: str, bpe_pattern:
 
         return f
 
-    return map_text(docs, key, text, f"k long, {FEATURES}, base_failed boolean, kept boolean", make, 2_000_000, carry).withColumnRenamed("k", key)
+    return map_text(docs, key, text, f"k long, {FEATURES}, base_failed boolean, kept boolean", make, 1_000_000, carry).withColumnRenamed("k", key)
