@@ -89,6 +89,11 @@ def op9_secret_scans(spark, sf_dir):
     return found.select("doc_id", number("assign").alias("n_assign"), number("access").alias("n_access"), number("hex").alias("n_hex"), F.sha2(F.encode(joined(base), "UTF-8"), 256).alias("base_sha256"), joined(rows).alias("spans"))
 
 
+def secrets_base(spark, sf_dir):
+    """What SQL can say of op9_secret_scans too: the spans of the fixed patterns."""
+    return op9_secret_scans(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
 def op10_decontamination(spark, sf_dir):
     out = find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.encode(F.concat_ws(",", "items"), "UTF-8"), 256)
@@ -146,6 +151,24 @@ WITH rest AS (
 SELECT parts.page_id, host, path, rule, given FROM parts LEFT JOIN fits ON parts.page_id = fits.page_id AND n = 1
 """
 
+SECRETS_SQL = r"""
+WITH patterns(kind, name, p, least) AS (
+  VALUES (0, 'assign', '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+', 8),
+         (1, 'access', 'AKIA[A-Z0-9]{12,}', 16), (2, 'hex', '[0-9a-f]{32,}', 32)
+), matched AS (
+  SELECT doc_id, kind, name, least, regexp_extract_all(text, p) AS m, string_split_regex(text, p) AS gap FROM documents, patterns WHERE text IS NOT NULL
+), placed AS (
+  SELECT doc_id, kind, name, least, m[i] AS s, CAST(list_sum(list_transform(gap[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM matched)
+), kept AS (
+  SELECT *, start + length(s) AS stop FROM placed
+  WHERE kind > 0 OR length(regexp_replace(s, '^[A-Za-z_]+["'']?\x20*[:=]\x20*["'']?', '')) >= least
+)
+SELECT d.doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+       sha256(coalesce(string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind), '')) AS base_sha256
+FROM documents d LEFT JOIN kept ON d.doc_id = kept.doc_id GROUP BY d.doc_id
+"""
+
 OP6_SQL = r"""
 WITH lines AS (
   SELECT doc_id, i, line,
@@ -187,9 +210,9 @@ FROM dw LEFT JOIN words ON dw.doc_id = words.doc_id LEFT JOIN items ON dw.doc_id
 
 
 def queries():
-    found = [op1_sharding, op2_html_extraction, op3_quality_rules, op4_simhash_near_dedup, op5_language_id, op6_line_dedup, op7_url_filters, op8_sentencepiece, op9_secret_scans, op10_decontamination, quality_base, url_rules]
+    found = [op1_sharding, op2_html_extraction, op3_quality_rules, op4_simhash_near_dedup, op5_language_id, op6_line_dedup, op7_url_filters, op8_sentencepiece, op9_secret_scans, op10_decontamination, quality_base, url_rules, secrets_base]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql():
-    return {"op1_sharding": OP1_SQL, "quality_base": QUALITY_SQL, "url_rules": URL_SQL, "op6_line_dedup": OP6_SQL, "op10_decontamination": OP10_SQL}
+    return {"op1_sharding": OP1_SQL, "quality_base": QUALITY_SQL, "url_rules": URL_SQL, "secrets_base": SECRETS_SQL, "op6_line_dedup": OP6_SQL, "op10_decontamination": OP10_SQL}

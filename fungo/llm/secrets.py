@@ -22,6 +22,8 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 #: What the network judges besides: runs of token characters.
 MIN_RUN = 8
 _RUN = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
+#: Runs taken for plain words where labelled findings are gathered: letters of one case, or of one after the first.
+_PLAIN = re.compile(r"(?:[A-Za-z][a-z]{7,23}|[A-Z]{8,24})\.*")
 
 #: Characters of a window: context before, the candidate (longer ones have several windows), context after.
 BEFORE, INSIDE, AFTER = 16, 40, 8
@@ -143,7 +145,7 @@ class CharCnn:
                 a += one[-1].take(part[:, self.width - 1 :], 0)
             np.maximum(a, 0, out=a)
             out.append(self._pool(a) @ w + np.float32(self.p["b"][0]))
-        return 1 / (1 + np.exp(-(self.scale * np.concatenate(out).astype(float) + self.shift)))
+        return 1 / (1 + np.exp(-np.clip(self.scale * np.concatenate(out).astype(float) + self.shift, -500, 500)))
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 8, batch: int = 16, rate: float = 0.004, seed: int = 7) -> None:
         """Adam on the logistic loss."""
@@ -186,9 +188,16 @@ class CharCnn:
         z = self.logits(x)
         w = np.array([1.0, 0.0])
         f = np.stack([z, np.ones(len(z))], 1)
+
+        def loss(w):
+            return np.logaddexp(0, np.where(y == 1, -1, 1) * (f @ w)).sum() + 5e-3 * ((w - [1, 0]) ** 2).sum()
+
         for _ in range(50):
-            p = 1 / (1 + np.exp(-f @ w))
-            w += np.linalg.solve((f * (p * (1 - p))[:, None]).T @ f + 1e-2 * np.eye(2), f.T @ (y - p) - 1e-2 * (w - [1, 0]))
+            p = 1 / (1 + np.exp(-np.clip(f @ w, -500, 500)))
+            step = np.linalg.solve((f * (p * (1 - p))[:, None]).T @ f + 1e-2 * np.eye(2), f.T @ (y - p) - 1e-2 * (w - [1, 0]))
+            while loss(w + step) > loss(w) and np.abs(step).max() > 1e-9:  # findings that part cleanly make whole steps overshoot
+                step /= 2
+            w += step
         self.scale, self.shift = w
         p, counted = self.probability(x), np.ones(len(y), bool) if decided is None else decided
         real = np.sort(p[(y == 1) & counted])
@@ -220,7 +229,7 @@ def synthetic_findings(words: list[str], n: int, seed: int = 11) -> list[tuple[s
 
     secret = (lambda: rnd(hexd, 18, 64), lambda: rnd(b62, 20, 48), lambda: rnd(b62 + "+/", 24, 60) + "==", lambda: r.choice(("ghp_", "sk_live_", "xoxb-", "glpat-")) + rnd(b62, 16, 36), lambda: "AKIA" + rnd(b62[:26] + b62[52:], 12, 16), lambda: "eyJ" + rnd(b62, 12, 30) + "." + rnd(b62 + "_-", 16, 40), lambda: rnd(b62[:52], 20, 48))
     told = (lambda: rnd(b62, 8, 15), lambda: rnd(b62[52:], 8, 24), lambda: rnd(b62[26:], 8, 15))
-    plain = (lambda: f"{word()}-{word()}-{r.randint(1, 999)}", lambda: f"mail{r.randint(0, 99)}.{word()}.com", lambda: f"{word()}_{word()}_{r.randint(1, 99)}", lambda: f"www.{word()}{r.randint(1, 99)}.org/{word()}/{r.randint(1, 9999)}", lambda: f"{word()}{word()}{r.randint(1, 9999)}", lambda: f"{r.randint(1990, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}T{r.randint(0, 23):02}-{r.randint(0, 59):02}", lambda: f"version-{r.randint(1, 20)}.{r.randint(0, 99)}.{r.randint(0, 99)}-{word()}", lambda: f"{word()}/{word()}/{word()}{r.randint(1, 99)}.txt", lambda: f"{word().title()}{word().title()}{word().title()}{r.randint(1, 20)}", lambda: (word() + word()).capitalize() + r.choice(("", ".")), lambda: word() + word() + r.choice(("", ".", "...")), lambda: str(r.randint(10**7, 10**12)), lambda: r.choice(".-=_/") * r.randint(8, 60), lambda: (word() + r.choice(("", "-", "_")) + word()).upper() + r.choice(("", ".", str(r.randint(1, 99)))), lambda: f"{rnd('ABCDEFGHKLMNPRSTX', 2, 4)}-{r.randint(1990, 2030)}-{r.randint(0, 999999):06}-{rnd('ABCDEFGHKLMNPRSTX', 1, 2)}{r.randint(1, 99)}", lambda: "-".join(rnd(hexd, n, n) for n in (8, 4, 4, 4, 12)), lambda: "/".join(word() for _ in range(r.randint(5, 14))))
+    plain = (lambda: f"{word()}-{word()}-{r.randint(1, 999)}", lambda: f"mail{r.randint(0, 99)}.{word()}.com", lambda: f"{word()}_{word()}_{r.randint(1, 99)}", lambda: f"www.{word()}{r.randint(1, 99)}.org/{word()}/{r.randint(1, 9999)}", lambda: f"{word()}{word()}{r.randint(1, 9999)}", lambda: f"{r.randint(1990, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}T{r.randint(0, 23):02}-{r.randint(0, 59):02}", lambda: f"version-{r.randint(1, 20)}.{r.randint(0, 99)}.{r.randint(0, 99)}-{word()}", lambda: f"{word()}/{word()}/{word()}{r.randint(1, 99)}.txt", lambda: f"{word().title()}{word().title()}{word().title()}{r.randint(1, 20)}", lambda: (word() + word()).capitalize() + r.choice(("", ".")), lambda: word() + word() + r.choice(("", ".", "...")), lambda: rnd(b62[52:], 8, 20), lambda: r.choice(".-=_/") * r.randint(8, 60), lambda: (word() + r.choice(("", "-", "_")) + word()).upper() + r.choice(("", ".", str(r.randint(1, 99)))), lambda: f"{rnd('ABCDEFGHKLMNPRSTX', 2, 4)}-{r.randint(1990, 2030)}-{r.randint(0, 999999):06}-{rnd('ABCDEFGHKLMNPRSTX', 1, 2)}{r.randint(1, 99)}", lambda: "-".join(rnd(hexd, n, n) for n in (8, 4, 4, 4, 12)), lambda: "/".join(word() for _ in range(r.randint(5, 14))))
     lead = ("the key is ", "key=", "Authorization: Bearer ", "Bearer ", "credential: ", "auth \"", "pwd=", "passphrase: ", "private key ")
     other = ("name=", "page ", "city: ", "no. ", "see \"")
     out = []
@@ -249,7 +258,7 @@ def synthetic_findings(words: list[str], n: int, seed: int = 11) -> list[tuple[s
 
 
 def gather_findings(docs: DataFrame, key: str, text: str, max_docs: int, max_findings: int) -> tuple[list[tuple[str, int]], list[str]]:
-    """Labelled windows of about `max_docs` rows drawn by a hash of the key: base findings are secrets, runs of other words are not.  Also words of these rows."""
+    """Labelled windows of about `max_docs` rows drawn by a hash of the key: base findings are secrets (`max_findings` at most), other candidates that are plain words are not (twice as many).  Also words of these rows."""
     n = docs.count()
     draw = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 20)) < int(min(1.0, max_docs / max(1, n)) * (1 << 20))
 
@@ -263,20 +272,21 @@ def gather_findings(docs: DataFrame, key: str, text: str, max_docs: int, max_fin
                 own = [window(t, *v) for a, b, _ in spans for v in islice(views(a, b), 8)]
                 wins += own
                 labels += [1] * len(own)
-                for m in list(re.finditer(r"[^\W\d_]{4,20}\.?", t))[:: max(1, len(t) // 400)][:3]:
-                    wins.append(window(t, *m.span()))
-                    labels.append(0)
+                runs = [(a, b) for a, b in candidates(t, spans) if _PLAIN.fullmatch(t, a, b)]
+                some = runs[:: max(1, len(runs) // 5)][:5]
+                wins += [window(t, *v) for v in some]
+                labels += [0] * len(some)
             yield pa.RecordBatch.from_arrays([pa.array(wins, pa.string()), pa.array(labels, pa.int32())], names=["w", "y"])
 
     found = cut_lineage(docs.filter(draw).select(text).mapInArrow(run, "w string, y int"))
     # the same findings on every run, whatever the partitions: the first by hash
-    rows = [r for y in (0, 1) for r in found.filter(F.col("y") == y).orderBy(F.xxhash64("w"), "w").limit(max_findings).collect()]
+    rows = [r for y in (0, 1) for r in found.filter(F.col("y") == y).orderBy(F.xxhash64("w"), "w").limit(max_findings if y else 2 * max_findings).collect()]
     words = sorted({r["w"][BEFORE : BEFORE + INSIDE].rstrip("\0").rstrip(".") for r in rows if r["y"] == 0})
     return [(r["w"], r["y"]) for r in rows], words
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", max_docs: int = 20_000, max_findings: int = 1_500, n_synthetic: int = 3_000, min_recall: float = 0.98, seed: int = 5) -> CharCnn:
-    """The network, fitted on a bounded set of labelled findings and calibrated on a fifth held out, where only secrets that no fixed pattern finds set the threshold."""
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", max_docs: int = 20_000, max_findings: int = 1_500, n_synthetic: int = 3_000, n_calibrate: int = 6_000, min_recall: float = 0.98, seed: int = 5) -> CharCnn:
+    """The network, fitted on a bounded set of labelled findings and calibrated on others: a fifth held out and `n_calibrate` made for it, of which only secrets that no fixed pattern finds set the threshold (fewer would leave a quantile to chance)."""
     own, words = gather_findings(docs, key, text, max_docs, max_findings)
     found = own + synthetic_findings(words, n_synthetic)
     x, y = encode([w for w, _ in found]), np.array([v for _, v in found], float)
@@ -284,7 +294,8 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", max_docs: in
     held = len(x) // 5
     net = CharCnn()
     net.fit(x[part[held:]], y[part[held:]])
-    net.calibrate(x[part[:held]], y[part[:held]], min_recall, np.array([not (v and found_by_base(w)) for w, v in found])[part[:held]])
+    apart = [found[i] for i in part[:held]] + synthetic_findings(words, n_calibrate, seed=12)
+    net.calibrate(encode([w for w, _ in apart]), np.array([v for _, v in apart], float), min_recall, np.array([not (v and found_by_base(w)) for w, v in apart]))
     return net
 
 

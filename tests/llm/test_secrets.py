@@ -151,3 +151,26 @@ def test_time_grows_with_pairs():
         assert len(list(S.candidates(text, S.base_spans(text)))) == n
         took.append(time.perf_counter() - start)
     assert took[1] < 10 * took[0] + 0.2
+
+
+def test_findings_that_part_cleanly_are_calibrated_too():
+    n = S.CharCnn()
+    for z in (np.array([-900.0] * 300 + [700.0] * 60), np.array([-3.0] * 4000 + [2.0] * 5), np.array([5.0, 5.0, 5.0])):
+        n.logits, n.probability = lambda x, z=z: z, lambda x, z=z: 1 / (1 + np.exp(-np.clip(n.scale * z + n.shift, -500, 500)))
+        y = (z > 0).astype(float)
+        n.calibrate(np.zeros((len(z), S.WIDTH), int), y, 0.98)
+        assert np.isfinite([n.scale, n.shift]).all() and ((n.probability(None) >= n.threshold) == (y == 1)).all()
+
+
+def test_the_corpus_own_words_are_left_alone(spark):
+    """Words of odd spelling that the table is full of, in either case, and a key among them."""
+    r = random.Random(4)
+    part = ["sch", "pf", "tz", "en", "euxque", "thly", "ble", "ing", "wh", "nd"]
+
+    def word():
+        w = "".join(r.choice(part) for _ in range(r.randint(3, 5)))
+        return r.choice((w, w.capitalize() + ".", w.upper()))
+
+    pairs = [(i, " ".join(word() for _ in range(60))) for i in range(300)] + [(900, "enschpf key=f7Gk2xQ9vLm4Zt81 thlyble")]
+    got = {x.doc_id: len(x.kinds) for x in S.find_secrets(documents(spark, pairs)).collect()}
+    assert got.pop(900) == 1 and sum(got.values()) <= 0.01 * 300 * 60
