@@ -5,15 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from .align import align_documents
 from .common import read_table, shared_path
 from .decontam import contaminated, find_contamination
 from .html_extract import extract_main_text
 from .langid import identify
 from .linededup import dedup_lines
+from .minhash import near_duplicate_sets
 from .quality import judge_quality
 from .secrets import KINDS, find_secrets
 from .sharding import shard_digest, write_shards
 from .simhash import hex_of, near_duplicates
+from .spelling import group_variants
 from .spm import encode_documents
 from .urlfilter import filter_urls
 
@@ -21,6 +24,7 @@ from .urlfilter import filter_urls
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 BPE_PATTERN = public_tokenizers.PATTERN
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_sharding(spark, sf_dir):
@@ -100,6 +104,19 @@ def op10_decontamination(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), contaminated().alias("contaminated"))
 
 
+def op11_minhash_near_dedup(spark, sf_dir):
+    return near_duplicate_sets(read_table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
+def op12_cross_tokenizer_alignment(spark, sf_dir):
+    out = align_documents(read_table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_MODEL)
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_overlaps", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_spelling_variants(spark, sf_dir):
+    return group_variants(read_table(spark, sf_dir, "documents"), min_chars=6, min_n=5, times=5, typo_every=199)
+
+
 OP1_SQL = r"""
 WITH crc AS (
   SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS step
@@ -208,11 +225,66 @@ SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM dw LEFT JOIN words ON dw.doc_id = words.doc_id LEFT JOIN items ON dw.doc_id = items.doc_id
 """
 
+OP11_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[s:s + n - 1], ' ') AS g
+  FROM (SELECT doc_id, w, least(4, len(w)) AS n, unnest(range(1, len(w) - least(4, len(w)) + 2)) AS s FROM w WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS n FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT u, v FROM shared JOIN sizes x ON u = x.doc_id JOIN sizes y ON v = y.doc_id WHERE 100 * shared.n >= 80 * (x.n + y.n - shared.n)
+), ways AS (
+  SELECT u, v FROM links UNION ALL SELECT v, u FROM links
+), reach(doc_id, least_id) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT v, least_id FROM reach JOIN ways ON reach.doc_id = u WHERE least_id < v
+)
+SELECT d.doc_id, CAST(coalesce(any_value(s.n), 0) AS BIGINT) AS n_shingles, min(r.least_id) AS component_id, d.doc_id = min(r.least_id) AS kept
+FROM documents d JOIN reach r ON d.doc_id = r.doc_id LEFT JOIN sizes s ON d.doc_id = s.doc_id GROUP BY d.doc_id
+"""
+
+OP13_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS step
+), runs AS (
+  SELECT doc_id, run, count(*) AS n
+  FROM (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents)
+  WHERE length(run) >= 6 GROUP BY doc_id, run
+), hashed AS (
+  SELECT run, n, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(doc_id || ':' || run)), '..'), lambda x: CAST('0x' || x AS BIGINT)), lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS h
+  FROM runs, crc
+), words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), gaps AS (
+  SELECT word, substr(word, 1, i - 1) || '$' || substr(word, i + 1) AS gap, substr(word, 1, i - 1) || substr(word, i + 1) AS less
+  FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS other FROM gaps a JOIN gaps b ON a.gap = b.gap AND a.word <> b.word
+  UNION SELECT a.word, w.word FROM gaps a JOIN words w ON a.less = w.word
+  UNION SELECT w.word, a.word FROM gaps a JOIN words w ON a.less = w.word
+), ranked AS (
+  SELECT near.word, other, o.n AS other_n, count(*) OVER (PARTITION BY near.word) AS n_near, row_number() OVER (PARTITION BY near.word ORDER BY o.n DESC, other) AS place
+  FROM near JOIN words o ON other = o.word
+), formed AS (
+  SELECT w.word, CASE WHEN other_n >= 5 * n THEN other END AS form, n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CASE WHEN other_n >= 5 * n THEN other_n END AS form_n
+  FROM words w LEFT JOIN ranked r ON w.word = r.word AND place = 1
+), way(word, here) AS (
+  SELECT word, word FROM formed UNION ALL SELECT way.word, form FROM way JOIN formed ON here = formed.word WHERE form IS NOT NULL
+)
+SELECT f.word, f.form, way.here AS root, f.n, f.n_near, f.form_n
+FROM formed f JOIN way ON f.word = way.word JOIN formed last ON way.here = last.word AND last.form IS NULL
+"""
+
 
 def queries():
-    found = [op1_sharding, op2_html_extraction, op3_quality_rules, op4_simhash_near_dedup, op5_language_id, op6_line_dedup, op7_url_filters, op8_sentencepiece, op9_secret_scans, op10_decontamination, quality_base, url_rules, secrets_base]
+    found = [op1_sharding, op2_html_extraction, op3_quality_rules, op4_simhash_near_dedup, op5_language_id, op6_line_dedup, op7_url_filters, op8_sentencepiece, op9_secret_scans, op10_decontamination, op11_minhash_near_dedup, op12_cross_tokenizer_alignment, op13_spelling_variants, quality_base, url_rules, secrets_base]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql():
-    return {"op1_sharding": OP1_SQL, "quality_base": QUALITY_SQL, "url_rules": URL_SQL, "secrets_base": SECRETS_SQL, "op6_line_dedup": OP6_SQL, "op10_decontamination": OP10_SQL}
+    return {"op1_sharding": OP1_SQL, "quality_base": QUALITY_SQL, "url_rules": URL_SQL, "secrets_base": SECRETS_SQL, "op6_line_dedup": OP6_SQL, "op10_decontamination": OP10_SQL, "op11_minhash_near_dedup": OP11_SQL, "op13_spelling_variants": OP13_SQL}

@@ -30,6 +30,8 @@ COLUMNS = {
     "op8_sentencepiece": "doc_id token_ids",
     "op9_secret_scans": "doc_id n_assign n_access n_hex base_sha256 spans",
     "op10_decontamination": "doc_id n_words n_hit n_items items_sha256 contaminated",
+    "op11_minhash_near_dedup": "doc_id n_shingles component_id kept",
+    "op12_cross_tokenizer_alignment": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
 }
 
 
