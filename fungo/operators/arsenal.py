@@ -13,36 +13,53 @@ from fungo.plans.schema import ARSENAL_METRICS, PITCH_TYPES
 _WHIFF = ("swinging_strike", "swinging_strike_blocked")
 
 
-def arsenal_long(pitches: DataFrame, min_pitches: int = 100, denominator: str = "strikes") -> DataFrame:
-    """A1: per pitcher, season and pitch type: count, share, mean speed, spin and movement, whiff rate.
+_MEANS = ("release_speed", "release_spin_rate", "pfx_x", "pfx_z")
 
-    `denominator`: "strikes" takes every description with strike or foul in it and balls in
-    play, so called strikes too; "swings" leaves called strikes out.  Pitcher-seasons under
-    `min_pitches` are dropped.  Pitches are shuffled as partial sums by type only; the total
-    is a window over the grouped rows, a few per pitcher and season, not a second scan.
-    """
+
+def arsenal_states(pitches: DataFrame, denominator: str = "strikes") -> DataFrame:
+    """What pitches add to A1: (pitcher, season, pitch_type, n, sums and counts of measures, missed and seen swings)."""
     d = F.col("description")
     seen = d.contains("strike") | d.contains("foul") | (d == "hit_into_play")
     if denominator == "swings":
         seen = seen & (d != "called_strike")
-    means = [F.avg(c).alias(f"_{c}") for c in ("release_speed", "release_spin_rate", "pfx_x", "pfx_z")]
-    by_type = pitches.filter("pitch_type is not null and pitcher is not null").groupBy("pitcher", "season", "pitch_type").agg(F.count("*").alias("n_pitches"), *means, count_where(d.isin(*_WHIFF)).alias("_w"), count_where(seen).alias("_s"))
-    total = F.sum("n_pitches").over(Window.partitionBy("pitcher", "season"))
+    sums = [f(c).alias(f"{n}_{c}") for c in _MEANS for n, f in (("s", F.sum), ("n", F.count))]
+    return pitches.filter("pitch_type is not null and pitcher is not null").groupBy("pitcher", "season", "pitch_type").agg(F.count("*").alias("n"), *sums, count_where(d.isin(*_WHIFF)).alias("missed"), count_where(seen).alias("seen"))
+
+
+def fold_arsenal(states: DataFrame, min_pitches: int = 100, merge: bool = True) -> DataFrame:
+    """A1 from states; `merge` adds up states of one key (from several writes), which are one row otherwise."""
+    if merge:
+        states = states.groupBy("pitcher", "season", "pitch_type").agg(*(F.sum(c).alias(c) for c in states.columns if c not in ("pitcher", "season", "pitch_type")))
+    total = F.sum("n").over(Window.partitionBy("pitcher", "season"))
+
+    def mean(c: str, digits: int):
+        return round_half_up(safe_ratio(F.col(f"s_{c}"), F.col(f"n_{c}")), digits)
+
     return (
-        by_type.withColumn("_total", total)
+        states.withColumn("_total", total)
         .filter(F.col("_total") >= min_pitches)
         .select(
-            "pitcher", "season", "pitch_type", "n_pitches",
-            round_half_up(F.lit(100.0) * F.col("n_pitches") / F.col("_total"), 2).alias("usage_pct"),
-            round_half_up("_release_speed", 2).alias("avg_speed"),
-            round_half_up("_release_spin_rate", 0).alias("avg_spin"),
-            round_half_up(safe_ratio(F.col("_w"), F.col("_s")), 4).alias("whiff_rate"),
-            round_half_up("_pfx_x", 2).alias("avg_pfx_x"),
-            round_half_up("_pfx_z", 2).alias("avg_pfx_z"),
+            "pitcher", "season", "pitch_type", F.col("n").alias("n_pitches"),
+            round_half_up(F.lit(100.0) * F.col("n") / F.col("_total"), 2).alias("usage_pct"),
+            mean("release_speed", 2).alias("avg_speed"), mean("release_spin_rate", 0).alias("avg_spin"),
+            round_half_up(safe_ratio(F.col("missed"), F.col("seen")), 4).alias("whiff_rate"),
+            mean("pfx_x", 2).alias("avg_pfx_x"), mean("pfx_z", 2).alias("avg_pfx_z"),
         )
     )
 
 
+def arsenal_long(pitches: DataFrame, min_pitches: int = 100, denominator: str = "strikes") -> DataFrame:
+    """A1: per pitcher, season and pitch type: count, share, mean speed, spin and movement, whiff rate.
+
+    `denominator`: "strikes" takes every description with strike or foul in it and balls in
+    play, so called strikes too; "swings" leaves called strikes out.  Pitcher-seasons under
+    `min_pitches` are dropped.  Pitches are shuffled as partial sums by type only; the total
+    is a window over the grouped rows, a few per pitcher and season, not a second scan.  On
+    facts bucketed by pitcher and season (tables.write_facts) nothing is shuffled.
+    """
+    return fold_arsenal(arsenal_states(pitches, denominator), min_pitches, merge=False)
+
+
 def arsenal_wide(long: DataFrame, types: tuple[str, ...] = PITCH_TYPES, metrics: tuple[str, ...] = ARSENAL_METRICS) -> DataFrame:
     """A2: one row per pitcher and season with <TYPE>_<metric> columns, metric by metric; types are fixed, so columns never depend on the data."""
     wide = long.groupBy(F.col("pitcher").alias("player_id"), "season").pivot("pitch_type", list(types)).agg(*(F.first(m).alias(m) for m in metrics))

@@ -39,8 +39,8 @@ def year_over_year(df: DataFrame, key: str, season_column: str, first: int, seco
     """Entities present in both seasons, each metric with both years as suffixes; one grouped pass instead of a self-join."""
     s = F.col(season_column)
     picked = [F.max(F.when(s == y, F.col(m))).alias(f"{m}_{y}") for m in metrics for y in (first, second)]
-    g = df.filter(s.isin(first, second) & F.col(key).isNotNull()).groupBy(key).agg(F.count_distinct(s).alias("_years"), *picked)
-    return g.filter("_years = 2").drop("_years")
+    g = df.filter(s.isin(first, second) & F.col(key).isNotNull()).groupBy(key).agg(*(F.max(s == y).alias(f"_{y}") for y in (first, second)), *picked)
+    return g.filter(f"_{first} and _{second}").drop(f"_{first}", f"_{second}")
 
 
 def yoy_delta(df: DataFrame, key: str, season_column: str, first: int, second: int, metric: str, n: int | None = 15, ascending: bool = False) -> DataFrame:

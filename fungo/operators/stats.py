@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fungo.functions.numeric import count_where, round_half_even
+from fungo.operators.quantiles import exact_quantiles
+from fungo.sources.shared import join_keys, written
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -41,9 +43,11 @@ def mean_by(df: DataFrame, key: str, value: str, min_n: int = 100) -> DataFrame:
 
 
 def median_by(df: DataFrame, key: str, value: str, accuracy: int | None = None) -> DataFrame:
-    """Median per key; exact, or by percentile_approx where `accuracy` is given (for measures of many distinct values)."""
-    median = F.median(value) if accuracy is None else F.percentile_approx(value, 0.5, accuracy)
-    return df.filter(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(key).agg(median.alias("median_value"))
+    """Median per key; exact by rank selection (see quantiles.rank_values), or by percentile_approx where `accuracy` is given."""
+    rows = df.filter(F.col(key).isNotNull() & F.col(value).isNotNull())
+    if accuracy is not None:
+        return rows.groupBy(key).agg(F.percentile_approx(value, 0.5, accuracy).alias("median_value"))
+    return exact_quantiles(rows.select(key, value), [key], value, [0.5]).select(key, F.col("q")[0].alias("median_value"))
 
 
 def mean_of_medians(df: DataFrame, key: str, value: str, accuracy: int | None = None) -> DataFrame:
@@ -80,18 +84,21 @@ def missing_profile(df: DataFrame, n: int = 20) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: list[str], accuracy: int | None = None) -> DataFrame:
-    """Count, mean, sample deviation, extremes and quartiles of measures, in one pass.
+    """Count, mean, sample deviation, extremes and quartiles of measures.
 
-    Quartiles are exact (each task's distinct values meet, with their counts); with
-    `accuracy` they come from percentile_approx, whose states stay small, for measures of
-    very many distinct values.
+    Counts to extremes are one pass.  Quartiles are exact by rank selection over the measures
+    set one below the other (see quantiles.rank_values), so no task holds a measure's values;
+    with `accuracy` they come from percentile_approx in that pass.
     """
     parts = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
-    at = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    quartiles = [(F.percentile(c, at) if accuracy is None else F.percentile_approx(c, at, accuracy)).alias(f"q{i}") for i, c in enumerate(columns)]
-    one = df.agg(*(f(c).alias(f"{p}{i}") for i, c in enumerate(columns) for p, f in parts.items()), *quartiles)
-    r = _stacked(one, columns, [*parts, "q"])
-    return r.select("_r.column_name", "_r.n", "_r.mean", "_r.std", "_r.min", F.col("_r.q")[0].alias("p25"), F.col("_r.q")[1].alias("p50"), F.col("_r.q")[2].alias("p75"), "_r.max")
+    at = [0.25, 0.5, 0.75]
+    quartiles = [] if accuracy is None else [F.percentile_approx(c, F.array(*map(F.lit, at)), accuracy).alias(f"q{i}") for i, c in enumerate(columns)]
+    r = _stacked(df.agg(*(f(c).alias(f"{p}{i}") for i, c in enumerate(columns) for p, f in parts.items()), *quartiles), columns, [*parts, *(["q"] if quartiles else [])])
+    r = r.select("_r.*")
+    if accuracy is None:
+        long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in columns))).alias("x")).select("x.*")
+        r = r.join(F.broadcast(exact_quantiles(long, ["column_name"], "value", at)), "column_name", "left")
+    return r.select("column_name", "n", "mean", "std", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
 
 
 def bounds(df: DataFrame, *columns: str) -> DataFrame:
@@ -99,7 +106,7 @@ def bounds(df: DataFrame, *columns: str) -> DataFrame:
     return df.agg(*(f(c).cast("double").alias(f"{n}_{i}") for i, c in enumerate(columns) for n, f in (("lo", F.min), ("hi", F.max))))
 
 
-def _bin(x: Column, lo: Column, hi: Column, bins: int) -> Column:
+def equal_width_bin(x: Column, lo: Column, hi: Column, bins: int) -> Column:
     """Equal-width bin from 0, left-closed, the last one closed; one bin where all values are equal."""
     at = F.coalesce(F.floor((x - lo) / F.when(hi > lo, (hi - lo) / bins)), F.lit(0))  # least() skips nulls
     return F.least(at, F.lit(bins - 1)).cast("int")
@@ -112,29 +119,39 @@ def histogram(df: DataFrame, column: str, bins: int, by: str | None = None) -> D
     """
     rows = df.filter(F.col(column).isNotNull())
     lo, hi = F.col("lo_0"), F.col("hi_0")
-    keyed = rows.crossJoin(F.broadcast(bounds(rows, column))).withColumn("bin", _bin(F.col(column), lo, hi, bins))
+    keyed = rows.crossJoin(F.broadcast(bounds(rows, column))).withColumn("bin", equal_width_bin(F.col(column), lo, hi, bins))
     g = keyed.groupBy(*([by] if by else []), "bin", "lo_0", "hi_0").agg(F.count("*").alias("n"))
     width = (hi - lo) / bins
     return g.select(*([by] if by else []), "bin", (lo + F.col("bin") * width).alias("lo"), (lo + (F.col("bin") + 1) * width).alias("hi"), "n")
 
 
+def box_of_counts(counts: DataFrame, key: str, quartiles: DataFrame | None = None) -> DataFrame:
+    """Quartiles, whisker ends and outliers per key from counted values (key, _v, _n)."""
+    if quartiles is None:
+        counts = written(counts)
+        quartiles = exact_quantiles(counts, [key], "_v", [0.25, 0.5, 0.75], "_n")
+    sizes = counts.groupBy(key).agg(F.count("*").alias("_size"))
+    told = quartiles.select(key, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3")).join(sizes, key)
+    joined = join_keys(counts, told, [key], "_size")
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    inside = F.col("_v").between(F.col("q1") - reach, F.col("q3") + reach)
+    return joined.groupBy(key, "q1", "median", "q3").agg(F.min(F.when(inside, F.col("_v"))).alias("whisker_low"), F.max(F.when(inside, F.col("_v"))).alias("whisker_high"), F.coalesce(F.sum(F.when(~inside, F.col("_n"))), F.lit(0)).alias("n_outliers"))
+
+
 def box_stats(df: DataFrame, key: str, value: str, order: list[str] | None = None, accuracy: int | None = None) -> DataFrame:
     """Per key: quartiles, whisker ends (furthest values within 1.5 quartile ranges) and number of outliers; `order` restricts and ranks the keys.
 
-    Rows are first counted by key and value, with map-side partials, so that a hot key is
-    no hot task; quartiles, whiskers and outliers come from the counts.  With `accuracy`,
-    quartiles come from percentile_approx over the rows.
+    Rows are first counted by key and value, with map-side partials; quartiles are exact by
+    rank selection over these counts, whiskers and outliers are grouped sums of them, so
+    neither a hot key nor a key of very many values is one task.  With `accuracy`, quartiles
+    come from percentile_approx over the rows.
     """
     rows = df.filter(F.col(key).isNotNull() & F.col(value).isNotNull())
     if order is not None:
         rows = rows.filter(F.col(key).isin(*order))
     counts = rows.groupBy(key, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    at = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    quartiles = counts.groupBy(key).agg(F.percentile("_v", at, F.col("_n")).alias("_q")) if accuracy is None else rows.groupBy(key).agg(F.percentile_approx(value, at, accuracy).alias("_q"))
-    joined = counts.join(quartiles, key).select(key, "_v", "_n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
-    reach = 1.5 * (F.col("q3") - F.col("q1"))
-    inside = F.col("_v").between(F.col("q1") - reach, F.col("q3") + reach)
-    out = joined.groupBy(key, "q1", "median", "q3").agg(F.min(F.when(inside, F.col("_v"))).alias("whisker_low"), F.max(F.when(inside, F.col("_v"))).alias("whisker_high"), F.coalesce(F.sum(F.when(~inside, F.col("_n"))), F.lit(0)).alias("n_outliers"))
+    quartiles = None if accuracy is None else rows.groupBy(key).agg(F.percentile_approx(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), accuracy).alias("q"))
+    out = box_of_counts(counts, key, quartiles)
     if order is not None:
         out = out.orderBy(F.array_position(F.array(*map(F.lit, order)), F.col(key)))
     return out

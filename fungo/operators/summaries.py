@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fungo.functions.numeric import count_where, round_half_even, safe_ratio
-from fungo.operators.clean import with_absent
 from fungo.plans.schema import AB_EVENTS, HIT_EVENTS, PA_EVENTS, WALK_EVENTS
 
 
@@ -23,54 +22,93 @@ def _total_bases() -> Column:
     return F.col("1B") + 2 * F.col("2B") + 3 * F.col("3B") + 4 * F.col("HR")
 
 
-def batting_summary(pitches: DataFrame, keys: tuple[str, str] = ("batter", "country")) -> DataFrame:
-    """A3: batting line of every batter and country, from one grouped pass of conditional counts.
+def _sums(pitches: DataFrame, measures: dict[str, str]) -> dict[str, Column]:
+    """Sum and count of each measure under a short name; nothing where the table lacks it."""
+    out = {}
+    for name, c in measures.items():
+        out |= {f"{name}s": F.sum(c) if c in pitches.columns else F.lit(None).cast("double"), f"{name}n": F.count(c) if c in pitches.columns else F.lit(0)}
+    return out
 
-    On-base percentage is (H + BB + HBP) / PA; rates of nobody are null; means are over all
-    pitches of the group, null where the table lacks the measure.  The name is the least of
-    the group's (a function of the id).
-    """
-    known = with_absent(pitches, "estimated_woba_using_speedangle", "launch_speed", "launch_angle").filter(" and ".join(f"{k} is not null" for k in keys))
-    means = {"_x": F.avg("estimated_woba_using_speedangle"), "_ev": F.avg("launch_speed"), "_la": F.avg("launch_angle")}
-    g = known.groupBy(*keys).agg(F.min("player_name").alias("player_name"), *(c.alias(n) for n, c in (_outcomes() | means).items()))
-    g = g.withColumn("TB", _total_bases())
+
+def _mean(name: str, digits: int) -> Column:
+    return round_half_even(safe_ratio(F.col(f"{name}s"), F.col(f"{name}n")), digits)
+
+
+def _added(states: DataFrame, keys: tuple[str, ...], drop: tuple[str, ...] = ("season",)) -> DataFrame:
+    """States of the same keys in one row: sums of what is counted, the least name."""
+    return states.groupBy(*keys).agg(F.min("player_name").alias("player_name"), *(F.sum(c).alias(c) for c in states.columns if c not in (*keys, *drop, "player_name")))
+
+
+def batting_states(pitches: DataFrame, keys: tuple[str, str] = ("batter", "country"), more: tuple[str, ...] = ()) -> DataFrame:
+    """What pitches add to A3, by the keys and columns `more`: the least name, outcome counts, sums and counts of measures."""
+    known = pitches.filter(" and ".join(f"{k} is not null" for k in keys))
+    sums = _sums(pitches, {"_x": "estimated_woba_using_speedangle", "_ev": "launch_speed", "_la": "launch_angle"})
+    return known.groupBy(*keys, *more).agg(F.min("player_name").alias("player_name"), *(c.alias(n) for n, c in (_outcomes() | sums).items()))
+
+
+def fold_batting(states: DataFrame, keys: tuple[str, str] = ("batter", "country"), merge: bool = True) -> DataFrame:
+    """A3 from states; `merge` adds up states of one key (of several seasons)."""
+    g = (_added(states, keys) if merge else states).withColumn("TB", _total_bases())
     obp, slg = safe_ratio(F.col("H") + F.col("BB") + F.col("HBP"), F.col("PA")), safe_ratio(F.col("TB"), F.col("AB"))
     return g.select(
         F.col(keys[0]).alias("mlbam_id"), "player_name", keys[1], "PA", "AB", "H", "1B", "2B", "3B", "HR", "BB", "HBP", "K", "TB",
         round_half_even(safe_ratio(F.col("H"), F.col("AB")), 3).alias("AVG"), round_half_even(obp, 3).alias("OBP"), round_half_even(slg, 3).alias("SLG"), round_half_even(obp + slg, 3).alias("OPS"),
         round_half_even(safe_ratio(F.col("K"), F.col("PA")) * 100, 1).alias("K_pct"), round_half_even(safe_ratio(F.col("BB"), F.col("PA")) * 100, 1).alias("BB_pct"),
-        round_half_even("_x", 3).alias("xwOBA"), round_half_even("_ev", 1).alias("avg_exit_velo"), round_half_even("_la", 1).alias("avg_launch_angle"),
+        _mean("_x", 3).alias("xwOBA"), _mean("_ev", 1).alias("avg_exit_velo"), _mean("_la", 1).alias("avg_launch_angle"),
     )
 
 
-def pitching_summary(pitches: DataFrame, keys: tuple[str, str] = ("pitcher", "country")) -> DataFrame:
-    """A4: pitching line of every pitcher and country, with the number of pitch types and the primary one.
+def batting_summary(pitches: DataFrame, keys: tuple[str, str] = ("batter", "country")) -> DataFrame:
+    """A3: batting line of every batter and country, from one grouped pass of conditional counts.
 
-    Everything is first counted per pitch type, then folded: the second grouping reads a few
-    rows a player, and the primary pitch (most thrown, then the least code) needs no join.
+    On-base percentage is (H + BB + HBP) / PA; rates of nobody are null; means are over all
+    pitches of the group, null where the table lacks the measure.  The name is the least of
+    the group's (a function of the id).  See `presented` for the published order.
     """
+    return fold_batting(batting_states(pitches, keys), keys, merge=False)
+
+
+def pitching_states(pitches: DataFrame, keys: tuple[str, str] = ("pitcher", "country"), more: tuple[str, ...] = ()) -> DataFrame:
+    """What pitches add to A4, by the keys, pitch type and columns `more`: the least name, pitches, outcome counts, sums and counts of measures."""
     known = pitches.filter(" and ".join(f"{k} is not null" for k in keys))
-    sums = _outcomes()
-    for name, c in (("_x", "estimated_woba_using_speedangle"), ("_v", "release_speed"), ("_r", "release_spin_rate")):
-        sums |= {f"{name}s": F.sum(c) if c in pitches.columns else F.lit(None).cast("double"), f"{name}n": F.count(c) if c in pitches.columns else F.lit(0)}
-    by_type = known.groupBy(*keys, "pitch_type").agg(F.min("player_name").alias("player_name"), F.count("*").alias("n"), *(c.alias(n) for n, c in sums.items()))
+    sums = _outcomes() | _sums(pitches, {"_x": "estimated_woba_using_speedangle", "_v": "release_speed", "_r": "release_spin_rate"})
+    return known.groupBy(*keys, "pitch_type", *more).agg(F.min("player_name").alias("player_name"), F.count("*").alias("n"), *(c.alias(n) for n, c in sums.items()))
+
+
+def fold_pitching(states: DataFrame, keys: tuple[str, str] = ("pitcher", "country"), merge: bool = True) -> DataFrame:
+    """A4 from states; `merge` adds up states of one key and pitch type (of several seasons)."""
+    by_type = _added(states, (*keys, "pitch_type")) if merge else states
+    sums = [c for c in by_type.columns if c not in (*keys, "pitch_type", "player_name", "n")]
     has_type = F.col("pitch_type").isNotNull()
     g = by_type.groupBy(*keys).agg(
         F.min("player_name").alias("player_name"), F.sum("n").alias("total_pitches"), *(F.sum(n).alias(n) for n in sums),
         count_where(has_type).alias("pitch_type_count"), F.min(F.when(has_type, F.struct(-F.col("n"), "pitch_type")))["pitch_type"].alias("primary_pitch"),
     ).withColumn("TB", _total_bases())
-
-    def mean(name: str, digits: int) -> Column:
-        return round_half_even(safe_ratio(F.col(f"{name}s"), F.col(f"{name}n")), digits)
-
     return g.select(
         F.col(keys[0]).alias("mlbam_id"), "player_name", keys[1], "total_pitches", F.col("PA").alias("PA_faced"), "K", "BB", F.col("HR").alias("HR_allowed"), F.col("H").alias("H_allowed"),
         round_half_even(safe_ratio(F.col("H"), F.col("AB")), 3).alias("opp_AVG"), round_half_even(safe_ratio(F.col("TB"), F.col("AB")), 3).alias("opp_SLG"),
         round_half_even(safe_ratio(F.col("K"), F.col("PA")) * 100, 1).alias("K_pct"), round_half_even(safe_ratio(F.col("BB"), F.col("PA")) * 100, 1).alias("BB_pct"),
-        mean("_x", 3).alias("xwOBA_against"), mean("_v", 1).alias("avg_velo"), mean("_r", 0).alias("avg_spin_rate"), "pitch_type_count", "primary_pitch",
+        _mean("_x", 3).alias("xwOBA_against"), _mean("_v", 1).alias("avg_velo"), _mean("_r", 0).alias("avg_spin_rate"), "pitch_type_count", "primary_pitch",
     )
 
 
+def pitching_summary(pitches: DataFrame, keys: tuple[str, str] = ("pitcher", "country")) -> DataFrame:
+    """A4: pitching line of every pitcher and country, with the number of pitch types and the primary one.
+
+    Everything is first counted per pitch type, then folded: the second grouping reads a few
+    rows a player, and the primary pitch (most thrown, then the least code) needs no join.
+    """
+    return fold_pitching(pitching_states(pitches, keys), keys, merge=False)
+
+
+def presented(summary: DataFrame, *order: str) -> DataFrame:
+    """T5: a published table in its order (A3 and A4: country, player_name, mlbam_id; A1: pitcher, season, pitch_type), by ranges over all tasks.
+
+    For output only, where rows are written or shown next; nulls come last.
+    """
+    return summary.orderBy(*(F.asc_nulls_last(c) for c in order or ("country", "player_name", "mlbam_id")))
+
+
 def _mean_of_rounded(column: str, digits: int) -> Column:
     """Mean of a column of `digits` decimals, to as many: whole units are summed, so the order of the rows cannot tip a tie."""
     scale = float(10**digits)

@@ -21,8 +21,13 @@ def register(sql: str | None = None):
     return put
 
 
+def sql_of(name: str) -> str:
+    """The SQL of a query that is registered already."""
+    return _SQL[name]
+
+
 def _load() -> None:
-    for name in ("core", "sources", "scalars", "profiles", "ranks"):
+    for name in ("core", "sources", "scalars", "profiles", "ranks", "scale"):
         import_module(f"fungo.plans.{name}")
 
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,20 +10,11 @@ from fungo.plans.fixture import PITCHES, ROSTER_LINES, duck, pitches, view
 from fungo.plans.registry import register
 from fungo.plans.schema import POOL_CITIES, ROSTER_COUNTRIES, SOURCE_COUNTRIES, TEAMS
 from fungo.sources import tables
+from fungo.sources.shared import shared_path
 
 WITH = f"WITH pitches AS ({duck(PITCHES)})"
 
 
-def scratch(spark) -> str:
-    """A new path in the folder that all executors share; a local one only where all runs in this machine (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="fungo-")
-    return f"{folder.rstrip('/')}/fungo-{uuid.uuid4().hex}"
-
-
 def case(column: str, mapping: dict, otherwise: str) -> str:
     return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in mapping.items()) + f" ELSE {otherwise} END"
 
@@ -54,7 +42,7 @@ _SOURCED = "SELECT c_custkey, c_acctbal, " + "CASE CAST(c_custkey % 22 AS INT) "
 @register(f"WITH s AS ({duck(_SOURCED)}) SELECT c_custkey, c_acctbal, CASE WHEN c_custkey % 2 = 1 THEN concat('no. ', CAST(c_custkey AS VARCHAR)) END AS note, {case('prefix', {k: v[0] for k, v in SOURCE_COUNTRIES.items()}, 'NULL')} AS country, {case('prefix', {k: v[1] for k, v in SOURCE_COUNTRIES.items()}, 'NULL')} AS country_name FROM s WHERE prefix NOT IN ('narnia', 'oz')")
 def combine_sources(spark, sf_dir):
     """Sources of unequal columns, and one to leave out, are written by prefix and combined again."""
-    rows, folder = view(spark, sf_dir, _SOURCED).withColumn("source", F.concat("prefix", F.lit("_pitches.csv"))), scratch(spark)
+    rows, folder = view(spark, sf_dir, _SOURCED).withColumn("source", F.concat("prefix", F.lit("_pitches.csv"))), shared_path(spark)
     odd = F.col("c_custkey") % 2 == 1  # one prefix, one parity
     with_note = rows.filter(odd).select("c_acctbal", F.concat(F.lit("no. "), F.col("c_custkey").cast("string")).alias("note"), "c_custkey", "source")
     left_out = rows.select("c_custkey", F.concat("prefix", F.lit("_batters_pitches.csv")).alias("source"))
@@ -67,7 +55,7 @@ def combine_sources(spark, sf_dir):
 @register("SELECT o_orderkey, CASE WHEN year(o_orderdate) = 1996 THEN 2 * o_totalprice ELSE o_totalprice END AS price, CAST(year(o_orderdate) AS INT) AS season FROM orders")
 def partition_refresh(spark, sf_dir):
     """All seasons are written, then one again with new values: it alone is replaced."""
-    rows, path = view(spark, sf_dir, "SELECT o_orderkey, o_totalprice AS price, CAST(year(o_orderdate) AS INT) AS season FROM {orders}"), scratch(spark)
+    rows, path = view(spark, sf_dir, "SELECT o_orderkey, o_totalprice AS price, CAST(year(o_orderdate) AS INT) AS season FROM {orders}"), shared_path(spark)
     tables.write_dataset(rows, path, "parquet", "season")
     tables.write_dataset(rows.filter("season = 1996").withColumn("price", 2 * F.col("price")), path, "parquet", "season")
     return tables.read_table(spark, path, fmt="parquet").select("o_orderkey", "price", "season")
@@ -102,7 +90,7 @@ def roster_sections(spark, sf_dir):
 @register("SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer")
 def csv_roundtrip(spark, sf_dir):
     df = view(spark, sf_dir, "SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM {customer}")
-    path = scratch(spark)
+    path = shared_path(spark)
     tables.write_dataset(df, path)
     return tables.read_table(spark, path, df.schema)
 
