@@ -39,8 +39,9 @@ class Rows:
 
 def from_triples(row: np.ndarray, column: np.ndarray, value: np.ndarray, n_rows: int) -> Rows:
     """Entries of one place are added up; columns ascend within a row."""
-    order = np.lexsort((column, row))
-    row, column, value = row[order], column[order], value[order]
+    if not ((row[1:] > row[:-1]) | ((row[1:] == row[:-1]) & (column[1:] >= column[:-1]))).all():
+        order = np.lexsort((column, row))
+        row, column, value = row[order], column[order], value[order]
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (column[1:] != column[:-1])
     starts = np.flatnonzero(new)
@@ -117,10 +118,11 @@ class Pair:
     def lengths(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return self.a_length[a], self.b_length[b]
 
-    def tokens(self, s: str) -> tuple[np.ndarray, np.ndarray]:
-        a = np.array(self.bpe.encode_ordinary(s), np.int64)
-        b = np.array(self.piece.processor.encode(s.replace(" ", SPACE)), np.int64)
-        return a, b
+    def tokens(self, *parts: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of both for texts one after the other, each encoded by itself."""
+        a = chain.from_iterable(map(self.bpe.encode_ordinary, parts))
+        b = chain.from_iterable(self.piece.processor.encode([s.replace(" ", SPACE) for s in parts], num_threads=1))
+        return np.fromiter(a, np.int64), np.fromiter(b, np.int64)
 
 
 #: A space behind anything but a space and before anything but white space begins a token in both vocabularies.
@@ -158,12 +160,12 @@ def align_units(units: list[str], pair: Pair) -> Units:
     matrices id-by-group and group-by-id, whose entries count occurrences, so that a group of
     very many tokens costs no more than its distinct ids.
     """
-    order = np.array(sorted(range(len(units)), key=lambda u: not _SOLID.fullmatch(units[u])), np.int64)
-    n_solid = sum(1 for u in units if _SOLID.fullmatch(u))
-    sizes = np.array([len(units[u].encode()) for u in order], np.int64)
-    joined = pair.tokens("".join(units[u] for u in order[:n_solid]))
+    solid = np.fromiter((_SOLID.fullmatch(u) is not None for u in units), bool, len(units))
+    order, n_solid = np.argsort(~solid, kind="stable"), int(solid.sum())
+    sizes = np.array([len(u.encode()) for u in units], np.int64)[order]
+    joined = pair.tokens(*("".join([units[u] for u in order[i : min(i + 64, n_solid)]]) for i in range(0, n_solid, 64)))
     if [x.sum() for x in pair.lengths(*joined)] != [sizes[:n_solid].sum()] * 2:  # some part's bytes change: each by itself
-        joined, n_solid = pair.tokens(""), 0
+        joined, n_solid = pair.tokens(), 0
     single = [pair.tokens(units[u]) for u in order[n_solid:]]
     good = [all(x.sum() == n for x in pair.lengths(*p)) for p, n in zip(single, sizes[n_solid:])]
     a, b = (np.concatenate([joined[i], *(p[i] for p, ok in zip(single, good) if ok)]) for i in (0, 1))
@@ -217,18 +219,18 @@ def align_texts(texts: list, pair: Pair) -> list:
     index: dict[str, int] = {}
     rows = [[index.setdefault(u, len(index)) for u in units_of(" " + t.decode())] if t else [] for t in texts]
     made = align_units(list(index), pair) if index else None
-    out: list[tuple] = []
-    for row in rows:
-        own = np.array(row, np.int64)
-        if not row or not made.same[own].all():
-            out.append((0, 0, 0, 0, "", [], []))
-            continue
-        once, times = np.unique(own, return_counts=True)
-        found = product(Rows(np.array([0, len(once)]), once, times), made.links)
-        sha = hashlib.sha256(";".join([made.text[u] for u in row]).encode()).hexdigest()
-        out.append((*(int(x[own].sum()) for x in (made.n_a, made.n_b, made.n_groups, made.n_overlaps)), sha, found.indices, found.data))
-    cols = list(zip(*out))
-    return [*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string()), *(list_array(list(c), pa.int64()) for c in cols[5:])]
+    whole = [bool(row) and bool(made.same[row].all()) for row in rows]
+    sizes = np.array([len(row) if ok else 0 for row, ok in zip(rows, whole)], np.int64)
+    part = np.fromiter(chain.from_iterable(row for row, ok in zip(rows, whole) if ok), np.int64, int(sizes.sum()))
+    if not len(part):
+        none = pa.array([0] * len(texts), pa.int64())
+        return [none, none, none, none, pa.array([""] * len(texts)), *[list_array([[]] * len(texts), pa.int64())] * 2]
+    doc = np.repeat(np.arange(len(texts)), sizes)
+    found = product(from_triples(doc, part, np.ones(len(part), np.int64), len(texts)), made.links)
+    sums = [np.bincount(doc, x[part], len(texts)).astype(np.int64) for x in (made.n_a, made.n_b, made.n_groups, made.n_overlaps)]
+    sha = [hashlib.sha256(";".join([made.text[u] for u in row]).encode()).hexdigest() if ok else "" for row, ok in zip(rows, whole)]
+    lists = [pa.ListArray.from_arrays(pa.array(found.indptr, pa.int32()), pa.array(x, pa.int64())) for x in (found.indices, found.data)]
+    return [*(pa.array(x) for x in sums), pa.array(sha, pa.string()), *lists]
 
 
 def pair_counts(aligned: DataFrame, n_b: int, held: int = 500_000) -> DataFrame:
@@ -298,7 +300,7 @@ def align_documents(docs: DataFrame, byte_bpe: str, piece_model: str, key: str =
         pair = Pair(*sent.value)
         return lambda ids, texts: [pa.array(ids, pa.int64()), *align_texts(texts, pair)]
 
-    aligned = cut_lineage(map_text(docs, key, text, f"k long, {FACTS}", make).withColumn("row", F.monotonically_increasing_id()), "zstd")
+    aligned = cut_lineage(map_text(docs, key, text, f"k long, {FACTS}", make, 2_000_000).withColumn("row", F.monotonically_increasing_id()), "zstd")
     counts = pair_counts(aligned, n_b)
     each = aligned.select("row", F.explode(F.arrays_zip("pairs", "links")).alias("x")).select("row", F.col("x.pairs").alias("pair"), F.col("x.links").alias("links"))
     n_pairs = counts.count()
