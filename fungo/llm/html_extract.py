@@ -195,8 +195,10 @@ def landmarks(blocks: list[Block], kinds: list[int], outer: list[int]) -> list[i
 PRIOR = {"bias": -1.2, "link_share": -3.5, "log_words": 0.6, "ends": 0.8, "heading": 0.4, "paragraph": 0.8, "item": -0.5, "rights": -1.5, "parent_share": 1.0, "longest_near": 0.3}
 #: Prior means of the smoothness: log-odds that adjacent blocks under one parent, adjacent ones under two, and the next under one parent are alike.
 TIES = {"neighbour": 1.0, "distant": 0.2, "kin": 0.8}
-#: Bound of a block's own log-odds; capacities of a landmark and of the tie of a block to it are above all that a block and its neighbours can weigh.
-CLIP, MARK, HOLD = 4.0, 20.0, 12.0
+#: Bound of a block's own log-odds, and the log-odds that its landmark adds.  Both are capacities of the block itself, so what a
+#: landmark says of one block does not depend on how many others it holds: a list of any length stays in its article, comments of
+#: any number stay out.  A landmark outweighs a block's own look by 2 at least; only ties to its neighbours can overrule it, block by block.
+CLIP, MARK = 4.0, 6.0
 
 
 def features(blocks: list[Block]) -> np.ndarray:
@@ -303,10 +305,9 @@ def max_flow_content(z: np.ndarray, edges: list[tuple[int, int, int]], scale: in
 def label_blocks(page: str, model: np.ndarray, hidden: bool = False) -> tuple[list[Block], np.ndarray, np.ndarray]:
     """The blocks of a page, their own log-odds of being content, and which lie on the content side of the minimum cut.
 
-    Nodes are blocks and landmark elements.  A block's terminal capacity comes from the
-    classifier of its text and place, a landmark's from its kind; blocks are tied to the
-    landmark that decides for them, to their neighbours and to their kin.  With `hidden`,
-    landmarks are left out, as on a page of bare divisions.
+    A block's terminal capacity is the classifier's log-odds of its text and place, and what the
+    landmark that decides for it says; blocks are tied to their neighbours and to their kin.
+    With `hidden`, landmarks are left out, as on a page of bare divisions.
     """
     blocks, kinds, outer = blocks_of(page)
     if not blocks:
@@ -314,11 +315,8 @@ def label_blocks(page: str, model: np.ndarray, hidden: bool = False) -> tuple[li
     own = np.clip(features(blocks) @ model[: len(PRIOR)], -CLIP, CLIP)
     ties = dict(zip(TIES, model[len(PRIOR) :]))
     edges = [(i, j, int(100 * ties[how])) for i, j, how in relations(blocks)]
-    marks = [0] * len(blocks) if hidden else landmarks(blocks, kinds, outer)
-    nodes = {m: len(blocks) + i for i, m in enumerate(sorted(set(marks) - {0}))}
-    edges += [(i, nodes[m], int(100 * HOLD)) for i, m in enumerate(marks) if m]
-    keep = max_flow_content(np.concatenate((own, [MARK * kinds[m] for m in nodes])), edges, clip=MARK)
-    return blocks, own, keep[: len(blocks)]
+    said = [0] * len(blocks) if hidden else [kinds[m] for m in landmarks(blocks, kinds, outer)]
+    return blocks, own, max_flow_content(own + MARK * np.array(said), edges, clip=CLIP + MARK)
 
 
 def main_text(page: str, model: np.ndarray) -> str:

@@ -81,6 +81,25 @@ def test_cut_mends_what_blocks_alone_get_wrong(spark):
     assert right == n and changed > 0 and own_right < n and hidden_right >= own_right and hidden_right > 0.99 * n
 
 
+@pytest.mark.parametrize("n", [1, 5, 6, 8, 40, 200])
+def test_what_a_landmark_says_does_not_depend_on_how_much_it_holds(spark, n):
+    """Links and tables of any length stay in their article, comments and footers of any length stay out."""
+    model = fitted([r.html for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("html").limit(300).collect()])
+    links = "".join(f"<li><a href='/x{i}'>Link number {i}</a></li>" for i in range(n))
+    table = "".join(f"<tr><td>{i}</td><td>cell</td></tr>" for i in range(n))
+    prose = "".join(f"<p>I liked this long article about many things, and I thank you for it, number {i}.</p>" for i in range(n))
+    article, nav = f"<h1>Title of it</h1><p>{ARTICLE}</p><p>{ARTICLE}</p>", "<nav><a href='/'>Home</a></nav>"
+    for body, want in (
+        (f"{nav}<article>{article}<ul>{links}</ul></article>", 3 + n),
+        (f"{nav}<article>{article}<table>{table}</table></article>", 3 + 2 * n),
+        (f"{nav}<article>{article}</article><div class='comments'>{prose}</div>", 3),
+        (f"{nav}<article>{article}<div class='comments'>{prose}</div></article>", 3),
+        (f"{nav}<article>{article}</article><footer>{prose}</footer>", 3),
+        (f"<div class='sidebar'>{prose}</div><div class='content'>{article}<ul>{links}</ul></div>", 3 + n),
+    ):
+        assert H.label_blocks(body, model)[2].sum() == want
+
+
 @pytest.mark.parametrize("markup", ['<a title="x">', '<a "', "<b>", "<p><i>", "<div></b>", "<nav>x", "<article><p>word, and more.", "<!--", "<script>", "<a title='x>", "<", "&amp;", '"> <a \'', "<td>x"])
 def test_time_grows_with_length(markup):
     model = np.array([*H.PRIOR.values(), *H.TIES.values()])
