@@ -9,8 +9,9 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space of the word rule `[^\x20\x09-\x0D]+`; also what bytes.split() and bytes.strip() use.
 WHITE = b" \t\n\x0b\x0c\r"
@@ -87,10 +88,20 @@ def slices(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def carried(df: DataFrame, carry: tuple[str, ...]) -> tuple[list, str]:
-    """Columns that travel beside an operator's own, under names that cannot clash, and their schema."""
-    fields = [df.schema[c] for c in carry]
-    return [F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)], "".join(f", _c{i} {f.dataType.simpleString()}" for i, f in enumerate(fields))
+def column(name: str) -> Column:
+    """The column of exactly this name, whatever it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def carried(df: DataFrame, carry: tuple[str, ...]) -> tuple[list, list[T.StructField]]:
+    """Columns that travel beside an operator's own, under names that cannot clash, and their fields."""
+    fields = [T.StructField(f"_c{i}", df.schema[c].dataType) for i, c in enumerate(carry)]
+    return [column(c).alias(f.name) for c, f in zip(carry, fields)], fields
+
+
+def with_fields(schema: str, fields: list[T.StructField]) -> T.StructType:
+    """A schema of simple types, and further fields of any type."""
+    return T.StructType([*T.StructType.fromDDL(schema).fields, *fields])
 
 
 def uncarried(carry: tuple[str, ...]) -> list:
@@ -120,7 +131,7 @@ def map_text(df: DataFrame, key: str, text: str, schema: str, make: Callable[[],
                 beside = [batch.column(2 + i).slice(a, b - a) for i in range(len(carry))]
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in got] + beside, names=names)
 
-    return df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), *columns).mapInArrow(run, schema + more)
+    return df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), *columns).mapInArrow(run, with_fields(schema, more))
 
 
 #: Keys that hold more than one of this many rows are joined apart.

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, cut_lineage, list_array
+from .common import carried, cut_lineage, list_array, with_fields
 
 #: Letters, digits and every byte of a non-ASCII character stay; A-Z become a-z; all else parts words.
 _KEEP = b"0123456789abcdefghijklmnopqrstuvwxyz"
@@ -290,7 +290,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", t
         found = reduce(DataFrame.unionAll, parts).groupBy("row").agg(F.collect_list("items").alias("items"), F.collect_list("spans").alias("spans"))
         rows = numbered.join(found, "row", "left").drop("row")
     sent = broadcast(groups[-1])
-    out = OUT + ("" if cut_words is None else ", text string") + more
+    out = OUT + ("" if cut_words is None else ", text string")
 
     def run(batches):
         shards = [Benchmark(pickle.loads(b)) for b in sent.value]
@@ -310,9 +310,9 @@ def find_contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", t
             cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), list_array(items, pa.string()), list_array(spans, pa.list_(pa.int32())), pa.array(n_cut, pa.int64())]
             if cut_words is not None:
                 cols.append(pa.array(texts, pa.binary()).cast(pa.string()))
-            yield pa.RecordBatch.from_arrays([*cols, *batch.columns[4:]], names=[x.split()[0] for x in out.split(", ")])
+            yield pa.RecordBatch.from_arrays([*cols, *batch.columns[4:]], names=[*(x.split()[0] for x in out.split(", ")), *beside])
 
-    return rows.select("k", "t", "items", "spans", *beside).mapInArrow(run, out).withColumnRenamed("k", key)
+    return rows.select("k", "t", "items", "spans", *beside).mapInArrow(run, with_fields(out, more)).withColumnRenamed("k", key)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = None, cut_words: int = 13, min_share_of: int = 20, **more) -> DataFrame:
@@ -322,14 +322,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     contaminated).  Length: in the others, spans of at least `cut_words` hit words are cut
     from the text, and column `length`, if named, becomes the new text's code points; a
     document without such a span stays as it is.  Null and empty texts, repeated rows and
-    null keys stay; empty tables give all of `docs`.
+    null keys stay; empty tables give all of `docs`.  Further columns of any name stay as they are.
     """
-    carry = tuple(c for c in docs.columns if c != text)
-    out = find_contamination(docs.withColumn("_key", F.col(key)), items, "_key", text, cut_words=cut_words, carry=carry, **more).filter(~contaminated(min_share_of=min_share_of))
-    beside = {c: F.col(f"_c{i}") for i, c in enumerate(carry)} | {text: F.col("text")}
+    names = {c: f"_d{i}" for i, c in enumerate(docs.columns)}
+    plain = docs.toDF(*names.values())
+    carry = tuple(d for c, d in names.items() if c != text)
+    out = find_contamination(plain.withColumn("_key", F.col(names[key])), items, "_key", names[text], cut_words=cut_words, carry=carry, **more).filter(~contaminated(min_share_of=min_share_of))
+    beside = {d: F.col(f"_c{i}") for i, d in enumerate(carry)} | {names[text]: F.col("text")}
     if length is not None:
-        beside[length] = F.when(F.col("n_cut") > 0, F.char_length("text").cast(docs.schema[length].dataType)).otherwise(beside[length])
-    return out.select(*(beside[c].alias(c) for c in docs.columns))
+        at = names[length]
+        beside[at] = F.when(F.col("n_cut") > 0, F.char_length("text").cast(docs.schema[length].dataType)).otherwise(beside[at])
+    return out.select(*(beside[d].alias(c) for c, d in names.items()))
 
 
 def contaminated(n_hit: str = "n_hit", n_words: str = "n_words", min_share_of: int = 20):

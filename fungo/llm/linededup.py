@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, WHITE, carried, cut_lineage, map_text
+from .common import HOT_SHARE, WHITE, carried, cut_lineage, map_text, with_fields
 
 #: Distinct keys a shard of the index holds on average.
 SHARD_KEYS = 100_000
@@ -272,4 +272,4 @@ def probe_by_shard(docs: DataFrame, frequent: DataFrame, index: DataFrame, n_sha
             cols = _rebuild(ids, texts, min_chars, lambda d, h: [int(x) in sets[i] for i, x in zip(d, h[:, 0].view(np.int64))])
             yield pa.RecordBatch.from_arrays([*cols, *b.columns[3:]], names=["k", "text", "n_lines", "n_dropped", *(f"_c{i}" for i in range(len(carry)))])
 
-    return joined.mapInArrow(rebuild, OUT + more)
+    return joined.mapInArrow(rebuild, with_fields(OUT, more))

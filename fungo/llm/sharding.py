@@ -198,10 +198,14 @@ def write_shards(docs: DataFrame, path: str, n_shards: int = 16, key: str = "doc
     """Writes whole documents by shard (see histogram_shards) and returns them as read from the files.
 
     Files lie in `path`/`shard`=0, 1 and so on, each in slot order; they hold the columns of
-    `docs` and `slot`.  The names `shard` and `slot` must be free.
+    `docs` and `slot`.  A column of `docs` that has one of these two names gets underscores
+    behind it until its name is free.
     """
-    if taken := {shard, slot} & set(docs.columns):
-        raise ValueError(f"docs has columns named {sorted(taken)}")
+    given = {c: c for c in docs.columns}
+    for c in docs.columns:
+        while given[c].lower() in (shard.lower(), slot.lower()) or given[c] != c and given[c].lower() in map(str.lower, docs.columns):
+            given[c] += "_"
+    docs = docs.toDF(*given.values())
     carry = tuple(c for c in docs.columns if c not in (key, text))
     dealt = histogram_shards(docs, n_shards, key, text, carry=carry, **more)
     rows = dealt.select(key, text, *uncarried(carry), F.col("slot").alias(slot), F.col("shard").alias(shard))

@@ -253,7 +253,8 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     under its least key, the one with the least hash stays; of equal rows one.  Null keys
     are no smaller than others: such a row stays only where its group has no other key.
     What goes is an anti join on narrow rows, which Spark broadcasts while they are below
-    its threshold.  An empty table stays empty; texts are whole, of any length.
+    its threshold.  An empty table stays empty; texts are whole, of any length; columns of any
+    name stay as they are.
     """
     found = cut_lineage(_components(docs, key, text, distance, shingle))
     own = found.filter(F.col("k").eqNullSafe(F.col("component_id")))
@@ -262,10 +263,12 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     # the chosen rows, by key and text; all others go
     others = found.join(stays, (F.col("h") == F.col("_h")) & F.col("k").eqNullSafe(F.col("_k")) & (F.col("root") == F.col("_root")), "left_anti")
     gone = others.select(F.col("h").alias("_h"), F.col("k").alias("_k")).distinct()
-    named = docs.withColumns({"_row_k": F.col(key).cast("long"), "_row_h": F.xxhash64(F.col(text))})
+    # by position, so that no column of `docs` meets these names
+    names = {c: f"_d{i}" for i, c in enumerate(docs.columns)}
+    named = docs.toDF(*names.values()).withColumns({"_row_k": F.col(names[key]).cast("long"), "_row_h": F.xxhash64(F.col(names[text]))})
     same = [F.col("_row_h") == F.col("_h"), F.col("_row_k").eqNullSafe(F.col("_k"))]
     left = named.join(gone, same, "left_anti")
     twice = cut_lineage(found.join(stays, (F.col("h") == F.col("_h")) & F.col("k").eqNullSafe(F.col("_k")), "left_semi").groupBy("h", "k").count().filter("count > 1").select(F.col("h").alias("_h"), F.col("k").alias("_k")))
     if not twice.isEmpty():
         left = left.join(twice, same, "left_anti").unionAll(left.join(twice, same, "left_semi").dropDuplicates(["_row_k", "_row_h"]))
-    return left.drop("_row_k", "_row_h")
+    return left.select(*(F.col(d).alias(c) for c, d in names.items()))
