@@ -148,23 +148,22 @@ def sign_documents(docs: DataFrame, key: str, text: str, shingle: int, slots: in
     return cut_lineage(signed.withColumn("row", F.monotonically_increasing_id()), "zstd")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int, leaves: int = 256) -> DataFrame:
-    """Those of distinct pairs (u, v) whose whole sets meet 100 * intersection >= percent * union.
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int, leaves: int = 256, small: int = 200_000) -> DataFrame:
+    """Those of distinct pairs (c, x) whose whole sets meet 100 * intersection >= percent * union, as links (u, v).
 
-    Pairs are gathered under the member that more of them share, at most about `leaves` a
-    group, so that its text travels once a group; a task holds one such set at a time.
-    `texts` has `row` and `text`.
+    Pairs of one center c meet in groups, at most about `leaves` a group, so that its text
+    travels once a group and a task holds one such set at a time.  Only centers of more
+    pairs, few, need their number looked up.  `texts` has `row` and `text`.
     """
-    ends = pairs.select(F.col("u").alias("x")).unionAll(pairs.select(F.col("v").alias("x"))).groupBy("x").agg(F.count("*").alias("degree"))
-    ends = cut_lineage(ends)
-    n = ends.agg(F.coalesce(F.sum("degree"), F.lit(0))).first()[0] // 2
-    deg = ends.withColumn("rows", F.col("degree"))
-    by_u = join_by_share(pairs, deg.select(F.col("x").alias("u"), F.col("degree").alias("du"), "rows"), "u", "rows", n)
-    both = join_by_share(by_u, deg.select(F.col("x").alias("v"), F.col("degree").alias("dv"), "rows"), "v", "rows", n)
-    turn = (F.col("dv") > F.col("du")) | ((F.col("dv") == F.col("du")) & (F.col("v") < F.col("u")))
-    center, leaf = F.when(turn, F.col("v")).otherwise(F.col("u")), F.when(turn, F.col("u")).otherwise(F.col("v"))
-    parts = F.ceil(F.greatest("du", "dv") / leaves).cast("int")
-    stars = cut_lineage(both.select(center.alias("c"), F.pmod(F.xxhash64(leaf), parts).cast("int").alias("p"), leaf.alias("x")))
+    crowded = cut_lineage(pairs.groupBy("c").agg(F.count("*").alias("n")).filter(F.col("n") > leaves))
+    n, total = crowded.agg(F.count("*"), F.sum("n")).first()
+    parts = F.pmod(F.xxhash64("x"), F.ceil(F.col("n") / leaves)).cast("int")
+    if n <= small:
+        stars = pairs.join(F.broadcast(crowded), "c", "left").select("c", F.coalesce(parts, F.lit(0)).alias("p"), "x")
+    else:
+        stars = join_by_share(pairs, crowded.withColumn("rows", F.col("n")), "c", "rows", total).select("c", parts.alias("p"), "x")
+        stars = stars.unionAll(pairs.join(crowded, "c", "left_anti").select("c", F.lit(0).alias("p"), "x"))
+    stars = cut_lineage(stars)
     rows = stars.unionAll(stars.select("c", "p", F.col("c").alias("x")).distinct())
     told = rows.join(texts.select(F.col("row").alias("x"), "text"), "x").select("c", "p", "x", (F.col("x") != F.col("c")).alias("leaf"), "text")
     dealt = told.repartition("c", "p").sortWithinPartitions("c", "p", "leaf")
@@ -191,95 +190,177 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int, lea
     return cut_lineage(dealt.mapInArrow(run, "u long, v long"))
 
 
-def _open_pairs(met: DataFrame, roots: DataFrame, limit: int, best: bool, chunk: int) -> DataFrame:
-    """Distinct pairs of a bucket in different components whose sketches may link; with `best` only each row's nearest in every other component.
+def _open_members(met: DataFrame, nodes: DataFrame, roots: DataFrame, chunk: int, chunk_shingles: int) -> DataFrame:
+    """(g, node, root, far) of the buckets that hold several components, cut into pieces; far: outside the bucket's largest component.
 
-    In a bucket of several components, only rows outside its largest one meet the others:
-    small buckets as they are, large ones in pieces of about `chunk` on either side.
+    Only rows outside their bucket's largest component have to meet the others.  Buckets of
+    about `chunk` members and `chunk_shingles` shingles stay as they are; larger ones become
+    pieces of that size: each piece of far rows stands together with each piece of all.
     """
-    placed = cut_lineage(met.join(roots, met["node"] == roots["node"], "left").select("g", met["node"], "sketch", F.coalesce("root", met["node"]).alias("root")))
-    shares = placed.groupBy("g", "root").agg(F.count("*").alias("n"))
-    buckets = shares.groupBy("g").agg(F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("main")).filter(F.col("main.n") < F.col("size"))
-    buckets = cut_lineage(buckets.select("g", "size", F.col("main.root").alias("main"), (F.col("size") - F.col("main.n")).alias("n_far"), F.col("size").alias("rows")))
+    placed = cut_lineage(met.join(roots, "node", "left").join(nodes.select("node", "n_shingles"), "node").select("g", "node", "n_shingles", F.coalesce("root", "node").alias("root")))
+    shares = placed.groupBy("g", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    parts = lambda n, s: F.greatest(F.ceil(F.col(n) / chunk), F.ceil(F.col(s) / chunk_shingles)).cast("int")
+    sums = shares.groupBy("g").agg(F.sum("n").alias("rows"), F.sum("s").alias("s"), F.max(F.struct("n", "root", "s")).alias("main")).filter(F.col("main.n") < F.col("rows"))
+    sums = sums.select("g", "rows", "s", F.col("main.root").alias("main"), (F.col("rows") - F.col("main.n")).alias("n_far"), (F.col("s") - F.col("main.s")).alias("s_far"))
+    buckets = cut_lineage(sums.select("g", "rows", "main", parts("rows", "s").alias("n_all"), parts("n_far", "s_far").alias("n_far")))
     total = buckets.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-    if not total:
-        return met.sparkSession.createDataFrame([], "u long, v long")
     held = join_by_share(placed, buckets, "g", "rows", total).withColumn("far", F.col("root") != F.col("main"))
-    n_all, n_far = F.ceil(F.col("size") / chunk).cast("int"), F.ceil(F.col("n_far") / chunk).cast("int")
     mine = F.xxhash64("node")
-    as_one = F.transform(F.sequence(F.lit(0), n_far - 1), lambda x: F.struct(x.alias("x"), F.pmod(mine, n_all).cast("int").alias("y")))
-    as_far = F.transform(F.sequence(F.lit(0), n_all - 1), lambda y: F.struct(F.pmod(mine, n_far).cast("int").alias("x"), y.alias("y")))
-    meetings = F.when(F.col("far"), F.array_union(as_one, as_far)).otherwise(as_one)
-    dealt = held.select("g", "node", "sketch", "root", "far", F.explode(meetings).alias("m")).select(F.xxhash64("g", "m.x", "m.y").alias("g"), "node", "sketch", "root", "far")
-    dealt = dealt.repartition("g").sortWithinPartitions("g")
-
-    def found(node, sketch, root, far, step: int = 64):
-        us, vs = [], []
-        outside = np.flatnonzero(far)
-        for a in range(0, len(outside), step):
-            i = outside[a : a + step]
-            d = differing(sketch[i][:, None, :], sketch[None, :, :])
-            x, y = np.nonzero((d <= limit) & (root[i][:, None] != root[None, :]))
-            if best and len(x):
-                order = np.lexsort((d[x, y], root[y], x))
-                x, y = x[order], y[order]
-                first = np.ones(len(x), bool)
-                first[1:] = (x[1:] != x[:-1]) | (root[y[1:]] != root[y[:-1]])
-                x, y = x[first], y[first]
-            us.append(node[i[x]])
-            vs.append(node[y])
-        u, v = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (us, vs))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+    as_one = F.transform(F.sequence(F.lit(0), F.col("n_far") - 1), lambda x: F.struct(x.alias("x"), F.pmod(mine, F.col("n_all")).cast("int").alias("y")))
+    as_far = F.transform(F.sequence(F.lit(0), F.col("n_all") - 1), lambda y: F.struct(F.pmod(mine, F.col("n_far")).cast("int").alias("x"), y.alias("y")))
+    met = held.select("g", "node", "root", "far", F.explode(F.when(F.col("far"), F.array_union(as_one, as_far)).otherwise(as_one)).alias("m"))
+    return met.select(F.xxhash64("g", "m.x", "m.y").alias("g"), "node", "root", "far")
+
+
+def by_group(batches, columns):
+    """The columns (functions of a batch that give arrays) of each run of equal first column, across batches."""
+    kept = None
+    for batch in batches:
+        cols = [f(batch) for f in columns]
+        if kept is not None:
+            cols = [np.concatenate(z) for z in zip(kept, cols)]
+        g = cols[0]
+        edges = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
+        for a, b in zip(edges[:-2], edges[1:-1]):
+            yield [c[a:b] for c in cols]
+        kept = [c[edges[-2] :] for c in cols]
+    if kept is not None and len(kept[0]):
+        yield kept
+
+
+def _array(i: int):
+    return lambda batch: batch.column(i).to_numpy(zero_copy_only=False)
+
+
+def _matrix(i: int):
+    return lambda batch: batch.column(i).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
+
+
+def _worth_meeting(members: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
+    """Of _open_members those (g, node, root, far) that have a partner in another component whose sketch does not rule it out, in the first of the bands they share.
+
+    Rows are marked, never paired, so what comes out is no more than what went in.
+    """
+    rows = members.join(nodes.select("node", "sketch", "bands"), "node").select("g", "node", "root", "far", "sketch", "bands")
+    dealt = rows.repartition("g").sortWithinPartitions("g")
 
     def run(batches):
-        kept = None
+        for g, node, root, far, sketch, bands in by_group(batches, [*map(_array, range(4)), _matrix(4), _matrix(5)]):
+            wanted, outside = np.zeros(len(g), bool), np.flatnonzero(far)
+            shared = _shared_band(bands)
+            for a in range(0, len(outside), 32):
+                i = outside[a : a + 32]
+                x, y = np.nonzero((differing(sketch[i][:, None, :], sketch[None, :, :]) <= limit) & (root[i][:, None] != root[None, :]))
+                first = (bands[i[x]] == bands[y]).argmax(1) == shared
+                wanted[i[x][first]] = wanted[y[first]] = True
+            yield pa.RecordBatch.from_arrays([pa.array(c[wanted]) for c in (g, node, root, far)], names=["g", "node", "root", "far"])
+
+    return dealt.mapInArrow(run, "g long, node long, root long, far boolean")
+
+
+def _shared_band(bands: np.ndarray) -> int:
+    """The place of the band that all rows of a bucket share (of several the first)."""
+    return int((bands == bands[0]).all(0).argmax())
+
+
+def links_across(members: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (u, v) of `percent` between members of a group in different components, by whole sets; `members` has g, node, root, far.
+
+    A task gathers the sets of one group (see _open_members) and counts, for each far row,
+    what it shares with all others at once; of its links into one component one is told.
+    """
+    rows = members.join(texts.select(F.col("row").alias("node"), "text"), "node").select("g", "node", "root", "far", "text")
+    dealt = rows.repartition("g").sortWithinPartitions("g")
+
+    def run(batches):
+        for _, node, root, far, texts in by_group(batches, [*map(_array, range(4)), lambda b: np.array([x.as_py() for x in b.column(4).cast(pa.binary())], object)]):
+            of, hashes = shingle_hashes(texts.tolist(), shingle)
+            ids = np.unique(hashes, return_inverse=True)[1]
+            sizes = np.bincount(of, minlength=len(node))
+            starts = np.cumsum(sizes) - sizes
+            mark = np.zeros(len(hashes) + 1, np.int64)
+            us, vs = [], []
+            for i in np.flatnonzero(far).tolist():
+                own = ids[starts[i] : starts[i] + sizes[i]]
+                mark[own] = 1
+                inter = np.add.reduceat(mark[ids], starts)  # no set is empty
+                mark[own] = 0
+                linked = np.flatnonzero((100 * inter >= percent * (sizes + sizes[i] - inter)) & (root != root[i]))
+                linked = linked[np.unique(root[linked], return_index=True)[1]]
+                us += [node[i]] * len(linked)
+                vs += node[linked].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    return cut_lineage(dealt.mapInArrow(run, "u long, v long"))
+
+
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Union-find over links: every node of them, and the smallest node of its component."""
+    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    i, j = at[: len(u)], at[len(u) :]
+    parent = np.arange(len(nodes))
+    while True:
+        while (parent[parent] != parent).any():  # every node at its root
+            parent = parent[parent]
+        a, b = parent[i], parent[j]
+        open_ = a != b
+        if not open_.any():
+            return nodes, nodes[parent]
+        np.minimum.at(parent, np.maximum(a, b)[open_], np.minimum(a, b)[open_])
+        i, j = i[open_], j[open_]
+
+
+def grouped(links: DataFrame, in_one: int = 1_000_000) -> DataFrame:
+    """(node, root): the smallest node reachable, for every node of `links` (u, v).
+
+    Tasks first run union-find over the links that they hold, which leaves a forest of each.
+    Forests of up to `in_one` links, as counted, are united by one more union-find, in one
+    task of that bounded size; larger ones by star steps (connected_components).
+    """
+
+    def run(batches):
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3, 4)]
-            cols.insert(2, batch.column(2).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1))
-            if kept is not None:
-                cols = [np.concatenate(z) for z in zip(kept, cols)]
-            g = cols[0]
-            edges = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
-            for a, b in zip(edges[:-2], edges[1:-1]):
-                yield found(*(c[a:b] for c in cols[1:]))
-            kept = [c[edges[-2] :] for c in cols]
-        if kept is not None and len(kept[0]):
-            yield found(*kept[1:])
-
-    return dealt.mapInArrow(run, "u long, v long").distinct()
-
-
-def set_components(nodes: DataFrame, texts: DataFrame, shingle: int, percent: int, chunk: int = 512) -> DataFrame:
-    """(node, root) of every node with a link of `percent` or more; `nodes` has node, n, bands, sketch.
-
-    Nodes meet in the buckets of their bands.  First everyone meets the hub of its bucket
-    (the node of most rows); pairs that the sketches do not rule out are verified, and
-    components are formed.  Buckets that lie in one component are done, so copies of one text
-    cost one comparison each.  In the others, each node's nearest in every other component is
-    verified, and then, with the components of that, whatever pairs are left across
-    components: no pair that shares a bucket stays undecided.
+            us.append(batch.column(0).to_numpy())
+            vs.append(batch.column(1).to_numpy())
+        u, v = np.concatenate(us), np.concatenate(vs)
+        node, root = forest(u, v)
+        yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(root, pa.int64())], names=["node", "root"])
+
+    trees = cut_lineage(links.mapInArrow(run, "node long, root long"))
+    as_links = trees.filter("node != root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+    if as_links.count() <= in_one:
+        return cut_lineage(as_links.coalesce(1).mapInArrow(run, "node long, root long"))
+    return cut_lineage(connected_components(as_links))
+
+
+def set_components(nodes: DataFrame, texts: DataFrame, shingle: int, percent: int, chunk: int = 512, chunk_shingles: int = 2_000_000) -> DataFrame:
+    """(node, root) of every node with a link of `percent` or more; `nodes` has node, n, n_shingles, bands, sketch.
+
+    Nodes meet in the buckets of their bands.  First everyone meets the hub of its bucket (a
+    node of most rows); pairs that the sketches do not rule out are verified on whole sets,
+    and components are formed.  Buckets that lie in one component are done, so copies of one
+    text cost one comparison each.  In the others, rows outside the largest component meet
+    all others of their bucket where the sets lie together: pairs are compared there and
+    never written, and every pair across components that shares a bucket is decided.
     """
     limit = most_differing(percent)
-    spread = nodes.select("node", "n", "sketch", F.explode("bands").alias("g"))
-    full = spread.groupBy("g").agg(F.count("*").alias("size"), F.max(F.struct("n", (-F.col("node")).alias("minus"), "sketch")).alias("hub")).filter("size > 1")
-    full = cut_lineage(full.select("g", "size", (-F.col("hub.minus")).alias("hub"), F.col("hub.sketch").alias("hub_sketch"), F.col("size").alias("rows")))
-    total = full.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    met = cut_lineage(join_by_share(spread.drop("n"), full, "g", "rows", max(1, total)))
-    near = _differing(F.col("sketch"), F.col("hub_sketch"), SLOTS // 16) <= limit
-    stars = met.filter((F.col("node") != F.col("hub")) & near).select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
-    seen = cut_lineage(stars)
-    edges = verified(seen, texts, shingle, percent)
-    roots = cut_lineage(connected_components(edges))
-    for best in (True, False):
-        more = cut_lineage(_open_pairs(met, roots, limit, best, chunk).join(seen, ["u", "v"], "left_anti"))
-        if more.isEmpty():
-            continue
-        found = verified(more, texts, shingle, percent)
-        if not found.isEmpty():
-            edges = edges.unionAll(found)
-            roots = cut_lineage(connected_components(edges))
-        seen = seen.unionAll(more)
-    return roots
+    spread = nodes.select("node", "n", F.explode("bands").alias("g"))
+    last = (1 << 57) - 1  # row numbers stay below
+    rank = F.shiftleft(F.least(F.floor(F.log2("n")), F.lit(62)).cast("long"), 57) + (F.lit(last) - F.col("node"))
+    full = spread.groupBy("g").agg(F.count("*").alias("rows"), F.max(rank).alias("hub")).filter("rows > 1")
+    full = cut_lineage(full.select("g", (F.lit(last) - F.col("hub").bitwiseAND(F.lit(last))).alias("hub"), "rows"))
+    total = full.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    met = cut_lineage(join_by_share(spread.select("g", "node"), full, "g", "rows", total))
+    pairs = met.filter(F.col("node") != F.col("hub")).select(F.col("hub").alias("c"), F.col("node").alias("x")).distinct()
+    sketches = nodes.select("node", "sketch")
+    told = pairs.join(sketches.toDF("x", "sx"), "x").join(sketches.toDF("c", "sc"), "c")
+    stars = cut_lineage(told.filter(_differing(F.col("sx"), F.col("sc"), SLOTS // 16) <= limit).select("c", "x"))
+    edges = verified(stars, texts, shingle, percent)
+    roots = grouped(edges)
+    members = cut_lineage(_open_members(met.select("g", "node"), nodes, roots, chunk, chunk_shingles))
+    across = links_across(cut_lineage(_worth_meeting(members, nodes, limit)), texts, shingle, percent)
+    return roots if across.isEmpty() else grouped(edges.unionAll(across))
 
 
 def near_duplicate_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -301,9 +382,9 @@ def near_duplicate_sets(docs: DataFrame, key: str = "doc_id", text: str = "text"
     signed = sign_documents(docs, key, text, shingle)
     rows = signed.select("k", "d1", "d2", "n_shingles")
     filled = signed.filter("n_shingles > 0")
-    nodes = cut_lineage(filled.groupBy("d1", "d2").agg(F.min("row").alias("node"), F.min("k").alias("least"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    nodes = cut_lineage(filled.groupBy("d1", "d2").agg(F.min("row").alias("node"), F.min("k").alias("least"), F.count("*").alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     n_nodes, n_rows = nodes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    roots = set_components(nodes.select("node", "n", "bands", "sketch"), signed.select("row", "text"), shingle, percent)
+    roots = set_components(nodes.select("node", "n", "n_shingles", "bands", "sketch"), signed.select("row", "text"), shingle, percent)
     joined = cut_lineage(nodes.join(roots, "node", "left").select("d1", "d2", "least", "n", F.coalesce("root", "node").alias("root")))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("rows"))
     named = cut_lineage(join_by_share(joined.select("d1", "d2", "n", "root"), least, "root", "rows", n_nodes))

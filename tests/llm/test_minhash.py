@@ -65,10 +65,10 @@ def test_crowded_buckets_in_pieces(spark):
     """Components do not depend on the size of pieces."""
     pairs = [p for p in corpus(7) if p[0] is not None and p[0] < 500]
     signed = M.sign_documents(documents(spark, pairs), "doc_id", "text", 4)
-    nodes = signed.filter("n_shingles > 0").selectExpr("row node", "1L n", "bands", "sketch")
+    nodes = signed.filter("n_shingles > 0").selectExpr("row node", "1L n", "n_shingles", "bands", "sketch")
     keys = {r.row: r.k for r in signed.select("row", "k").collect()}
     want = {key: c for key, _, c in brute(pairs, 4)}
-    roots = {r.node: r.root for r in M.set_components(nodes, signed.select("row", "text"), 4, 80, 7).collect()}
+    roots = {r.node: r.root for r in M.set_components(nodes, signed.select("row", "text"), 4, 80, 7, 700).collect()}
     least = {}
     for row, k in keys.items():
         least[roots.get(row, row)] = min(least.get(roots.get(row, row), k), k)
@@ -118,5 +118,24 @@ def test_early_stopping_changes_nothing():
     assert sig.tolist() == [slow_super_minhash(s, 16) for s in sets]
 
 
+def test_grouping_by_forests_and_by_stars(spark):
+    r = random.Random(8)
+    links = [(r.randrange(400), r.randrange(400)) for _ in range(250)] + [(1000 + i, 1001 + i) for i in range(60)]
+    df = spark.createDataFrame(links, "u long, v long").repartition(6)
+    label = {x: x for e in links for x in e}
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for u, v in links:
+        a, b = sorted((root(u), root(v)))
+        label[b] = a
+    for in_one in (0, 1000):
+        got = {x.node: x.root for x in M.grouped(df, in_one).collect()}
+        assert all(got.get(x, x) == root(x) for x in label)
+
+
 def test_empty_table(spark):
     assert M.near_duplicate_sets(documents(spark, [])).count() == 0
