@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,12 +14,20 @@ SMALL = 100_000
 HOT_SHARE = 1000
 
 
-def shared_path(spark: SparkSession) -> str:
-    """A new path in the folder named by spark.checkpoint.dir."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, as spark.checkpoint.dir names it; a fresh local one only where it is unset and all runs in this machine (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{folder.rstrip('/')}/fungo-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="fungo-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/fungo-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:
