@@ -107,15 +107,15 @@ def _longer(paths: DataFrame, found: DataFrame) -> DataFrame:
     Two domain suffixes of one url lie in each other, so the shorter adds nothing to the
     longer and is left out.  Tokens that crowd the paths are joined by broadcast.
     """
-    mixed = found.filter("b > 0 and a > 0").select("pattern", "t", "m")
+    mixed = found.filter("b > 0 and a > 0").select("pattern", "t", F.col("b").alias("of_b"), F.col("a").alias("of_a"), "m")
     total = mixed.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
     at = join_by_share(paths.select("pattern", "before", F.posexplode("before").alias("p", "t"), "b", "a"), mixed, ["pattern", "t"], "m", total)
     before = F.filter(F.slice("before", 1, F.col("p")), lambda x: ~(F.col("t").startswith("s:") & x.startswith("s:")))
-    rows = at.select(F.concat("pattern", F.array("t")).alias("pattern"), before.alias("before"), "b", "a").filter(F.size("before") > 0)
-    return cut_lineage(_counted(rows, "pattern", "before").drop("m"))
+    rows = at.select(F.concat("pattern", F.array("t")).alias("pattern"), before.alias("before"), "of_b", "of_a", "b", "a").filter(F.size("before") > 0)
+    return cut_lineage(_counted(rows, "pattern", "of_b", "of_a", "before").drop("m"))
 
 
-def rule_table(labelled: DataFrame, min_count: int = 10, min_confidence: float = 0.95, max_tokens: int = 3) -> DataFrame:
+def rule_table(labelled: DataFrame, min_count: int = 10, min_confidence: float = 0.95) -> DataFrame:
     """(tokens, label, confidence, support) from all rows of `labelled` (tokens array<string>, label block or allow).
 
     FP-growth by projection, as grouped sums alone: equal token sets are counted together and
@@ -124,7 +124,10 @@ def rule_table(labelled: DataFrame, min_count: int = 10, min_confidence: float =
     ever holds a token's whole conditional base.  A rule needs `min_count` rows of its label,
     whatever the table's size, and `min_confidence`; it is pruned where wider tokens imply
     the label as surely.  Patterns that meet one label alone grow no further: more tokens
-    cannot make them surer; of others at most `max_tokens` combine, so deep paths stay cheap.
+    cannot make them surer.  Nor do patterns whose last token says nothing new, since all rows
+    of the pattern before hold it: whatever they lead to, the pattern before does too, as
+    surely and wider.  So the tokens of one deep path that many urls share cost one level, not
+    all their combinations, and growth goes on, without a cap, until no pattern is left.
     """
     is_block = F.col("label") == BLOCK
     sets = labelled.filter(F.col("label").isin(BLOCK, ALLOW)).groupBy("tokens").agg(F.count_if(is_block).alias("b"), F.count_if(~is_block).alias("a"))
@@ -136,13 +139,15 @@ def rule_table(labelled: DataFrame, min_count: int = 10, min_confidence: float =
     levels = [found]
     mixed = found.filter("b > 0 and a > 0").select("t", "m", (-F.col("b") - F.col("a")).alias("rank"))
     total = mixed.agg(F.sum("m")).first()[0]
-    if total and max_tokens > 1:
+    if total:
         ranked = join_by_share(sets.select("id", F.explode("tokens").alias("t"), "b", "a"), mixed, "t", "m", total)
         paths = ranked.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", "t"))).alias("x"), F.first("b").alias("b"), F.first("a").alias("a"))  # the tokens of one url at most
         paths = cut_lineage(_counted(paths.select(F.col("x.t").alias("before"), "b", "a"), "before").select(none.alias("pattern"), "before", "b", "a"))
-        for _ in range(max_tokens - 1):
+        while not found.isEmpty():
             paths = _longer(paths, found)
-            found = cut_lineage(_counted(paths.select("pattern", F.explode("before").alias("t"), "b", "a"), "pattern", "t").filter(enough))
+            counted = _counted(paths.select("pattern", "of_b", "of_a", F.explode("before").alias("t"), "b", "a"), "pattern", "of_b", "of_a", "t")
+            found = cut_lineage(counted.filter(enough & ((F.col("b") < F.col("of_b")) | (F.col("a") < F.col("of_a")))).drop("of_b", "of_a"))
+            paths = paths.drop("of_b", "of_a")
             levels.append(found)
     patterns = reduce(DataFrame.unionByName, levels).select(F.array_sort(F.concat("pattern", F.array("t"))).alias("tokens"), "b", "a")
     labels = F.explode(F.array(*(F.struct(F.lit(y).alias("label"), F.col(c).alias("of")) for y, c in ((BLOCK, "b"), (ALLOW, "a"))))).alias("y")

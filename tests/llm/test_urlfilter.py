@@ -82,7 +82,7 @@ def test_rules_against_brute_force(spark):
     rows += [(["p:seldom", "s:org"], "block")] * 10
     got = U.mine_rules(spark.createDataFrame(rows, "tokens array<string>, label string"))
     sure = {}
-    for n in (1, 2, 3):
+    for n in range(1, 9):
         for tokens in combinations(sorted({t for x, _ in rows for t in x}), n):
             fit = [label for x, label in rows if {*tokens} <= {*x}]
             for label in ("block", "allow"):
@@ -93,6 +93,17 @@ def test_rules_against_brute_force(spark):
     assert {(("p:a", "p:b"), "block"), (("p:c", "p:d", "s:net"), "block"), (("p:seldom",), "block")} <= {x[:2] for x in got}
 
 
+def test_rules_of_any_length_and_deep_paths(spark):
+    """Four tokens of which every three are allowed elsewhere make a rule; tokens that always come together make no combinations."""
+    four = ["p:a", "p:b", "p:c", "p:d"]
+    rows = [(four, "block")] * 20 + [([x for x in four if x != y], "allow") for y in four for _ in range(20)]
+    deep = [f"p:deep{i:02}" for i in range(40)]
+    rows += [(deep, "allow")] * 30 + [([*deep, "p:x"], "block")] * 30
+    got = {(t, y) for t, y, *_ in U.mine_rules(spark.createDataFrame(rows, "tokens array<string>, label string"))}
+    assert {(tuple(four), "block"), (("p:x",), "block")} <= got
+    assert not any(t[0].startswith("p:deep") for t, _ in got)
+
+
 def test_urls_that_no_rule_decides_do_not_outvote_those_it_does(spark):
     kinds = [("http://h.net/ads/", 30), ("http://h.org/fr/news/", 30), ("http://h.org/en/ads/", 400), ("http://h.org/en/news/", 400)]
     urls = [f"{u}{i}" for u, n in kinds for i in range(n)]
