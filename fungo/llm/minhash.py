@@ -148,6 +148,17 @@ def sign_documents(docs: DataFrame, key: str, text: str, shingle: int, slots: in
     return cut_lineage(signed.withColumn("row", F.monotonically_increasing_id()), "zstd")
 
 
+def beside(rows: DataFrame, on: str, table: DataFrame, key: str, small: int = 2_000_000) -> DataFrame:
+    """rows JOIN table on rows.`on` = table.`key` (unique row numbers), where few rows of a wide table are wanted.
+
+    The wanted numbers, up to `small` of them as counted (8 bytes each), are broadcast and the
+    table's other rows are left where they are; so only what is wanted is shuffled.
+    """
+    wanted = cut_lineage(rows.select(F.col(on).alias(key)).distinct())
+    few = table.join(F.broadcast(wanted), key, "left_semi") if wanted.count() <= small else table
+    return rows.join(few.withColumnRenamed(key, on), on)
+
+
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int, leaves: int = 256, small: int = 200_000) -> DataFrame:
     """Those of distinct pairs (c, x) whose whole sets meet 100 * intersection >= percent * union, as links (u, v).
 
@@ -165,7 +176,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int, lea
         stars = stars.unionAll(pairs.join(crowded, "c", "left_anti").select("c", F.lit(0).alias("p"), "x"))
     stars = cut_lineage(stars)
     rows = stars.unionAll(stars.select("c", "p", F.col("c").alias("x")).distinct())
-    told = rows.join(texts.select(F.col("row").alias("x"), "text"), "x").select("c", "p", "x", (F.col("x") != F.col("c")).alias("leaf"), "text")
+    told = beside(rows, "x", texts.select("row", "text"), "row").select("c", "p", "x", (F.col("x") != F.col("c")).alias("leaf"), "text")
     dealt = told.repartition("c", "p").sortWithinPartitions("c", "p", "leaf")
 
     def run(batches):
@@ -241,7 +252,7 @@ def _worth_meeting(members: DataFrame, nodes: DataFrame, limit: int) -> DataFram
 
     Rows are marked, never paired, so what comes out is no more than what went in.
     """
-    rows = members.join(nodes.select("node", "sketch", "bands"), "node").select("g", "node", "root", "far", "sketch", "bands")
+    rows = beside(members, "node", nodes.select("node", "sketch", "bands"), "node").select("g", "node", "root", "far", "sketch", "bands")
     dealt = rows.repartition("g").sortWithinPartitions("g")
 
     def run(batches):
@@ -269,7 +280,7 @@ def links_across(members: DataFrame, texts: DataFrame, shingle: int, percent: in
     A task gathers the sets of one group (see _open_members) and counts, for each far row,
     what it shares with all others at once; of its links into one component one is told.
     """
-    rows = members.join(texts.select(F.col("row").alias("node"), "text"), "node").select("g", "node", "root", "far", "text")
+    rows = beside(members, "node", texts.select("row", "text"), "row").select("g", "node", "root", "far", "text")
     dealt = rows.repartition("g").sortWithinPartitions("g")
 
     def run(batches):
