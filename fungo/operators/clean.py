@@ -49,8 +49,13 @@ def require(df: DataFrame, *columns: str) -> DataFrame:
     return df.dropna(subset=list(columns))
 
 
+def with_hit(df: DataFrame, column: str = "events", hits: Iterable[str] = HIT_EVENTS) -> DataFrame:
+    """Whether a row is a hit, in column `hit` (a null outcome is none); both halves from one scan."""
+    return df.withColumn("hit", F.coalesce(F.col(column).isin(*hits), F.lit(False)))
+
+
 def split_hits_outs(df: DataFrame, column: str = "events", hits: Iterable[str] = HIT_EVENTS) -> tuple[DataFrame, DataFrame]:
-    """Hits, and all else (a null outcome is no hit)."""
+    """Hits, and all else, as two tables; who counts both uses with_hit."""
     hit = F.coalesce(F.col(column).isin(*hits), F.lit(False))
     return df.filter(hit), df.filter(~hit)
 

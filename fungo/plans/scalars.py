@@ -51,8 +51,8 @@ def require_present(spark, sf_dir):
 
 @register(f"{WITH} SELECT country, CAST(coalesce(events IN {in_list(HIT_EVENTS)}, false) AS INT) AS hit, count(*) AS n FROM pitches WHERE hc_x IS NOT NULL GROUP BY 1, 2")
 def hits_vs_outs(spark, sf_dir):
-    hits, outs = clean.split_hits_outs(pitches(spark, sf_dir).filter("hc_x is not null"))
-    return hits.withColumn("hit", F.lit(1)).unionByName(outs.withColumn("hit", F.lit(0))).groupBy("country", "hit").agg(F.count("*").alias("n"))
+    flagged = clean.with_hit(pitches(spark, sf_dir).filter("hc_x is not null"))
+    return flagged.groupBy("country", F.col("hit").cast("int").alias("hit")).agg(F.count("*").alias("n"))
 
 
 @register(f"{BATTING} SELECT player_name, mlbam_id, country FROM batting WHERE contains(lower(player_name), 'last1')")
