@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -13,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fungo.sources.shared import shared_dir
+
 #: ASCII white space of the word rule `[^\x20\x09-\x0D]+`; also what bytes.split() and bytes.strip() use.
 WHITE = b" \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -27,17 +28,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it; a fresh local one only where all runs in this machine (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="fungo-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
 def shared_path(spark: SparkSession) -> str:
     """A new path in the shared folder."""
     path = f"{shared_dir(spark)}/fungo-{uuid.uuid4().hex}"
