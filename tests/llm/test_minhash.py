@@ -118,6 +118,26 @@ def test_early_stopping_changes_nothing():
     assert sig.tolist() == [slow_super_minhash(s, 16) for s in sets]
 
 
+def test_verification_beyond_the_broadcast_bounds(spark, monkeypatch):
+    """Crowded centers and wanted texts by joins give the same links as by broadcast."""
+    r = random.Random(12)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(30):
+        ws = list(base)
+        for _ in range(r.randint(0, 2)):
+            ws[r.randrange(60)] = f"x{r.randrange(99)}"
+        texts.append((i, " ".join(ws)))
+    pairs = sorted({(c, x) for c in (0, 1, 2) for x in range(3, 30)} | {(5, 6), (7, 8)})
+    df, t = spark.createDataFrame(pairs, "c long, x long"), spark.createDataFrame(texts, "row long, text string")
+    sets = [shingles(x, 4) for _, x in texts]
+    want = {(c, x) for c, x in pairs if 100 * len(sets[c] & sets[x]) >= 80 * len(sets[c] | sets[x])}
+    assert 0 < len(want) < len(pairs)
+    monkeypatch.setattr(M.beside, "__defaults__", (0,))
+    for leaves, small in ((256, 10), (4, 10), (4, 0)):
+        assert {tuple(e) for e in M.verified(df, t, 4, 80, leaves, small).collect()} == want
+
+
 def test_grouping_by_forests_and_by_stars(spark):
     r = random.Random(8)
     links = [(r.randrange(400), r.randrange(400)) for _ in range(250)] + [(1000 + i, 1001 + i) for i in range(60)]
