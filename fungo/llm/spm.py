@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from functools import reduce
 
 import numpy as np
@@ -19,12 +20,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, list_array
+from .common import list_array, shared_path
 
 SPACE = "▁"
 BARRED = -np.inf
 #: Words beyond this many characters are not worth keeping.
 LONG_WORD = 64
+#: Text of a bucket of chunks.
+BUCKET_BYTES = 32 << 20
+
+
+def escaped(text: str, prefix: str) -> str:
+    """A text as its pieces spell it: `prefix` before any text at all, spaces marked."""
+    return (prefix if text else "") + text.replace(" ", SPACE)
 
 
 class Model:
@@ -40,6 +48,7 @@ class Model:
         proto = sentencepiece_model_pb2.ModelProto()
         proto.ParseFromString(blob)
         self.dummy_prefix = proto.normalizer_spec.add_dummy_prefix
+        self.prefix = SPACE if self.dummy_prefix else ""
         proto.normalizer_spec.add_dummy_prefix = False  # added here, once a document
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
         self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == 1}
@@ -60,7 +69,7 @@ class Model:
         self.whole: dict[str, bool] = {}
 
     def escape(self, text: str) -> str:
-        return (SPACE if self.dummy_prefix and text else "") + text.replace(" ", SPACE)
+        return escaped(text, self.prefix)
 
     def encode_escaped(self, escaped: list[str]) -> list[list[int]]:
         """Ids of texts that begin and end where no piece can cross, by the library."""
@@ -79,34 +88,45 @@ class Model:
                 self.held -= len(u)
         return out
 
+    def longest_token(self, s: str, p: int, limit: int) -> int:
+        """Where the longest token of `s` that begins at `p` and ends at `limit` at most ends."""
+        whole, best = self.whole, p + 1
+        for e in range(p + 2, limit + 1):
+            token = s[p:e]
+            known = whole.get(token)
+            if known is None:
+                if token not in self.begins:
+                    break
+                known = self.is_token(token)
+            if known:
+                best = e
+        return best
+
     def unit_ids(self, s: str) -> list[int]:
-        """Ids of a unit that no piece crosses on either side: the one finite path of its lattice, whose matrix has one entry and one exit."""
+        """Ids of a unit that no piece crosses on either side: the one finite path of its lattice, whose matrix has one entry and one exit.
+
+        Steps go to the longest token that fits the one before, and back where that leads
+        nowhere.  No two paths of finite weight end at one place, so a place is tried once.
+        """
         ids = self.unit_cache.get(s)
         if ids is not None:
             return ids
-        at: list[list] = [[] for _ in range(len(s) + 1)]
-        at[0].append((None, None))
-        begins, whole = self.begins, self.whole
-        for p in range(len(s)):
-            before = at[p]
-            if not before:
+        n, pairs = len(s), self.pair_cache
+        seen, tokens = bytearray(n + 1), []
+        at, limit = 0, n
+        while at < n:
+            e = self.longest_token(s, at, limit)
+            token = s[at:e]
+            if not seen[e] and (not tokens or pairs.get((tokens[-1], token)) or self.fits(tokens[-1], token)):
+                seen[e] = 1
+                tokens.append(token)
+                at, limit = e, n
                 continue
-            for e in range(p + 1, len(s) + 1):
-                token = s[p:e]
-                if e > p + 1 and token not in begins:
-                    break
-                known = whole.get(token)
-                if not (self.is_token(token) if known is None else known):
-                    continue
-                for node in before:
-                    if node[0] is None or self.fits(node[0], token):
-                        at[e].append((token, node))
-                        break
-        node, tokens = at[-1][0], []
-        while node[0] is not None:
-            tokens.append(node[0])
-            node = node[1]
-        ids = [i for t in reversed(tokens) for i in self.token_ids(t)]
+            limit = e - 1
+            while limit <= at:
+                limit = at - 1
+                at -= len(tokens.pop())
+        ids = [i for t in tokens for i in self.token_ids(t)]
         if len(s) <= LONG_WORD:
             if self.units_held > self.cache_chars // 2:
                 self.unit_cache.clear()
@@ -254,37 +274,60 @@ def backtrace(model: Model, s: str, a: int, b: int, entry: tuple, exit_: tuple,
     p, q = parts
     head = Lattice(model, s, a, p, [node]).path(p) if start < p else []
     tail = Lattice(model, s, q, b, [(None, q)]).path(b + exit_[1], b - exit_[0])
-    return [i for t in head for i in model.token_ids(t)] + [i for u in model.units.findall(s[p:q]) for i in model.unit_ids(u)] + [i for t in tail for i in model.token_ids(t)]
+    known = model.unit_cache
+    inner = [i for u in model.units.findall(s[p:q]) for i in known.get(u) or model.unit_ids(u)]
+    return [i for t in head for i in model.token_ids(t)] + inner + [i for t in tail for i in model.token_ids(t)]
 
 
 CHUNK = "row long, k long, c int, n int, s string, a int, b int, n_chars long, sha string"
 OUT = "k long, token_ids array<int>, n_tokens long, n_chars long, n_chunks int, round_trip boolean"
 
 
+def _dealt(chunks: DataFrame, size: int) -> DataFrame:
+    """Chunks (`size` bytes in all) as a table of the shared folder, bucketed by row and c: their texts are shuffled once, and what is joined to them comes to them.
+
+    The table's name is dropped at once; the files stay for the plans that read them.
+    """
+    spark = chunks.sparkSession
+    n, name = max(spark.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES)), f"fungo_{uuid.uuid4().hex}"
+    chunks.repartition(n, "row", "c").write.bucketBy(n, "row", "c").option("path", shared_path(spark)).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
+def _rows(batches, n: int = 256):
+    """Rows of record batches, `n` at a time, so that few texts are Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, n):
+            yield batch.slice(at, n).to_pylist()
+
+
 def _cuts(n: int, size: int) -> list[int]:
     """Edges of the fewest chunks of at most `size`, as even as can be."""
     k = max(1, -(-n // size))
     return [n * c // k for c in range(k + 1)]
 
 
-def encode_documents(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", chunk_chars: int = 32_000) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", chunk_chars: int = 8_000) -> DataFrame:
     """(key, token_ids, n_tokens, n_chars, n_chunks, round_trip): the ids the SentencePiece library gives for each whole text.
 
     `round_trip` tells that decoding the ids gives the text again (false only where the text
     holds the space mark U+2581 itself).  The model file's bytes, of fixed size, are sent to
     the tasks.  Texts of up to `chunk_chars` are one chunk and are encoded where they are, word
     by word with a bounded cache.  Longer ones are cut into even chunks of that size at most;
-    the chunks are dealt over all tasks, give max-plus matrices (transfer), the matrices of a
-    document, some hundred bytes each, are combined (resolve), and each chunk is backtraced
-    by itself, its inside too.  So a text of a hundred million characters is many small
-    tasks; only its ids meet again, in its one row.
+    the chunks are dealt over all tasks (_dealt), give max-plus matrices (transfer), the
+    matrices of a document, some hundred bytes each, are combined (resolve), and each chunk
+    is backtraced by itself, its inside too.  So a text of a hundred million characters is
+    many small tasks; only its ids meet again, in its one row.
 
     Null text gives null ids and round_trip null; empty text no ids; an empty table no rows;
     repeated rows and null keys stay rows of their own; extra columns are ignored.
     """
-    spark = docs.sparkSession
     with open(model_path, "rb") as f:
-        sent = spark.sparkContext.broadcast(f.read())
+        blob = f.read()
+    sent, own = docs.sparkSession.sparkContext.broadcast(blob), Model(blob)
+    prefix, longest = own.prefix, own.longest
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     giant = F.coalesce(F.char_length("t"), F.lit(0)) > chunk_chars
 
@@ -299,19 +342,17 @@ def encode_documents(docs: DataFrame, model_path: str, key: str = "doc_id", text
                 yield _out(part.column(0), ids, [None if t is None else len(t) for t in texts], [None if t is None else 1 for t in texts], back)
 
     def cut(batches):
-        model = Model(sent.value)
         for batch in batches:
             for row, k, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                s, sha = model.escape(t), hashlib.sha256(t.encode()).hexdigest()
+                s, sha = escaped(t, prefix), hashlib.sha256(t.encode()).hexdigest()
                 edges = _cuts(len(s), chunk_chars)
                 for c, (a, b) in enumerate(zip(edges, edges[1:])):
-                    x, y = max(0, a - 2 * model.longest), min(len(s), b + 2 * model.longest)
+                    x, y = max(0, a - 2 * longest), min(len(s), b + 2 * longest)
                     yield pa.RecordBatch.from_arrays([pa.array([v], ty) for v, ty in zip((row, k, c, len(edges) - 1, s[x:y], a - x, b - x, len(t), sha), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.string()))], names=[x.split()[0] for x in CHUNK.split(", ")])
 
     def matrices(batches):
         model = Model(sent.value)
-        for batch in batches:
-            r = batch.to_pylist()
+        for r in _rows(batches):
             got = [transfer(model, x["s"], x["a"], x["b"], x["c"] == 0, x["c"] == x["n"] - 1) for x in r]
             flat = [pa.array([x[i] for x in r], t) for i, t in (("row", pa.int64()), ("c", pa.int32()))]
             yield pa.RecordBatch.from_arrays([*flat, list_array([[list(e) for e in g[0]] for g in got], pa.list_(pa.int32())), list_array([[list(e) for e in g[1]] for g in got], pa.list_(pa.int32())), list_array([g[2].ravel().tolist() for g in got], pa.float64())], names=["row", "c", "entries", "exits", "m"])
@@ -326,23 +367,22 @@ def encode_documents(docs: DataFrame, model_path: str, key: str = "doc_id", text
 
     def traced(batches):
         model = Model(sent.value)
-        for batch in batches:
-            r = batch.to_pylist()
+        for r in _rows(batches):
             ids = [backtrace(model, x["s"], x["a"], x["b"], tuple(x["entry"]), tuple(x["exit"]), x["c"] == 0) for x in r]
             yield pa.RecordBatch.from_arrays([pa.array([x["row"] for x in r], pa.int64()), pa.array([x["k"] for x in r], pa.int64()), pa.array([x["c"] for x in r], pa.int32()), pa.array([x["n_chars"] for x in r], pa.int64()), pa.array([x["sha"] for x in r], pa.string()), list_array(ids, pa.int32())], names=["row", "k", "c", "n_chars", "sha", "ids"])
 
     def finish(batches):
         model = Model(sent.value)
-        for batch in batches:
-            r = batch.to_pylist()
+        for r in _rows(batches, 32):
             back = [hashlib.sha256(model.decode(x["ids"])).hexdigest() == x["sha"] for x in r]
-            yield _out(batch.column(0), [x["ids"] for x in r], [x["n_chars"] for x in r], [x["n"] for x in r], back)
+            yield _out(pa.array([x["k"] for x in r], pa.int64()), [x["ids"] for x in r], [x["n_chars"] for x in r], [x["n"] for x in r], back)
 
     out = rows.filter(~giant).mapInArrow(short, OUT)
     numbered = rows.filter(giant).select(F.monotonically_increasing_id().alias("row"), "k", "t")
-    chunks = cut_lineage(numbered.mapInArrow(cut, CHUNK).repartition("row", "c"))
+    total = rows.filter(giant).agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    chunks = _dealt(numbered.mapInArrow(cut, CHUNK), total)
     edges = chunks.select(*(x.split()[0] for x in CHUNK.split(", "))).mapInArrow(matrices, "row long, c int, entries array<array<int>>, exits array<array<int>>, m array<double>").groupBy("row").applyInPandas(combined, "row long, c int, entry array<int>, exit array<int>")
-    ids = chunks.join(edges, ["row", "c"]).mapInArrow(traced, "row long, k long, c int, n_chars long, sha string, ids array<int>")
+    ids = chunks.join(edges.hint("shuffle_hash"), ["row", "c"]).mapInArrow(traced, "row long, k long, c int, n_chars long, sha string, ids array<int>")
     whole = ids.groupBy("row").agg(F.first("k").alias("k"), F.first("n_chars").alias("n_chars"), F.first("sha").alias("sha"), F.count("*").cast("int").alias("n"), F.array_sort(F.collect_list(F.struct("c", "ids"))).alias("x"))
     long_ones = whole.select("k", F.flatten("x.ids").alias("ids"), "n_chars", "n", "sha").mapInArrow(finish, OUT)
     return out.unionAll(long_ones).withColumnRenamed("k", key)

@@ -73,6 +73,33 @@ def test_units_equal_the_library(model, library):
     assert [model.unit_ids(u) for u in words] == model.processor.encode(words)
 
 
+def test_units_that_lead_the_longest_tokens_astray(model, library):
+    r = random.Random(3)
+    drawn = ("".join(r.choice("abcdefghilmnoprstuyéß\u2581漢🙂0") for _ in range(r.randint(1, 40))) for _ in range(5_000))
+    words = list({u for t in drawn for u in model.units.findall(t)})
+    back, plain = 0, model.longest_token
+
+    def counted(s, p, limit):
+        nonlocal back
+        back += limit < len(s)
+        return plain(s, p, limit)
+
+    model.longest_token = counted
+    try:
+        assert [model.unit_ids(u) for u in words] == model.processor.encode(words)
+    finally:
+        del model.longest_token
+    assert back > 1_000
+
+
+def test_texts_of_chunks_are_shuffled_once(spark):
+    docs = documents(spark, [(i, "river stone " * 2_000) for i in range(3)])
+    plan = spm.encode_documents(docs, Q.PIECE_MODEL)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [x for x in plan.splitlines() if "Exchange" in x]
+    assert "Bucketed: true" in plan and "RepartitionBy" not in plan and len(exchanges) == 3  # matrices, states and ids, no text
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("fungo_") and not t.isTemporary and len(t.name) == 38]
+
+
 def test_empty_table_and_space_mark(spark):
     assert spm.encode_documents(documents(spark, []), Q.PIECE_MODEL).count() == 0
     assert spm.encode_documents(documents(spark, [(1, "a\u2581b")]), Q.PIECE_MODEL).first().round_trip is False
