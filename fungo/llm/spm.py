@@ -163,7 +163,7 @@ class Model:
     def fits(self, a: str, b: str) -> bool:
         k = (a, b)
         if k not in self.pair_cache:
-            if len(self.pair_cache) > self.cache_chars // 16:
+            if len(self.pair_cache) > self.cache_chars // 8:
                 self.pair_cache.clear()
             self.pair_cache[k] = self.merged(a + b) == ([a, b] if b else [a])
         return self.pair_cache[k]
@@ -328,6 +328,7 @@ def encode_documents(docs: DataFrame, model_path: str, key: str = "doc_id", text
         blob = f.read()
     sent, own = docs.sparkSession.sparkContext.broadcast(blob), Model(blob)
     prefix, longest = own.prefix, own.longest
+    narrow = "<u2" if len(own.out) <= 1 << 16 else "<u4"  # how ids travel
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     giant = F.coalesce(F.char_length("t"), F.lit(0)) > chunk_chars
 
@@ -369,22 +370,23 @@ def encode_documents(docs: DataFrame, model_path: str, key: str = "doc_id", text
         model = Model(sent.value)
         for r in _rows(batches):
             ids = [backtrace(model, x["s"], x["a"], x["b"], tuple(x["entry"]), tuple(x["exit"]), x["c"] == 0) for x in r]
-            yield pa.RecordBatch.from_arrays([pa.array([x["row"] for x in r], pa.int64()), pa.array([x["k"] for x in r], pa.int64()), pa.array([x["c"] for x in r], pa.int32()), pa.array([x["n_chars"] for x in r], pa.int64()), pa.array([x["sha"] for x in r], pa.string()), list_array(ids, pa.int32())], names=["row", "k", "c", "n_chars", "sha", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([x["row"] for x in r], pa.int64()), pa.array([x["k"] for x in r], pa.int64()), pa.array([x["c"] for x in r], pa.int32()), pa.array([x["n_chars"] for x in r], pa.int64()), pa.array([x["sha"] for x in r], pa.string()), pa.array([np.array(i, narrow).tobytes() for i in ids], pa.binary())], names=["row", "k", "c", "n_chars", "sha", "ids"])
 
     def finish(batches):
         model = Model(sent.value)
         for r in _rows(batches, 32):
-            back = [hashlib.sha256(model.decode(x["ids"])).hexdigest() == x["sha"] for x in r]
-            yield _out(pa.array([x["k"] for x in r], pa.int64()), [x["ids"] for x in r], [x["n_chars"] for x in r], [x["n"] for x in r], back)
+            ids = [np.frombuffer(b"".join(x["ids"]), narrow).tolist() for x in r]
+            back = [hashlib.sha256(model.decode(i)).hexdigest() == x["sha"] for i, x in zip(ids, r)]
+            yield _out(pa.array([x["k"] for x in r], pa.int64()), ids, [x["n_chars"] for x in r], [x["n"] for x in r], back)
 
     out = rows.filter(~giant).mapInArrow(short, OUT)
     numbered = rows.filter(giant).select(F.monotonically_increasing_id().alias("row"), "k", "t")
     total = rows.filter(giant).agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     chunks = _dealt(numbered.mapInArrow(cut, CHUNK), total)
     edges = chunks.select(*(x.split()[0] for x in CHUNK.split(", "))).mapInArrow(matrices, "row long, c int, entries array<array<int>>, exits array<array<int>>, m array<double>").groupBy("row").applyInPandas(combined, "row long, c int, entry array<int>, exit array<int>")
-    ids = chunks.join(edges.hint("shuffle_hash"), ["row", "c"]).mapInArrow(traced, "row long, k long, c int, n_chars long, sha string, ids array<int>")
+    ids = chunks.join(edges.hint("shuffle_hash"), ["row", "c"]).mapInArrow(traced, "row long, k long, c int, n_chars long, sha string, ids binary")
     whole = ids.groupBy("row").agg(F.first("k").alias("k"), F.first("n_chars").alias("n_chars"), F.first("sha").alias("sha"), F.count("*").cast("int").alias("n"), F.array_sort(F.collect_list(F.struct("c", "ids"))).alias("x"))
-    long_ones = whole.select("k", F.flatten("x.ids").alias("ids"), "n_chars", "n", "sha").mapInArrow(finish, OUT)
+    long_ones = whole.select("k", F.col("x.ids").alias("ids"), "n_chars", "n", "sha").mapInArrow(finish, OUT)
     return out.unionAll(long_ones).withColumnRenamed("k", key)
 
 
