@@ -1,8 +1,8 @@
 """URL filters: given rules first, then rules that FP-growth mines from labelled URLs.
 
-pyspark.ml.fpm.FPGrowth has no bound on the length of patterns, and the tokens of one deep
-path that thousands of urls share would give 2^n of them; so its growth is written here as
-projections and grouped sums that stop at a length and at patterns of one label.
+pyspark.ml.fpm.FPGrowth emits every frequent pattern, and the tokens of one deep path that
+thousands of urls share would give 2^n of them; so its growth is written here as projections
+and grouped sums that stop at patterns of one label and where a token says nothing new.
 """
 
 from __future__ import annotations
