@@ -10,22 +10,24 @@ of a document combine in any grouping, and with the edges known each chunk backt
 
 from __future__ import annotations
 
-import hashlib
 import re
 import uuid
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import list_array, shared_path
+from .common import list_array, shared_path, slices
 
 SPACE = "▁"
 BARRED = -np.inf
 #: Words beyond this many characters are not worth keeping.
 LONG_WORD = 64
+#: Characters of units whose lattices are scanned together.
+SCAN_CHARS = 1 << 16
 #: Text of a bucket of chunks.
 BUCKET_BYTES = 32 << 20
 
@@ -35,13 +37,154 @@ def escaped(text: str, prefix: str) -> str:
     return (prefix if text else "") + text.replace(" ", SPACE)
 
 
+class Numbers:
+    """A fixed table from whole numbers to small ones in flat arrays, filled and asked a vector at a time."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, (2 * len(keys)).bit_length())
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        at, rest = self._place(keys), np.arange(len(keys))
+        while len(rest):
+            free = rest[self.keys[at[rest]] < 0]
+            self.keys[at[free]] = keys[free]
+            held = self.keys[at[rest]] == keys[rest]
+            self.values[at[rest[held]]] = values[rest[held]]
+            rest = rest[~held]
+            at[rest] = (at[rest] + 1) & self.last
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The numbers of these keys, -1 where there is none."""
+        at = self._place(keys)
+        held = self.keys[at]
+        hit = held == keys
+        out = np.where(hit, self.values[at], np.int32(-1))
+        rest = np.flatnonzero(~hit & (held >= 0))
+        while len(rest):
+            at[rest] = (at[rest] + 1) & self.last
+            held = self.keys[at[rest]]
+            hit = held == keys[rest]
+            out[rest[hit]] = self.values[at[rest[hit]]]
+            rest = rest[~hit & (held >= 0)]
+        return out
+
+
+class Steps:
+    """Fixed tables of a model's tokens, by which the lattices of many units are scanned at once.
+
+    Tokens are pieces by id, then characters of pieces that are none themselves, then one
+    number for all other characters.  A token of several characters has the two tokens that
+    its own last merge joins, and the rank of that merge.  Merges come by rank, but for
+    pieces no later in rank than a part of theirs (runs of spaces, all of one rank): units
+    that `uneven` finds one in are not for these tables.
+    """
+
+    def __init__(self, model: Model):
+        rank = {x: i for i, x in enumerate(sorted(set(model.scores.values()), reverse=True))}
+        of = {p: model.ids[p] for p in model.ids if len(p) == 1 or model.is_token(p)}
+        self.n_pieces = len(model.out)
+        of |= {c: self.n_pieces + i for i, c in enumerate(sorted(c for c in model.known if c not in of))}
+        self.other = max(self.n_pieces, *of.values()) + 1
+        self.left, self.right = np.zeros((2, self.other + 1), np.int32)
+        self.rank = np.full(self.other + 1, -1, np.int32)
+        for p, i in of.items():
+            if len(p) > 1:
+                a, b = model.merged(p, 2)
+                self.left[i], self.right[i], self.rank[i] = of[a], of[b], rank[model.scores[p]]
+        late = [p for p, i in of.items() if len(p) > 1 and max(self.rank[self.left[i]], self.rank[self.right[i]]) >= self.rank[i]]
+        self.uneven = re.compile("|".join(map(re.escape, late)) or "(?!)")
+        joins = [(of[p[:i]] * (self.other + 1) + of[p[i:]], rank[x]) for p, x in model.scores.items() for i in range(1, len(p)) if p[:i] in of and p[i:] in of]
+        self.joins = Numbers(*np.array(joins, np.int64).reshape(-1, 2).T.copy())
+        nodes = {"": 0}
+        for p in of:
+            for i in range(1, len(p) + 1):
+                nodes.setdefault(p[:i], len(nodes))
+        self.token = np.full(len(nodes), -1, np.int32)
+        self.token[[nodes[p] for p in of]] = list(of.values())
+        self.nodes = Numbers(*np.array([(nodes[p[:-1]] << 21 | ord(p[-1]), n) for p, n in nodes.items() if p], np.int64).T.copy())
+
+    def fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether tokens a and b, merged on their own, come out as those two again.
+
+        Merges come by rank, the leftmost of equals first.  So the merges of a and b are
+        undone from the last one back, and those parts that then stand at the edge must not
+        have merged before it.
+        """
+        out = np.ones(len(a), bool)
+        at = np.flatnonzero((a < self.other) & (b < self.other))
+        a, b, limit = a[at], b[at], np.full(len(at), np.iinfo(np.int32).max, np.int32)
+        while len(at):
+            joined = self.joins.get(a.astype(np.int64) * (self.other + 1) + b)
+            merges = (joined >= 0) & (joined < limit)
+            out[at[merges]] = False
+            x, y = self.rank[a], self.rank[b]
+            go = np.flatnonzero(~merges & (np.maximum(x, y) >= 0))
+            at, a, b, x, y = at[go], a[go], b[go], x[go], y[go]
+            later = x > y
+            a, b, limit = np.where(later, self.right[a], a), np.where(later, b, self.left[b]), np.where(later, x, y + 1)
+        return out
+
+    def scan(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens of units that no piece crosses on either side, one unit after the other: their numbers, where they begin in the joined units, and how many each unit has.
+
+        All lattices go from place to place together; of the tokens that end at a place one
+        is on a path of finite weight at most, so that is all that a place keeps.
+        """
+        code = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        size = np.fromiter(map(len, units), np.int64, len(units))
+        end = np.cumsum(size)
+        begin = end - size
+        stop, offset = np.repeat(end, size), np.arange(len(code)) - np.repeat(begin, size)
+        at, node = np.arange(len(code)), self.nodes.get(code)
+        token = np.where(node >= 0, self.token[node], -1)
+        steps = [(at, np.ones(len(at), np.int32), np.where(token >= 0, token, np.int32(self.other)))]
+        n = 1
+        while len(at):
+            go = np.flatnonzero((node >= 0) & (at + n < stop[at]))
+            at = at[go]
+            node = self.nodes.get(node[go].astype(np.int64) << 21 | code[at + n])
+            n += 1
+            token = np.where(node >= 0, self.token[node], -1)
+            some = np.flatnonzero(token >= 0)
+            steps.append((at[some], np.full(len(some), n, np.int32), token[some]))
+        start, length, token = (np.concatenate(x) for x in zip(*steps))
+        order = np.argsort(offset[start].astype(np.int16), kind="stable")
+        start, length, token = start[order], length[order], token[order]
+        edges = np.searchsorted(offset[start], np.arange(int(size.max(initial=0)) + 1))
+        last, reach = np.full(len(code), -1, np.int32), np.zeros(len(code), np.int64)  # of the token that ends behind a character
+        for p, (i, j) in enumerate(zip(edges, edges[1:])):
+            a, n, t = start[i:j], length[i:j], token[i:j]
+            if p:
+                before = last[a - 1]
+                some = np.flatnonzero(before >= 0)
+                some = some[self.fit(before[some], t[some])]
+                a, n, t = a[some], n[some], t[some]
+            last[a + n - 1], reach[a + n - 1] = t, n
+        found, at = np.full(len(code), -1, np.int32), np.arange(len(units))[size > 0]
+        end = end[at]
+        while len(at):
+            t, n = last[end - 1], reach[end - 1]
+            if (t < 0).any():
+                raise RuntimeError("a unit without a path of finite weight")
+            end = end - n
+            found[end] = t
+            go = np.flatnonzero(end > begin[at])
+            at, end = at[go], end[go]
+        where = np.flatnonzero(found >= 0)
+        return found[where], where, np.searchsorted(where, begin + size) - np.searchsorted(where, begin)
+
+
 class Model:
     """Pieces of a SentencePiece BPE model with byte fallback, and the library for short texts.
 
-    Caches hold whole words of up to `LONG_WORD` characters, about `cache_chars` in all.
+    Caches hold the packed ids of whole words of up to `LONG_WORD` characters, about
+    `cache_chars` in all.  `steps` are the tables of Steps, made once and sent to the tasks.
     """
 
-    def __init__(self, blob: bytes, cache_chars: int = 1_600_000):
+    def __init__(self, blob: bytes, cache_chars: int = 1_600_000, steps: Steps | None = None):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
@@ -61,33 +204,107 @@ class Model:
         self.units = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n+")
         if "\n" in self.known or any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("pieces cross white space; units would not be independent")
-        self.cache: dict[str, list[int]] = {}
+        self.narrow = np.dtype("<u2" if len(self.out) <= 1 << 16 else "<u4")  # how ids are kept and travel
+        self.cache: dict[str, bytes] = {}
+        self.flawed: set[str] = set()
         self.cache_chars, self.held = cache_chars, 0
-        self.unit_cache: dict[str, list[int]] = {}
+        self.unit_cache: dict[str, bytes] = {}
         self.units_held = 0
+        self._steps = steps
         self.pair_cache: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
 
     def escape(self, text: str) -> str:
         return escaped(text, self.prefix)
 
-    def encode_escaped(self, escaped: list[str]) -> list[list[int]]:
-        """Ids of texts that begin and end where no piece can cross, by the library."""
-        parts = [self.units.findall(x) for x in escaped]
+    def parts(self, s: str) -> list[str]:
+        """What `units` finds in s, in some cases with empty strings between; made by marking where units begin."""
+        if "\0" in s:
+            return self.units.findall(s)
+        s = s.replace(SPACE, "\0" + SPACE).replace(SPACE + "\0", SPACE)  # the second undoes marks inside runs of spaces
+        if "\n" in s:
+            s = s.replace("\n", "\0\n\0")
+            for _ in range(2):  # every other mark of a run is undone at a time
+                s = s.replace("\n\0\0\n", "\n\n")
+        return s.split("\0")
+
+    @property
+    def steps(self) -> Steps:
+        if self._steps is None:
+            self._steps = Steps(self)
+        return self._steps
+
+    def packed(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """Ids that stand one after the other, as the bytes of `counts` each."""
+        flat, edges = np.asarray(ids, self.narrow).tobytes(), (np.concatenate(([0], np.cumsum(counts))) * self.narrow.itemsize).tolist()
+        return [flat[a:b] for a, b in zip(edges, edges[1:])]
+
+    def _spells(self, units: list[str], flat: np.ndarray, counts: np.ndarray) -> None:
+        """Puts those of these units that their own ids do not spell, of which byte fallback leaves none, into `flawed`."""
+        want = [u.replace(SPACE, " ").encode() for u in units]
+        got = list(map(self.out.__getitem__, flat.tolist()))
+        ends = np.cumsum(counts)
+        upto = np.concatenate(([0], np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))))
+        if (upto[ends] - upto[ends - counts]).tolist() != list(map(len, want)) or b"".join(got) != b"".join(want):
+            self.flawed.update(u for u, w, e, n in zip(units, want, ends.tolist(), counts.tolist()) if b"".join(got[e - n : e]) != w)
+
+    def encode_packed(self, escaped: list[str]) -> tuple[list[bytes], list[bool]]:
+        """Ids of texts that begin and end where no piece can cross, by the library, and whether they spell the text unit by unit."""
+        parts = list(map(self.parts, escaped))
         cache = self.cache
         if self.held > self.cache_chars:
             cache.clear()
+            self.flawed.clear()
             self.held = 0
-        new = list({u for p in parts for u in p if u not in cache})
-        cache.update(zip(new, self.processor.encode(new)))
-        out = [[i for u in p for i in cache[u]] for p in parts]
+        new = list(set().union(*parts).difference(cache))
+        ids = self.processor.encode(new, num_threads=1)
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), self.narrow, int(counts.sum()))
+        self._spells(new, flat, counts)
+        cache.update(zip(new, self.packed(flat, counts)))
+        out = [b"".join(map(cache.__getitem__, p)) for p in parts]
         self.held += sum(map(len, new))
         for u in new:
             if len(u) > LONG_WORD:
                 del cache[u]
                 self.held -= len(u)
+        return out, [self.flawed.isdisjoint(p) for p in parts] if self.flawed else [True] * len(parts)
+
+    def encode_escaped(self, escaped: list[str]) -> list[list[int]]:
+        return [np.frombuffer(x, self.narrow).tolist() for x in self.encode_packed(escaped)[0]]
+
+    def trace(self, units: list[str]) -> list[bytes]:
+        """Packed ids of units that no piece crosses on either side, scanned together, `SCAN_CHARS` at a time; those of more than `LONG_WORD` characters, and uneven ones (see Steps), by themselves."""
+        if max(map(len, units), default=0) > LONG_WORD or self.steps.uneven.search("\0".join(units)):
+            alone = [len(u) > LONG_WORD or self.steps.uneven.search(u) is not None for u in units]
+            rest = iter(self.trace([u for u, x in zip(units, alone) if not x]))
+            return [np.array(self.unit_ids(u), self.narrow).tobytes() if x else next(rest) for u, x in zip(units, alone)]
+        out = []
+        for a, b in slices(list(map(len, units)), SCAN_CHARS):
+            tokens, where, counts = self.steps.scan(units[a:b])
+            spelled = np.flatnonzero(tokens >= self.steps.n_pieces)  # characters that are no piece: by their bytes
+            if len(spelled):
+                text = "".join(units[a:b])
+                encoded = [text[i].encode() for i in where[spelled].tolist()]
+                n = np.ones(len(tokens), np.int64)
+                n[spelled] = list(map(len, encoded))
+                unit = np.repeat(np.arange(len(counts)), counts)
+                counts = np.bincount(unit, n, len(counts)).astype(np.int64)
+                is_byte = np.repeat(tokens >= self.steps.n_pieces, n)
+                tokens = np.repeat(tokens, n)
+                tokens[is_byte] = [self.bytes_id[x] for x in b"".join(encoded)]
+            out += self.packed(tokens, counts)
         return out
 
+    def know(self, units: set[str]) -> None:
+        """Traces those of these units that the cache lacks."""
+        if self.units_held > self.cache_chars:
+            self.unit_cache.clear()
+            self.units_held = 0
+        new = [u for u in units.difference(self.unit_cache) if len(u) <= LONG_WORD]
+        self.unit_cache.update(zip(new, self.trace(new)))
+        self.units_held += sum(map(len, new))
+
     def longest_token(self, s: str, p: int, limit: int) -> int:
         """Where the longest token of `s` that begins at `p` and ends at `limit` at most ends."""
         whole, best = self.whole, p + 1
@@ -108,9 +325,6 @@ class Model:
         Steps go to the longest token that fits the one before, and back where that leads
         nowhere.  No two paths of finite weight end at one place, so a place is tried once.
         """
-        ids = self.unit_cache.get(s)
-        if ids is not None:
-            return ids
         n, pairs = len(s), self.pair_cache
         seen, tokens = bytearray(n + 1), []
         at, limit = 0, n
@@ -126,25 +340,22 @@ class Model:
             while limit <= at:
                 limit = at - 1
                 at -= len(tokens.pop())
-        ids = [i for t in tokens for i in self.token_ids(t)]
-        if len(s) <= LONG_WORD:
-            if self.units_held > self.cache_chars // 2:
-                self.unit_cache.clear()
-                self.units_held = 0
-            self.unit_cache[s] = ids
-            self.units_held += len(s)
-        return ids
+        return [i for t in tokens for i in self.token_ids(t)]
+
+    def spelled(self, packed: bytes) -> bytes:
+        """What packed ids spell, a space before the text included."""
+        return b"".join(map(self.out.__getitem__, np.frombuffer(packed, self.narrow).tolist()))
 
     def decode(self, ids) -> bytes:
         text = b"".join(map(self.out.__getitem__, ids))
         return text[1:] if self.dummy_prefix and text[:1] == b" " else text
 
-    def merged(self, s: str) -> list[str]:
-        """BPE of a few characters: the best scored neighbours merge first, the leftmost of equals."""
+    def merged(self, s: str, least: int = 1) -> list[str]:
+        """BPE of a few characters: the best scored neighbours merge first, the leftmost of equals; ends at `least` parts."""
         x = list(s)
         while True:
             best = max(((self.scores[x[i] + x[i + 1]], -i) for i in range(len(x) - 1) if x[i] + x[i + 1] in self.scores), default=None)
-            if best is None:
+            if best is None or len(x) == least:
                 return x
             i = -best[1]
             x[i : i + 2] = [x[i] + x[i + 1]]
@@ -259,27 +470,55 @@ def resolve(chunks: list[tuple[list, list, np.ndarray]]) -> list[tuple[tuple, tu
     return list(zip(states, states[1:]))
 
 
-def backtrace(model: Model, s: str, a: int, b: int, entry: tuple, exit_: tuple, first: bool) -> list[int]:
+def inner_units(model: Model, s: str, a: int, b: int) -> list[str]:
+    """Units of a chunk between the first and the last place that no piece crosses."""
+    parts = _inner_parts(model, s, a, b)
+    return [] if parts is None else model.parts(s[slice(*parts)])
+
+
+def backtrace_packed(model: Model, s: str, a: int, b: int, entry: tuple, exit_: tuple, first: bool, units: list[str]) -> bytes:
     """Ids of the tokens that begin in s[a:b], with the tokens over both edges known.
 
     Between the first and the last place that no piece crosses, the chunk is a product of
-    units with one entry and one exit each, so each unit is traced by itself.
+    units with one entry and one exit each, so each unit is traced by itself (`know` before
+    has traced the short ones together).
     """
     start = a + entry[1]
     node = (None, a) if first else (s[a - entry[0] : start], start)
     parts = _inner_parts(model, s, a, b)
+
+    def packed(tokens):
+        return np.array([i for t in tokens for i in model.token_ids(t)], model.narrow).tobytes()
+
     if parts is None:
-        tokens = Lattice(model, s, a, b, [node]).path(b + exit_[1], b - exit_[0])
-        return [i for t in tokens for i in model.token_ids(t)]
+        return packed(Lattice(model, s, a, b, [node]).path(b + exit_[1], b - exit_[0]))
     p, q = parts
     head = Lattice(model, s, a, p, [node]).path(p) if start < p else []
     tail = Lattice(model, s, q, b, [(None, q)]).path(b + exit_[1], b - exit_[0])
     known = model.unit_cache
-    inner = [i for u in model.units.findall(s[p:q]) for i in known.get(u) or model.unit_ids(u)]
-    return [i for t in head for i in model.token_ids(t)] + inner + [i for t in tail for i in model.token_ids(t)]
+    inner = list(map(known.get, units))
+    if None in inner:
+        inner = [np.array(model.unit_ids(u), model.narrow).tobytes() if i is None else i for u, i in zip(units, inner)]
+    return b"".join([packed(head), *inner, packed(tail)])
+
+
+def backtrace(model: Model, s: str, a: int, b: int, entry: tuple, exit_: tuple, first: bool) -> list[int]:
+    units = inner_units(model, s, a, b)
+    model.know(set(units))
+    return np.frombuffer(backtrace_packed(model, s, a, b, entry, exit_, first, units), model.narrow).tolist()
 
 
-CHUNK = "row long, k long, c int, n int, s string, a int, b int, n_chars long, sha string"
+#: The model of a worker, kept between its tasks.
+_KEPT: list = []
+
+
+def _model(blob: bytes, steps: Steps) -> Model:
+    if not _KEPT or _KEPT[0] != blob:
+        _KEPT[:] = [blob, Model(blob, steps=steps)]
+    return _KEPT[1]
+
+
+CHUNK = "row long, k long, c int, n int, s string, a int, b int, n_chars long, plain boolean"
 OUT = "k long, token_ids array<int>, n_tokens long, n_chars long, n_chunks int, round_trip boolean"
 
 
@@ -326,33 +565,41 @@ def encode_documents(docs: DataFrame, model_path: str, key: str = "doc_id", text
     """
     with open(model_path, "rb") as f:
         blob = f.read()
-    sent, own = docs.sparkSession.sparkContext.broadcast(blob), Model(blob)
-    prefix, longest = own.prefix, own.longest
-    narrow = "<u2" if len(own.out) <= 1 << 16 else "<u4"  # how ids travel
+    own = Model(blob)
+    sent = docs.sparkSession.sparkContext.broadcast((blob, own.steps))
+    prefix, longest, narrow = own.prefix, own.longest, own.narrow
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     giant = F.coalesce(F.char_length("t"), F.lit(0)) > chunk_chars
 
     def short(batches):
-        model = Model(sent.value)
+        model = _model(*sent.value)
+        model.unit_cache.clear()  # of the two caches a worker fills one at a time
+        model.units_held = 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = part.column(1).to_pylist()
-                ids = [None if t is None else i for t, i in zip(texts, model.encode_escaped([model.escape(t or "") for t in texts]))]
-                back = [None if t is None else model.decode(i) == t.encode() for t, i in zip(texts, ids)]
-                yield _out(part.column(0), ids, [None if t is None else len(t) for t in texts], [None if t is None else 1 for t in texts], back)
+                ids, spelled = model.encode_packed([model.escape(t or "") for t in texts])
+                back = [None if t is None else x and SPACE not in t for t, x in zip(texts, spelled)]
+                yield _out(part.column(0), [None if t is None else i for t, i in zip(texts, ids)], narrow, [None if t is None else len(t) for t in texts], [None if t is None else 1 for t in texts], back)
 
     def cut(batches):
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.bool_())
         for batch in batches:
-            for row, k, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                s, sha = escaped(t, prefix), hashlib.sha256(t.encode()).hexdigest()
+            for at in range(batch.num_rows):
+                (row,), (k,), (t,) = (batch.column(i).slice(at, 1).to_pylist() for i in range(3))
+                s, plain = escaped(t, prefix), SPACE not in t
                 edges = _cuts(len(s), chunk_chars)
-                for c, (a, b) in enumerate(zip(edges, edges[1:])):
-                    x, y = max(0, a - 2 * longest), min(len(s), b + 2 * longest)
-                    yield pa.RecordBatch.from_arrays([pa.array([v], ty) for v, ty in zip((row, k, c, len(edges) - 1, s[x:y], a - x, b - x, len(t), sha), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.string()))], names=[x.split()[0] for x in CHUNK.split(", ")])
+                ends = list(enumerate(zip(edges, edges[1:])))
+                for i in range(0, len(ends), 64):
+                    some = ends[i : i + 64]
+                    lows, highs = [max(0, a - 2 * longest) for _, (a, _) in some], [min(len(s), b + 2 * longest) for _, (_, b) in some]
+                    m = len(some)
+                    columns = [row] * m, [k] * m, [c for c, _ in some], [len(ends)] * m, [s[x:y] for x, y in zip(lows, highs)], [a - x for (_, (a, _)), x in zip(some, lows)], [b - x for (_, (_, b)), x in zip(some, lows)], [len(t)] * m, [plain] * m
+                    yield pa.RecordBatch.from_arrays([pa.array(v, ty) for v, ty in zip(columns, kinds)], names=[x.split()[0] for x in CHUNK.split(", ")])
 
     def matrices(batches):
-        model = Model(sent.value)
+        model = _model(*sent.value)
         for r in _rows(batches):
             got = [transfer(model, x["s"], x["a"], x["b"], x["c"] == 0, x["c"] == x["n"] - 1) for x in r]
             flat = [pa.array([x[i] for x in r], t) for i, t in (("row", pa.int64()), ("c", pa.int32()))]
@@ -367,31 +614,39 @@ def encode_documents(docs: DataFrame, model_path: str, key: str = "doc_id", text
         return pd.DataFrame({"row": pdf["row"], "c": pdf["c"], "entry": [list(x) for x, _ in states], "exit": [list(y) for _, y in states]})
 
     def traced(batches):
-        model = Model(sent.value)
-        for r in _rows(batches):
-            ids = [backtrace(model, x["s"], x["a"], x["b"], tuple(x["entry"]), tuple(x["exit"]), x["c"] == 0) for x in r]
-            yield pa.RecordBatch.from_arrays([pa.array([x["row"] for x in r], pa.int64()), pa.array([x["k"] for x in r], pa.int64()), pa.array([x["c"] for x in r], pa.int32()), pa.array([x["n_chars"] for x in r], pa.int64()), pa.array([x["sha"] for x in r], pa.string()), pa.array([np.array(i, narrow).tobytes() for i in ids], pa.binary())], names=["row", "k", "c", "n_chars", "sha", "ids"])
+        model = _model(*sent.value)
+        model.cache.clear()
+        model.held = 0
+        for r in _rows(batches, 64):
+            units = [inner_units(model, x["s"], x["a"], x["b"]) for x in r]
+            model.know(set().union(*units))
+            ids = [backtrace_packed(model, x["s"], x["a"], x["b"], tuple(x["entry"]), tuple(x["exit"]), x["c"] == 0, u) for x, u in zip(r, units)]
+            # what begins in a chunk must spell it, from the token over its left edge to the one over its right edge
+            back = [x["plain"] and model.spelled(i) == x["s"][x["a"] + x["entry"][1] : x["b"] + x["exit"][1]].replace(SPACE, " ").encode() for x, i in zip(r, ids)]
+            yield pa.RecordBatch.from_arrays([pa.array([x["row"] for x in r], pa.int64()), pa.array([x["k"] for x in r], pa.int64()), pa.array([x["c"] for x in r], pa.int32()), pa.array([x["n_chars"] for x in r], pa.int64()), pa.array(back, pa.bool_()), pa.array(ids, pa.binary())], names=["row", "k", "c", "n_chars", "back", "ids"])
 
     def finish(batches):
-        model = Model(sent.value)
         for r in _rows(batches, 32):
-            ids = [np.frombuffer(b"".join(x["ids"]), narrow).tolist() for x in r]
-            back = [hashlib.sha256(model.decode(i)).hexdigest() == x["sha"] for i, x in zip(ids, r)]
-            yield _out(pa.array([x["k"] for x in r], pa.int64()), ids, [x["n_chars"] for x in r], [x["n"] for x in r], back)
+            yield _out(pa.array([x["k"] for x in r], pa.int64()), [b"".join(x["ids"]) for x in r], narrow, [x["n_chars"] for x in r], [x["n"] for x in r], [x["back"] for x in r])
 
     out = rows.filter(~giant).mapInArrow(short, OUT)
     numbered = rows.filter(giant).select(F.monotonically_increasing_id().alias("row"), "k", "t")
     total = rows.filter(giant).agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     chunks = _dealt(numbered.mapInArrow(cut, CHUNK), total)
     edges = chunks.select(*(x.split()[0] for x in CHUNK.split(", "))).mapInArrow(matrices, "row long, c int, entries array<array<int>>, exits array<array<int>>, m array<double>").groupBy("row").applyInPandas(combined, "row long, c int, entry array<int>, exit array<int>")
-    ids = chunks.join(edges.hint("shuffle_hash"), ["row", "c"]).mapInArrow(traced, "row long, k long, c int, n_chars long, sha string, ids binary")
-    whole = ids.groupBy("row").agg(F.first("k").alias("k"), F.first("n_chars").alias("n_chars"), F.first("sha").alias("sha"), F.count("*").cast("int").alias("n"), F.array_sort(F.collect_list(F.struct("c", "ids"))).alias("x"))
-    long_ones = whole.select("k", F.col("x.ids").alias("ids"), "n_chars", "n", "sha").mapInArrow(finish, OUT)
+    ids = chunks.join(edges.hint("shuffle_hash"), ["row", "c"]).mapInArrow(traced, "row long, k long, c int, n_chars long, back boolean, ids binary")
+    whole = ids.groupBy("row").agg(F.first("k").alias("k"), F.first("n_chars").alias("n_chars"), F.bool_and("back").alias("back"), F.count("*").cast("int").alias("n"), F.array_sort(F.collect_list(F.struct("c", "ids"))).alias("x"))
+    long_ones = whole.select("k", F.col("x.ids").alias("ids"), "n_chars", "n", "back").mapInArrow(finish, OUT)
     return out.unionAll(long_ones).withColumnRenamed("k", key)
 
 
-def _out(keys, ids: list, n_chars: list, n_chunks: list, back: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([keys, list_array(ids, pa.int32()), pa.array([None if i is None else len(i) for i in ids], pa.int64()), pa.array(n_chars, pa.int64()), pa.array(n_chunks, pa.int32()), pa.array(back, pa.bool_())], names=[x.split()[0] for x in OUT.split(", ")])
+def _out(keys, ids: list, narrow: np.dtype, n_chars: list, n_chunks: list, back: list) -> pa.RecordBatch:
+    """Rows of OUT; ids as packed bytes."""
+    n = [None if i is None else len(i) // narrow.itemsize for i in ids]
+    ends = np.cumsum([0, *(x or 0 for x in n)]).astype(np.int32)
+    flat = np.frombuffer(b"".join([i for i in ids if i]), narrow).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array([x is None for x in n], pa.bool_()))
+    return pa.RecordBatch.from_arrays([keys, lists, pa.array(n, pa.int64()), pa.array(n_chars, pa.int64()), pa.array(n_chunks, pa.int32()), pa.array(back, pa.bool_())], names=[x.split()[0] for x in OUT.split(", ")])
 
 
 def decode_documents(tokens: DataFrame, model_path: str, key: str = "doc_id", ids: str = "token_ids") -> DataFrame:

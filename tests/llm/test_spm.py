@@ -112,3 +112,34 @@ def test_max_plus_product_is_associative():
     r = np.random.default_rng(1)
     a, b, c = (np.where(r.random((4, 4)) < 0.5, -np.inf, r.integers(-5, 5, (4, 4))) for _ in range(3))
     assert (spm.compose(spm.compose(a, b), c) == spm.compose(a, spm.compose(b, c))).all()
+
+
+def test_units_of_chunks_are_scanned_together(model, library, monkeypatch):
+    """Words that no cache holds take no walk of their own, but for long ones and runs of spaces."""
+    r = random.Random(11)
+    texts = [" ".join("".join(r.choice("aeiourstlnmxyzéß漢") for _ in range(r.randint(1, 14))) for _ in range(80)) + "\n" for _ in range(20)]
+    monkeypatch.setattr(model, "unit_ids", None)
+    assert [by_chunks(model, t, 130) for t in texts] == [library.encode(t) for t in texts]
+
+
+def test_scan_of_many_units(model):
+    r = random.Random(12)
+    drawn = ("".join(r.choice("abcdeinorst▁▁▁\n漢🙂é0=-\x00") for _ in range(r.randint(1, 90))) for _ in range(3_000))
+    units = list({u for t in drawn for u in model.units.findall(t)}) + ["▁" * n for n in range(1, 40)] + ["x" * 300]
+    assert [memoryview(x).cast("H").tolist() for x in model.trace(units)] == model.processor.encode(units)
+    assert model.trace([]) == []
+
+
+def test_parts_are_the_units(model):
+    r = random.Random(13)
+    for _ in range(3_000):
+        s = "".join(r.choice("ab▁▁\n\n\t\x00" if r.random() < 0.01 else "ab▁▁\n\n\t") for _ in range(r.randint(0, 30)))
+        assert [p for p in model.parts(s) if p] == model.units.findall(s)
+
+
+def test_units_that_their_ids_do_not_spell(library):
+    with open(Q.PIECE_MODEL, "rb") as f:
+        own = spm.Model(f.read())
+    own.out[library.piece_to_id("▁the")] = b" teh"
+    assert own.encode_packed([own.escape(t) for t in ("over the top", "a river", "", "so the end")])[1] == [False, True, True, False]
+    assert own.encode_packed([own.escape("on the way"), own.escape("a way")])[1] == [False, True]
