@@ -39,6 +39,8 @@ SCRIPTS = {"CYRILLIC": "cyrillic", "GREEK": "greek", "ARABIC": "arabic", "HEBREW
 SYMBOLS = b"#*$%&|<>"
 #: Words beyond this many bytes are not worth keeping.
 LONG_WORD = 96
+#: Piece ids as the cache keeps them: a few bytes a word, no Python objects.
+KEPT_ID = np.dtype("<u4")
 _NAMES = (*dict.fromkeys(SCRIPTS.values()), "other")
 _LETTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -64,7 +66,7 @@ class Vocabularies:
         self.cache_bytes, self.held = cache_bytes, 0
 
     def word_facts(self, words: list[bytes]) -> list[tuple]:
-        """By word: code points, symbols, Latin letters, other letters, piece ids, number of bpe tokens, script of the other letters."""
+        """By word: code points, symbols, Latin letters, other letters, piece ids (as bytes of KEPT_ID), number of bpe tokens, script of the other letters."""
         cache = self.cache
         if self.held > self.cache_bytes:
             cache.clear()
@@ -81,7 +83,7 @@ class Vocabularies:
                     letters = latin = sum(map(str.isalpha, t))
                     if max(t) >= "\u0250" and (beyond := [c for c in t if c.isalpha() and c >= "\u0250" and not "\u1e00" <= c < "\u1f00"]):
                         latin, script = letters - len(beyond), script_of(beyond)
-                cache[w] = (len(t), len(w) - len(w.translate(None, SYMBOLS)), latin, letters - latin, i, n, script)
+                cache[w] = (len(t), len(w) - len(w.translate(None, SYMBOLS)), latin, letters - latin, np.array(i, KEPT_ID).tobytes(), n, script)
         out = [cache[w] for w in words]
         for w in new:
             if len(w) > LONG_WORD:
@@ -134,8 +136,8 @@ def features_of(texts: list, vocab: Vocabularies) -> dict[str, np.ndarray]:
     facts = vocab.word_facts(list(index))
     chars, symbols, latin, other, n_bpe, code = (np.array([f[i] for f in facts], np.int64) for i in (0, 1, 2, 3, 5, 6))
     pieces = [f[4] for f in facts]
-    n_piece = np.array(list(map(len, pieces)), np.int64)
-    flat = np.fromiter(chain.from_iterable(pieces), np.int64, int(n_piece.sum()))
+    n_piece = np.array(list(map(len, pieces)), np.int64) // KEPT_ID.itemsize
+    flat = np.frombuffer(b"".join(pieces), KEPT_ID).astype(np.int64)
     first = np.concatenate(([0], np.cumsum(n_piece)))
     bytes_in = _segments(vocab.is_byte[flat].astype(np.int64), first[1:]) if len(facts) else n_piece
 

@@ -508,16 +508,6 @@ def backtrace(model: Model, s: str, a: int, b: int, entry: tuple, exit_: tuple,
     return np.frombuffer(backtrace_packed(model, s, a, b, entry, exit_, first, units), model.narrow).tolist()
 
 
-#: The model of a worker, kept between its tasks.
-_KEPT: list = []
-
-
-def _model(blob: bytes, steps: Steps) -> Model:
-    if not _KEPT or _KEPT[0] != blob:
-        _KEPT[:] = [blob, Model(blob, steps=steps)]
-    return _KEPT[1]
-
-
 CHUNK = "row long, k long, c int, n int, s string, a int, b int, n_chars long, plain boolean"
 OUT = "k long, token_ids array<int>, n_tokens long, n_chars long, n_chunks int, round_trip boolean"
 
@@ -572,9 +562,7 @@ def encode_documents(docs: DataFrame, model_path: str, key: str = "doc_id", text
     giant = F.coalesce(F.char_length("t"), F.lit(0)) > chunk_chars
 
     def short(batches):
-        model = _model(*sent.value)
-        model.unit_cache.clear()  # of the two caches a worker fills one at a time
-        model.units_held = 0
+        model = Model(sent.value[0], steps=sent.value[1])
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -599,7 +587,7 @@ def encode_documents(docs: DataFrame, model_path: str, key: str = "doc_id", text
                     yield pa.RecordBatch.from_arrays([pa.array(v, ty) for v, ty in zip(columns, kinds)], names=[x.split()[0] for x in CHUNK.split(", ")])
 
     def matrices(batches):
-        model = _model(*sent.value)
+        model = Model(sent.value[0], steps=sent.value[1])
         for r in _rows(batches):
             got = [transfer(model, x["s"], x["a"], x["b"], x["c"] == 0, x["c"] == x["n"] - 1) for x in r]
             flat = [pa.array([x[i] for x in r], t) for i, t in (("row", pa.int64()), ("c", pa.int32()))]
@@ -614,9 +602,7 @@ def encode_documents(docs: DataFrame, model_path: str, key: str = "doc_id", text
         return pd.DataFrame({"row": pdf["row"], "c": pdf["c"], "entry": [list(x) for x, _ in states], "exit": [list(y) for _, y in states]})
 
     def traced(batches):
-        model = _model(*sent.value)
-        model.cache.clear()
-        model.held = 0
+        model = Model(sent.value[0], steps=sent.value[1])
         for r in _rows(batches, 64):
             units = [inner_units(model, x["s"], x["a"], x["b"]) for x in r]
             model.know(set().union(*units))
