@@ -38,19 +38,19 @@ def escaped(text: str, prefix: str) -> str:
 
 
 class Numbers:
-    """A fixed table from whole numbers to small ones in flat arrays, filled and asked a vector at a time."""
+    """A fixed table from whole numbers (42 bits) to small ones (20 bits) in a flat array that holds both in one, filled and asked a vector at a time."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(4, (2 * len(keys)).bit_length())
+        if len(keys) and (keys.min() < 0 or keys.max() >> 42 or values.min() < 0 or values.max() >> 20):
+            raise ValueError("numbers beyond the table's bits")
+        bits = max(4, (2 * len(keys)).bit_length() + 1)
         self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        self.held = np.full(1 << bits, -1, np.int64)
         at, rest = self._place(keys), np.arange(len(keys))
         while len(rest):
-            free = rest[self.keys[at[rest]] < 0]
-            self.keys[at[free]] = keys[free]
-            held = self.keys[at[rest]] == keys[rest]
-            self.values[at[rest[held]]] = values[rest[held]]
-            rest = rest[~held]
+            free = rest[self.held[at[rest]] < 0]
+            self.held[at[free]] = keys[free] << 20 | values[free]
+            rest = rest[self.held[at[rest]] >> 20 != keys[rest]]
             at[rest] = (at[rest] + 1) & self.last
 
     def _place(self, keys: np.ndarray) -> np.ndarray:
@@ -59,17 +59,16 @@ class Numbers:
     def get(self, keys: np.ndarray) -> np.ndarray:
         """The numbers of these keys, -1 where there is none."""
         at = self._place(keys)
-        held = self.keys[at]
-        hit = held == keys
-        out = np.where(hit, self.values[at], np.int32(-1))
-        rest = np.flatnonzero(~hit & (held >= 0))
+        held = self.held[at]
+        rest = np.flatnonzero((held >> 20 != keys) & (held >= 0))
+        at, keys = at[rest], keys[rest]
         while len(rest):
-            at[rest] = (at[rest] + 1) & self.last
-            held = self.keys[at[rest]]
-            hit = held == keys[rest]
-            out[rest[hit]] = self.values[at[rest[hit]]]
-            rest = rest[~hit & (held >= 0)]
-        return out
+            at = (at + 1) & self.last
+            found = self.held[at]
+            held[rest] = found
+            go = np.flatnonzero((found >> 20 != keys) & (found >= 0))
+            rest, at, keys = rest[go], at[go], keys[go]
+        return np.where(held < 0, -1, held & 0xFFFFF).astype(np.int32)
 
 
 class Steps:
@@ -130,18 +129,19 @@ class Steps:
     def scan(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Tokens of units that no piece crosses on either side, one unit after the other: their numbers, where they begin in the joined units, and how many each unit has.
 
-        All lattices go from place to place together; of the tokens that end at a place one
-        is on a path of finite weight at most, so that is all that a place keeps.
+        All lattices are walked together, each to the longest token that fits the one before,
+        and back where that leads nowhere.  Of the tokens that end at a place one is on a path
+        of finite weight at most, so a place is tried once.
         """
         code = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         size = np.fromiter(map(len, units), np.int64, len(units))
         end = np.cumsum(size)
         begin = end - size
-        stop, offset = np.repeat(end, size), np.arange(len(code)) - np.repeat(begin, size)
+        stop = np.repeat(end, size)
         at, node = np.arange(len(code)), self.nodes.get(code)
         token = np.where(node >= 0, self.token[node], -1)
-        steps = [(at, np.ones(len(at), np.int32), np.where(token >= 0, token, np.int32(self.other)))]
-        n = 1
+        steps = [(at, np.ones(len(at), np.int32), np.where(token >= 0, token, np.int32(self.other)), np.full(len(at), -1))]
+        top, held, n = at.copy(), len(at), 1  # the longest step from each place so far
         while len(at):
             go = np.flatnonzero((node >= 0) & (at + n < stop[at]))
             at = at[go]
@@ -149,28 +149,40 @@ class Steps:
             n += 1
             token = np.where(node >= 0, self.token[node], -1)
             some = np.flatnonzero(token >= 0)
-            steps.append((at[some], np.full(len(some), n, np.int32), token[some]))
-        start, length, token = (np.concatenate(x) for x in zip(*steps))
-        order = np.argsort(offset[start].astype(np.int16), kind="stable")
-        start, length, token = start[order], length[order], token[order]
-        edges = np.searchsorted(offset[start], np.arange(int(size.max(initial=0)) + 1))
-        last, reach = np.full(len(code), -1, np.int32), np.zeros(len(code), np.int64)  # of the token that ends behind a character
-        for p, (i, j) in enumerate(zip(edges, edges[1:])):
-            a, n, t = start[i:j], length[i:j], token[i:j]
-            if p:
-                before = last[a - 1]
-                some = np.flatnonzero(before >= 0)
-                some = some[self.fit(before[some], t[some])]
-                a, n, t = a[some], n[some], t[some]
-            last[a + n - 1], reach[a + n - 1] = t, n
+            steps.append((at[some], np.full(len(some), n, np.int32), token[some], top[at[some]]))
+            top[at[some]] = np.arange(held, held + len(some))
+            held += len(some)
+        start, length, token, shorter = (np.concatenate(x) for x in zip(*steps))
+        came = np.full(len(code), -1)  # the step that ends behind a character
+        at = np.arange(len(units))[size > 0]
+        first, stop, step = begin[at], end[at], top[begin[at]]
+        while len(step):
+            p = start[step]
+            q = p + length[step] - 1
+            good = came[q] < 0
+            some = np.flatnonzero(good & (p > first))
+            good[some] = self.fit(token[came[p[some] - 1]], token[step[some]])
+            some = np.flatnonzero(good)
+            came[q[some]] = step[some]
+            bad = np.flatnonzero(~good)
+            step[bad] = shorter[step[bad]]
+            some = some[q[some] + 1 < stop[some]]
+            step[some] = top[q[some] + 1]
+            back = bad[step[bad] < 0]
+            while len(back):  # no step from here is left: another one than that which came here
+                if (p[back] <= first[back]).any():
+                    raise RuntimeError("a unit without a path of finite weight")
+                by = came[p[back] - 1]
+                p[back], step[back] = start[by], shorter[by]
+                back = back[step[back] < 0]
+            good &= q + 1 == stop
+            first, stop, step = first[~good], stop[~good], step[~good]
         found, at = np.full(len(code), -1, np.int32), np.arange(len(units))[size > 0]
         end = end[at]
         while len(at):
-            t, n = last[end - 1], reach[end - 1]
-            if (t < 0).any():
-                raise RuntimeError("a unit without a path of finite weight")
-            end = end - n
-            found[end] = t
+            by = came[end - 1]
+            end = start[by]
+            found[end] = token[by]
             go = np.flatnonzero(end > begin[at])
             at, end = at[go], end[go]
         where = np.flatnonzero(found >= 0)
@@ -198,6 +210,7 @@ class Model:
         self.scores = {p.piece: p.score for p in proto.pieces if p.type == 1}
         self.bytes_id = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == 6}
         self.out = [bytes([int(p.piece[3:5], 16)]) if p.type == 6 else p.piece.replace(SPACE, " ").encode() if p.type == 1 else b"" for p in proto.pieces]
+        self.sizes = np.array(list(map(len, self.out)), np.int64)
         self.longest = max(map(len, self.ids))
         self.known = {c for p in self.ids for c in p}
         self.begins = {p[:i] for p in self.ids for i in range(2, len(p) + 1)}
@@ -241,12 +254,13 @@ class Model:
 
     def _spells(self, units: list[str], flat: np.ndarray, counts: np.ndarray) -> None:
         """Puts those of these units that their own ids do not spell, of which byte fallback leaves none, into `flawed`."""
-        want = [u.replace(SPACE, " ").encode() for u in units]
+        want = "".join(units).replace(SPACE, " ").encode()
         got = list(map(self.out.__getitem__, flat.tolist()))
         ends = np.cumsum(counts)
-        upto = np.concatenate(([0], np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))))
-        if (upto[ends] - upto[ends - counts]).tolist() != list(map(len, want)) or b"".join(got) != b"".join(want):
-            self.flawed.update(u for u, w, e, n in zip(units, want, ends.tolist(), counts.tolist()) if b"".join(got[e - n : e]) != w)
+        begins = np.flatnonzero((np.frombuffer(want, np.uint8) & 0xC0) != 0x80)  # of characters
+        due = np.append(begins, len(want))[np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))]
+        if b"".join(got) != want or not np.array_equal(np.append(0, np.cumsum(self.sizes[flat]))[ends], due):
+            self.flawed.update(u for u, e, n in zip(units, ends.tolist(), counts.tolist()) if b"".join(got[e - n : e]) != u.replace(SPACE, " ").encode())
 
     def encode_packed(self, escaped: list[str]) -> tuple[list[bytes], list[bool]]:
         """Ids of texts that begin and end where no piece can cross, by the library, and whether they spell the text unit by unit."""
@@ -496,10 +510,11 @@ def backtrace_packed(model: Model, s: str, a: int, b: int, entry: tuple, exit_:
     head = Lattice(model, s, a, p, [node]).path(p) if start < p else []
     tail = Lattice(model, s, q, b, [(None, q)]).path(b + exit_[1], b - exit_[0])
     known = model.unit_cache
-    inner = list(map(known.get, units))
-    if None in inner:
-        inner = [np.array(model.unit_ids(u), model.narrow).tobytes() if i is None else i for u, i in zip(units, inner)]
-    return b"".join([packed(head), *inner, packed(tail)])
+    try:
+        inner = b"".join(map(known.__getitem__, units))
+    except KeyError:
+        inner = b"".join(known[u] if u in known else np.array(model.unit_ids(u), model.narrow).tobytes() for u in units)
+    return packed(head) + inner + packed(tail)
 
 
 def backtrace(model: Model, s: str, a: int, b: int, entry: tuple, exit_: tuple, first: bool) -> list[int]:
@@ -591,15 +606,18 @@ def encode_documents(docs: DataFrame, model_path: str, key: str = "doc_id", text
         for r in _rows(batches):
             got = [transfer(model, x["s"], x["a"], x["b"], x["c"] == 0, x["c"] == x["n"] - 1) for x in r]
             flat = [pa.array([x[i] for x in r], t) for i, t in (("row", pa.int64()), ("c", pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*flat, list_array([[list(e) for e in g[0]] for g in got], pa.list_(pa.int32())), list_array([[list(e) for e in g[1]] for g in got], pa.list_(pa.int32())), list_array([g[2].ravel().tolist() for g in got], pa.float64())], names=["row", "c", "entries", "exits", "m"])
+            ends = [list_array([list(chain.from_iterable(g[i])) for g in got], pa.int32()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*flat, *ends, list_array([g[2].ravel().tolist() for g in got], pa.float64())], names=["row", "c", "entries", "exits", "m"])
 
-    def combined(pdf):
-        import pandas as pd
+    def combined(batches):
+        def pairs(flat):
+            return list(zip(flat[::2], flat[1::2]))
 
-        pdf = pdf.sort_values("c")
-        chunks = [([tuple(map(int, e)) for e in r.entries], [tuple(map(int, e)) for e in r.exits], np.array(r.m, float).reshape(len(r.entries), len(r.exits))) for r in pdf.itertuples()]
-        states = resolve(chunks)
-        return pd.DataFrame({"row": pdf["row"], "c": pdf["c"], "entry": [list(x) for x, _ in states], "exit": [list(y) for _, y in states]})
+        for r in _rows(batches, 32):
+            states = [resolve([(pairs(y["entries"]), pairs(y["exits"]), np.array(y["m"], float).reshape(len(y["entries"]) // 2, -1)) for y in x["x"]]) for x in r]
+            flat = [pa.array([x["row"] for x in r for _ in x["x"]], pa.int64()), pa.array([y["c"] for x in r for y in x["x"]], pa.int32())]
+            ends = [list_array([list(y[i]) for x in states for y in x], pa.int32()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*flat, *ends], names=["row", "c", "entry", "exit"])
 
     def traced(batches):
         model = Model(sent.value[0], steps=sent.value[1])
@@ -619,7 +637,8 @@ def encode_documents(docs: DataFrame, model_path: str, key: str = "doc_id", text
     numbered = rows.filter(giant).select(F.monotonically_increasing_id().alias("row"), "k", "t")
     total = rows.filter(giant).agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     chunks = _dealt(numbered.mapInArrow(cut, CHUNK), total)
-    edges = chunks.select(*(x.split()[0] for x in CHUNK.split(", "))).mapInArrow(matrices, "row long, c int, entries array<array<int>>, exits array<array<int>>, m array<double>").groupBy("row").applyInPandas(combined, "row long, c int, entry array<int>, exit array<int>")
+    of_chunks = chunks.select(*(x.split()[0] for x in CHUNK.split(", "))).mapInArrow(matrices, "row long, c int, entries array<int>, exits array<int>, m array<double>")
+    edges = of_chunks.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("c", "entries", "exits", "m"))).alias("x")).mapInArrow(combined, "row long, c int, entry array<int>, exit array<int>")
     ids = chunks.join(edges.hint("shuffle_hash"), ["row", "c"]).mapInArrow(traced, "row long, k long, c int, n_chars long, back boolean, ids binary")
     whole = ids.groupBy("row").agg(F.first("k").alias("k"), F.first("n_chars").alias("n_chars"), F.bool_and("back").alias("back"), F.count("*").cast("int").alias("n"), F.array_sort(F.collect_list(F.struct("c", "ids"))).alias("x"))
     long_ones = whole.select("k", F.col("x.ids").alias("ids"), "n_chars", "n", "back").mapInArrow(finish, OUT)

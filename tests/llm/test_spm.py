@@ -143,3 +143,49 @@ def test_units_that_their_ids_do_not_spell(library):
     own.out[library.piece_to_id("▁the")] = b" teh"
     assert own.encode_packed([own.escape(t) for t in ("over the top", "a river", "", "so the end")])[1] == [False, True, True, False]
     assert own.encode_packed([own.escape("on the way"), own.escape("a way")])[1] == [False, True]
+
+
+def test_matrices_of_documents_are_combined_in_batches(spark, library):
+    """No Python group a document; documents of one row key, of none and of many chunks keep their own edges."""
+    pairs = [(i % 5 or None, " ".join(f"river{i}stone" * (j % 4) + "ab" for j in range(20 + i))) for i in range(50)]
+    got = spm.encode_documents(documents(spark, pairs), Q.PIECE_MODEL, chunk_chars=90)
+    assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = got.collect()
+    assert sorted((r.doc_id or 0, r.token_ids) for r in rows) == sorted((k or 0, library.encode(t)) for k, t in pairs)
+    assert all(r.round_trip and r.n_chunks > 1 for r in rows)
+
+
+def test_scan_asks_of_few_pairs_whether_they_fit(model, monkeypatch):
+    r = random.Random(14)
+    units = ["▁" + "".join(r.choice("aeiourstlnmdcp") for _ in range(r.randint(3, 12))) for _ in range(4_000)]
+    asked, plain = [], model.steps.fit
+    monkeypatch.setattr(model.steps, "fit", lambda a, b: asked.append(len(a)) or plain(a, b))
+    assert [memoryview(x).cast("H").tolist() for x in model.trace(units)] == model.processor.encode(units)
+    assert sum(asked) < sum(map(len, units))
+
+
+def test_table_of_numbers():
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    keys = np.unique(np.concatenate((r.integers(0, 1 << 42, 5_000), np.arange(5_000) << 21, [(1 << 42) - 1])))
+    values = r.integers(0, 1 << 20, len(keys))
+    table = spm.Numbers(keys, values)
+    assert (table.get(keys) == values).all()
+    other = np.setdiff1d(r.integers(0, 1 << 42, 5_000), keys)
+    assert (table.get(other) == -1).all() and len(table.get(keys[:0])) == 0
+    with pytest.raises(ValueError):
+        spm.Numbers(np.array([1 << 42]), np.array([0]))
+
+
+def test_each_unit_spells_itself():
+    """What all units spell together is not enough."""
+    with open(Q.PIECE_MODEL, "rb") as f:
+        own = spm.Model(f.read())
+    import numpy as np
+
+    ids = [own.ids["a"], own.ids["b"]]
+    own._spells(["ab", "", "c", "ba"], np.array([*ids, own.ids["c"], *ids[::-1]]), np.array([2, 0, 1, 2]))
+    assert not own.flawed
+    own._spells(["a", "bc"], np.array([*ids, own.ids["c"]]), np.array([2, 1]))
+    assert own.flawed == {"a", "bc"}
