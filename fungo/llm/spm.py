@@ -534,7 +534,7 @@ def _dealt(chunks: DataFrame, size: int) -> DataFrame:
     """
     spark = chunks.sparkSession
     n, name = max(spark.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES)), f"fungo_{uuid.uuid4().hex}"
-    chunks.repartition(n, "row", "c").write.bucketBy(n, "row", "c").option("path", shared_path(spark)).saveAsTable(name)
+    chunks.repartition(n, "row", "c").write.bucketBy(n, "row", "c").option("compression", "zstd").option("path", shared_path(spark)).saveAsTable(name)
     table = spark.table(name)
     spark.sql(f"DROP TABLE {name}")
     return table
